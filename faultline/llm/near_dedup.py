@@ -11,10 +11,9 @@ Method
 
     Equal sets are one class, represented by its smallest doc_id. Members of a key are first linked to the key's
     smallest member (a star, not all pairs); each class keeps its best such candidate and the link is confirmed on
-    the full sets. Keys whose members are by then in one component can tell nothing more. Of the others, all pairs
-    across components are confirmed where the key has at most ``PAIRS_WITHIN`` members; larger keys are refined by
-    each further tuple that members share, which loses a link with probability 0.4375 ** 22, until they are small
-    enough (or ``MAX_DEPTH`` refinements are done, when the rest is paired across components whatever its size).
+    the full sets. Keys whose members are by then in one component can tell nothing more. The members of the other
+    keys go through an exact prefix-filter join for links across components, which are confirmed likewise. So no pair
+    within a key or a component is ever listed, and only links whose documents share no key at all are missed.
 
 Cases
     Null or empty text, or text without words: empty set, n_shingles 0, linked with nothing, own component. Rows
@@ -41,8 +40,6 @@ PERCENT = 75
 TABLES, WIDTH = 12, 2
 #: A candidate pair whose minhashes agree in fewer places is dropped: at 0.75, fewer than 19 of 48 has a probability of 1e-7.
 LEAST_AGREEING = 19
-PAIRS_WITHIN = 48
-MAX_DEPTH = 4
 #: Candidate ids that are broadcast as a filter of the documents (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -117,6 +114,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([values[e - s : e].tobytes() for e, s in zip(ends, sizes)], pa.binary())], ["doc_id", "shingles"])
 
 
+def _token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low, high, sizes, values in shingle_sets(batch.column(1)):
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), _signed(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sizes, pa.int64()), lists], ["doc_id", "size", "tokens"])
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,39 +145,61 @@ def _agreeing(x, y):
     return F.expr(f"aggregate(sequence(1, {_N_HASHES}), 0, (n, i) -> n + if(substr({x}, i, 1) = substr({y}, i, 1), 1, 0))")
 
 
+def _selected(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of stored ``ids`` (doc_id), which are broadcast if they are few enough."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), "doc_id", "left_semi")
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. Only documents in a pair have their sets built."""
     pairs = stored(pairs, f"{name}-pairs")
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    else:
-        ids = ids.hint("merge")
-    sets = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), f"{name}-sets")
+    sets = stored(_selected(docs, ids).mapInArrow(_sets, "doc_id long, shingles binary"), f"{name}-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     return stored(both.mapInArrow(_confirm(percent), "a long, b long").distinct(), f"{name}-links")
 
 
 def _surviving_keys(classes: DataFrame) -> DataFrame:
-    """(id, key, i, j) of each table key both of whose tuples another class has too."""
+    """(id, key) of each table key both of whose tuples another class has too."""
     tuples = classes.select("id", F.posexplode("tuples").alias("t", "h"))
     shared = tuples.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     own = tuples.join(shared, "h", "left_semi").groupBy("id").agg(F.collect_list(F.struct("t", "h")).alias("own"))
     own = own.select("id", F.expr(f"filter(own, x -> x.t < {TABLES})").alias("a"), F.expr(f"filter(own, x -> x.t >= {TABLES})").alias("b"))
-    return own.select("id", F.explode("a").alias("a"), "b").select("id", "a", F.explode("b").alias("b")).select("id", F.xxhash64("a.h", "b.h").alias("key"), F.array("a.t", "b.t").alias("used"))
-
-
-def _unresolved(keys: DataFrame, component: DataFrame) -> DataFrame:
-    """Rows of keys with members in two components or more, with the component and the key's size."""
-    rows = keys.join(component, "id")
-    open_ = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 <> c1").select("key", "n")
-    return rows.join(open_, "key")
-
-
-def _cross_pairs(rows: DataFrame) -> DataFrame:
-    x, y = rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), rows.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    return x.join(y, "key").filter("a < b and ca <> cb").select("a", "b")
+    return own.select("id", F.explode("a").alias("a"), "b").select("id", "a", F.explode("b").alias("b")).select("id", F.xxhash64("a.h", "b.h").alias("key"))
+
+
+def _open_members(keys: DataFrame, component: DataFrame) -> DataFrame:
+    """(id, component) of the members of keys that still join two components or more."""
+    rows = keys.select("id", "key").join(component, "id")
+    open_ = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
+    return rows.join(open_, "key", "left_semi").select("id", "component").distinct()
+
+
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) across components that may be similar enough, by prefix and position filters.
+
+    ``sets`` has id, component, size and tokens. Tokens are ordered from the rarest to the most common; two sets that
+    overlap enough have their first common token within a short prefix of each, at places that leave enough to
+    overlap. Tokens that one set alone has only move the others' places, so they are never sent anywhere.
+    """
+    rows = sets.select("id", "component", "size", F.explode("tokens").alias("token"))
+    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    ordered = rows.join(shared, "token").groupBy("id", "component", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("order"))
+    placed = ordered.select("id", "component", "size", (F.col("size") - F.size("order")).alias("own"), F.posexplode("order").alias("place", "x")).select("id", "component", "size", F.col("x.token").alias("token"), (F.col("own") + F.col("place")).alias("place"))
+    # The larger set of a pair looks in its prefix for percent, the smaller one in that for equal sizes.
+    placed = placed.filter(100 * F.col("place") <= (100 - percent) * F.col("size"))
+    crossing = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("token")
+    placed = placed.join(crossing, "token", "left_semi")
+    large = placed.select("token", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "size", "place")])
+    small = placed.filter((100 + percent) * F.col("place") <= (100 - percent) * F.col("size")).select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "size", "place")])
+    near = (
+        (F.col("component_a") != F.col("component_b"))
+        & ((F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("id_a") > F.col("id_b"))))
+        & (100 * F.col("size_b") >= percent * F.col("size_a"))
+        & ((100 + percent) * F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= percent * (F.col("size_a") + F.col("size_b")))
+    )
+    return large.join(small, "token").filter(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -199,23 +225,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = keys.select("id").distinct()
     component = connected_components(members, links)
 
-    # Keys that still join several components: pairs across them, after refining the large ones.
-    level = keys
-    found = []
-    for depth in range(MAX_DEPTH + 1):
-        rows = stored(_unresolved(level, component), f"near-open{depth}")
-        last = depth == MAX_DEPTH
-        found.append(_cross_pairs(rows if last else rows.filter(F.col("n") <= PAIRS_WITHIN)))
-        large = rows.filter(F.col("n") > PAIRS_WITHIN)
-        if last or large.isEmpty():
-            break
-        tuples = classes.select("id", F.posexplode("tuples").alias("t", "h"))
-        level = large.select("id", "key", "used").join(tuples, "id").filter(~F.array_contains("used", F.col("t"))).select("id", F.xxhash64("key", "h").alias("key"), F.array_append("used", F.col("t")).alias("used"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = plausible(pairs.distinct()).select("a", "b")
-    more_links = _confirmed(docs, pairs, percent, "near-cross")
+    # Members of keys that still join several components: every pair of them, by an exact join.
+    open_ = stored(_open_members(keys, component), "near-open")
+    sets = stored(_selected(docs, open_.select(F.col("id").alias("doc_id"))).mapInArrow(_token_lists, "doc_id long, size long, tokens array<long>").join(open_.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "id"), "near-open-sets")
+    more_links = _confirmed(docs, _prefix_pairs(sets, percent), percent, "near-cross")
     merged = more_links.join(component.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(component.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
     tops = connected_components(component.select(F.col("component").alias("id")).distinct(), merged.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     component = component.join(tops.select(F.col("id").alias("component"), F.col("component").alias("top")), "component").select("id", F.col("top").alias("component"))
