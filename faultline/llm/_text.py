@@ -77,16 +77,21 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 class Words:
-    """The words of some rows: ``start`` and ``end`` in bytes, ``bounds`` (rows + 1) into the words, ``hash``."""
+    """The words of some rows: ``start`` and ``end`` in bytes, ``bounds`` (rows + 1) into the words, ``hash``.
+
+    A word is a longest run of bytes to which ``table`` gives the same value, other than 0.
+    """
 
     __slots__ = ("start", "end", "bounds", "hash", "data", "offsets")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: bool):
         n = len(data)
         data = FOLD[data] if fold else data
-        inside = table[data]
+        kind = table[data]
+        inside = kind != 0
         before, after = np.zeros(n, bool), np.zeros(n, bool)
-        before[1:], after[:-1] = inside[:-1], inside[1:]
+        after[:-1] = kind[1:] == kind[:-1]
+        before[1:] = after[:-1]
         first = offsets[:-1]
         before[first[first < n]] = False
         last = offsets[1:]
