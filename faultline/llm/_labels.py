@@ -11,13 +11,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(labels: DataFrame, column: str, per_class: int) -> list[tuple[int, int]]:
-    """(doc_id, label) of at most ``per_class`` labelled rows of either class that are not held out, chosen by hash.
+def labelled(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label) of the rows that may be learned from: not held out, no null; the larger label of an id labelled twice."""
+    known = labels.filter(f"doc_id is not null and {column} is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(column).cast("int")).alias("label"))
+    return known.filter(~held_out(F.col("doc_id")))
+
 
-    Ids labelled twice count by the larger label; null ids and labels are left out.
-    """
-    known = labels.filter(f"doc_id is not null and {column} is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(column).cast("int")).alias("label")).filter(~held_out(F.col("doc_id")))
-    rows = []
+def training_sample(labels: DataFrame, column: str, per_class: int) -> list[tuple[int, int]]:
+    """(doc_id, label) of at most ``per_class`` of the rows of :func:`labelled` of either class, chosen by hash."""
+    known, rows = labelled(labels, column), []
     for value in (0, 1):
         rows += known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
     return [(r.doc_id, r.label) for r in rows]

@@ -30,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm._labels import held_out, sampled, training_sample
+from faultline.llm._labels import held_out, labelled, sampled, training_sample
 
 SAMPLE = 6000
 CUTOFF = 0.3
-#: A learned term is in at least so many toxic documents, so much commoner there, and due to chance with at most this probability.
-LEAST_TOXIC, LEAST_RATIO, CHANCE = 3, 8.0, 1e-6
+#: A learned term stands in at least so many surroundings in toxic documents, is so much commoner there, makes up this
+#: share of all at the labels' own rates, and is due to chance with at most this probability.
+LEAST_TOXIC, LEAST_RATIO, LEAST_SHARE, CHANCE = 4, 20.0, 0.8, 1e-6
 MAX_TERMS = 4000
 STEMS = (4, 5, 6, 7, 8)
 
@@ -176,25 +177,48 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[1][t] for t in part], pa.int64()), pa.array([counts[0][t] for t in part], pa.int64())], ["term", "toxic", "clean"])
 
 
+def _surroundings(candidates: frozenset[str]):
+    """Each candidate with the words around its first place in a document, by label: copies give the same ones again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
+                words, first = ["", *_WORD.findall((text.as_py() or "").lower()), ""], set()
+                for before, word, after in zip(words, words[1:], words[2:]):
+                    for term in (word, *(word[:k] + "*" for k in STEMS if len(word) > k)):
+                        if term in candidates and term not in first:
+                            first.add(term)
+                            found.add((term, label, f"{before} {after}"))
+            terms, labels, around = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(labels, pa.int32()), pa.array(around, pa.string())], ["term", "label", "around"])
+
+    return run
+
+
 def _chance(k: int, n: int, p: float) -> float:
     """P(Binomial(n, p) >= k)."""
     terms = [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p) for j in range(k, n + 1)]
     return sum(map(math.exp, terms))
 
 
-def learn_terms(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, bool, float]]:
-    """(term, whether a stem, weight): the seeds and what the sample teaches, at most MAX_TERMS."""
+def learn_terms(sample: DataFrame, n_toxic: int, n_clean: int, clean_weight: float = 1.0) -> list[tuple[str, bool, float]]:
+    """(term, whether a stem, weight): the seeds and what the sample teaches, at most MAX_TERMS.
+
+    ``clean_weight`` says how many clean labelled rows a sampled one stands for, if a toxic one stands for itself.
+    """
     seeds = {w: (0, 0) for w in INSULTS}
     found: dict[str, tuple[int, int]] = {}
     if n_toxic and n_clean:
         counts = sample.mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         ratio = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1))
         rows = counts.filter(F.col("term").isin(INSULTS) | ((F.col("toxic") >= LEAST_TOXIC) & (ratio >= LEAST_RATIO))).orderBy(F.desc("toxic"), "term").limit(10 * MAX_TERMS).collect()
+        around = sample.mapInArrow(_surroundings(frozenset(r.term for r in rows)), "term string, label int, around string").distinct()
         p = n_toxic / (n_toxic + n_clean)
-        for r in rows:
+        for r in around.groupBy("term").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean")).collect():
             if r.term in seeds:
                 seeds[r.term] = (r.toxic, r.clean)
-            if r.toxic >= LEAST_TOXIC and (r.toxic + 0.5) / (n_toxic + 1) >= LEAST_RATIO * (r.clean + 0.5) / (n_clean + 1) and _chance(r.toxic, r.toxic + r.clean, p) <= CHANCE:
+            elif r.toxic >= max(LEAST_TOXIC, LEAST_SHARE * (r.toxic + clean_weight * r.clean)) and _chance(r.toxic, r.toxic + r.clean, p) <= CHANCE:
                 found[r.term] = (r.toxic, r.clean)
 
     def weight(toxic, clean):
@@ -203,8 +227,10 @@ def learn_terms(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str
 
     out = {w: (w, False, weight(*c) if sum(c) else 1.5) for w, c in seeds.items()}
     stems: list[str] = []
+    whole = {w: c for w, c in (seeds | found).items() if not w.endswith("*")}
     for term in sorted((t for t in found if t.endswith("*")), key=lambda t: (len(t), t)):
-        if not any(term.startswith(s) for s in stems) and not any(w.startswith(term[:-1]) for w in found if not w.endswith("*") and found[w][0] >= 0.7 * found[term][0]):
+        # A stem that one word makes up for the most part is that word.
+        if not any(term.startswith(s) for s in stems) and not any(w.startswith(term[:-1]) and c[0] >= 0.5 * found[term][0] for w, c in whole.items()):
             stems.append(term[:-1])
             out[term] = (term[:-1], True, weight(*found[term]))
     for term, c in found.items():
@@ -242,7 +268,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[
         return tuple(learn_terms(docs, 0, 0)), PRIOR.copy()
     rows = sampled(docs, sample)
     n_toxic = sum(label for _, label in sample)
-    terms = tuple(learn_terms(rows, n_toxic, len(sample) - n_toxic))
+    n_clean = len(sample) - n_toxic
+    usual = labelled(labels, "toxic").groupBy("label").count().collect()
+    rate = {r.label: r["count"] for r in usual}
+    stands_for = rate.get(0, 0) / max(n_clean, 1) / (rate.get(1, 0) / max(n_toxic, 1) or 1)
+    terms = tuple(learn_terms(rows, n_toxic, n_clean, max(1.0, stands_for)))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
