@@ -10,8 +10,11 @@ import public_tokenizers
 
 import corpus_pipeline
 from faultline.llm.bpe import encode_decode
+from faultline.llm.licenses import license_scan
 from faultline.llm.near_dedup import near_duplicates
+from faultline.llm.pii import pii_digest
 from faultline.llm.quality_rules import quality_verdicts
+from faultline.llm.toxicity import toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,6 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,6 +49,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_license_scan": op2_license_scan,
+        "op4_toxicity": op4_toxicity,
+        "op7_pii": op7_pii,
         "op8_quality_rules": op8_quality_rules,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_bpe": op10_bpe,
