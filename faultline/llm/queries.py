@@ -13,6 +13,7 @@ from faultline.llm.bpe import encode_decode
 from faultline.llm.licenses import license_scan
 from faultline.llm.near_dedup import near_duplicates
 from faultline.llm.pii import pii_digest
+from faultline.llm.quality_model import quality_scores
 from faultline.llm.quality_rules import quality_verdicts
 from faultline.llm.toxicity import toxicity
 
@@ -31,6 +32,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_license_scan": op2_license_scan,
         "op4_toxicity": op4_toxicity,
+        "op6_quality_model": op6_quality_model,
         "op7_pii": op7_pii,
         "op8_quality_rules": op8_quality_rules,
         "op9_near_duplicates": op9_near_duplicates,
