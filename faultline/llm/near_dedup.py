@@ -238,3 +238,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     out = nodes.select("doc_id", "n_shingles", "s1", "s2").join(labels, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
     rest = feats.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(rest).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group, with their columns; of rows that share a doc_id one stays."""
+    found = stored(near_duplicates(docs, percent), "near-verdicts")
+    gone = found.filter("not kept").select("doc_id").distinct()
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if again.isEmpty():
+        return out
+    return out.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))

@@ -6,32 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import public_tokenizers
-
 import corpus_pipeline
+import public_tokenizers
 from faultline.llm.bpe import encode_decode
+from faultline.llm.decontamination import leaks
 from faultline.llm.licenses import license_scan
+from faultline.llm.line_dedup import line_dedup
 from faultline.llm.near_dedup import near_duplicates
 from faultline.llm.pii import pii_digest
 from faultline.llm.quality_model import quality_scores
 from faultline.llm.quality_rules import quality_verdicts
+from faultline.llm.token_counts import line_token_counts
 from faultline.llm.toxicity import toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_token_counts(table(spark, sf_dir, "documents"), RANKS)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,8 +69,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_license_scan": op2_license_scan,
+        "op3_decontamination": op3_decontamination,
         "op4_toxicity": op4_toxicity,
+        "op5_line_dedup": op5_line_dedup,
         "op6_quality_model": op6_quality_model,
         "op7_pii": op7_pii,
         "op8_quality_rules": op8_quality_rules,
