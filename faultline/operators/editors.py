@@ -1,0 +1,35 @@
+"""Editors and plugin installs: static registry, installs by key, what can be updated."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from faultline.functions import scalars as S
+from faultline.operators.graph import delete, upsert
+
+
+def registry(spark: SparkSession, editors: list[tuple[str, str, str, int]]) -> DataFrame:
+    """A table of (name, display_name, binary, tier); the list is configuration."""
+    return spark.createDataFrame(editors, "name string, display_name string, binary string, tier int")
+
+
+def by_tier(editors: DataFrame) -> DataFrame:
+    """Names joined in order: tiers 1 and 2 together, tier 3."""
+    return editors.groupBy((F.col("tier") <= 2).alias("full_support")).agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"), F.count(F.lit(1)).alias("n"))
+
+
+def record_install(installs: DataFrame, new: DataFrame) -> DataFrame:
+    """Installs by editor: updated in place, else added."""
+    return upsert(installs, new, ["editor"])
+
+
+def remove_install(installs: DataFrame, editor: str) -> DataFrame:
+    return delete(installs, "editor", editor)
+
+
+def install_state(detected: DataFrame, installs: DataFrame, available: str) -> DataFrame:
+    """Detected editors with the version installed and whether ``available`` is newer."""
+    state = detected.select("editor").join(installs.select("editor", "version"), "editor", "left")
+    outcome = F.when(F.col("version").isNull(), "new").when(S.semver_newer("version", F.lit(available)), "update").otherwise("current")
+    return state.withColumn("outcome", outcome)

@@ -1,11 +1,533 @@
-"""The engine's own query catalogue."""
+"""The engine's own query catalogue: each entry is a query over a folder of tables and, where SQL can say it, its oracle."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from faultline.functions import scalars as S
+from faultline.operators import controls as C
+from faultline.operators import discovery as D
+from faultline.operators import editors as E
+from faultline.operators import graph as G
+from faultline.operators import hazard as H
+from faultline.operators import ingest as I
+from faultline.operators import integrity as V
+from faultline.operators import knowledge as K
+from faultline.operators import risks as R
+from faultline.plans.relations import Relations, with_views
+from faultline.sources import sinks
+from faultline.streaming import incidents as streams
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(views: str = "", sql: str | None = None, recursive: bool = False):
+    """Registers a function of the relations under its own name, with the oracle's SQL after the named views."""
+
+    def register(f: Callable[[Relations], DataFrame]):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Relations(spark, sf_dir))
+        if sql is not None:
+            _ORACLES[f.__name__] = with_views(views, sql, recursive)
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+_PRIORITY = "case when score >= 80 then 'CRITICAL' when score >= 60 then 'HIGH' when score >= 40 then 'MEDIUM' else 'LOW' end"
+_TITLE_CASE = "array_to_string(list_transform(string_split({0}, '_'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')"
+_READY = f"""select cast(row_number() over (order by score desc, id) as int) as rank, risk_code, score, {_PRIORITY} as priority, substr({_TITLE_CASE.format('category')}, 1, 18) as category,
+  case when length(title) > 45 then substr(title, 1, 42) || '...' else title end as title from risk where status = 'detected'"""
+
+# --- Risks -------------------------------------------------------------------------------------------------------
+
+
+@query("risk", f"{_READY} order by rank limit 10")
+def risk_ready_topk(r):
+    return R.ready(r.risk)
+
+
+@query("risk", f"{_READY} and category = 'urgent' order by rank limit 25")
+def risk_ready_by_category(r):
+    return R.ready(r.risk, category="urgent", limit=25)
+
+
+@query("risk", "select cast(count(*) as bigint) as total_open, greatest(count(*) - 10, 0) as remaining from risk where status = 'detected'")
+def risk_ready_remaining(r):
+    return R.remaining(r.risk)
+
+
+@query("risk", "select risk_code, status, score, category, title from risk where status = 'detected' and category = 'high'")
+def risk_list_filtered(r):
+    return R.list_risks(r.risk, status="detected", category="high")
+
+
+@query("risk_control control", "select o_orderkey as risk_id, count(*) as n from orders join risk_control on risk_id = o_orderkey join control c on c.id = control_id where c.control_code = 'RC-7' group by 1")
+def risk_by_member_control(r):
+    """Existential filter over an array column."""
+    arrays = r.risk_control.join(r.control.select(F.col("id").alias("control_id"), "control_code"), "control_id").groupBy("risk_id").agg(F.array_sort(F.collect_set("control_code")).alias("control_codes"))
+    return R.filtered(arrays, member={"control_codes": "RC-7"}).select("risk_id", F.size(F.filter("control_codes", lambda c: c == "RC-7")).cast("long").alias("n"))
+
+
+@query("risk", "select risk_code, title, score, strftime(last_seen_at, '%Y-%m-%d') as stale_since from risk where status = 'accepted'")
+def risk_stale(r):
+    since = F.when(F.col("status") == "accepted", F.date_format("last_seen_at", "yyyy-MM-dd")).otherwise("")
+    return R.stale(r.risk.withColumn("stale_since", since))
+
+
+@query("risk risk_control control", "select risk_code, control_code, name, c.category, type from risk r join risk_control on risk_id = r.id join control c on c.id = control_id where score >= 60")
+def risk_show_controls(r):
+    return R.mapped_controls(r.risk.filter("score >= 60"), r.risk_control, r.control)
+
+
+@query("risk", "select risk_code, id from (select concat('R-', cast(c_custkey * 7 as varchar)) as risk_code from customer) left join risk using (risk_code)")
+def risk_lookup_by_code(r):
+    return R.lookup(r.risk, r.table("customer").select(F.concat(F.lit("R-"), (F.col("c_custkey") * 7).cast("string")).alias("risk_code")))
+
+
+@query("risk", f"select status, count(*) as total, {', '.join(f'''count(*) filter ({_PRIORITY} = '{p}') as {p.lower()}''' for p in ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW'))} from risk group by status")
+def risk_priority_summary(r):
+    return R.priority_summary(r.risk)
+
+
+@query("risk", f"""select count(*) as total, count(*) filter (id % 3 = 0) as created, count(*) filter (id % 3 = 1) as updated, count(*) filter (id % 3 = 2) as unchanged,
+  {', '.join(f'''count(*) filter ({_PRIORITY} = '{p}') as {p.lower()}''' for p in ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW'))} from risk""")
+def risk_scan_summary(r):
+    action = F.when(F.col("id") % 3 == 0, "created").when(F.col("id") % 3 == 1, "updated").otherwise("unchanged")
+    return R.scan_summary(r.risk.withColumn("action", action))
+
+
+@query("risk", "select risk_code, case when id % 10 = 0 then 'resolved' else status end as status, case when id % 10 = 0 then 'Resolved' end as status_reason from risk")
+def risk_resolve_apply(r):
+    return R.with_status(r.risk, r.risk.filter("id % 10 = 0").select("risk_code"), "resolved").select("risk_code", "status", "status_reason")
+
+
+@query("risk", "select risk_code, case when id % 9 = 0 then 'accepted' else status end as status, case when id % 9 = 0 then '' end as status_reason from risk")
+def risk_accept_apply(r):
+    return R.with_status(r.risk, r.risk.filter("id % 9 = 0").select("risk_code"), "accepted").select("risk_code", "status", "status_reason")
+
+
+@query("risk risk_control control evidence", """t as (select risk_id, control_id, string_agg(distinct type, '+' order by type) as types from evidence group by all)
+  select risk_code, string_agg(control_code || ':' || coalesce(types, ''), ',' order by control_code) as controls from risk r join risk_control b on b.risk_id = r.id join control c on c.id = b.control_id
+  left join t on t.risk_id = b.risk_id and t.control_id = b.control_id where score >= 70 group by risk_code""")
+def risk_context_controls(r):
+    """Nested context, flattened for comparison."""
+    df = R.context(r.risk.filter("score >= 70"), r.risk_control, r.control, r.evidence).filter(F.size("controls") > 0)
+    flat = F.array_join(F.transform("controls", lambda c: F.concat(c["control_code"], F.lit(":"), F.array_join(c["evidence_types"], "+"))), ",")
+    return df.select("risk_code", flat.alias("controls"))
+
+
+@query("", """select l_orderkey as risk_id, l_returnflag as source, cast(sum(case when l_returnflag = 'R' then -cast(l_quantity as bigint) else cast(l_quantity as bigint) end) as bigint) as points, count(*) as factors
+  from lineitem group by all""")
+def score_breakdown(r):
+    points = F.col("l_quantity").cast("long") * F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
+    return R.score_breakdown(r.table("lineitem").select(F.col("l_orderkey").alias("risk_id"), F.col("l_returnflag").alias("source"), points.alias("points")))
+
+
+# --- Controls and evidence ---------------------------------------------------------------------------------------
+
+
+@query("control", """select control_code, '[' || upper(type) || ']' as type, cast(weight as varchar) || '/10' as weight,
+  case when weight >= 9 then 'Critical' when weight >= 7 then 'Required' when weight >= 5 then 'Important' when weight >= 3 then 'Recommended' else 'Advisory' end as tier, category, name from control""")
+def control_list_tiers(r):
+    return C.list_controls(r.control)
+
+
+@query("control risk_control risk", "select control_code, count(*) as n_risks, count(*) filter (status = 'detected') as n_open, max(score) as max_score from control c join risk_control on control_id = c.id join risk r on r.id = risk_id group by 1")
+def control_show_risks(r):
+    return C.control_risks(r.control, r.risk_control, r.risk)
+
+
+@query("control", "select id, control_code from control where control_code = 'RC-11'")
+def control_by_code(r):
+    return C.by_code(r.control, "RC-11").select("id", "control_code")
+
+
+@query("control", "select code, case when starts_with(code, 'RC-') then 'control' when starts_with(code, 'R-') then 'risk' else 'unknown' end as kind from (select control_code as code from control union all select concat('R-', cast(s_suppkey as varchar)) from supplier union all select r_name from region)")
+def code_guard(r):
+    codes = r.control.select(F.col("control_code").alias("code")).unionByName(r.table("supplier").select(F.concat(F.lit("R-"), F.col("s_suppkey").cast("string")).alias("code"))).unionByName(r.table("region").select(F.col("r_name").alias("code")))
+    return codes.withColumn("kind", C.code_kind("code"))
+
+
+@query("evidence control", "select risk_id, control_code, e.type, status, '[' || upper(status) || ']' as badge from evidence e join control c on c.id = control_id where e.type = 'test' and status = 'verified'")
+def evidence_list_filtered(r):
+    return C.list_evidence(r.evidence, r.control, type="test", status="verified").select("risk_id", "control_code", "type", "status", "badge")
+
+
+@query("evidence control", "select control_code, gap from control c, (values ('code'), ('document'), ('test')) as x(gap) where not exists (select 1 from evidence e where e.control_id = c.id and e.type = gap)")
+def evidence_gaps(r):
+    return C.evidence_gaps(r.control, r.evidence)
+
+
+@query("evidence", "select risk_id as id, case when risk_id % 5 = 0 then 'verified' else status end as status, case when risk_id % 5 = 0 then '2024-01-01T00:00:00Z' end as verified_at from evidence")
+def evidence_verify(r):
+    rows = r.evidence.withColumnRenamed("risk_id", "id")
+    return C.verify_evidence(rows, rows.filter("id % 5 = 0"), "2024-01-01T00:00:00Z").select("id", "status", "verified_at")
+
+
+@query("incident", """select service_id, count(*) as total_incidents, count(*) filter (ts >= m - interval 30 day) as last_30_days, count(*) filter (ts >= m - interval 90 day) as last_90_days,
+  count(*) filter (severity = 'critical') as critical_count, count(*) filter (severity = 'high') as high_count, arg_max(id, (ts, id)) as most_recent_id, round(avg(value), 6) as average_value
+  from incident, (select max(ts) as m from incident) group by service_id""")
+def incident_history(r):
+    return C.incident_history(r.incident).withColumn("average_value", F.round("average_value", 6))
+
+
+# --- Knowledge ---------------------------------------------------------------------------------------------------
+
+
+@query("fact", "select id, vertical, technology, confidence from fact where vertical = 'fr' and technology = 'src3' and validation_status = 'analyst_validated'")
+def facts_filtered(r):
+    return K.facts(r.fact, vertical="fr", technology="src3", status="analyst_validated").select("id", "vertical", "technology", "confidence")
+
+
+@query("procedure_stats procedure_control", """q as (select unnest(['RC-5', 'RC-none']) as code), hit as (select code, procedure_id as id from q join procedure_control on control_code = code)
+  select code, p.id, applied_count, success_count, exists (select 1 from hit h where h.code = q.code) as matched from q, procedure_stats p
+  where exists (select 1 from hit h where h.code = q.code and h.id = p.id) or not exists (select 1 from hit h where h.code = q.code)""")
+def procedures_by_control_fallback(r):
+    one, other = (K.procedures_for_control(r.procedure, code).select(F.lit(code).alias("code"), "id", "applied_count", "success_count", "matched") for code in ("RC-5", "RC-none"))
+    return one.unionByName(other)
+
+
+@query("pattern", "select id, vertical, occurrence_count from pattern where occurrence_count >= 150")
+def patterns_min_occurrences(r):
+    return K.patterns(r.pattern, min_occurrences=150)
+
+
+@query("fact procedure_stats pattern", """select count(*) as total_facts, 100.0::double * count(*) filter (validation_status = 'analyst_validated') / count(*) as validated_percentage, round(avg(confidence), 9) as avg_confidence,
+  count(*) filter (validation_status = 'contradicted') as contradiction_count, (select count(*) from procedure_stats) as total_procedures, (select count(*) from pattern) as total_patterns,
+  count(*) + (select count(*) from procedure_stats) + (select count(*) from pattern) as total from fact""")
+def knowledge_health(r):
+    return K.health(r.fact.drop("content"), r.procedure, r.pattern).withColumn("avg_confidence", F.round("avg_confidence", 9))
+
+
+@query("", """q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 100 = 0),
+  s as (select query_id, vec_id, list_cosine_similarity(embedding::double[], e::double[]) as score from embeddings, q)
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, round(score, 4) as score from s qualify rank <= 20""")
+def search_cosine_topk(r):
+    return _cosine(r).withColumn("score", F.round("score", 4))
+
+
+def _cosine(r):
+    v = r.table("embeddings").select("vec_id", "embedding")
+    return K.semantic_search(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")))
+
+
+@query("", """q as (select embedding as e from embeddings where vec_id = 0), s as (select vec_id, list_cosine_similarity(embedding::double[], e::double[]) as score from embeddings, q order by score desc, vec_id limit 20),
+  g as (select vec_id, 0.5::double as graph_score from embeddings where label = (select label from embeddings where vec_id = 0)), m as (select coalesce(s.vec_id, g.vec_id) as id, score, graph_score from s full join g on s.vec_id = g.vec_id)
+  select id, round(score, 4) as score, graph_score, case when score is not null and graph_score is not null then 'both' when score is not null then 'semantic' else 'graph' end as discovery_method,
+  case when score is not null and graph_score is not null then '[BOTH]' when score is not null then '[SEMANTIC]' else '[GRAPH]' end as badge from m""")
+def graph_search_merge(r):
+    v = r.table("embeddings")
+    hits = _cosine(r).filter("query_id = 0").select(F.col("vec_id").alias("id"), "score")
+    label = v.filter("vec_id = 0").select("label")
+    near = v.join(F.broadcast(label), "label", "left_semi").select(F.col("vec_id").alias("id"), F.lit(0.5).alias("graph_score"))
+    return K.graph_search(hits, near).withColumn("score", F.round("score", 4))
+
+
+@query("pattern procedure_stats fact", """x as (select 'patterns' as section, id, vertical as label, cast(occurrence_count as double) as score from pattern
+  union all select 'procedures', id, id, cast(success_count as double) / applied_count from procedure_stats
+  union all select 'facts', cast(id as varchar), technology, confidence from fact where technology = 'src3'),
+  y as (select section, id, label, score, case section when 'facts' then lpad(id, 12, '0') else id end as k from x)
+  select section, cast(row_number() over (partition by section order by score desc, k) as int) as rank, id, label, score from y qualify rank <= 10""")
+def enrich_sections(r):
+    pat = r.pattern.select("id", F.col("vertical").alias("label"), F.col("occurrence_count").cast("double").alias("score"))
+    pro = r.procedure.select("id", F.col("id").alias("label"), (F.col("success_count").cast("double") / F.col("applied_count")).alias("score"))
+    fact = K.facts(r.fact, technology="src3").select("id", F.col("technology").alias("label"), F.col("confidence").alias("score"))
+    return K.enrich(pat, pro, fact)
+
+
+# --- Graph -------------------------------------------------------------------------------------------------------
+
+
+@query("edge", "select source_id, target_id, relation_type, strength from edge where source_id = 'supplier:3' or target_id = 'supplier:3'")
+def relationships_of_entity(r):
+    return G.relationships(r.edge, "supplier:3").select("source_id", "target_id", "relation_type", "strength")
+
+
+@query("edge", """walk as (select target_id as entity_id, target_type as entity_type, 1 as depth, strength from edge where source_id = 'region:1' and strength >= 0.3::double
+  union all select e.target_id, e.target_type, depth + 1, e.strength from walk join edge e on e.source_id = walk.entity_id where depth < 3 and e.strength >= 0.3::double)
+  select entity_id, entity_type, min(depth) as depth, arg_min(strength, (depth, -strength)) as strength from walk group by entity_id, entity_type""", recursive=True)
+def graph_traverse_depth3(r):
+    return G.traverse(r.edge, "region:1")
+
+
+@query("edge", """walk as (select ['region:1', target_id] as path, target_id as node, 1 as depth, strength as total from edge where source_id = 'region:1' and strength >= 0.3::double
+  union all select list_append(path, e.target_id), e.target_id, depth + 1, total * e.strength from walk join edge e on e.source_id = node where depth < 3 and e.strength >= 0.3::double and not list_contains(path, e.target_id))
+  select array_to_string(path, '>') as path, depth, round(total, 6) as total_strength from walk""", recursive=True)
+def foresight_paths(r):
+    return G.foresight(r.edge, "region:1").select(F.array_join("path", ">").alias("path"), "depth", F.round("total_strength", 6).alias("total_strength"))
+
+
+@query("edge", """s as (select distinct target_id as supplier from edge where source_id = 'nation:3'), m as (select concat('supplier:', cast(s_suppkey as varchar)) as node, s_name as label from supplier where s_acctbal > 0)
+  select concat('nation:3>', supplier) as path, coalesce(label, '') as mitigations from s left join m on node = supplier""")
+def foresight_mitigations(r):
+    paths = G.foresight(r.edge, "nation:3", depth=1)
+    mitigations = r.table("supplier").filter("s_acctbal > 0").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("for_node_id"), F.col("s_name").alias("label"))
+    own = F.coalesce(F.array_join(F.transform("mitigations", lambda m: m["label"]), ","), F.lit(""))
+    return G.with_mitigations(paths, mitigations).select(F.array_join("path", ">").alias("path"), own.alias("mitigations"))
+
+
+# --- Ingest ------------------------------------------------------------------------------------------------------
+
+
+@query("page_path component", "select page_id, p.path, arg_max(name, length(c.path)) as component from page_path p left join component c on starts_with(p.path, c.path) group by page_id, p.path")
+def component_mapping(r):
+    return I.longest_prefix(r.page_path, r.component)
+
+
+@query("page_path component", """m as (select page_id, arg_max(name, length(c.path)) as name from page_path p join component c on starts_with(p.path, c.path) group by page_id)
+  select page_id as finding_id, case when page_id % 7 = 0 then 'given' when page_id % 5 = 0 then 'web/named' when name is not null then 'web/' || name else '' end as services from page_path left join m using (page_id)""")
+def finding_services(r):
+    rows = r.page_path.select(
+        F.col("page_id").alias("finding_id"),
+        F.when(F.col("page_id") % 7 == 0, F.array(F.lit("given"))).otherwise(F.array().cast("array<string>")).alias("linked_services"),
+        F.when(F.col("page_id") % 5 == 0, "named").alias("component"),
+        F.array("path").alias("evidence_paths"),
+    )
+    return I.linked_services(rows, r.component, "web").select("finding_id", F.array_join("linked_services", ",").alias("services"))
+
+
+@query("", "select event_id, cast(pos as int) as pos, k as finding from (select event_id, unnest([0, 1]) as pos, json_extract_string(props, '$.k') as k from events where event_id % 2 = 0 union all select event_id, 0, json_extract_string(props, '$.k') from events where event_id % 2 = 1)")
+def findings_of_either_root(r):
+    """Bare arrays of two findings, and objects that list one."""
+    two = F.concat(F.lit("["), F.col("props"), F.lit(","), F.col("props"), F.lit("]"))
+    one = F.concat(F.lit('{"findings":['), F.col("props"), F.lit("]}"))
+    docs = r.table("events").select("event_id", F.when(F.col("event_id") % 2 == 0, two).otherwise(one).alias("value"))
+    return I.findings(docs).select("event_id", "pos", F.try_variant_get("finding", "$.k", "string").alias("finding"))
+
+
+@query("risk", f"select service_id, count(*) filter ({_PRIORITY} = 'CRITICAL') as critical, count(*) filter ({_PRIORITY} = 'HIGH') as high, cast(case when count(*) filter ({_PRIORITY} in ('CRITICAL', 'HIGH')) > 0 then 1 else 0 end as int) as status from risk where status = 'detected' group by service_id")
+def ci_gate(r):
+    counts = R.open_risks(r.risk).groupBy("service_id").agg(F.count_if(S.priority("score") == "CRITICAL").alias("critical"), F.count_if(S.priority("score") == "HIGH").alias("high"))
+    return counts.withColumn("status", I.ci_status(F.col("critical"), F.col("high")))
+
+
+@query("", """d as (select o_orderkey as id, case o_orderkey % 3 when 0 then 'pass' when 1 then 'hold' else 'warn' end as decision, o_orderkey % 2 = 0 as enforce, o_orderkey % 11 <> 0 as reachable, o_orderkey % 13 <> 0 as parsed, o_orderkey % 5 = 0 as closed from orders)
+  select id, case when decision = 'pass' then 'PASS' else 'HOLD' end as label, cast(case when not reachable then case when closed then 1 else 0 end when not parsed then 1 when enforce and decision = 'hold' then 1 else 0 end as int) as status from d""")
+def review_gate(r):
+    k = F.col("o_orderkey")
+    decision = F.when(k % 3 == 0, "pass").when(k % 3 == 1, "hold").otherwise("warn")
+    return r.table("orders").select(k.alias("id"), I.review_label(decision).alias("label"), I.review_status(decision, k % 2 == 0, k % 11 != 0, k % 13 != 0, k % 5 == 0).alias("status"))
+
+
+@query("", """select p_partkey as id, case when ci then 'ci' when auto then 'auto' when review then case when stdin then 'auto' else 'review' end when not tty then 'auto' when stdin then 'auto' else 'review' end as mode,
+  case when p_partkey % 4 = 0 then 'origin/' || p_brand when p_partkey % 4 = 1 then 'origin/' || p_type when p_partkey % 4 = 2 then p_name else 'origin/main' end as base
+  from (select *, p_partkey % 7 = 0 as ci, p_partkey % 5 = 0 as auto, p_partkey % 3 = 0 as review, p_partkey % 2 = 0 as tty, p_partkey % 11 = 0 as stdin from part)""")
+def scan_mode_and_base(r):
+    k = F.col("p_partkey")
+    named = lambda n, c: F.when(k % 4 == n, F.col(c)).otherwise("")
+    return r.table("part").select(k.alias("id"), I.scan_mode(k % 7 == 0, k % 5 == 0, k % 3 == 0, k % 2 == 0, k % 11 == 0).alias("mode"), I.base_ref(named(0, "p_brand"), named(1, "p_type"), named(2, "p_name")).alias("base"))
+
+
+# --- Hazard analysis ---------------------------------------------------------------------------------------------
+
+
+@query("", "select c_custkey as id, c_name as title from customer where lower(c_name) not in (select lower(c_name) from customer where c_custkey % 3 = 0)")
+def loss_dedup(r):
+    new = r.table("customer").select(F.col("c_custkey").alias("id"), F.upper("c_name").alias("title"), "c_name")
+    old = r.table("customer").filter("c_custkey % 3 = 0").select(F.col("c_name").alias("title"))
+    return H.new_losses(new, old).select("id", F.col("c_name").alias("title"))
+
+
+_SCENARIOS = """s as (select o_orderkey as scenario_id, o_orderkey as pos, o_custkey % 50 as document_id, concat('t', cast(o_orderkey % 40 as varchar)) as title, case o_orderkey % 4 when 0 then 'top' when 1 then 'intermediate' when 2 then 'immediate' else 'odd' end as level,
+  concat('t', cast((o_orderkey + 1) % 45 as varchar)) as parent_title from orders where o_orderkey <= 600), l as (select *, case level when 'intermediate' then 1 when 'immediate' then 2 else 0 end as rank from s)"""
+
+
+def _scenarios(r):
+    k = F.col("o_orderkey")
+    level = F.when(k % 4 == 0, "top").when(k % 4 == 1, "intermediate").when(k % 4 == 2, "immediate").otherwise("odd")
+    return r.table("orders").filter(k <= 600).select(k.alias("scenario_id"), k.alias("pos"), (F.col("o_custkey") % 50).alias("document_id"), F.concat(F.lit("t"), (k % 40).cast("string")).alias("title"), level.alias("level"), F.concat(F.lit("t"), ((k + 1) % 45).cast("string")).alias("parent_title"))
+
+
+@query("", f"{_SCENARIOS} select scenario_id, (select arg_max(p.scenario_id, (p.rank, p.pos)) from l p where p.title = l.parent_title and (p.rank, p.pos) < (l.rank, l.pos)) as parent_id from l")
+def scenario_parent_resolve(r):
+    return H.resolve_parents(_scenarios(r))
+
+
+@query("", f"{_SCENARIOS} select document_id, scenario_id, cast(row_number() over (partition by document_id order by rank, pos) as int) as rank from l")
+def scenario_level_order(r):
+    return H.ranked_scenarios(_scenarios(r)).select("document_id", "scenario_id", "rank")
+
+
+@query("", "refs as (select c_custkey as scenario_id, unnest([cast(c_custkey % 30 as int), cast(c_custkey % 1000 as int)]) as ref from customer) select scenario_id, ref, s_suppkey as uca_id from refs left join supplier on s_suppkey = ref")
+def uca_refs_resolve(r):
+    k = F.col("c_custkey")
+    scenarios = r.table("customer").select(k.alias("scenario_id"), F.array((k % 30).cast("int"), (k % 1000).cast("int")).alias("uca_refs"))
+    return H.resolve_uca_refs(scenarios, r.table("supplier").select(F.col("s_suppkey").cast("int").alias("pos"), F.col("s_suppkey").alias("uca_id")))
+
+
+@query("", "select lower(event_type) as canonical_form, count(*) as detection_count, min(event_type) as content, max(value) as confidence from events group by 1")
+def uca_detection_counts(r):
+    return H.detection_counts(r.table("events").select(F.col("event_type").alias("content"), F.lit("").alias("canonical_form"), F.col("value").alias("confidence")))
+
+
+# --- Integrity ---------------------------------------------------------------------------------------------------
+
+_FILES = "f as (select concat('doc/', cast(doc_id as varchar)) as path, 'sha256:' || sha256(text) as hash, doc_id from documents)"
+
+
+def _files(r):
+    return r.table("documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"), "doc_id", "lang")
+
+
+@query("", f"""{_FILES}, m as (select path, case when doc_id % 6 = 0 then 'sha256:00' else hash end as expected from f where doc_id % 5 <> 0), a as (select path, hash as actual from f where doc_id % 7 <> 0)
+  select coalesce(m.path, a.path) as path, case when actual is null then 'missing' when expected is null then 'untracked' when expected <> actual then 'mismatch' else 'ok' end as outcome from m full join a on m.path = a.path""")
+def manifest_reconcile(r):
+    files = _files(r)
+    hashes = V.hashed(files.select("path", "content"))
+    number = F.substring_index("path", "/", -1).cast("long")
+    manifest = hashes.filter(number % 5 != 0).withColumn("hash", F.when(number % 6 == 0, "sha256:00").otherwise(F.col("hash")))
+    return V.reconcile(manifest, hashes.filter(number % 7 != 0))
+
+
+@query("", f"{_FILES} select doc_id // 100 as archive, sha256(string_agg(path || ':' || hash || chr(10), '' order by path)) as canonical_sha256 from f group by 1")
+def canonical_manifest_string(r):
+    files = _files(r).select(F.expr("doc_id div 100").alias("archive"), "path", S.content_hash("content").alias("hash"))
+    return V.canonical_input(files, "archive").select("archive", F.sha2("canonical", 256).alias("canonical_sha256"))
+
+
+# --- Scalars -----------------------------------------------------------------------------------------------------
+
+
+@query("narrative", "select doc_id, uca as uca_type, 'loss of ' || source as loss_scenario, 'language ' || lang || '|length ' || cast(n_chars as varchar) as causal_factors, 'Document ' || cast(doc_id as varchar) as clean_narrative from narrative")
+def narrative_parse(r):
+    df = r.narrative.select("doc_id", S.parse_narrative("narrative").alias("p"))
+    return df.select("doc_id", "p.uca_type", "p.loss_scenario", F.array_join("p.causal_factors", "|").alias("causal_factors"), "p.clean_narrative")
+
+
+@query("", "select o_orderkey as id, case when o_orderkey % 3 = 0 then o_orderpriority end as note from orders")
+def emergency_tag(r):
+    message = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("fix [emergency:  "), F.col("o_orderpriority"), F.lit(" ] [emergency: no]"))).otherwise("fix [Emergency: no]")
+    return r.table("orders").select(F.col("o_orderkey").alias("id"), S.emergency_note(message).alias("note"))
+
+
+_VERSION = "concat(cast({0} % 3 as varchar), '.', cast({0} % 11 as varchar), '.', cast({0} % 7 as varchar), '+b', cast({0} as varchar))"
+
+
+@query("", f"""v as (select p_partkey as id, case when p_partkey % 17 = 0 then 'dev-a+1' else {_VERSION.format('p_partkey')} end as a, {_VERSION.format('(p_partkey * 7 + p_size)')} as b,
+  [p_partkey % 3, p_partkey % 11, p_partkey % 7] as x, [(p_partkey * 7 + p_size) % 3, (p_partkey * 7 + p_size) % 11, (p_partkey * 7 + p_size) % 7] as y from part)
+  select id, split_part(a, '+', 1) as base, case when id % 17 = 0 then true else y > x end as newer from v""")
+def semver_newer(r):
+    def version(n):
+        return F.concat_ws(".", *[(n % m).cast("string") for m in (3, 11, 7)])
+
+    k, other = F.col("p_partkey"), F.col("p_partkey") * 7 + F.col("p_size")
+    a = F.when(k % 17 == 0, "dev-a+1").otherwise(F.concat(version(k), F.lit("+b"), k.cast("string")))
+    b = F.concat(version(other), F.lit("+b"), other.cast("string"))
+    return r.table("part").select(k.alias("id"), S.semver_base(a).alias("base"), S.semver_newer(a, b).alias("newer"))
+
+
+@query("", """select event_id as id, case when s < 60 then cast(s as varchar) || 's' when s < 3600 then cast(s // 60 as varchar) || 'm' else cast(s // 3600 as varchar) || 'h' end as delay
+  from (select event_id, (event_id * 37) % 90000 as s from events)""")
+def delay_format(r):
+    return r.table("events").select(F.col("event_id").alias("id"), S.delay((F.col("event_id") * 37) % 90000).alias("delay"))
+
+
+@query("", "select doc_id as id, case when length(text) <= 60 then replace(text, chr(10), ' ') else substr(replace(text, chr(10), ' '), 1, 57) || '...' end as short from documents")
+def truncate_text(r):
+    return r.table("documents").select(F.col("doc_id").alias("id"), S.truncate("text", 60).alias("short"))
+
+
+@query("", f"select p_partkey as id, {_TITLE_CASE.format('x')} as title, {_TITLE_CASE.format('y')} as uca from (select p_partkey, replace(p_type, ' ', '__') || '_aB' as x, lower(replace(p_type, ' ', '_')) as y from part)")
+def title_case(r):
+    x, y = F.concat(F.replace("p_type", F.lit(" "), F.lit("__")), F.lit("_aB")), F.lower(F.replace("p_type", F.lit(" "), F.lit("_")))
+    return r.table("part").select(F.col("p_partkey").alias("id"), S.title_case(x).alias("title"), S.uca_title_case(y).alias("uca"))
+
+
+@query("", "select o_orderkey as id, coalesce(try_cast(case when regexp_full_match(v, '[0-9]+') then v end as int), 0) as digits, coalesce(try_cast(nullif(regexp_extract(v, '^\\s*([+-]?\\d+)', 1), '') as int), 20) as prefix from (select o_orderkey, case o_orderkey % 4 when 0 then cast(o_orderkey as varchar) when 1 then cast(o_orderkey as varchar) || 'x' when 2 then 'x1' else ' -12z' end as v from orders)")
+def parse_int(r):
+    k = F.col("o_orderkey")
+    v = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.concat(k.cast("string"), F.lit("x"))).when(k % 4 == 2, "x1").otherwise(" -12z")
+    return r.table("orders").select(k.alias("id"), S.digits_int(v).alias("digits"), S.prefix_int(v, 20).alias("prefix"))
+
+
+@query("", """select c_custkey as id, case c_custkey % 4 when 0 then '[VALIDATED]' when 1 then '[AUTO]' else '[CONTRADICTED]' end as validation, case c_custkey % 3 when 0 then '[NOT CONFIGURED]' else '[VERIFIED]' end as evidence,
+  case when c_custkey % 2 = 0 then '<->' else '->' end as arrow, case c_custkey % 5 when 0 then 0.0::double when 1 then 0.25::double when 2 then 0.6::double when 3 then 1.0::double else 0.0::double end as criticality from customer""")
+def badge_ladders(r):
+    k = F.col("c_custkey")
+    status = F.when(k % 4 == 0, "analyst_validated").when(k % 4 == 1, "auto_extracted").otherwise("contradicted")
+    label = F.when(k % 5 == 0, "hobby").when(k % 5 == 1, "internal").when(k % 5 == 2, "customer-facing").when(k % 5 == 3, "critical").otherwise("other")
+    return r.table("customer").select(k.alias("id"), S.validation_badge(status).alias("validation"), S.evidence_badge(F.when(k % 3 == 0, "not_configured").otherwise("verified")).alias("evidence"), S.direction_arrow(F.when(k % 2 == 0, "bidirectional").otherwise("out")).alias("arrow"), S.criticality(label).alias("criticality"))
+
+
+@query("", "select c_custkey as id, 'repo' || cast(c_custkey as varchar) as name, case when c_custkey % 2 = 0 then 'b' || cast(c_custkey as varchar) else 'main' end as branch from customer")
+def repository_and_ref(r):
+    k = F.col("c_custkey")
+    s = k.cast("string")
+    remote = F.when(k % 2 == 0, F.concat(F.lit("git@host:team/repo"), s, F.lit(".git"))).when(k % 3 == 0, F.concat(F.lit("host:repo"), s)).otherwise("")
+    ref = F.when(k % 2 == 0, F.concat(F.lit("refs/heads/b"), s)).otherwise("main")
+    return r.table("customer").select(k.alias("id"), S.repository_name(remote, F.concat(F.lit("/home/repo"), s)).alias("name"), S.last_ref_segment(ref).alias("branch"))
+
+
+@query()
+def wrap_text(r):
+    return r.table("documents").select(F.col("doc_id").alias("id"), S.wrap("text", 80, "  ").alias("wrapped"))
+
+
+# --- Tables kept by key, sinks, discovery --------------------------------------------------------------------------
+
+
+@query("", "select concat('e', cast(s_suppkey as varchar)) as editor, case when s_suppkey % 3 = 0 then '2.0.0' else '1.0.0' end as version from supplier where s_suppkey <> 5 union all select concat('new', cast(n_nationkey as varchar)), '2.0.0' from nation")
+def plugin_upsert_delete(r):
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("e"), k.cast("string"))
+    installs = r.table("supplier").select(name.alias("editor"), F.lit("1.0.0").alias("version"))
+    new = r.table("supplier").filter(k % 3 == 0).select(name.alias("editor"), F.lit("2.0.0").alias("version"))
+    new = new.unionByName(r.table("nation").select(F.concat(F.lit("new"), F.col("n_nationkey").cast("string")).alias("editor"), F.lit("2.0.0").alias("version")))
+    return E.remove_install(E.record_install(installs, new), "e5")
+
+
+@query("", """select concat('e', cast(s_suppkey as varchar)) as editor, case when s_suppkey % 2 = 0 then cast(null as varchar) when s_suppkey % 3 = 0 then '1.5.0' else '1.4.9+x' end as version,
+  case when s_suppkey % 2 = 0 then 'new' when s_suppkey % 3 = 0 then 'current' else 'update' end as outcome from supplier""")
+def install_states(r):
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("e"), k.cast("string"))
+    installs = r.table("supplier").filter(k % 2 != 0).select(name.alias("editor"), F.when(k % 3 == 0, "1.5.0").otherwise("1.4.9+x").alias("version"))
+    return E.install_state(r.table("supplier").select(name.alias("editor")), installs, "1.5.0")
+
+
+@query("risk", "select rpad(risk_code, 12, ' ') || ' ' || rpad(status, 10, ' ') || ' ' || rpad(cast(score as varchar), 5, ' ') || ' ' || category as line from risk")
+def risk_table_lines(r):
+    return sinks.fixed_width(r.risk, {"risk_code": 12, "status": 10, "score": 5, "category": 0})
+
+
+@query("risk", """select '{"risk_code":"' || risk_code || '"' || case when score = 0 then '' else ',"score":' || cast(score as varchar) end || '}' as json from risk""")
+def risk_json_lines(r):
+    return sinks.json_lines(r.risk.select("risk_code", "score"), omit_zero=["score"])
+
+
+@query("", """select concat('r', cast(c_nationkey as varchar)) as repo, concat('c', cast(c_custkey % 20 as varchar)) as name, concat(case min(c_custkey % 2) when 0 then 'services/' else 'apps/' end, concat('c', cast(c_custkey % 20 as varchar)), '/') as path, 20 as phase
+  from customer group by c_nationkey, c_custkey % 20 union all select concat('r', cast(c_nationkey as varchar)), 'main', 'cmd/main/', 30 from customer group by c_nationkey""")
+def component_discovery(r):
+    k = F.col("c_custkey")
+    base = r.table("customer").select(F.concat(F.lit("r"), F.col("c_nationkey").cast("string")).alias("repo"), k)
+    built = base.select("repo", F.concat(F.when(k % 2 == 0, "services/c").otherwise("apps/c"), (k % 20).cast("string"), F.lit("/go.mod")).alias("path"))
+    files = built.unionByName(base.select("repo", F.lit("cmd/main/main.go").alias("path"))).unionByName(base.select("repo", F.lit("vendor/Dockerfile").alias("path"))).distinct().withColumn("content", F.lit(None).cast("string"))
+    return D.components(files)
+
+
+# --- Extensions ----------------------------------------------------------------------------------------------------
+
+
+@query("incident", "select date_trunc('day', ts) as window_start, severity, count(*) as n, max(value) as max_value from incident group by all")
+def incident_windows(r):
+    """Extension: the streaming operator's windows, over the table."""
+    return streams.windowed_history(streams.incidents(r.table("events"))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("risk", "select status, category, count(*) as n, cast(sum(score) as bigint) as score from risk group by grouping sets ((status, category), (status), ())")
+def risk_cube(r):
+    """Extension: roll-up over status and category."""
+    return r.risk.rollup("status", "category").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
