@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from faultline.llm._store import bounded_batches
+
 #: The pattern that splits text before the merges (a fixed value of the vocabulary's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_CHARS = 8_000_000
@@ -215,6 +217,7 @@ def encode_decode(docs: DataFrame, path: str, partitions: int | None = None, tex
     ``path`` is the vocabulary file, at the same place on every executor. ``partitions`` of distinct words: by
     default the session's shuffle partitions.
     """
+    bounded_batches(docs.sparkSession)
     parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = source.mapInArrow(_split(path, parts), BLOCKS)

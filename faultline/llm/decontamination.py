@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm._store import bounded_batches
 from faultline.llm._text import ALNUM_WORDS, Words, words_of
 
 SEED = 5
@@ -153,6 +154,7 @@ LEAKS = "doc_id long, item_id long, coverage double, n_tiles int, longest_tile i
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """One row a document and item that leaked into it."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for items in _blocks(benchmark):
@@ -181,6 +183,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` into which no item leaked, with their columns."""
+    bounded_batches(docs.sparkSession)
     schema, at = docs.schema, docs.columns.index("text")
     for items in _blocks(benchmark):
 

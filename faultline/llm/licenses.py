@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from faultline.llm._store import bounded_batches
 from faultline.llm._text import ALNUM_WORDS, gram_hash, words_of
 
 GRAM = 3
@@ -113,6 +114,7 @@ def _grams(sizes: list[int], bitmap: np.ndarray):
 def spans(docs: DataFrame, templates: list[Template] = TEMPLATES) -> DataFrame:
     """Spans (row, doc_id, n_words, label, base, first, last, score) of each row of ``docs``; rows without a span have one with a null label."""
     spark: SparkSession = docs.sparkSession
+    bounded_batches(spark)
     grams = gram_rows(templates)
     bitmap = np.zeros(_BITS, bool)
     bitmap[[g[0] & (_BITS - 1) for g in grams]] = True

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm._store import stored
+from faultline.llm._store import bounded_batches, stored
 from faultline.llm._text import SPACE_WORDS, mix, words_of
 from faultline.llm.components import connected_components
 
@@ -204,6 +204,7 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (doc_id = component_id), one row a row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     feats = stored(docs.mapInArrow(_features, FEATURES), "near-features")
     nodes = feats.filter("n_shingles > 0 and doc_id is not null")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm._store import bounded_batches
+
 # Kinds in their order, patterns, and words that speak for or against a kind.
 KINDS = ["email", "ip", "card", "phone", "iban", "national_id"]
 BASE = KINDS[:4]
@@ -130,6 +132,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
             found = [[s._asdict() for s in find_spans(t.as_py() or "")] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], ["doc_id", "text", "spans"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, docs.select("doc_id").schema.add("text", "string").add("spans", SPANS.split(" ", 1)[1]))
 
 
@@ -159,4 +162,5 @@ def pii_digest(docs: DataFrame) -> DataFrame:
             columns = [*zip(*rows)] or [[]] * 8
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *(c.split()[0] for c in DIGEST.split(", "))])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + DIGEST)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm._labels import held_out, labelled, sampled, training_sample
+from faultline.llm._store import bounded_batches
 from faultline.llm._text import Words, mix, words_of
 
 BUCKETS, DIM, NONZERO, REACH = 8192, 32, 4, 2
@@ -172,6 +173,7 @@ def train_network(x: np.ndarray, y: np.ndarray, prior: float, seed: int = 5) ->
 
 def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted, one row a row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = training_sample(labels, "quality", per_class)
     words, net = None, None

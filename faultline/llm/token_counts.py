@@ -31,6 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm._store import bounded_batches
 from faultline.llm._text import utf8
 
 RULES = ("start", "largest", "proportional")
@@ -113,6 +114,8 @@ def line_token_counts(docs: DataFrame, path: str, rule: str = "largest") -> Data
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8(batch.column(1))
@@ -135,6 +138,8 @@ def field_token_counts(docs: DataFrame, fields: list[str], path: str, separator:
         raise ValueError(f"rule must be one of {RULES}")
     gap = separator.encode()
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             records = []

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm._labels import held_out, labelled, sampled, training_sample
+from faultline.llm._store import bounded_batches
 
 SAMPLE = 6000
 CUTOFF = 0.3
@@ -285,6 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted and the summed weights by kind of clause match, one row a row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     terms, weights = train(docs, labels, per_class)
 
