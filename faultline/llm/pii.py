@@ -133,7 +133,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], ["doc_id", "text", "spans"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, docs.select("doc_id").schema.add("text", "string").add("spans", SPANS.split(" ", 1)[1]))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, {SPANS}")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
