@@ -32,7 +32,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows and bytes of text that a Python worker gets at once.
-BATCH_ROWS, BATCH_BYTES = 2000, "8m"
+BATCH_ROWS, BATCH_BYTES = 1000, "4m"
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -110,13 +110,13 @@ def cutoffs(values: DataFrame, risk: float = RISK, delta: float = DELTA, grids:
     total = counts.groupBy("stratum").agg((F.sum("good") / rules).cast("long").alias("n"))
     strata = total.agg(F.count(F.lit(1)).alias("strata"))
     steps = counts.select("stratum").distinct().select("stratum", F.explode(F.create_map(*[x for k, v in grids.items() for x in (F.lit(k), F.lit(len(v)))])).alias("rule", "last")).select("stratum", "rule", F.explode(F.sequence(F.lit(1), "last")).alias("step"))
-    # Step s drops the rows that exceed s cutoffs or more.
+    # Step s drops the rows that exceed s cutoffs of the grid or more: the last step is the mildest, its first cutoff.
     rows = steps.join(counts.withColumnRenamed("passed", "step"), ["stratum", "rule", "step"], "left").na.fill(0, ["good", "bad"])
     rows = rows.withColumn("k", F.sum("good").over(strict)).withColumn("b", F.sum("bad").over(strict)).join(total, "stratum").join(F.broadcast(strata))
     rows = rows.withColumn("level", F.lit(delta) / (rules * F.col("strata"))).withColumn("ok", _certified("n", "k", risk / rules, "level"))
-    rows = rows.withColumn("ok", F.min("ok").over(own.orderBy("step"))).filter("ok and b > k")
-    best = rows.groupBy("stratum", "rule").agg(F.max_by("step", F.struct(F.col("b") - F.col("k"), -F.col("step"))).alias("step"))
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", F.get(F.element_at(grid, F.col("rule")), F.col("step") - 1)))).alias("cutoffs"))
+    rows = rows.withColumn("ok", F.min("ok").over(strict)).filter("ok and b > k")
+    best = rows.groupBy("stratum", "rule").agg(F.max_by("step", F.struct(F.col("b") - F.col("k"), F.col("step"))).alias("step"))
+    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", F.get(F.element_at(grid, F.col("rule")), F.size(F.element_at(grid, F.col("rule"))) - F.col("step"))))).alias("cutoffs"))
 
 
 def judged(counts: DataFrame, labels: DataFrame, calibrate: Callable[[Column], Column] | None = None) -> DataFrame:
