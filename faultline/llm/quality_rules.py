@@ -119,16 +119,14 @@ def cutoffs(values: DataFrame, risk: float = RISK, delta: float = DELTA, grids:
     return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", F.get(F.element_at(grid, F.col("rule")), F.size(F.element_at(grid, F.col("rule"))) - F.col("step"))))).alias("cutoffs"))
 
 
-def judged(counts: DataFrame, labels: DataFrame, calibrate: Callable[[Column], Column] | None = None) -> DataFrame:
+def judged(counts: DataFrame, labels: DataFrame) -> DataFrame:
     """``counts`` (of :func:`measured`, with doc.doc_id and doc.lang) with base_failed, kept and failed_rules.
 
-    ``counts`` is read twice, so it should be stored. ``calibrate`` of a doc_id says whether its label may be used.
+    ``counts`` is read twice, so it should be stored. ``labels`` are the labelled holdout; to validate on some of them, leave them out.
     """
     rows = counts.withColumn("stratum", F.coalesce(F.col("doc.lang").cast("string"), F.lit("\0null"))).withColumn("values", _values())
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    if calibrate is not None:
-        known = known.filter(calibrate(F.col("doc_id")))
     # Rows that fail the base rules are gone in any case; the cutoffs are for the others.
     learn = rows.filter(~F.col("base_failed")).select(F.col("doc.doc_id").cast("long").alias("doc_id"), "stratum", "values").join(known, "doc_id").select("stratum", (F.col("quality") == 1).alias("good"), "values")
     chosen = stored(cutoffs(learn), "quality-cutoffs")
@@ -137,17 +135,13 @@ def judged(counts: DataFrame, labels: DataFrame, calibrate: Callable[[Column], C
     return rows.withColumn("failed_rules", F.array_sort(failed)).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
-def not_held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
-
-
 def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a document: doc_id, the counts, base_failed, kept and the learned rules that it fails."""
     counts = stored(measured(docs, ["doc_id", "lang"]), "quality-counts")
-    return judged(counts, labels, not_held_out).select(F.col("doc.doc_id").alias("doc_id"), *COUNTS[:5], "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+    return judged(counts, labels).select(F.col("doc.doc_id").alias("doc_id"), *COUNTS[:5], "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
 def quality_filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
     counts = stored(measured(docs, docs.columns), "quality-documents")
-    return judged(counts, labels, not_held_out).filter("kept").select("doc.*")
+    return judged(counts, labels).filter("kept").select("doc.*")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 import public_tokenizers
+from faultline.llm import oracles
 from faultline.llm.bpe import encode_decode
 from faultline.llm.decontamination import leaks
 from faultline.llm.licenses import license_scan
@@ -84,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": oracles.LICENSE_SCAN, "op8_quality_rules": oracles.QUALITY_RULES, "op9_near_duplicates": oracles.NEAR_DUPLICATES}

@@ -1,0 +1,176 @@
+"""Token counts, licences, personal data, BPE: against plain versions, and on edge cases."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from tokenizers import Tokenizer
+
+from faultline.llm import licenses, pii
+from faultline.llm.bpe import encode_decode
+from faultline.llm.token_counts import attribute, field_token_counts, line_token_counts
+
+VOCABULARY, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
+
+
+def same(a, b):
+    assert sorted(map(repr, a)) == sorted(map(repr, b))
+
+
+# --- BPE ---------------------------------------------------------------------------------------------------------
+
+
+def plain_bpe(rows):
+    t = Tokenizer.from_file(VOCABULARY)
+    for i, text in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        yield i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe(spark, docs, odd, nothing):
+    for df in (docs, odd):
+        df = df.select("doc_id", "text")
+        same((tuple(r) for r in encode_decode(df, VOCABULARY).collect()), plain_bpe([tuple(r) for r in df.collect()]))
+    assert encode_decode(nothing, VOCABULARY).count() == 0
+
+
+def test_bpe_splits(spark, monkeypatch):
+    texts = ["it's  I'LL we're\n\n  42 ½ ²³", "a  <|endoftext|> b<|endoftext|>", "\x1c\x85  x​ 　", "\x00 tab\t\tend ", "   ", "ß ſ İ ŉ", "'s't 's", "日本語テキスト 한국어 العربية"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same((tuple(r) for r in encode_decode(df, VOCABULARY, partitions=3).collect()), plain_bpe(rows))
+    for r in encode_decode(df, VOCABULARY, texts=True).collect():
+        assert r.decoded == texts[r.doc_id] and len(r.ids) == r.n_tokens
+
+
+# --- Token counts -------------------------------------------------------------------------------------------------
+
+
+def test_line_counts_add_up(spark, docs, odd, nothing):
+    for rule in ("start", "largest", "proportional"):
+        got = line_token_counts(docs, RANKS, rule).groupBy("doc_id").sum("n_tokens").collect()
+        expected = {i: n for i, n, *_ in plain_bpe([(r.doc_id, r.text) for r in docs.collect()])}
+        assert {r[0]: round(r[1], 6) for r in got} == expected
+    rows = line_token_counts(odd, RANKS).collect()
+    assert [r.section for r in rows if r.doc_id == 1] == [-1] and [r.n_tokens for r in rows if r.doc_id == 2] == [0]
+    assert [(r.start, r.end) for r in rows if r.doc_id == 9] == [(0, 1), (2, 2), (3, 5), (6, 7), (None, None)]
+    assert line_token_counts(nothing, RANKS).count() == 0
+    with pytest.raises(ValueError):
+        line_token_counts(docs, RANKS, "other")
+
+
+def plain_attribute(lengths, sections, rule):
+    counts, at = [0.0] * (len(sections) + 1), 0
+    for n in lengths:
+        parts = [(min(at + n, e) - max(at, s), i) for i, (s, e) in enumerate(sections)]
+        parts = [(w, i) for w, i in parts if w > 0]
+        if rule == "proportional":
+            for w, i in parts:
+                counts[i] += w / n
+            counts[-1] += 1 - sum(w for w, _ in parts) / n
+        elif rule == "largest":
+            counts[min(parts, key=lambda x: (-x[0], x[1]))[1] if parts else -1] += 1
+        else:
+            home = [i for i, (s, e) in enumerate(sections) if s <= at < e]
+            counts[home[0] if home else -1] += 1
+        at += n
+    return counts
+
+
+def test_attribution_rules():
+    r = random.Random(1)
+    for _ in range(300):
+        lengths = [r.randrange(1, 6) for _ in range(r.randrange(12))]
+        cuts = sorted(r.randrange(0, sum(lengths) + 3) for _ in range(2 * r.randrange(5)))
+        sections = list(zip(cuts[::2], cuts[1::2]))
+        for rule in ("start", "largest", "proportional"):
+            counts, _ = attribute(np.array(lengths, np.int64), np.array([s for s, _ in sections], np.int64), np.array([e for _, e in sections], np.int64), rule)
+            assert np.allclose(counts, plain_attribute(lengths, sections, rule)), (lengths, sections, rule)
+
+
+def test_field_counts(spark):
+    df = spark.createDataFrame([(1, "title", None, "body text")], "doc_id long, a string, b string, c string")
+    rows = {r.section: r for r in field_token_counts(df, ["a", "b", "c"], RANKS).collect()}
+    assert rows[0].n_tokens == 1 and rows[1].n_tokens == 0 and rows[2].start == 7
+    # A separator that tokens take up with what follows: the tokens cross into the fields.
+    crossing = field_token_counts(df, ["a", "c"], RANKS, separator=" ").collect()
+    assert sum(r.n_crossing for r in crossing) >= 1 and sum(r.n_tokens for r in crossing) == 3
+
+
+# --- Licences -----------------------------------------------------------------------------------------------------
+
+
+def plain_base(text):
+    words = licenses._words(text or "")
+    phrases = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
+    found = [(i, label) for label, p in phrases.items() for i in range(len(words)) if words[i : i + len(p)] == p]
+    starts = [i for i, _ in found]
+    return len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def test_license_base(spark, docs, odd, nothing):
+    extra = spark.createDataFrame([(100, "CC-BY cc by; All   rights reserved. all RIGHTS, reserved general public license"), (101, "cc " * 50 + "by")], "doc_id long, text string")
+    for df in (docs.select("doc_id", "text"), odd.select("doc_id", "text"), extra):
+        got = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.license_scan(df).collect()]
+        same(got, [(r.doc_id, *plain_base(r.text)) for r in df.collect()])
+    assert licenses.license_scan(nothing).count() == 0
+
+
+def test_license_diagonals(spark):
+    whole = next(t.text for t in licenses.TEMPLATES if t.label == "mit" and len(t.text) > 60)
+    words = whole.split()
+    texts = {1: "x y " + whole + " z", 2: " ".join([*words[:12], "added", *words[12:]]), 3: " ".join([*words[:9], *words[10:]]), 4: " ".join(reversed(words)), 5: " ".join(words[:8]), 6: "Released under the MIT License."}
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(1, 7)] == ["mit", "mit", "mit", "", "", "mit"]
+    assert got[1].score == 1.0 and 0.7 <= got[2].score < 1 and got[4].score == 0 and got[6].base_labels == ""
+
+
+# --- Personal data --------------------------------------------------------------------------------------------------
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card" and not (12 <= len(digits) <= 19 and pii.luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), rank, kind, m.end()))
+    return [(kind, a, b) for a, _, kind, b in sorted(out)]
+
+
+def test_pii_base(docs):
+    r = random.Random(2)
+    texts = [x.text for x in docs.collect()] + ["".join(r.choice(chars) for _ in range(50)) for chars in ("a1.@+- (5", "ab.@-", "1 -", "+1 ()") for _ in range(800)]
+    for text in texts:
+        assert [(s.kind, s.start, s.end) for s in pii.find_spans(text) if s.kind in pii.BASE] == plain_spans(text)
+
+
+def test_pii_added():
+    assert [s.kind for s in pii.find_spans("IBAN GB82 WEST 1234 5698 7654 32.") if s.kind not in pii.BASE] == ["iban"]
+    assert not [s for s in pii.find_spans("IBAN GB82 WEST 1234 5698 7654 33.") if s.kind == "iban"]
+    assert [s.kind for s in pii.find_spans("his SSN is 123-45-6789")] == ["national_id"] and not pii.find_spans("part 123-45-6789")
+
+
+def test_pii_digest(spark, docs, odd, nothing):
+    for df in (docs, odd):
+        rows = pii.pii_digest(df).collect()
+        assert len(rows) == df.count()
+        texts = {r.doc_id: r.text for r in df.collect()}
+        for r in rows:
+            if r.doc_id is not None:
+                base = plain_spans(texts[r.doc_id] or "")
+                assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+                assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in base) for kind in BASE)
+    assert pii.pii_digest(nothing).count() == 0
+    df = spark.createDataFrame([(1, "é a@b.co, 1.2.3.4!")], "doc_id long, text string")
+    assert pii.redacted(df).first().text == "é [email], [ip]!"
