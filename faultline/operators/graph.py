@@ -47,6 +47,16 @@ def traverse(edges: DataFrame, start: str, max_depth: int = DEPTH, min_strength:
     return out.select("entity_id", "entity_type", "depth", "strength")
 
 
+def by_depth(nodes: DataFrame) -> DataFrame:
+    """A traversal's nodes from the nearest on; nodes nearer than one step are not listed."""
+    return nodes.filter("depth >= 1").orderBy("depth", F.desc("strength"), "entity_id")
+
+
+def depth_counts(nodes: DataFrame) -> DataFrame:
+    """Nodes by depth, with the largest depth there is."""
+    return nodes.filter("depth >= 1").groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.max("strength").alias("max_strength"))
+
+
 def foresight(edges: DataFrame, start: str, depth: int = DEPTH, min_strength: float = STRENGTH, relation_types=None) -> DataFrame:
     """(path, depth, total_strength): all simple paths of up to ``depth`` edges from the entity."""
     usable_edges = usable(edges, min_strength, relation_types).select("src", "dst", "strength")

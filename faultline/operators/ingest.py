@@ -98,3 +98,17 @@ def changed_files(lines: DataFrame, column: str = "value") -> DataFrame:
 def without_flag(arguments: Column, flag: str) -> Column:
     """Struct of the arguments without a flag, and whether it was there."""
     return F.struct(F.array_remove(arguments, flag).alias("arguments"), F.array_contains(arguments, flag).alias("present"))
+
+
+def organisation_id(names: DataFrame, organisations: DataFrame) -> DataFrame:
+    """``names`` (name) with the id of the organisation of that name, whatever the case of either; the smallest id of several, null for none."""
+    ids = organisations.groupBy(F.lower("name").alias("_key")).agg(F.min("id").alias("organisation_id"))
+    return names.withColumn("_key", F.lower("name")).join(ids, "_key", "left").drop("_key")
+
+
+def accepted(submissions: DataFrame, required: list[str]) -> DataFrame:
+    """Submissions with an outcome: accepted, or the first of the required columns that is missing."""
+    outcome = F.lit("accepted")
+    for column in reversed(required):
+        outcome = F.when(F.coalesce(F.col(column).cast("string"), F.lit("")) == "", f"missing {column}").otherwise(outcome)
+    return submissions.withColumn("outcome", outcome)

@@ -10,8 +10,8 @@ from faultline.functions import scalars as S
 from faultline.operators.risks import filtered
 
 LIMIT, ENRICH_LIMIT = 20, 10
-#: Rows of queries that are broadcast to the vectors; more are crossed with a shuffle.
-BROADCAST_QUERIES = 1000
+#: Queries that are broadcast to the vectors at once; more are taken in blocks.
+QUERY_BLOCK = 1000
 
 
 def facts(df: DataFrame, vertical=None, technology=None, status=None, limit: int | None = None) -> DataFrame:
@@ -64,11 +64,15 @@ def cosine(a: Column, b: Column) -> Column:
 def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The ``limit`` nearest vectors of each query by cosine, ties by id: every query against all vectors.
 
-    ``queries`` has query_id and query_vector. The ranking is by query, so it keeps no more than ``limit`` rows of a
-    query in any task before the shuffle.
+    ``queries`` has query_id and query_vector, and is held against the vectors in blocks of about ``QUERY_BLOCK``. A
+    task keeps no more than ``limit`` rows of a query before the shuffle by query.
     """
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    scored = vectors.crossJoin(F.broadcast(queries) if few else queries).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    scored = None
+    for b in range(blocks):
+        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        part = vectors.join(F.broadcast(own)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
+        scored = part if scored is None else scored.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query_id", "rank", "vec_id", "score")
 

@@ -136,6 +136,14 @@ def score_breakdown(r):
     return R.score_breakdown(r.table("lineitem").select(F.col("l_orderkey").alias("risk_id"), F.col("l_returnflag").alias("source"), points.alias("points")))
 
 
+@query("risk risk_control control", """select risk_code, coalesce(string_agg(control_code || '/' || type, ',' order by control_code), '') as mapped from risk r left join risk_control b on b.risk_id = r.id left join control c on c.id = b.control_id
+  where r.id % 20 = 0 group by risk_code""")
+def risk_detail(r):
+    df = R.detail(r.risk.filter("id % 20 = 0"), r.risk_control, r.control)
+    flat = F.array_join(F.transform("mapped_controls", lambda c: F.concat(c["control_code"], F.lit("/"), c["type"])), ",")
+    return df.select("risk_code", F.coalesce(flat, F.lit("")).alias("mapped"))
+
+
 # --- Controls and evidence ---------------------------------------------------------------------------------------
 
 
@@ -279,6 +287,20 @@ def foresight_mitigations(r):
     return G.with_mitigations(paths, mitigations).select(F.array_join("path", ">").alias("path"), own.alias("mitigations"))
 
 
+@query("edge", """walk as (select target_id as id, 1 as depth, strength from edge where source_id = 'region:1' and strength >= 0.3::double
+  union all select e.target_id, depth + 1, e.strength from walk join edge e on e.source_id = walk.id where depth < 3 and e.strength >= 0.3::double),
+  first as (select id, min(depth) as depth, arg_min(strength, (depth, -strength)) as strength from walk group by id) select depth, count(*) as n, max(strength) as max_strength from first group by depth""", recursive=True)
+def graph_depth_counts(r):
+    return G.depth_counts(G.traverse(r.edge, "region:1"))
+
+
+@query("edge", """w as (select ['region:2', target_id] as path, target_id as node, 1 as depth from edge where source_id = 'region:2' and strength >= 0.3::double
+  union all select list_append(path, e.target_id), e.target_id, depth + 1 from w join edge e on e.source_id = node where depth < 2 and e.strength >= 0.3::double and not list_contains(path, e.target_id))
+  select (select count(*) from edge) as edges_examined, count(*) as n_paths, max(depth) as max_depth, 2 as traversal_depth from w""", recursive=True)
+def foresight_metadata(r):
+    return G.impact_metadata(r.edge, G.foresight(r.edge, "region:2", depth=2), 2)
+
+
 # --- Ingest ------------------------------------------------------------------------------------------------------
 
 
@@ -331,6 +353,19 @@ def scan_mode_and_base(r):
     return r.table("part").select(k.alias("id"), I.scan_mode(k % 7 == 0, k % 5 == 0, k % 3 == 0, k % 2 == 0, k % 11 == 0).alias("mode"), I.base_ref(named(0, "p_brand"), named(1, "p_type"), named(2, "p_name")).alias("base"))
 
 
+@query("", """n as (select upper(r_name) as name from region union all select 'nowhere') select name, cast(r_regionkey as int) as organisation_id from n left join region on lower(r_name) = lower(name)""")
+def organisation_lookup(r):
+    names = r.table("region").select(F.upper("r_name").alias("name")).unionByName(r.spark.createDataFrame([("nowhere",)], "name string"))
+    return I.organisation_id(names, r.table("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")))
+
+
+@query("", "select case when p_partkey % 4 = 0 then 'missing control' when p_partkey % 6 = 1 then 'missing name' else 'accepted' end as outcome, count(*) as n from part group by 1")
+def submission_outcomes(r):
+    k = F.col("p_partkey")
+    rows = r.table("part").select(F.when(k % 4 != 0, "RC").alias("control"), F.when(k % 6 == 1, "").otherwise(F.col("p_name")).alias("name"))
+    return V.outcome_counts(I.accepted(rows, ["control", "name"]))
+
+
 # --- Hazard analysis ---------------------------------------------------------------------------------------------
 
 

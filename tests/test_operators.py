@@ -80,9 +80,13 @@ def test_causal_chain_order(spark):
     assert [x.event for x in knowledge.causal_chains(df).first().causal_chain] == ["a", "b"]
 
 
-def test_search_ties_and_zero_vectors(spark):
+def test_search_ties_and_zero_vectors(spark, monkeypatch):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [0.0, 1.0])], "vec_id int, embedding array<double>")
     q = spark.createDataFrame([(9, [2.0, 0.0])], "query_id int, query_vector array<double>")
+    many = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    whole = sorted(map(tuple, knowledge.semantic_search(v, many, 2).collect()))
+    monkeypatch.setattr(knowledge, "QUERY_BLOCK", 2)
+    assert sorted(map(tuple, knowledge.semantic_search(v, many, 2).collect())) == whole and len(whole) == 8
     assert [(r.rank, r.vec_id) for r in knowledge.semantic_search(v, q, 3).orderBy("rank").collect()] == [(1, 1), (2, 2), (3, 4)]
 
 
