@@ -77,7 +77,7 @@ class Splitter:
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def _plain(self, text: str) -> list[str]:
-        if _EXOTIC.search(text):
+        if not text.isascii() and _EXOTIC.search(text):
             return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return self.find(text)
 
@@ -107,7 +107,17 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 BLOCKS = "block long, check long, part int, doc_id array<long>, n_words binary, body binary, lengths binary"
 
 
-def _split(path: str, parts: int):
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _split(path: str, parts: int, documents: bool):
+    """Blocks' documents, or the words for each partition."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, count = Splitter(path), 0
         base = TaskContext.get().partitionId() << 32
@@ -115,30 +125,32 @@ def _split(path: str, parts: int):
         def flush(ids, numbers, table):
             nonlocal count
             words = [w.encode("utf-8") for w in table]
-            where = np.array([zlib.crc32(w) % parts for w in words], np.int64)
-            order = np.argsort(where, kind="stable")
-            cuts = np.searchsorted(where[order], np.arange(parts + 1))
             body = np.concatenate([np.zeros(0, np.uint32), *numbers])
             key = (base | count, zlib.crc32(b"\0".join(words), zlib.crc32(body.tobytes())))
-            rows = [(*key, -1, ids, _pack(np.array([*map(len, numbers)], np.uint32)), _pack(body), None)]
-            for p in range(parts):
-                at = order[cuts[p] : cuts[p + 1]]
-                if len(at):
-                    own = [words[i] for i in at]
-                    rows.append((*key, p, None, _pack(at), zstandard.compress(b"".join(own), 1), _pack(np.array([*map(len, own)]))))
+            if documents:
+                rows = [(*key, -1, ids, _pack(np.array([*map(len, numbers)], np.uint32)), _pack(body), None)]
+            else:
+                where = np.array([zlib.crc32(w) % parts for w in words], np.int64)
+                order = np.argsort(where, kind="stable")
+                cuts = np.searchsorted(where[order], np.arange(parts + 1))
+                rows = []
+                for p in range(parts):
+                    at = order[cuts[p] : cuts[p + 1]]
+                    if len(at):
+                        own = [words[i] for i in at]
+                        rows.append((*key, p, None, _pack(at), zstandard.compress(b"".join(own), 1), _pack(np.array([*map(len, own)]))))
             count += 1
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()))], ["block", "check", "part", "doc_id", "n_words", "body", "lengths"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*rows)] or [[]] * 7, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()))], ["block", "check", "part", "doc_id", "n_words", "body", "lengths"])
 
-        ids, numbers, table, chars = [], [], {}, 0
+        ids, numbers, table, chars = [], [], _Numbers(), 0
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 if chars and chars + len(text) > BLOCK_CHARS:
                     yield flush(ids, numbers, table)
-                    ids, numbers, table, chars = [], [], {}, 0
+                    ids, numbers, table, chars = [], [], _Numbers(), 0
                 words = split(text)
-                add = table.setdefault
-                numbers.append(np.fromiter((add(w, len(table)) for w in words), np.uint32, len(words)))
+                numbers.append(np.fromiter(map(table.__getitem__, words), np.uint32, len(words)))
                 ids.append(i)
                 chars += len(text)
         if ids:
@@ -220,7 +232,7 @@ def encode_decode(docs: DataFrame, path: str, partitions: int | None = None, tex
     bounded_batches(docs.sparkSession)
     parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = source.mapInArrow(_split(path, parts), BLOCKS)
-    words = blocks.filter("part >= 0").select("block", "check", "part", "n_words", "body", "lengths").repartition(parts, "part").mapInArrow(_encode(path), "block long, check long, n_words binary, body binary, lengths binary")
+    blocks = source.mapInArrow(_split(path, parts, documents=True), BLOCKS)
+    words = source.mapInArrow(_split(path, parts, documents=False), BLOCKS).select("block", "check", "part", "n_words", "body", "lengths").repartition(parts, "part").mapInArrow(_encode(path), "block long, check long, n_words binary, body binary, lengths binary")
     out = ENCODED + (", ids array<int>, decoded string" if texts else "")
-    return blocks.filter("part < 0").select("block", "check", "doc_id", "n_words", "body").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assemble(path, texts), out)
+    return blocks.select("block", "check", "doc_id", "n_words", "body").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assemble(path, texts), out)
