@@ -14,6 +14,8 @@ Method
     the full sets. Keys whose members are by then in one component can tell nothing more. The members of the other
     keys go through an exact prefix-filter join for links across components, which are confirmed likewise. So no pair
     within a key or a component is ever listed, and only links whose documents share no key at all are missed.
+    What is counted by key is written before it is joined back, so both sides of each join come from a plain exchange
+    and Spark splits a key that holds very many rows.
 
 Cases
     Null or empty text, or text without words: empty set, n_shingles 0, linked with nothing, own component. Rows
@@ -163,7 +165,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, name: str) -> Da
 def _surviving_keys(classes: DataFrame) -> DataFrame:
     """(id, key) of each table key both of whose tuples another class has too."""
     tuples = classes.select("id", F.posexplode("tuples").alias("t", "h"))
-    shared = tuples.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    shared = stored(tuples.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "near-shared-tuples")
     own = tuples.join(shared, "h", "left_semi").groupBy("id").agg(F.collect_list(F.struct("t", "h")).alias("own"))
     own = own.select("id", F.expr(f"filter(own, x -> x.t < {TABLES})").alias("a"), F.expr(f"filter(own, x -> x.t >= {TABLES})").alias("b"))
     return own.select("id", F.explode("a").alias("a"), "b").select("id", "a", F.explode("b").alias("b")).select("id", F.xxhash64("a.h", "b.h").alias("key"))
@@ -172,7 +174,7 @@ def _surviving_keys(classes: DataFrame) -> DataFrame:
 def _open_members(keys: DataFrame, component: DataFrame) -> DataFrame:
     """(id, component) of the members of keys that still join two components or more."""
     rows = keys.select("id", "key").join(component, "id")
-    open_ = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
+    open_ = stored(rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key"), "near-open-keys")
     return rows.join(open_, "key", "left_semi").select("id", "component").distinct()
 
 
@@ -184,13 +186,13 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     overlap. Tokens that one set alone has only move the others' places, so they are never sent anywhere.
     """
     rows = sets.select("id", "component", "size", F.explode("tokens").alias("token"))
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-shared-tokens")
     ordered = rows.join(shared, "token").groupBy("id", "component", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("order"))
     placed = ordered.select("id", "component", "size", (F.col("size") - F.size("order")).alias("own"), F.posexplode("order").alias("place", "x")).select("id", "component", "size", F.col("x.token").alias("token"), (F.col("own") + F.col("place")).alias("place"))
     # The larger set of a pair looks in its prefix for percent, the smaller one in that for equal sizes.
-    placed = placed.filter(100 * F.col("place") <= (100 - percent) * F.col("size"))
-    crossing = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("token")
-    placed = placed.join(crossing, "token", "left_semi")
+    placed = stored(placed.filter(100 * F.col("place") <= (100 - percent) * F.col("size")), "near-placed")
+    crossing = stored(placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("token"), "near-crossing")
+    placed = stored(placed.join(crossing, "token", "left_semi"), "near-crossing-placed")
     large = placed.select("token", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "size", "place")])
     small = placed.filter((100 + percent) * F.col("place") <= (100 - percent) * F.col("size")).select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "size", "place")])
     near = (
@@ -218,7 +220,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return pairs.withColumn("agree", _agreeing("x", "y")).filter(F.col("agree") >= LEAST_AGREEING).select("a", "b", "agree")
 
     # Stars: each class with the smallest member of each of its keys; the best candidate is confirmed first.
-    first = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "a")
+    first = stored(keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "a"), "near-first")
     stars = keys.join(first, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
     stars = plausible(stars).groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
     links = _confirmed(docs, stars, percent, "near-star")
