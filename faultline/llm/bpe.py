@@ -39,7 +39,7 @@ from faultline.llm._store import bounded_batches
 
 #: The pattern that splits text before the merges (a fixed value of the vocabulary's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 _EXOTIC = re.compile("[^\x00-ɏ]")
 
 
@@ -178,9 +178,9 @@ def _encode(path: str):
                 words = _cut(zstandard.decompress(r["body"]), _unpack(r["lengths"]))
                 new = [w for w in words if w not in known]
                 for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, np.uint32)
+                    known[w] = np.array(e.ids, "<u4").tobytes()
                 ids = [known[w] for w in words]
-                rows.append((r["block"], r["check"], r["n_words"], _pack(np.concatenate(ids)), _pack(np.array([*map(len, ids)]))))
+                rows.append((r["block"], r["check"], r["n_words"], _pack(np.frombuffer(b"".join(ids), "<u4")), _pack(np.array([*map(len, ids)]) // 4)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["block", "check", "n_words", "body", "lengths"])
 
