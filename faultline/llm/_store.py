@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ def shared_folder(spark: SparkSession) -> str:
         return known.get().rstrip("/")
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="faultline-"))
+    own = tempfile.mkdtemp(prefix="faultline-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    context.setCheckpointDir(f"file://{own}")
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 

@@ -67,8 +67,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw[offsets[0] : offsets[-1]]
 
 
-def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose text is at most ``limit`` bytes, or one row."""
+def chunks(offsets: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose text is at most ``limit`` bytes (default: CHUNK_BYTES), or one row."""
+    limit = limit or CHUNK_BYTES
     low, rows = 0, len(offsets) - 1
     while low < rows:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1)
