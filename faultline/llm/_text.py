@@ -15,8 +15,8 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 18
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 5
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15 | 5
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _COMBINE = _U(0xD1342543DE82EF95)
 _BYTE_KEYS = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -38,7 +38,7 @@ FOLD[0x41:0x5B] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power_table(name: str, base: int, n: int) -> np.ndarray:
+def power_table(name: str, base: int, n: int) -> np.ndarray:
     table = _powers.get(name)
     if table is None or len(table) < n:
         table = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
@@ -101,8 +101,8 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.bounds = np.searchsorted(self.start, offsets)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_KEYS[data] * _power_table("power", _BASE, n)[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * _power_table("inverse", _BASE_INV, n)[self.start])
+        np.cumsum(_BYTE_KEYS[data] * power_table("power", BASE, n)[:n], out=total[1:])
+        self.hash = mix((total[self.end] - total[self.start]) * power_table("inverse", BASE_INVERSE, n)[self.start])
         self.data, self.offsets = data, offsets
 
     def grams(self, k: int) -> np.ndarray:

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from faultline.llm._memory import released
 from faultline.llm._store import bounded_batches
 
 #: The pattern that splits text before the merges (a fixed value of the vocabulary's format).
@@ -232,7 +233,7 @@ def encode_decode(docs: DataFrame, path: str, partitions: int | None = None, tex
     bounded_batches(docs.sparkSession)
     parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = source.mapInArrow(_split(path, parts, documents=True), BLOCKS)
-    words = source.mapInArrow(_split(path, parts, documents=False), BLOCKS).select("block", "check", "part", "n_words", "body", "lengths").repartition(parts, "part").mapInArrow(_encode(path), "block long, check long, n_words binary, body binary, lengths binary")
+    blocks = source.mapInArrow(released(_split(path, parts, documents=True)), BLOCKS)
+    words = source.mapInArrow(released(_split(path, parts, documents=False)), BLOCKS).select("block", "check", "part", "n_words", "body", "lengths").repartition(parts, "part").mapInArrow(released(_encode(path)), "block long, check long, n_words binary, body binary, lengths binary")
     out = ENCODED + (", ids array<int>, decoded string" if texts else "")
     return blocks.select("block", "check", "doc_id", "n_words", "body").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assemble(path, texts), out)

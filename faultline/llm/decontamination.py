@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm._memory import released
 from faultline.llm._store import bounded_batches
 from faultline.llm._text import ALNUM_WORDS, Words, words_of
 
@@ -176,7 +177,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
                 kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds))], [c.split()[0] for c in LEAKS.split(", ")])
 
-        found = docs.mapInArrow(run, LEAKS)
+        found = docs.mapInArrow(released(run), LEAKS)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -196,5 +197,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
                         keep[low + row] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(released(run), schema)
     return docs

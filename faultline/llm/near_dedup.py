@@ -11,8 +11,8 @@ Method
 
     Equal sets are one class, represented by its smallest doc_id. Members of a key are first linked to the key's
     smallest member (a star, not all pairs); each class keeps its best such candidate and the link is confirmed on
-    the full sets. Keys whose members are by then in one component can tell nothing more. The members of the other
-    keys go through an exact prefix-filter join for links across components, which are confirmed likewise. So no pair
+    the full sets. Keys whose members are by then in one component can tell nothing more. For the others this is done
+    again with candidates in other components, and the members of the keys that still join several go through an exact prefix-filter join for links across components, which are confirmed likewise. So no pair
     within a key or a component is ever listed, and only links whose documents share no key at all are missed.
     What is counted by key is written before it is joined back, so both sides of each join come from a plain exchange
     and Spark splits a key that holds very many rows.
@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm._memory import released
 from faultline.llm._store import bounded_batches, stored
 from faultline.llm._text import SPACE_WORDS, mix, words_of
 from faultline.llm.components import connected_components
@@ -42,6 +43,8 @@ PERCENT = 75
 TABLES, WIDTH = 12, 2
 #: A candidate pair whose minhashes agree in fewer places is dropped: at 0.75, fewer than 19 of 48 has a probability of 1e-7.
 LEAST_AGREEING = 19
+#: Rounds of stars across components before the exact join.
+STAR_ROUNDS = 3
 #: Candidate ids that are broadcast as a filter of the documents (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -156,10 +159,10 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, name: str) -> Da
     """The pairs (a, b) whose full sets are similar enough. Only documents in a pair have their sets built."""
     pairs = stored(pairs, f"{name}-pairs")
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-    sets = stored(_selected(docs, ids).mapInArrow(_sets, "doc_id long, shingles binary"), f"{name}-sets")
+    sets = stored(_selected(docs, ids).mapInArrow(released(_sets), "doc_id long, shingles binary"), f"{name}-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(_confirm(percent), "a long, b long").distinct(), f"{name}-links")
+    return stored(both.mapInArrow(released(_confirm(percent)), "a long, b long").distinct(), f"{name}-links")
 
 
 def _surviving_keys(classes: DataFrame) -> DataFrame:
@@ -171,11 +174,31 @@ def _surviving_keys(classes: DataFrame) -> DataFrame:
     return own.select("id", F.explode("a").alias("a"), "b").select("id", "a", F.explode("b").alias("b")).select("id", F.xxhash64("a.h", "b.h").alias("key"))
 
 
-def _open_members(keys: DataFrame, component: DataFrame) -> DataFrame:
-    """(id, component) of the members of keys that still join two components or more."""
-    rows = keys.select("id", "key").join(component, "id")
-    open_ = stored(rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key"), "near-open-keys")
-    return rows.join(open_, "key", "left_semi").select("id", "component").distinct()
+def _open_rows(keys: DataFrame, component: DataFrame, turn: int = 0) -> DataFrame:
+    """(key, id, component, a) of keys that join two components or more; a is a member in another component than the row's.
+
+    It is one of the key's members by a hash that is another each turn or, for rows of that one's component, one of the
+    key's first or last component.
+    """
+    rows = stored(keys.select("id", "key").join(component, "id"), "near-open-rows")
+    lot = F.xxhash64("id", "key", F.lit(turn))
+    ends = rows.groupBy("key").agg(
+        F.min("component").alias("c0"),
+        F.max("component").alias("c1"),
+        F.min_by("id", F.struct(F.col("component"), lot)).alias("a0"),
+        F.min_by("id", F.struct(-F.col("component"), lot)).alias("a1"),
+        F.min_by(F.struct("id", "component"), lot).alias("any"),
+    )
+    ends = stored(ends.filter("c0 <> c1"), "near-open-keys")
+    other = F.when(F.col("component") != F.col("any.component"), F.col("any.id")).when(F.col("component") != F.col("c0"), F.col("a0")).otherwise(F.col("a1"))
+    return rows.join(ends, "key").select("key", "id", "component", other.alias("a"))
+
+
+def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after ``links`` (a, b) between ids."""
+    ends = links.join(component.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(component.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+    tops = connected_components(component.select(F.col("component").alias("id")).distinct(), ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    return stored(component.join(tops.select(F.col("id").alias("component"), F.col("component").alias("top")), "component").select("id", F.col("top").alias("component")), "near-components")
 
 
 def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
@@ -208,7 +231,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (doc_id = component_id), one row a row of ``docs``."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    feats = stored(docs.mapInArrow(_features, FEATURES), "near-features")
+    feats = stored(docs.mapInArrow(released(_features), FEATURES), "near-features")
     nodes = feats.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(nodes.groupBy("s1", "s2", "n_shingles").agg(F.min_by(F.struct("doc_id", "tuples", "sketch"), "doc_id").alias("r")).select("s1", "s2", F.col("r.doc_id").alias("id"), "r.tuples", "r.sketch"), "near-classes")
     keys = stored(_surviving_keys(classes), "near-keys")
@@ -225,16 +248,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = plausible(stars).groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
     links = _confirmed(docs, stars, percent, "near-star")
     # Rows that share a doc_id are one node; an id that stands for two classes needs no link.
-    members = keys.select("id").distinct()
-    component = connected_components(members, links)
-
-    # Members of keys that still join several components: every pair of them, by an exact join.
-    open_ = stored(_open_members(keys, component), "near-open")
-    sets = stored(_selected(docs, open_.select(F.col("id").alias("doc_id"))).mapInArrow(_token_lists, "doc_id long, size long, tokens array<long>").join(open_.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "id"), "near-open-sets")
-    more_links = _confirmed(docs, _prefix_pairs(sets, percent), percent, "near-cross")
-    merged = more_links.join(component.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(component.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
-    tops = connected_components(component.select(F.col("component").alias("id")).distinct(), merged.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    component = component.join(tops.select(F.col("id").alias("component"), F.col("component").alias("top")), "component").select("id", F.col("top").alias("component"))
+    component = stored(connected_components(keys.select("id").distinct(), links), "near-components")
+
+    # Again for the keys that still join several components, with members of other components.
+    for turn in range(STAR_ROUNDS):
+        again = plausible(_open_rows(keys, component, turn).select("a", F.col("id").alias("b")).distinct())
+        links = _confirmed(docs, again.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b"), percent, "near-star")
+        if links.isEmpty():
+            break
+        component = _merged(component, links)
+
+    # Members of the keys that are left: every pair of them across components, by an exact join.
+    open_ = stored(_open_rows(keys, component).select("id", "component").distinct(), "near-open")
+    sets = stored(_selected(docs, open_.select(F.col("id").alias("doc_id"))).mapInArrow(released(_token_lists), "doc_id long, size long, tokens array<long>").join(open_.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "id"), "near-open-sets")
+    component = _merged(component, _confirmed(docs, _prefix_pairs(sets, percent), percent, "near-cross"))
 
     # Each row by its class, each class by its component.
     labels = classes.join(component, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
