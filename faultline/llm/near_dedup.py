@@ -44,7 +44,7 @@ TABLES, WIDTH = 12, 2
 #: A candidate pair whose minhashes agree in fewer places is dropped: at 0.75, fewer than 19 of 48 has a probability of 1e-7.
 LEAST_AGREEING = 19
 #: Rounds of stars across components before the exact join.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 #: Candidate ids that are broadcast as a filter of the documents (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -254,8 +254,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     for turn in range(STAR_ROUNDS):
         again = plausible(_open_rows(keys, component, turn).select("a", F.col("id").alias("b")).distinct())
         links = _confirmed(docs, again.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b"), percent, "near-star")
-        if links.isEmpty():
-            break
         component = _merged(component, links)
 
     # Members of the keys that are left: every pair of them across components, by an exact join.
