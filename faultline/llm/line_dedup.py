@@ -17,8 +17,8 @@ Method
     left as it is; copies are for near-duplicate detection to judge.
 
     Units are hashed and counted before anything is grouped, so a line in a third of all documents is one row. A leaf
-    of more than ``LEAF_LINES`` different lines is parsed ``DEEPER`` tokens deep, and if it is still larger its lines
-    are templates of their own; so no group is larger than that. The hashes to drop are broadcast if there are at most
+    is grouped as a whole whatever its size: its sorted lines are streamed past its templates, and beyond
+    ``LEAF_LINES`` templates an index finds those that a line may join, with the same result. The hashes to drop are broadcast if there are at most
     ``BROADCAST_LINES`` of them, and joined to the documents that have them otherwise.
 
 Cases
@@ -29,6 +29,7 @@ Cases
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from faultline.llm._memory import released
 from faultline.llm._store import bounded_batches, stored
 from faultline.llm._text import BASE, BASE_INVERSE, SPACE_WORDS, Words, mix, power_table, words_of
 
-DEPTH, DEEPER, LEAF_LINES, SIMILAR = 4, 10, 2000, 0.8
+DEPTH, LEAF_LINES, SIMILAR = 4, 2000, 0.8
 MIN_TOKENS, SENTENCE_TOKENS, LONG_TOKENS = 3, 8, 8
 MIN_DOCS, MIN_DOCS_SHORT = 3, 8
 #: Families must also make up this share of the documents that have the template, or be this many.
@@ -151,32 +152,83 @@ def _tokens_in(bits: bytes):
     return run
 
 
+class Templates:
+    """The templates of a leaf's lines of ``n`` tokens, in the order in which they were made.
+
+    Up to ``LEAF_LINES`` of them are compared with a line one and all. Beyond, only those that agree with it in all of
+    some ``parts`` of the places are: of a template that a line may join, at most ``n - least`` places differ, so one
+    part at least has none of them. Both find the same template.
+    """
+
+    def __init__(self, n: int):
+        self.n, self.least, self.names = n, math.ceil(SIMILAR * n), []
+        self.tokens, self.fixed = np.zeros((16, n), np.uint32), np.ones((16, n), bool)
+        self.index: dict[tuple[int, bytes], list[int]] | None = None
+        # The first tokens are those of the leaf. If one place may differ, a part is all but one.
+        rest, differ = np.arange(min(DEPTH, n), n), n - self.least
+        self.parts = [np.delete(rest, i) for i in range(len(rest))] if differ == 1 and len(rest) else np.array_split(rest, differ + 1)
+
+    def _keys(self, t: np.ndarray) -> list[tuple[int, bytes]]:
+        return [(i, t[at].tobytes()) for i, at in enumerate(self.parts)]
+
+    def _first(self, t: np.ndarray) -> int | None:
+        """The first template that ``t`` may join."""
+        if len(self.names) <= LEAF_LINES:
+            same = (self.tokens[: len(self.names)] == t) & self.fixed[: len(self.names)]
+            enough = np.flatnonzero(same.sum(axis=1) >= self.least)
+            return int(enough[0]) if len(enough) else None
+        if self.index is None:
+            self.index = {}
+            for i in range(len(self.names)):
+                for key in self._keys(self.tokens[i]):
+                    self.index.setdefault(key, []).append(i)
+        best = len(self.names)
+        for key in self._keys(t):
+            known, low, size = self.index.get(key, ()), 0, 16
+            while low < len(known) and known[low] < best:
+                at = np.array(known[low : low + size])
+                enough = np.flatnonzero(((self.tokens[at] == t) & self.fixed[at]).sum(axis=1) >= self.least)
+                if len(enough):
+                    best = min(best, int(at[enough[0]]))
+                    break
+                low, size = low + size, 4 * size
+        return best if best < len(self.names) else None
+
+    def of(self, line: int, t: np.ndarray) -> int:
+        """The name of the template that ``line`` joins or starts."""
+        found = self._first(t)
+        if found is not None:
+            self.fixed[found] &= self.tokens[found] == t
+            return self.names[found]
+        at = len(self.names)
+        if at == len(self.tokens):
+            self.tokens, self.fixed = np.concatenate((self.tokens, np.zeros_like(self.tokens))), np.concatenate((self.fixed, np.ones_like(self.fixed)))
+        self.tokens[at] = t
+        self.names.append(line)
+        if self.index is not None:
+            for key in self._keys(t):
+                self.index.setdefault(key, []).append(at)
+        return line
+
+
 def group_leaf(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
     """(line, template) of a leaf's lines, given as (line, documents, tokens); a template is named by its first line."""
     rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-    templates, fixed, names, out = None, None, [], []
-    for line, _, tokens in rows:
-        t = np.frombuffer(tokens, np.uint32)
-        if templates is not None:
-            same = (templates[: len(names)] == t) & fixed[: len(names)]
-            enough = np.flatnonzero(same.sum(axis=1) >= SIMILAR * len(t))
-            if len(enough):
-                fixed[enough[0]] &= templates[enough[0]] == t
-                out.append((line, names[enough[0]]))
-                continue
-        if templates is None:
-            templates, fixed = np.zeros((16, len(t)), np.uint32), np.ones((16, len(t)), bool)
-        elif len(names) == len(templates):
-            templates, fixed = np.concatenate((templates, np.zeros_like(templates))), np.concatenate((fixed, np.ones_like(fixed)))
-        templates[len(names)] = t
-        names.append(line)
-        out.append((line, line))
-    return out
+    templates = Templates(len(rows[0][2]) // 4) if rows else None
+    return [(line, templates.of(line, np.frombuffer(tokens, np.uint32))) for line, _, tokens in rows]
 
 
-def _group(table: pa.Table) -> pa.Table:
-    rows = group_leaf([*zip(*(table.column(c).to_pylist() for c in ("line", "docs", "tokens")))])
-    return pa.table({"line": pa.array([a for a, _ in rows], pa.int64()), "template": pa.array([b for _, b in rows], pa.int64())})
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line, template) of rows (leaf, line, tokens) that come leaf by leaf, each leaf's commonest lines first."""
+    leaf, templates = None, None
+    for batch in batches:
+        lines, names = batch.column(1).to_pylist(), []
+        for of_leaf, line, tokens in zip(batch.column(0).to_pylist(), lines, batch.column(2)):
+            t = np.frombuffer(tokens.as_buffer(), np.uint32)
+            if templates is None or of_leaf != leaf or len(t) != templates.n:
+                leaf, templates = of_leaf, Templates(len(t))
+            names.append(templates.of(line, t))
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(names, pa.int64())], ["line", "template"])
 
 
 def _enough(docs: str):
@@ -226,11 +278,9 @@ def recurring_lines(docs: DataFrame, seen: DataFrame | None = None) -> DataFrame
     few = carriers.count() <= BROADCAST_LINES
     text = docs.select(F.col("text").cast("string").alias("text")).withColumn("source", _source()).join(F.broadcast(carriers) if few else carriers.hint("merge"), "source", "left_semi").select("text")
     tokens = text.mapInArrow(released(_tokens_in(_filter_of(placed, "leaf"))), "line long, tokens binary").groupBy("line").agg(F.first("tokens").alias("tokens"))
-    # Large leaves are parsed deeper (a token is 4 bytes here).
-    deep = F.xxhash64("leaf", F.substring("tokens", 1, 4 * DEEPER))
-    nodes = stored(placed.join(tokens, "line").select("line", "docs", "tokens", F.when(F.col("lines") <= LEAF_LINES, F.col("leaf")).otherwise(deep).alias("node")), "lines-nodes")
-    small = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= LEAF_LINES).select("node")
-    templates = stored(nodes.join(small, "node").groupBy("node").applyInArrow(_group, "line long, template long"), "lines-templates")
+    # A leaf's lines are read one after another in their order, so only its templates are held at once.
+    nodes = placed.join(tokens, "line").select("leaf", "n", "docs", "line", "tokens").repartition("leaf", "n").sortWithinPartitions("leaf", "n", F.desc("docs"), "line")
+    templates = stored(nodes.select("leaf", "line", "tokens").mapInArrow(released(_grouped), "line long, template long"), "lines-templates")
     # A template's documents: those with any of its lines, each once.
     shared = templates.groupBy("template").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("template")
     members = stored(templates.join(shared, "template"), "lines-members")

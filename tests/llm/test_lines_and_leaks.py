@@ -72,6 +72,29 @@ def test_group_leaf():
     assert dict(group_leaf(rows)) == {1: 1, 2: 1, 3: 3, 4: 1} and group_leaf(rows) == group_leaf(rows[::-1])
 
 
+def test_group_leaf_by_index(monkeypatch):
+    """The index finds the templates that comparing with all of them finds."""
+    import numpy as np
+
+    r = random.Random(8)
+    for n in (3, 5, 6, 7, 9, 10, 12, 15, 23):
+        lines = {np.array([1, 2, 3, 4, *(r.randrange(3) for _ in range(n))][:n], np.uint32).tobytes() for _ in range(300)}
+        rows = [(i, r.randrange(1, 5), t) for i, t in enumerate(sorted(lines))]
+        plain = group_leaf(rows)
+        with monkeypatch.context() as m:
+            m.setattr(line_dedup, "LEAF_LINES", 0)
+            assert group_leaf(rows) == plain, n
+
+
+def test_field_in_large_leaf(spark, monkeypatch):
+    """A variable field goes whatever the number of its fillings and wherever it stands."""
+    r = random.Random(9)
+    form = {i: f"Posted in the category of general news {'by' if i % 2 else 'and views by'} {words(r, 1)} and other people" for i in range(60)}
+    df = spark.createDataFrame([(i, f"{words(r, 12)}\n{x}") for i, x in form.items()], "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "LEAF_LINES", 2)
+    assert not [x for x in line_dedup.line_dedup(df).collect() if "Posted" in x.text]
+
+
 # --- Benchmark ----------------------------------------------------------------------------------------------------
 
 
