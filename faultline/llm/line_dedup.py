@@ -10,11 +10,10 @@ Method
     least ``SIMILAR`` of the tokens in place, and the tokens that differ become variable; otherwise it starts a
     template. A sentence is a template of its own. A template that recurs in ``MIN_DOCS`` documents or more
     (``MIN_DOCS_SHORT`` if it is short) is dropped from all of them, with the short sentences between two dropped ones.
-    Documents that are copies of each other count as one: equal texts do, and so do texts that, but for the unit at
-    hand, are made of repeated sentences for at least ``COPIED`` and share the one with the smallest hash; and such
-    families must make up ``FAMILY_SHARE`` of the texts that have the template, or be ``FAMILIES``. So copying a
-    document does not make its lines boilerplate, and a document that would lose all its words is taken for a copy and
-    left as it is; copies are for near-duplicate detection to judge.
+    Documents that are near copies of each other count as one family: the component of the links that near-duplicate
+    detection confirms on shingle sets. The number of families alone decides, so copying a document does not make its
+    lines boilerplate, nor do copies keep a line that recurs elsewhere. A document that would lose all its words is
+    taken for a copy and left as it is; copies are for near-duplicate detection to judge.
 
     Units are hashed and counted before anything is grouped, so a line in a third of all documents is one row. A leaf
     is grouped as a whole whatever its size: its sorted lines are streamed past its templates, and beyond
@@ -41,14 +40,11 @@ from pyspark.sql import functions as F
 from faultline.llm._memory import released
 from faultline.llm._store import bounded_batches, stored
 from faultline.llm._text import BASE, BASE_INVERSE, SPACE_WORDS, Words, mix, power_table, words_of
+from faultline.llm.near_dedup import near_duplicates
 
 DEPTH, LEAF_LINES, SIMILAR = 4, 2000, 0.8
 MIN_TOKENS, SENTENCE_TOKENS, LONG_TOKENS = 3, 8, 8
 MIN_DOCS, MIN_DOCS_SHORT = 3, 8
-#: Families must also make up this share of the documents that have the template, or be this many.
-FAMILY_SHARE, FAMILIES = 0.25, 50
-#: Share of a document's other tokens in repeated sentences from which it is taken for a copy.
-COPIED = 0.7
 BROADCAST_LINES = 1_000_000
 #: Bits of the filters that keep texts from being looked at again; they only save work.
 FILTER_BITS = 1 << 24
@@ -235,11 +231,6 @@ def _enough(docs: str):
     return F.col(docs) >= F.when(F.col("n") >= LONG_TOKENS, MIN_DOCS).otherwise(MIN_DOCS_SHORT)
 
 
-def _independent():
-    """Whether the carriers of a unit or template, by family, are enough to make it boilerplate."""
-    return _enough("docs") & (F.col("docs") >= F.least(FAMILY_SHARE * F.col("texts"), F.lit(FAMILIES)))
-
-
 def _source():
     return F.xxhash64("text")
 
@@ -251,25 +242,20 @@ def units_of(docs: DataFrame) -> DataFrame:
     return stored(text.mapInArrow(released(_units), UNITS).distinct(), "lines")
 
 
-def recurring_lines(docs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+def families_of(docs: DataFrame) -> DataFrame:
+    """(source, family): the component of near copies of each different text, stored."""
+    text = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").select(_source().alias("doc_id"), "text")
+    found = near_duplicates(text).groupBy("doc_id").agg(F.min("component_id").alias("family"))
+    return stored(found.withColumnRenamed("doc_id", "source"), "lines-families")
+
+
+def recurring_lines(docs: DataFrame, seen: DataFrame | None = None, family: DataFrame | None = None) -> DataFrame:
     """(line): the hashes of the units whose template recurs."""
     seen = units_of(docs) if seen is None else seen
+    family = families_of(docs) if family is None else family
     counted = stored(seen.groupBy("line", "n").agg(F.count(F.lit(1)).alias("docs"), F.max_by("leaf", F.abs("leaf")).alias("leaf")), "lines-counted")
-    # A document whose other sentences are repeated for the most part stands for its family, that of the one with the
-    # smallest hash; any other document stands for itself.
-    own = seen.filter("atom").groupBy("source").agg(F.sum("n").alias("tokens"))
-    repeated = stored(seen.join(counted.filter("docs > 1").select("line", _enough("docs").alias("often")), "line").select("line", "n", "atom", "often", "source"), "lines-repeated")
-    family = repeated.filter("atom").groupBy("source").agg(F.slice(F.array_sort(F.collect_set("line")), 1, 2).alias("least"), F.sum("n").alias("repeated"))
-    family = stored(family.join(own, "source"), "lines-families")
-
-    def families(rows: DataFrame) -> DataFrame:
-        """``rows`` (line, n, source; repeated units) with their documents' family."""
-        rows = rows.join(family, "source", "left")
-        copied = (F.col("repeated") - F.col("n")) >= COPIED * F.greatest(F.col("tokens") - F.col("n"), F.lit(1))
-        other = F.get(F.filter("least", lambda x: x != F.col("line")), F.lit(0))
-        return rows.withColumn("family", F.coalesce(F.when(copied, other), F.col("source")))
-
-    alone = families(repeated.filter("often")).groupBy("line", "n").agg(F.countDistinct("family").alias("docs"), F.count(F.lit(1)).alias("texts")).filter(_independent()).select("line")
+    often = stored(seen.join(counted.filter(_enough("docs")).select("line"), "line").select("line", "n", "source"), "lines-often")
+    alone = often.join(family, "source").groupBy("line", "n").agg(F.countDistinct("family").alias("docs")).filter(_enough("docs")).select("line")
     # Leaves in which several lines could make up a recurring template together.
     lines = counted.filter("leaf <> 0")
     leaves = stored(lines.groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("lines"), F.sum("docs").alias("docs")).filter((F.col("lines") > 1) & _enough("docs")).select("leaf", "n", "lines"), "lines-leaves")
@@ -284,7 +270,8 @@ def recurring_lines(docs: DataFrame, seen: DataFrame | None = None) -> DataFrame
     # A template's documents: those with any of its lines, each once.
     shared = templates.groupBy("template").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("template")
     members = stored(templates.join(shared, "template"), "lines-members")
-    frequent = families(seen.filter("leaf <> 0").select("line", "n", "source").join(members, "line")).groupBy("template", "n").agg(F.countDistinct("family").alias("docs"), F.countDistinct("source").alias("texts")).filter(_independent()).select("template")
+    carried = stored(seen.filter("leaf <> 0").select("line", "n", "source").join(members, "line"), "lines-carried")
+    frequent = carried.join(family, "source").groupBy("template", "n").agg(F.countDistinct("family").alias("docs")).filter(_enough("docs")).select("template")
     together = members.join(frequent, "template").select("line")
     return alone.union(together).distinct()
 

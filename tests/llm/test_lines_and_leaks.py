@@ -95,6 +95,25 @@ def test_field_in_large_leaf(spark, monkeypatch):
     assert not [x for x in line_dedup.line_dedup(df).collect() if "Posted" in x.text]
 
 
+def test_copies_keep_nothing(spark):
+    """A passage of unrelated documents goes though a group of near copies has it too; what copies alone have stays."""
+    r = random.Random(10)
+    passage, lines = words(r, 60), [words(r, 25) for _ in range(8)]
+    rows = [(i, f"{words(r, 20)}\n{passage}") for i in range(12)]
+    rows += [(100 + i, "\n".join([*lines[:4], passage, *lines[4:], words(r, 9)])) for i in range(60)]
+    after = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert after == {i: x.replace(f"{passage}\n", "").removesuffix(f"\n{passage}") for i, x in rows}
+
+
+def test_edited_copies_are_one_family(spark):
+    """Copies each of which lacks other lines are one family, however many they are."""
+    r = random.Random(11)
+    lines = [words(r, 12) for _ in range(40)]
+    rows = [(i, "\n".join(words(r, 12) if j in (i % 40, i * 7 % 40) else x for j, x in enumerate(lines))) for i in range(80)]
+    after = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert after == dict(rows)
+
+
 # --- Benchmark ----------------------------------------------------------------------------------------------------
 
 
