@@ -12,8 +12,8 @@ Method
     (``MIN_DOCS_SHORT`` if it is short) is dropped from all of them, with the short sentences between two dropped ones.
     Documents that are near copies of each other count as one family: the component of the links that near-duplicate
     detection confirms on shingle sets. The number of families alone decides, so copying a document does not make its
-    lines boilerplate, nor do copies keep a line that recurs elsewhere. A document that would lose all its words is
-    taken for a copy and left as it is; copies are for near-duplicate detection to judge.
+    lines boilerplate, nor do copies keep a line that recurs elsewhere. A document that would lose all
+    its words is left as it is if it has a copy, equal or near; copies are for near-duplicate detection to judge.
 
     Units are hashed and counted before anything is grouped, so a line in a third of all documents is one row. A leaf
     is grouped as a whole whatever its size: its sorted lines are streamed past its templates, and beyond
@@ -243,10 +243,12 @@ def units_of(docs: DataFrame) -> DataFrame:
 
 
 def families_of(docs: DataFrame) -> DataFrame:
-    """(source, family): the component of near copies of each different text, stored."""
+    """(source, family, copied): the component of near copies of each different text, and whether more than one row is in it; stored."""
     text = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").select(_source().alias("doc_id"), "text")
-    found = near_duplicates(text).groupBy("doc_id").agg(F.min("component_id").alias("family"))
-    return stored(found.withColumnRenamed("doc_id", "source"), "lines-families")
+    found = near_duplicates(text).groupBy("doc_id").agg(F.min("component_id").alias("family"), F.count(F.lit(1)).alias("rows"))
+    found = stored(found.withColumnRenamed("doc_id", "source"), "lines-families")
+    large = stored(found.groupBy("family").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("family", F.lit(True).alias("copied")), "lines-copied")
+    return stored(found.join(large, "family", "left").select("source", "family", F.coalesce("copied", F.lit(False)).alias("copied")), "lines-families")
 
 
 def recurring_lines(docs: DataFrame, seen: DataFrame | None = None, family: DataFrame | None = None) -> DataFrame:
@@ -276,8 +278,8 @@ def recurring_lines(docs: DataFrame, seen: DataFrame | None = None, family: Data
     return alone.union(together).distinct()
 
 
-def _cuts(u: Units, w: Words, gone: np.ndarray) -> dict[int, tuple[list[tuple[int, int]], int]]:
-    """By row: byte ranges of the row's text to cut, and the units that go. ``gone`` says which units do."""
+def _cuts(u: Units, w: Words, gone: np.ndarray, copied: np.ndarray) -> dict[int, tuple[list[tuple[int, int]], int]]:
+    """By row: byte ranges of the row's text to cut, and the units that go. ``gone`` says which units do, ``copied`` which rows are not to lose all words."""
     dropped_line, dropped_sentence = np.zeros(len(w.hash) + 1, bool), np.zeros(len(w.hash) + 1, bool)
     dropped_line[u.first[gone & u.is_line]] = True
     dropped_sentence[u.first[gone & ~u.is_line]] = True
@@ -317,13 +319,13 @@ def _cuts(u: Units, w: Words, gone: np.ndarray) -> dict[int, tuple[list[tuple[in
                     last = int(w.start[firsts[j + 1]]) - begin if j + 1 < len(firsts) else line_end
                     cuts.append((int(w.start[firsts[j]]) - begin, last))
             left = True
-        if left and cuts:
+        if cuts and (left or not copied[r]):
             out[r] = (cuts, count)
     return out
 
 
-def _rewritten(column: pa.Array, look: np.ndarray, gone_of) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
-    """New texts (null where a text stays as it is), lines with words and dropped units of each row; ``look`` says which rows may change."""
+def _rewritten(column: pa.Array, look: np.ndarray, copied: np.ndarray, gone_of) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+    """New texts (null where a text stays as it is), lines with words and dropped units of each row; ``look`` says which rows may change, ``copied`` which have a copy."""
     texts, n_lines, n_dropped = [None] * len(column), np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
     filled = column.fill_null("")
     n_lines[:] = pc.count_substring_regex(filled, r"[^\x09-\x0D\x20][^\n]*").to_numpy(zero_copy_only=False)
@@ -331,7 +333,7 @@ def _rewritten(column: pa.Array, look: np.ndarray, gone_of) -> tuple[list[bytes
     for low, _, w in words_of(column.take(pa.array(at)), SPACE_WORDS, fold=False):
         folded = Words(w.data, w.offsets, SPACE_WORDS, True)
         u = Units(folded)
-        for r, (cuts, count) in _cuts(u, w, gone_of(at[low + u.row], u.hash)).items():
+        for r, (cuts, count) in _cuts(u, w, gone_of(at[low + u.row], u.hash), copied[at[low:]]).items():
             raw = w.data[w.offsets[r] : w.offsets[r + 1]].tobytes()
             kept, done = [], 0
             for a, b in cuts:
@@ -346,9 +348,10 @@ def _rewritten(column: pa.Array, look: np.ndarray, gone_of) -> tuple[list[bytes
     return texts, n_lines, n_dropped
 
 
-def without_recurring(docs: DataFrame, lines: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+def without_recurring(docs: DataFrame, lines: DataFrame, seen: DataFrame | None = None, family: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``lines`` (hashes of units) gone from text, and n_lines and n_dropped as last columns."""
     seen = units_of(docs) if seen is None else seen
+    family = families_of(docs) if family is None else family
     lines = stored(lines, "lines-recurring")
     columns, at = docs.columns, docs.columns.index("text")
     schema = docs.withColumn("text", F.col("text").cast("string")).schema.add("n_lines", "long").add("n_dropped", "long")
@@ -357,14 +360,18 @@ def without_recurring(docs: DataFrame, lines: DataFrame, seen: DataFrame | None
 
     def rows(batch: pa.RecordBatch, look: np.ndarray, gone_of) -> pa.RecordBatch:
         old = batch.column(at)
-        texts, n_lines, n_dropped = _rewritten(old, look, gone_of)
+        copied = batch.column(len(columns) + 1).fill_null(False).to_numpy(zero_copy_only=False)
+        texts, n_lines, n_dropped = _rewritten(old, look, copied, gone_of)
         changed = pa.array([t is not None for t in texts], pa.bool_())
         arrays = [*batch.columns[: len(columns)], pa.array(n_lines), pa.array(n_dropped)]
         arrays[at] = pc.if_else(changed, pa.array([None if t is None else t.decode("utf-8") for t in texts], pa.string()), old)
         return pa.RecordBatch.from_arrays(arrays, [*columns, "n_lines", "n_dropped"])
 
     few = lines.count() <= BROADCAST_LINES
-    touched = seen.join(F.broadcast(lines) if few else lines, "line")
+    touched = stored(seen.join(F.broadcast(lines) if few else lines, "line").select("source", "line"), "lines-touched")
+    # Only texts with a unit that goes need to know whether they have a copy.
+    copies = stored(family.filter("copied").join(touched.select("source").distinct(), "source").select(F.col("source").alias(key), F.lit(True).alias(f"{key}_copied")), "lines-copies")
+    keyed = keyed.join(F.broadcast(copies) if copies.count() <= BROADCAST_LINES else copies.hint("merge"), key, "left")
     if few:
         table = np.sort(lines.toArrow().column("line").to_numpy().astype(np.int64)).tobytes()
         bits = _filter_of(touched.select("source"), "source")
@@ -380,7 +387,7 @@ def without_recurring(docs: DataFrame, lines: DataFrame, seen: DataFrame | None
             for batch in batches:
                 yield rows(batch, _has_bit(filter_, batch.column(len(columns)).to_numpy(zero_copy_only=False)), gone_of)
 
-        return keyed.mapInArrow(released(run), schema)
+        return keyed.select(*[F.col(f"`{c}`") for c in columns], key, f"{key}_copied").mapInArrow(released(run), schema)
 
     # Too many to broadcast: each text is joined to those of its own units that go.
     own = touched.groupBy(F.col("source").alias(key)).agg(F.collect_list("line").alias(f"{key}_drop"))
@@ -390,20 +397,20 @@ def without_recurring(docs: DataFrame, lines: DataFrame, seen: DataFrame | None
             drops = [frozenset(d or ()) for d in batch.column(len(columns)).to_pylist()]
             yield rows(batch, np.array([bool(d) for d in drops], bool), lambda row, found: np.fromiter((h in drops[r] for r, h in zip(row.tolist(), found.tolist())), bool, len(found)))
 
-    return keyed.join(own, key, "left").select(*[F.col(f"`{c}`") for c in columns], f"{key}_drop").mapInArrow(released(run_joined), schema)
+    return keyed.join(own, key, "left").select(*[F.col(f"`{c}`") for c in columns], f"{key}_drop", f"{key}_copied").mapInArrow(released(run_joined), schema)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, text without recurring lines and sentences, n_lines and n_dropped, one row a row of ``docs``."""
     docs = docs.select("doc_id", "text")
-    seen = units_of(docs)
-    return without_recurring(docs, recurring_lines(docs, seen), seen)
+    seen, family = units_of(docs), families_of(docs)
+    return without_recurring(docs, recurring_lines(docs, seen, family), seen, family)
 
 
 def lines_filtered(docs: DataFrame) -> DataFrame:
     """``docs`` without recurring lines and sentences; n_chars follows."""
-    columns, seen = docs.columns, units_of(docs)
-    out = without_recurring(docs, recurring_lines(docs, seen), seen)
+    columns, seen, family = docs.columns, units_of(docs), families_of(docs)
+    out = without_recurring(docs, recurring_lines(docs, seen, family), seen, family)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in columns])

@@ -114,6 +114,22 @@ def test_edited_copies_are_one_family(spark):
     assert after == dict(rows)
 
 
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_pages_of_shared_passages(spark, monkeypatch, limit):
+    """Header and footer go from pages with a short text of their own, and all goes from pages of nothing else that have no copy."""
+    r = random.Random(12)
+    header, footer, bars = words(r, 50), words(r, 50), [words(r, 40) for _ in range(3)]
+    own = {i: words(r, 20) for i in range(20)}
+    rows = [(i, f"{header}\n{x}\n{footer}") for i, x in own.items()]
+    rows += [(100 + i, f"{words(r, 30)}\n{bars[i % 3]}") for i in range(12)]
+    rows += [(200, f"{bars[0]}\n{bars[1]}"), (300, f"{bars[1]}\n{bars[2]}"), (301, f"{bars[1]}\n{bars[2]}")]
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", limit)
+    after = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: after[i] for i in own} == own
+    assert all(after[i] == x.split("\n")[0] for i, x in rows if 100 <= i < 200)
+    assert after[200] == "" and after[300] == after[301] == f"{bars[1]}\n{bars[2]}"
+
+
 # --- Benchmark ----------------------------------------------------------------------------------------------------
 
 
