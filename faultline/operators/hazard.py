@@ -42,10 +42,12 @@ def resolve_parents(scenarios: DataFrame) -> DataFrame:
     and parent_title.
     """
     order = F.struct(level_rank("level").alias("rank"), F.col("pos"))
-    s = scenarios.select("scenario_id", "parent_title", order.alias("at"))
-    p = scenarios.select(F.col("scenario_id").alias("parent_id"), F.col("title").alias("parent_title"), order.alias("parent_at"))
-    found = s.join(p, "parent_title").filter(F.col("parent_at") < F.col("at")).groupBy("scenario_id").agg(F.max_by("parent_id", "parent_at").alias("parent_id"))
-    return scenarios.select("scenario_id").join(found, "scenario_id", "left")
+    # By title, in order: a scenario asks before those of its own place, so it finds the last one before it.
+    asks = scenarios.select(F.col("parent_title").alias("key"), order.alias("at"), F.lit(0).alias("kind"), "scenario_id", F.lit(None).alias("named"))
+    titles = scenarios.filter("title is not null").select(F.col("title").alias("key"), order.alias("at"), F.lit(1).alias("kind"), "scenario_id", F.col("scenario_id").alias("named"))
+    before = Window.partitionBy("key").orderBy("at", "kind", "scenario_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = asks.filter("key is not null").unionByName(titles).withColumn("parent_id", F.last("named", ignorenulls=True).over(before))
+    return rows.filter("kind = 0").select("scenario_id", "parent_id").unionByName(asks.filter("key is null").select("scenario_id", F.col("named").alias("parent_id")))
 
 
 def resolve_control_links(scenarios: DataFrame, controls: DataFrame) -> DataFrame:

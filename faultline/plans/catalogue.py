@@ -383,16 +383,30 @@ _SCENARIOS = """s as (select o_orderkey as scenario_id, o_orderkey as pos, o_cus
 def _scenarios(r):
     k = F.col("o_orderkey")
     level = F.when(k % 4 == 0, "top").when(k % 4 == 1, "intermediate").when(k % 4 == 2, "immediate").otherwise("odd")
-    return r.table("orders").filter(k <= 600).select(k.alias("scenario_id"), k.alias("pos"), (F.col("o_custkey") % 50).alias("document_id"), F.concat(F.lit("t"), (k % 40).cast("string")).alias("title"), level.alias("level"), F.concat(F.lit("t"), ((k + 1) % 45).cast("string")).alias("parent_title"))
+    return r.table("orders").select(k.alias("scenario_id"), k.alias("pos"), (F.col("o_custkey") % 50).alias("document_id"), F.concat(F.lit("t"), (k % 40).cast("string")).alias("title"), level.alias("level"), F.concat(F.lit("t"), ((k + 1) % 45).cast("string")).alias("parent_title"))
 
 
 @query("", f"{_SCENARIOS} select scenario_id, (select arg_max(p.scenario_id, (p.rank, p.pos)) from l p where p.title = l.parent_title and (p.rank, p.pos) < (l.rank, l.pos)) as parent_id from l")
 def scenario_parent_resolve(r):
-    return H.resolve_parents(_scenarios(r))
+    return H.resolve_parents(_scenarios(r).filter("scenario_id <= 600"))
 
 
 @query("", f"{_SCENARIOS} select document_id, scenario_id, cast(row_number() over (partition by document_id order by rank, pos) as int) as rank from l")
 def scenario_level_order(r):
+    return H.ranked_scenarios(_scenarios(r).filter("scenario_id <= 600")).select("document_id", "scenario_id", "rank")
+
+
+# The same over all of orders.
+_ALL_SCENARIOS = _SCENARIOS.replace(" where o_orderkey <= 600", "")
+
+
+@query("", f"{_ALL_SCENARIOS} select scenario_id, (select arg_max(p.scenario_id, (p.rank, p.pos)) from l p where p.title = l.parent_title and (p.rank, p.pos) < (l.rank, l.pos)) as parent_id from l")
+def scenario_parent_resolve_all(r):
+    return H.resolve_parents(_scenarios(r))
+
+
+@query("", f"{_ALL_SCENARIOS} select document_id, scenario_id, cast(row_number() over (partition by document_id order by rank, pos) as int) as rank from l")
+def scenario_level_order_all(r):
     return H.ranked_scenarios(_scenarios(r)).select("document_id", "scenario_id", "rank")
 
 

@@ -1,12 +1,14 @@
 import gzip
 import io
 import json
+import random
 import tarfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import controls, discovery, editors, graph, hazard, ingest, integrity, knowledge, risks
+from faultline.plans import catalogue
 from faultline.schemas import SCHEMAS, empty
 from faultline.sources import documents, sinks
 from faultline.streaming import incidents
@@ -232,3 +234,22 @@ def test_stream(spark, tmp_path, sf):
     batch = incidents.windowed_history(incidents.incidents(events))
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.collect())) and batch.count() > 0
     assert incidents.sessions(incidents.incidents(events)).agg(F.sum("n")).first()[0] == events.filter("event_type = 'error'").count()
+
+
+def test_parents_without_pairs(spark):
+    """Parents of many equal titles, with equal places and missing titles, by brute force; no join lists pairs."""
+    r = random.Random(1)
+    title = lambda: r.choice([None, "a", "b", "c"])
+    rows = [(i, r.randrange(40), title(), r.choice(["top", "intermediate", "immediate", "odd"]), title()) for i in range(150)]
+    df = spark.createDataFrame(rows, "scenario_id long, pos int, title string, level string, parent_title string")
+    found = hazard.resolve_parents(df)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    at = lambda x: (hazard.LEVELS.get(x[3], 0), x[1])
+    expected = {x[0]: max(((at(y), y[0]) for y in rows if y[2] is not None and y[2] == x[4] and at(y) < at(x)), default=(None, None))[1] for x in rows}
+    assert {x.scenario_id: x.parent_id for x in found.collect()} == expected
+
+
+def test_scenarios_of_all_orders(spark, sf):
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    for name in ("scenario_parent_resolve_all", "scenario_level_order_all"):
+        assert catalogue.queries()[name](spark, sf).count() == n
