@@ -123,12 +123,23 @@ def risk_accept_apply(r):
   select risk_code, string_agg(control_code || ':' || coalesce(types, ''), ',' order by control_code) as controls from risk r join risk_control b on b.risk_id = r.id join control c on c.id = b.control_id
   left join t on t.risk_id = b.risk_id and t.control_id = b.control_id where score >= 70 group by risk_code""")
 def risk_context_controls(r):
+    return _context_controls(r, r.risk.filter("score >= 70"))
+
+
+def _context_controls(r, risk):
     """Nested context, flattened for comparison."""
-    df = R.context(r.risk.filter("score >= 70"), r.risk_control, r.control, r.evidence).filter(F.size("controls") > 0)
+    df = R.context(risk, r.risk_control, r.control, r.evidence).filter(F.size("controls") > 0)
     flat = F.array_join(F.transform("controls", lambda c: F.concat(c["control_code"], F.lit(":"), F.array_join(c["evidence_types"], "+"))), ",")
     return df.select("risk_code", flat.alias("controls"))
 
 
+@query("risk risk_control control evidence", """t as (select risk_id, control_id, string_agg(distinct type, '+' order by type) as types from evidence group by all)
+  select risk_code, string_agg(control_code || ':' || coalesce(types, ''), ',' order by control_code) as controls from risk r join risk_control b on b.risk_id = r.id join control c on c.id = b.control_id
+  left join t on t.risk_id = b.risk_id and t.control_id = b.control_id group by risk_code""")
+def risk_context_controls_all(r):
+    return _context_controls(r, r.risk)
+
+
 @query("", """select l_orderkey as risk_id, l_returnflag as source, cast(sum(case when l_returnflag = 'R' then -cast(l_quantity as bigint) else cast(l_quantity as bigint) end) as bigint) as points, count(*) as factors
   from lineitem group by all""")
 def score_breakdown(r):
@@ -139,7 +150,17 @@ def score_breakdown(r):
 @query("risk risk_control control", """select risk_code, coalesce(string_agg(control_code || '/' || type, ',' order by control_code), '') as mapped from risk r left join risk_control b on b.risk_id = r.id left join control c on c.id = b.control_id
   where r.id % 20 = 0 group by risk_code""")
 def risk_detail(r):
-    df = R.detail(r.risk.filter("id % 20 = 0"), r.risk_control, r.control)
+    return _detail(r, r.risk.filter("id % 20 = 0"))
+
+
+@query("risk risk_control control", """select risk_code, coalesce(string_agg(control_code || '/' || type, ',' order by control_code), '') as mapped from risk r left join risk_control b on b.risk_id = r.id left join control c on c.id = b.control_id
+  group by risk_code""")
+def risk_detail_all(r):
+    return _detail(r, r.risk)
+
+
+def _detail(r, risk):
+    df = R.detail(risk, r.risk_control, r.control)
     flat = F.array_join(F.transform("mapped_controls", lambda c: F.concat(c["control_code"], F.lit("/"), c["type"])), ",")
     return df.select("risk_code", F.coalesce(flat, F.lit("")).alias("mapped"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators import controls, discovery, editors, graph, hazard, ingest, integrity, knowledge, risks
 from faultline.plans import catalogue
+from faultline.plans.relations import Relations
 from faultline.schemas import SCHEMAS, empty
 from faultline.sources import documents, sinks
 from faultline.streaming import incidents
@@ -253,3 +254,10 @@ def test_scenarios_of_all_orders(spark, sf):
     n = spark.read.parquet(f"{sf}/orders.parquet").count()
     for name in ("scenario_parent_resolve_all", "scenario_level_order_all"):
         assert catalogue.queries()[name](spark, sf).count() == n
+
+
+def test_detail_and_context_of_all_risks(spark, sf):
+    r = Relations(spark, sf)
+    mapped = r.risk_control.join(r.risk.select(F.col("id").alias("risk_id")), "risk_id").select("risk_id").distinct().count()
+    assert catalogue.queries()["risk_detail_all"](spark, sf).count() == r.risk.count()
+    assert catalogue.queries()["risk_context_controls_all"](spark, sf).count() == mapped
