@@ -145,17 +145,16 @@ def clause_sums(text: str, terms: tuple) -> list[float]:
         if start not in hits or hits[start][0] < weight:
             hits[start] = (weight, symbol)
     sums = dict.fromkeys(KINDS, 0.0)
-    done = -1
+    done = 0
     for start in sorted(hits):
         if start < done:
             continue
-        low = 0
-        # The clause around the hit: back to the last mark and on to the next one.
-        for m in _CLAUSE_END.finditer(text, max(done, 0, start - 400), start):
+        # The clause around the hit, however long: back to the last mark and on to the next one.
+        low = done
+        for m in _CLAUSE_END.finditer(text, done, start):
             low = m.end()
-        low = max(low, done, start - 400, 0)
-        m = _CLAUSE_END.search(text, start, min(n, start + 400))
-        done = m.end() if m else min(n, start + 400)
+        m = _CLAUSE_END.search(text, start)
+        done = m.end() if m else n
         words = [(w.start(), w[0]) for w in _WORD.finditer(text, low, done)]
         symbols = [hits[at][1] if at in hits else _FUNCTION.get(w, OTHER) for at, w in words]
         for (at, _), out in zip(words, run_clause(symbols)):

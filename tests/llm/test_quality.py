@@ -127,3 +127,15 @@ def test_grammar():
     sums = clause_sums("You idiot. The plan is sound: not an idiot! He said idiot, x\nchllado idiotic", terms)
     # insult, directed, negated, reported, threat; idiotic is another word.
     assert sums == [1.0, 2.0, 2.0, 2.0, 0.0]
+
+
+def test_long_clauses():
+    """Clauses are read to their marks, however long."""
+    terms, far = (("idiot", False, 1.5),), "wort " * 300
+    assert clause_sums(f"He said {far} idiot", terms) == clause_sums("He said idiot", terms) != clause_sums("idiot", terms)
+    assert clause_sums(f"He said {far} idiot {far} idiot", terms) == clause_sums("He said idiot wort idiot", terms)
+    # 400 characters after the first hit a cut would fall between the threat and its target.
+    between = "wort " * 78
+    threat = clause_sums(f"idiot {between}kill you", terms)
+    assert threat[[INSULT, DIRECTED, NEGATED, REPORTED, THREAT].index(THREAT)] == 1
+    assert clause_sums(f"He said {far}. {far} idiot", terms) == clause_sums("idiot", terms)
