@@ -38,7 +38,6 @@ CUTOFF = 0.3
 #: A learned term stands in at least so many surroundings in toxic documents, is so much commoner there, makes up this
 #: share of all at the labels' own rates, and is due to chance with at most this probability.
 LEAST_TOXIC, LEAST_RATIO, LEAST_SHARE, CHANCE = 4, 20.0, 0.8, 1e-6
-MAX_TERMS = 4000
 STEMS = (4, 5, 6, 7, 8)
 
 # Seed words of the transducers in four languages.
@@ -203,7 +202,7 @@ def _chance(k: int, n: int, p: float) -> float:
 
 
 def learn_terms(sample: DataFrame, n_toxic: int, n_clean: int, clean_weight: float = 1.0) -> list[tuple[str, bool, float]]:
-    """(term, whether a stem, weight): the seeds and what the sample teaches, at most MAX_TERMS.
+    """(term, whether a stem, weight): the seeds and all that the sample teaches; the sample bounds them.
 
     ``clean_weight`` says how many clean labelled rows a sampled one stands for, if a toxic one stands for itself.
     """
@@ -212,7 +211,7 @@ def learn_terms(sample: DataFrame, n_toxic: int, n_clean: int, clean_weight: flo
     if n_toxic and n_clean:
         counts = sample.mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         ratio = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1))
-        rows = counts.filter(F.col("term").isin(INSULTS) | ((F.col("toxic") >= LEAST_TOXIC) & (ratio >= LEAST_RATIO))).orderBy(F.desc("toxic"), "term").limit(10 * MAX_TERMS).collect()
+        rows = counts.filter(F.col("term").isin(INSULTS) | ((F.col("toxic") >= LEAST_TOXIC) & (ratio >= LEAST_RATIO))).select("term").collect()
         around = sample.mapInArrow(_surroundings(frozenset(r.term for r in rows)), "term string, label int, around string").distinct()
         p = n_toxic / (n_toxic + n_clean)
         for r in around.groupBy("term").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean")).collect():
@@ -240,7 +239,7 @@ def learn_terms(sample: DataFrame, n_toxic: int, n_clean: int, clean_weight: flo
     for term, stem, w in sorted(out.values(), key=lambda x: (x[1], -x[2], x[0])):
         if w > 0:
             best.setdefault(term, (term, stem, w))
-    return sorted(best.values())[:MAX_TERMS]
+    return sorted(best.values())
 
 
 def _features(sums: np.ndarray) -> np.ndarray:

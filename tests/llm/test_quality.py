@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm.quality_model import quality_scores
 from faultline.llm.quality_rules import COUNTS, GRIDS, RISK, _certified, cutoffs, quality_filtered, quality_verdicts
-from faultline.llm.toxicity import DIRECTED, INSULT, NEGATED, REPORTED, THREAT, clause_sums, run_clause, toxicity
+from faultline.llm.toxicity import DIRECTED, INSULT, INSULTS, NEGATED, REPORTED, THREAT, clause_sums, learn_terms, run_clause, toxicity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -139,3 +139,13 @@ def test_long_clauses():
     threat = clause_sums(f"idiot {between}kill you", terms)
     assert threat[[INSULT, DIRECTED, NEGATED, REPORTED, THREAT].index(THREAT)] == 1
     assert clause_sums(f"He said {far}. {far} idiot", terms) == clause_sums("idiot", terms)
+
+
+def test_all_terms_are_kept(spark):
+    """No number of learned terms drives out a seed or another term."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    learned = {name(i) for i in range(4200)}
+    rows = [(f"{' '.join(sorted(learned))} w{c}" if label else f"clean {c}", label) for c in "abcdefgh" for label in (1, 0) for _ in range(3)]
+    sample = spark.createDataFrame([(" ".join(random.Random(i).sample(text.split(), len(text.split()))), label) for i, (text, label) in enumerate(rows)], "text string, label int")
+    found = {t for t, stem, _ in learn_terms(sample, 24, 24) if not stem}
+    assert learned | set(INSULTS) <= found
