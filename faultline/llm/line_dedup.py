@@ -5,30 +5,30 @@ Units
     so that a passage set into a longer line is found too. Tokens with a digit are variable fields from the start.
 
 Method
-    Lines are parsed by a tree of fixed depth: the number of tokens, then the first ``DEPTH`` tokens. A leaf's lines
-    are grouped around templates: taken from the commonest on, a line joins the first template of which it has at
-    least ``SIMILAR`` of the tokens in place, and the tokens that differ become variable; otherwise it starts a
-    template. A sentence is a template of its own. A template that recurs in ``MIN_DOCS`` documents or more
-    (``MIN_DOCS_SHORT`` if it is short) is dropped from all of them, with the short sentences between two dropped ones.
+    Units are parsed by a tree of fixed depth: the number of tokens, then the first ``DEPTH`` tokens. Below them a token
+    that fewer than the required number of documents have at its place of the leaf can be no fixed part of a recurring
+    template, so it is a variable field. Of the other tokens one more may be variable. A unit so has a template for its
+    rare tokens and one for each further place, as long as ``SIMILAR_PERCENT`` of its tokens stay fixed; units of the same fixed
+    tokens share a template. A unit goes if it, or a template it has, recurs in ``MIN_DOCS`` documents or more
+    (``MIN_DOCS_SHORT`` if it is short); so do the short sentences between two that go.
     Documents that are near copies of each other count as one family: the component of the links that near-duplicate
-    detection confirms on shingle sets. The number of families alone decides, so copying a document does not make its
-    lines boilerplate, nor do copies keep a line that recurs elsewhere. A document that would lose all
-    its words is left as it is if it has a copy, equal or near; copies are for near-duplicate detection to judge.
+    detection confirms on shingle sets, among the documents with a unit that might recur (no other document can tell
+    whether it does). The number of families alone decides, so copying a document does not make its lines boilerplate,
+    nor do copies keep a line that recurs elsewhere. A document that would lose all its words is left as it is if it has
+    a copy, equal or near; copies are for near-duplicate detection to judge.
 
-    Units are hashed and counted before anything is grouped, so a line in a third of all documents is one row. A leaf
-    is grouped as a whole whatever its size: its sorted lines are streamed past its templates, and beyond
-    ``LEAF_LINES`` templates an index finds those that a line may join, with the same result. The hashes to drop are broadcast if there are at most
-    ``BROADCAST_LINES`` of them, and joined to the documents that have them otherwise.
+    Everything is counted by key with partial aggregation, so neither a line in a third of all documents nor a leaf of any
+    number of lines is in one task. Of a unit's families the first ``MIN_DOCS_SHORT`` are enough to tell whether its
+    templates recur. Hashes are broadcast if there are at most ``BROADCAST_LINES`` of them, and joined otherwise.
 
 Cases
     Null text stays null and empty text empty, with no lines. Shorter lines are kept, as is the white space between kept
-    units. Repeated rows and null doc_ids are treated row by row; ties between equally common lines go by hash. Empty
-    table: no rows. Other columns pass through untouched.
+    units. Repeated rows and null doc_ids are treated row by row; equal texts are one document when documents are
+    counted. Empty table: no rows. Other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,18 +36,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from faultline.llm._memory import released
-from faultline.llm._store import bounded_batches, stored
-from faultline.llm._text import BASE, BASE_INVERSE, SPACE_WORDS, Words, mix, power_table, words_of
+from faultline.llm._store import bounded_batches, by_position, dropped, stored
+from faultline.llm._text import BASE, BASE_INVERSE, SPACE_WORDS, Words, mix, power_table, utf8, words_of
 from faultline.llm.near_dedup import near_duplicates
 
-DEPTH, LEAF_LINES, SIMILAR = 4, 2000, 0.8
+DEPTH, SIMILAR_PERCENT = 4, 80
 MIN_TOKENS, SENTENCE_TOKENS, LONG_TOKENS = 3, 8, 8
 MIN_DOCS, MIN_DOCS_SHORT = 3, 8
 BROADCAST_LINES = 1_000_000
-#: Bits of the filters that keep texts from being looked at again; they only save work.
-FILTER_BITS = 1 << 24
+#: Tuples of either collection when families are looked for: a pair of similarity 0.75 shares a key with a probability of 0.997.
+FAMILY_TABLES = 8
 _U = np.uint64
 _VARIABLE = _U(0x5851F42D4C957F2D)
 _DIGIT = np.zeros(256, bool)
@@ -57,8 +58,8 @@ _STOP[[*b".!?"]] = True
 
 
 class Units:
-    """Lines and sentences of some rows as ranges of words: ``first``, ``last`` (past the end), ``hash``, ``row``, ``leaf``
-    (0 for sentences in lines of several), ``atom`` (whether a sentence). Order: lines, then sentences."""
+    """Lines and sentences of some rows as ranges of words: ``first``, ``last`` (past the end), ``hash``, ``row``,
+    ``leaf``, ``is_line``. Order: lines, then sentences of lines of several."""
 
     def __init__(self, w: Words):
         n, data = len(w.hash), w.data
@@ -82,24 +83,19 @@ class Units:
         whole = new_line[sentences] & (np.append(new_line, True)[sentence_end])
         part = (size >= SENTENCE_TOKENS) & ~whole
         long = (line_end - lines) >= MIN_TOKENS
-        single = np.zeros(n + 1, bool)
-        single[sentences[whole & (size >= SENTENCE_TOKENS)]] = True
         self.first = np.concatenate((lines[long], sentences[part]))
         self.last = np.concatenate((line_end[long], sentence_end[part]))
         self.row = self.word_row[self.first] if n else np.zeros(0, np.int64)
         self.hash = self.of(self.first, self.last).view(np.int64)
-        own = np.arange(len(self.first)) < long.sum()
-        self.is_line = own
-        leaf = self.of(self.first, np.minimum(self.first + DEPTH, self.last), self.last - self.first).view(np.int64)
-        self.leaf = np.where(own, np.where(leaf == 0, 1, leaf), 0)
-        self.atom = ~own | single[self.first]
+        self.is_line = np.arange(len(self.first)) < long.sum()
+        self.leaf = self.of(self.first, np.minimum(self.first + DEPTH, self.last), self.last - self.first).view(np.int64)
 
     def of(self, first: np.ndarray, last: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
         """Hash of words first .. last - 1 and their number (or another)."""
         return mix((self.total[last] - self.total[first]) * self.inverse[first] + (last - first if count is None else count).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
-UNITS = "line long, leaf long, n int, atom boolean, source long"
+UNITS = "line long, leaf long, n int, source long"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,174 +104,140 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sources = batch.column(0).to_numpy(zero_copy_only=False)
         for low, _, w in words_of(batch.column(1), SPACE_WORDS):
             u = Units(w)
-            order = np.lexsort((-np.abs(u.leaf), u.hash, u.row))
+            order = np.lexsort((u.hash, u.row))
             row, line = u.row[order], u.hash[order]
             keep = np.ones(len(order), bool)
             keep[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
             at = order[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(u.hash[at]), pa.array(u.leaf[at]), pa.array((u.last - u.first)[at], pa.int32()), pa.array(u.atom[at]), pa.array(sources[low + u.row[at]], pa.int64())], ["line", "leaf", "n", "atom", "source"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(u.hash[at]), pa.array(u.leaf[at]), pa.array((u.last - u.first)[at], pa.int32()), pa.array(sources[low + u.row[at]], pa.int64())], ["line", "leaf", "n", "source"])
 
 
-def _has_bit(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = x % FILTER_BITS
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def _filter_of(df: DataFrame, column: str) -> bytes:
-    """A bitmap of FILTER_BITS of a column of longs; what comes to the driver is that large at most."""
-    at = F.pmod(column, F.lit(FILTER_BITS))
-    words = df.select(F.floor(at / 32).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod({column}, {FILTER_BITS}) % 32 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 32, "<u4")
-    bits[[r.w for r in words]] = [r.bits for r in words]
-    return bits.tobytes()
-
-
-def _tokens_in(bits: bytes):
-    """(line, tokens as 32-bit hashes) of the different lines of a batch whose leaf may be in the filter."""
+def _tokens_of(wanted: np.ndarray | None):
+    """(line, tokens as 32-bit hashes) of the different units of a batch, those in ``wanted`` (sorted) only if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bits, np.uint8)
         for batch in batches:
             for _, _, w in words_of(batch.column(0), SPACE_WORDS):
                 u = Units(w)
-                at = np.flatnonzero(u.is_line & _has_bit(table, u.leaf))
-                tokens = (u.tokens >> _U(32)).astype(np.uint32)
-                out = {int(u.hash[i]): tokens[u.first[i] : u.last[i]].tobytes() for i in at}
-                yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.binary())], ["line", "tokens"])
+                at = np.arange(len(u.hash)) if wanted is None else np.flatnonzero(_in(wanted, u.hash))
+                at = at[np.unique(u.hash[at], return_index=True)[1]]
+                tokens = (u.tokens >> _U(32)).astype(np.int64)
+                lists = [tokens[a:b] for a, b in zip(u.first[at].tolist(), u.last[at].tolist())]
+                bounds = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(u.hash[at]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))], ["line", "tokens"])
 
     return run
 
 
-class Templates:
-    """The templates of a leaf's lines of ``n`` tokens, in the order in which they were made.
-
-    Up to ``LEAF_LINES`` of them are compared with a line one and all. Beyond, only those that agree with it in all of
-    some ``parts`` of the places are: of a template that a line may join, at most ``n - least`` places differ, so one
-    part at least has none of them. Both find the same template.
-    """
-
-    def __init__(self, n: int):
-        self.n, self.least, self.names = n, math.ceil(SIMILAR * n), []
-        self.tokens, self.fixed = np.zeros((16, n), np.uint32), np.ones((16, n), bool)
-        self.index: dict[tuple[int, bytes], list[int]] | None = None
-        # The first tokens are those of the leaf. If one place may differ, a part is all but one.
-        rest, differ = np.arange(min(DEPTH, n), n), n - self.least
-        self.parts = [np.delete(rest, i) for i in range(len(rest))] if differ == 1 and len(rest) else np.array_split(rest, differ + 1)
-
-    def _keys(self, t: np.ndarray) -> list[tuple[int, bytes]]:
-        return [(i, t[at].tobytes()) for i, at in enumerate(self.parts)]
-
-    def _first(self, t: np.ndarray) -> int | None:
-        """The first template that ``t`` may join."""
-        if len(self.names) <= LEAF_LINES:
-            same = (self.tokens[: len(self.names)] == t) & self.fixed[: len(self.names)]
-            enough = np.flatnonzero(same.sum(axis=1) >= self.least)
-            return int(enough[0]) if len(enough) else None
-        if self.index is None:
-            self.index = {}
-            for i in range(len(self.names)):
-                for key in self._keys(self.tokens[i]):
-                    self.index.setdefault(key, []).append(i)
-        best = len(self.names)
-        for key in self._keys(t):
-            known, low, size = self.index.get(key, ()), 0, 16
-            while low < len(known) and known[low] < best:
-                at = np.array(known[low : low + size])
-                enough = np.flatnonzero(((self.tokens[at] == t) & self.fixed[at]).sum(axis=1) >= self.least)
-                if len(enough):
-                    best = min(best, int(at[enough[0]]))
-                    break
-                low, size = low + size, 4 * size
-        return best if best < len(self.names) else None
-
-    def of(self, line: int, t: np.ndarray) -> int:
-        """The name of the template that ``line`` joins or starts."""
-        found = self._first(t)
-        if found is not None:
-            self.fixed[found] &= self.tokens[found] == t
-            return self.names[found]
-        at = len(self.names)
-        if at == len(self.tokens):
-            self.tokens, self.fixed = np.concatenate((self.tokens, np.zeros_like(self.tokens))), np.concatenate((self.fixed, np.ones_like(self.fixed)))
-        self.tokens[at] = t
-        self.names.append(line)
-        if self.index is not None:
-            for key in self._keys(t):
-                self.index.setdefault(key, []).append(at)
-        return line
-
-
-def group_leaf(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
-    """(line, template) of a leaf's lines, given as (line, documents, tokens); a template is named by its first line."""
-    rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-    templates = Templates(len(rows[0][2]) // 4) if rows else None
-    return [(line, templates.of(line, np.frombuffer(tokens, np.uint32))) for line, _, tokens in rows]
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(line, template) of rows (leaf, line, tokens) that come leaf by leaf, each leaf's commonest lines first."""
-    leaf, templates = None, None
+def _in(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x if len(sorted_) else np.zeros(len(x), bool)
+
+
+def template_keys(leaf: int, tokens: np.ndarray, rare: np.ndarray) -> list[int]:
+    """Hashes of a unit's templates: that of its rare tokens, then those of one further variable place."""
+    n = len(tokens)
+    spare = (100 - SIMILAR_PERCENT) * n // 100 - int(rare.sum())
+    if spare < 0:
+        return []
+    power = power_table("power", BASE, n)[:n]
+    fixed = mix(np.where(rare, _VARIABLE, tokens.astype(np.uint64))) * power
+    base = np.array([leaf], np.int64).view(np.uint64) + fixed.sum(dtype=np.uint64)
+    places = np.flatnonzero(~rare[DEPTH:]) + DEPTH if spare else np.zeros(0, np.int64)
+    return mix(np.concatenate((base, base - fixed[places] + mix(np.array([_VARIABLE])) * power[places]))).view(np.int64).tolist()
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, line) of each unit's templates, from rows (line, leaf, tokens, rare)."""
     for batch in batches:
-        lines, names = batch.column(1).to_pylist(), []
-        for of_leaf, line, tokens in zip(batch.column(0).to_pylist(), lines, batch.column(2)):
-            t = np.frombuffer(tokens.as_buffer(), np.uint32)
-            if templates is None or of_leaf != leaf or len(t) != templates.n:
-                leaf, templates = of_leaf, Templates(len(t))
-            names.append(templates.of(line, t))
-        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(names, pa.int64())], ["line", "template"])
+        keys, lines = [], []
+        for line, leaf, tokens, rare in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            own = template_keys(leaf, tokens.values.to_numpy(), np.isin(np.arange(len(tokens)), rare.values.to_numpy() if rare.is_valid else []))
+            keys += own
+            lines += [line] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.int64())], ["key", "line"])
 
 
 def _enough(docs: str):
     return F.col(docs) >= F.when(F.col("n") >= LONG_TOKENS, MIN_DOCS).otherwise(MIN_DOCS_SHORT)
 
 
-def _source():
-    return F.xxhash64("text")
+def _source(text: str = "text"):
+    return F.xxhash64(text)
+
+
+def _few(table: DataFrame, n: int) -> DataFrame:
+    """``table`` for a join, broadcast if its ``n`` rows are few enough."""
+    return F.broadcast(table) if n <= BROADCAST_LINES else table.hint("merge")
 
 
 def units_of(docs: DataFrame) -> DataFrame:
-    """(line, leaf, n, atom, source): the different units of each different text, stored."""
+    """(line, leaf, n, source): the different units of each row's text, stored; equal texts have the same source."""
     bounded_batches(docs.sparkSession)
     text = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").select(_source().alias("source"), "text")
-    return stored(text.mapInArrow(released(_units), UNITS).distinct(), "lines")
-
-
-def families_of(docs: DataFrame) -> DataFrame:
-    """(source, family, copied): the component of near copies of each different text, and whether more than one row is in it; stored."""
-    text = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").select(_source().alias("doc_id"), "text")
-    found = near_duplicates(text).groupBy("doc_id").agg(F.min("component_id").alias("family"), F.count(F.lit(1)).alias("rows"))
-    found = stored(found.withColumnRenamed("doc_id", "source"), "lines-families")
-    large = stored(found.groupBy("family").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("family", F.lit(True).alias("copied")), "lines-copied")
-    return stored(found.join(large, "family", "left").select("source", "family", F.coalesce("copied", F.lit(False)).alias("copied")), "lines-families")
-
-
-def recurring_lines(docs: DataFrame, seen: DataFrame | None = None, family: DataFrame | None = None) -> DataFrame:
-    """(line): the hashes of the units whose template recurs."""
-    seen = units_of(docs) if seen is None else seen
-    family = families_of(docs) if family is None else family
-    counted = stored(seen.groupBy("line", "n").agg(F.count(F.lit(1)).alias("docs"), F.max_by("leaf", F.abs("leaf")).alias("leaf")), "lines-counted")
-    often = stored(seen.join(counted.filter(_enough("docs")).select("line"), "line").select("line", "n", "source"), "lines-often")
-    alone = often.join(family, "source").groupBy("line", "n").agg(F.countDistinct("family").alias("docs")).filter(_enough("docs")).select("line")
-    # Leaves in which several lines could make up a recurring template together.
-    lines = counted.filter("leaf <> 0")
-    leaves = stored(lines.groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("lines"), F.sum("docs").alias("docs")).filter((F.col("lines") > 1) & _enough("docs")).select("leaf", "n", "lines"), "lines-leaves")
-    placed = stored(lines.join(leaves, ["leaf", "n"]), "lines-placed")
-    carriers = stored(seen.filter("leaf <> 0").join(placed.select("line"), "line", "left_semi").select("source").distinct(), "lines-carriers")
-    few = carriers.count() <= BROADCAST_LINES
-    text = docs.select(F.col("text").cast("string").alias("text")).withColumn("source", _source()).join(F.broadcast(carriers) if few else carriers.hint("merge"), "source", "left_semi").select("text")
-    tokens = text.mapInArrow(released(_tokens_in(_filter_of(placed, "leaf"))), "line long, tokens binary").groupBy("line").agg(F.first("tokens").alias("tokens"))
-    # A leaf's lines are read one after another in their order, so only its templates are held at once.
-    nodes = placed.join(tokens, "line").select("leaf", "n", "docs", "line", "tokens").repartition("leaf", "n").sortWithinPartitions("leaf", "n", F.desc("docs"), "line")
-    templates = stored(nodes.select("leaf", "line", "tokens").mapInArrow(released(_grouped), "line long, template long"), "lines-templates")
-    # A template's documents: those with any of its lines, each once.
-    shared = templates.groupBy("template").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("template")
-    members = stored(templates.join(shared, "template"), "lines-members")
-    carried = stored(seen.filter("leaf <> 0").select("line", "n", "source").join(members, "line"), "lines-carried")
-    frequent = carried.join(family, "source").groupBy("template", "n").agg(F.countDistinct("family").alias("docs")).filter(_enough("docs")).select("template")
-    together = members.join(frequent, "template").select("line")
-    return alone.union(together).distinct()
+    return stored(text.mapInArrow(released(_units), UNITS), "lines")
+
+
+class Candidates:
+    """Units that might recur, and the families of the texts that have them. ``drop`` deletes its tables."""
+
+    def __init__(self, docs: DataFrame, seen: DataFrame):
+        several = [F.count(F.lit(1)).alias("rows"), F.min("source").alias("s0"), F.max("source").alias("s1")]
+        counted = stored(seen.groupBy("line", "leaf", "n").agg(*several), "lines-counted")
+        alone = counted.filter((F.col("s0") != F.col("s1")) & _enough("rows")).select("line", "leaf", "n")
+        # Leaves in which several units could make up a recurring template together.
+        by_leaf = counted.groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("lines"), F.sum("rows").alias("rows"), F.min("s0").alias("s0"), F.max("s1").alias("s1"))
+        leaves = stored(by_leaf.filter((F.col("lines") > 1) & (F.col("s0") != F.col("s1")) & _enough("rows")).select("leaf", "n"), "lines-leaves")
+        together = counted.join(_few(leaves, leaves.count()), ["leaf", "n"], "left_semi").select("line", "leaf", "n")
+        self.lines = stored(alone.unionByName(together).distinct(), "lines-candidates")
+        n_lines = self.lines.count()
+        carried = stored(seen.select("line", "source").join(_few(self.lines, n_lines), "line").select("line", "leaf", "n", "source").distinct(), "lines-carried")
+        dropped(counted, leaves)
+        self.sources = stored(carried.select("source").distinct(), "lines-sources")
+        self.n_sources = self.sources.count()
+        text = docs.select(F.col("text").cast("string").alias("text")).withColumn("source", _source()).join(_few(self.sources, self.n_sources), "source", "left_semi")
+        # Read several times: where they are few it is a scan with a filter, else they are gathered once.
+        self.text = text if self.n_sources <= BROADCAST_LINES else stored(text, "lines-texts")
+        found = near_duplicates(self.text.select(F.col("source").alias("doc_id"), "text"), tables=FAMILY_TABLES)
+        found = stored(found.groupBy("doc_id").agg(F.min("component_id").alias("family"), F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "source"), "lines-families")
+        large = stored(found.groupBy("family").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("family", F.lit(True).alias("copied")), "lines-copied")
+        #: (source, family, copied): copied says whether more than one row is in the family.
+        self.family = stored(found.join(large, "family", "left").select("source", "family", F.coalesce("copied", F.lit(False)).alias("copied")), "lines-families")
+        dropped(found, large)
+        #: (line, leaf, n, family), each once.
+        self.carried = stored(carried.join(_few(self.family.select("source", "family"), self.n_sources), "source").select("line", "leaf", "n", "family").distinct(), "lines-families-of")
+        dropped(carried)
+
+    def drop(self) -> None:
+        dropped(self.lines, self.sources, self.carried, *([self.text] if self.n_sources > BROADCAST_LINES else []))
+
+
+def recurring_lines(candidates: Candidates) -> DataFrame:
+    """(line): the hashes of the units that go; stored."""
+    carried = candidates.carried
+    alone = carried.groupBy("line", "n").agg(F.count(F.lit(1)).alias("docs")).filter(_enough("docs")).select("line")
+    # Leaves of several units that enough families have.
+    wide = carried.groupBy("leaf", "n").agg(F.min("line").alias("l0"), F.max("line").alias("l1"), F.count_distinct("family").alias("docs")).filter((F.col("l0") != F.col("l1")) & _enough("docs")).select("leaf", "n")
+    wide = stored(wide, "lines-wide")
+    few = stored(
+        carried.join(_few(wide, wide.count()), ["leaf", "n"], "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("line").orderBy("family"))).filter(F.col("place") <= MIN_DOCS_SHORT).select("line", "leaf", "n", "family"),
+        "lines-few",
+    )
+    units = stored(few.groupBy("line", "leaf", "n").agg(F.count(F.lit(1)).alias("docs")), "lines-units")
+    n_units = units.count()
+    wanted = np.sort(units.select("line").toArrow().column("line").to_numpy().astype(np.int64)) if n_units <= BROADCAST_LINES else None
+    tokens = candidates.text.select("text").mapInArrow(released(_tokens_of(wanted)), "line long, tokens array<long>").dropDuplicates(["line"])
+    tokens = stored(units.join(tokens, "line"), "lines-tokens")
+    places = tokens.select("line", "leaf", "n", "docs", F.posexplode("tokens").alias("place", "token")).filter(F.col("place") >= DEPTH)
+    rare = stored(places.groupBy("leaf", "n", "place", "token").agg(F.sum("docs").alias("docs")).filter(~_enough("docs")).select("leaf", "n", "place", "token"), "lines-rare")
+    masks = places.join(rare, ["leaf", "n", "place", "token"]).groupBy("line").agg(F.collect_list("place").alias("rare"))
+    keys = tokens.select("line", "leaf", "tokens").join(masks, "line", "left").mapInArrow(released(_keyed), "key long, line long")
+    keys = stored(keys, "lines-keys")
+    shared = keys.groupBy("key").agg(F.min("line").alias("l0"), F.max("line").alias("l1")).filter("l0 <> l1").select("key")
+    members = stored(keys.join(shared, "key", "left_semi"), "lines-members")
+    often = members.join(few.select("line", "n", "family"), "line").select("key", "n", "family").distinct().groupBy("key", "n").agg(F.count(F.lit(1)).alias("docs")).filter(_enough("docs")).select("key")
+    out = stored(alone.union(members.join(often, "key", "left_semi").select("line")).distinct(), "lines-recurring")
+    dropped(wide, few, units, tokens, rare, keys, members)
+    return out
 
 
 def _cuts(u: Units, w: Words, gone: np.ndarray, copied: np.ndarray) -> dict[int, tuple[list[tuple[int, int]], int]]:
@@ -324,11 +286,21 @@ def _cuts(u: Units, w: Words, gone: np.ndarray, copied: np.ndarray) -> dict[int,
     return out
 
 
+def _lines_with_words(column: pa.Array) -> np.ndarray:
+    """Lines of each row that are not blank."""
+    offsets, data = utf8(column)
+    words = SPACE_WORDS[data]
+    seen = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(words, out=seen[1:])
+    ends = np.union1d(np.flatnonzero(data == 10), offsets[1:])
+    begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    full = np.concatenate(([0], np.cumsum(seen[ends] > seen[begins])))
+    return full[np.searchsorted(ends, offsets[1:], "right")] - full[np.searchsorted(ends, offsets[:-1], "right")]
+
+
 def _rewritten(column: pa.Array, look: np.ndarray, copied: np.ndarray, gone_of) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
     """New texts (null where a text stays as it is), lines with words and dropped units of each row; ``look`` says which rows may change, ``copied`` which have a copy."""
-    texts, n_lines, n_dropped = [None] * len(column), np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
-    filled = column.fill_null("")
-    n_lines[:] = pc.count_substring_regex(filled, r"[^\x09-\x0D\x20][^\n]*").to_numpy(zero_copy_only=False)
+    texts, n_lines, n_dropped = [None] * len(column), _lines_with_words(column), np.zeros(len(column), np.int64)
     at = np.flatnonzero(look)
     for low, _, w in words_of(column.take(pa.array(at)), SPACE_WORDS, fold=False):
         folded = Words(w.data, w.offsets, SPACE_WORDS, True)
@@ -348,69 +320,68 @@ def _rewritten(column: pa.Array, look: np.ndarray, copied: np.ndarray, gone_of)
     return texts, n_lines, n_dropped
 
 
-def without_recurring(docs: DataFrame, lines: DataFrame, seen: DataFrame | None = None, family: DataFrame | None = None) -> DataFrame:
-    """``docs`` with ``lines`` (hashes of units) gone from text, and n_lines and n_dropped as last columns."""
-    seen = units_of(docs) if seen is None else seen
-    family = families_of(docs) if family is None else family
-    lines = stored(lines, "lines-recurring")
-    columns, at = docs.columns, docs.columns.index("text")
-    schema = docs.withColumn("text", F.col("text").cast("string")).schema.add("n_lines", "long").add("n_dropped", "long")
-    key = "source_" + "_".join(columns)  # a name that no column has
-    keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn(key, _source())
+def without_recurring(docs: DataFrame, lines: DataFrame, seen: DataFrame, family: DataFrame) -> DataFrame:
+    """``docs`` (columns named by position, text the last) with ``lines`` (hashes of units) gone from text, and n_lines and n_dropped as last columns."""
+    columns = docs.columns
+    *others, text = columns
+    docs = docs.withColumn(text, F.col(text).cast("string"))
+    schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
+    n_lines = lines.count()
+    touched = stored(seen.select("line", "source").join(_few(lines, n_lines), "line").distinct(), "lines-touched")
 
     def rows(batch: pa.RecordBatch, look: np.ndarray, gone_of) -> pa.RecordBatch:
-        old = batch.column(at)
-        copied = batch.column(len(columns) + 1).fill_null(False).to_numpy(zero_copy_only=False)
-        texts, n_lines, n_dropped = _rewritten(old, look, copied, gone_of)
+        old = batch.column(len(others))
+        copied = batch.column(len(others) + 1).fill_null(False).to_numpy(zero_copy_only=False)
+        texts, counts, gone = _rewritten(old, look, copied, gone_of)
         changed = pa.array([t is not None for t in texts], pa.bool_())
-        arrays = [*batch.columns[: len(columns)], pa.array(n_lines), pa.array(n_dropped)]
-        arrays[at] = pc.if_else(changed, pa.array([None if t is None else t.decode("utf-8") for t in texts], pa.string()), old)
-        return pa.RecordBatch.from_arrays(arrays, [*columns, "n_lines", "n_dropped"])
-
-    few = lines.count() <= BROADCAST_LINES
-    touched = stored(seen.join(F.broadcast(lines) if few else lines, "line").select("source", "line"), "lines-touched")
-    # Only texts with a unit that goes need to know whether they have a copy.
-    copies = stored(family.filter("copied").join(touched.select("source").distinct(), "source").select(F.col("source").alias(key), F.lit(True).alias(f"{key}_copied")), "lines-copies")
-    keyed = keyed.join(F.broadcast(copies) if copies.count() <= BROADCAST_LINES else copies.hint("merge"), key, "left")
-    if few:
-        table = np.sort(lines.toArrow().column("line").to_numpy().astype(np.int64)).tobytes()
-        bits = _filter_of(touched.select("source"), "source")
+        new = pc.if_else(changed, pa.array([None if t is None else t.decode("utf-8") for t in texts], pa.string()), old)
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(others)], new, pa.array(counts), pa.array(gone)], [*others, text, "n_lines", "n_dropped"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            drop, filter_ = np.frombuffer(table, np.int64), np.frombuffer(bits, np.uint8)
-
-            def gone_of(_, found):
-                if not len(drop):
-                    return np.zeros(len(found), bool)
-                return drop[np.minimum(np.searchsorted(drop, found), len(drop) - 1)] == found
+    # Only texts with a unit that goes are looked at; whether they have a copy is known of each of them.
+    sources = touched.select("source").distinct()
+    if n_lines <= BROADCAST_LINES:
+        hit = stored(sources.join(family.select("source", "copied"), "source"), "lines-hit")
+        table = np.sort(lines.toArrow().column("line").to_numpy().astype(np.int64))
+        keyed = docs.join(_few(hit, hit.count()), _source(text) == F.col("source"), "left").select(*columns, "copied")
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield rows(batch, _has_bit(filter_, batch.column(len(columns)).to_numpy(zero_copy_only=False)), gone_of)
+                yield rows(batch, batch.column(len(others) + 1).is_valid().to_numpy(zero_copy_only=False), lambda _, found: _in(table, found))
 
-        return keyed.select(*[F.col(f"`{c}`") for c in columns], key, f"{key}_copied").mapInArrow(released(run), schema)
+        return keyed.mapInArrow(released(run), schema)
 
     # Too many to broadcast: each text is joined to those of its own units that go.
-    own = touched.groupBy(F.col("source").alias(key)).agg(F.collect_list("line").alias(f"{key}_drop"))
+    own = stored(touched.groupBy("source").agg(F.collect_list("line").alias("drop")).join(family.select("source", "copied"), "source"), "lines-hit")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            drops = [frozenset(d or ()) for d in batch.column(len(columns)).to_pylist()]
+            drops = [frozenset(d or ()) for d in batch.column(len(others) + 2).to_pylist()]
             yield rows(batch, np.array([bool(d) for d in drops], bool), lambda row, found: np.fromiter((h in drops[r] for r, h in zip(row.tolist(), found.tolist())), bool, len(found)))
 
-    return keyed.join(own, key, "left").select(*[F.col(f"`{c}`") for c in columns], f"{key}_drop", f"{key}_copied").mapInArrow(released(run_joined), schema)
+    return docs.join(own.hint("merge"), _source(text) == F.col("source"), "left").select(*columns, "copied", "drop").mapInArrow(released(run_joined), schema)
+
+
+def _deduplicated(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` without recurring units, columns named by position, with n_lines and n_dropped; and the name of each column."""
+    rows, name = by_position(docs)
+    text = name["text"]
+    seen = units_of(docs)
+    candidates = Candidates(docs, seen)
+    lines = recurring_lines(candidates)
+    candidates.drop()
+    return without_recurring(rows.select(*[c for c in rows.columns if c != text], text), lines, seen, candidates.family), name
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, text without recurring lines and sentences, n_lines and n_dropped, one row a row of ``docs``."""
-    docs = docs.select("doc_id", "text")
-    seen, family = units_of(docs), families_of(docs)
-    return without_recurring(docs, recurring_lines(docs, seen, family), seen, family)
+    out, name = _deduplicated(docs.select("doc_id", "text"))
+    return out.select(F.col(name["doc_id"]).alias("doc_id"), F.col(name["text"]).alias("text"), "n_lines", "n_dropped")
 
 
 def lines_filtered(docs: DataFrame) -> DataFrame:
     """``docs`` without recurring lines and sentences; n_chars follows."""
-    columns, seen, family = docs.columns, units_of(docs), families_of(docs)
-    out = without_recurring(docs, recurring_lines(docs, seen, family), seen, family)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+    out, name = _deduplicated(docs)
+    if "n_chars" in name:
+        at = name["n_chars"]
+        out = out.withColumn(at, F.when(F.col("n_dropped") == 0, F.col(at)).otherwise(F.length(name["text"])).cast(docs.schema["n_chars"].dataType))
+    return out.select(*name.values()).toDF(*docs.columns)

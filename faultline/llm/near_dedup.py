@@ -12,28 +12,34 @@ Method
     Equal sets are one class, represented by its smallest doc_id. Members of a key are first linked to the key's
     smallest member (a star, not all pairs); each class keeps its best such candidate and the link is confirmed on
     the full sets. Keys whose members are by then in one component can tell nothing more. For the others this is done
-    again with candidates in other components, and the members of the keys that still join several go through an exact prefix-filter join for links across components, which are confirmed likewise. So no pair
-    within a key or a component is ever listed, and only links whose documents share no key at all are missed.
+    again with candidates in other components, and the members of the keys that still join several go through an
+    exact prefix-filter join for links across components, which are confirmed likewise. So no pair within a key or a
+    component is ever listed, and only links whose documents share no key at all are missed.
     What is counted by key is written before it is joined back, so both sides of each join come from a plain exchange
     and Spark splits a key that holds very many rows.
 
+    A table is deleted as soon as nothing reads it any more.
+
 Cases
-    Null or empty text, or text without words: empty set, n_shingles 0, linked with nothing, own component. Rows
-    that share a doc_id are one node, so they are in one component. Null doc_id: a row that takes no part,
-    component_id null, kept true. Columns other than doc_id and text are ignored, whatever their names.
+    Null or empty text, or text without words: empty set, n_shingles 0, linked with nothing. Rows that share a doc_id
+    are one node, whatever their texts: all of them are in one component, which joins what any of them is linked with.
+    Null doc_id: a row that takes no part, component_id null, kept true. Columns other than doc_id and text are
+    ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from faultline.llm._memory import released
-from faultline.llm._store import bounded_batches, stored
+from faultline.llm._store import bounded_batches, by_position, dropped, stored
 from faultline.llm._text import SPACE_WORDS, mix, words_of
 from faultline.llm.components import connected_components
 
@@ -41,17 +47,16 @@ SHINGLE = 5
 PERCENT = 75
 #: Tuples in each of the two collections, and minhashes in a tuple.
 TABLES, WIDTH = 12, 2
-#: A candidate pair whose minhashes agree in fewer places is dropped: at 0.75, fewer than 19 of 48 has a probability of 1e-7.
-LEAST_AGREEING = 19
+#: A candidate pair whose minhashes agree in so few places that a pair to be linked does so with this probability is dropped.
+MISSED = 1e-7
 #: Rounds of stars across components before the exact join.
 STAR_ROUNDS = 1
 #: Candidate ids that are broadcast as a filter of the documents (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-_N_HASHES = 2 * TABLES * WIDTH
 _rng = np.random.default_rng(7)
-_XOR = _rng.integers(0, 1 << 63, _N_HASHES, dtype=np.uint64) * np.uint64(2)
-_MUL = _rng.integers(0, 1 << 63, _N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _rng.integers(0, 1 << 63, 2 * TABLES * WIDTH, dtype=np.uint64) * np.uint64(2)
+_MUL = _rng.integers(0, 1 << 63, 2 * TABLES * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = _rng.integers(0, 1 << 63, 2 * TABLES, dtype=np.uint64)
 
 
@@ -84,32 +89,48 @@ def _signed(x: np.ndarray) -> pa.Array:
 FEATURES = "doc_id long, n_shingles long, s1 long, s2 long, tuples array<long>, sketch binary"
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0)
-        for low, high, sizes, values in shingle_sets(batch.column(1)):
-            n = high - low
-            full = np.flatnonzero(sizes)
-            s1, s2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            tuples, sketch = np.zeros((n, 2 * TABLES), np.uint64), np.zeros((n, _N_HASHES), np.uint8)
-            if len(full):
-                at = np.cumsum(sizes[full]) - sizes[full]
-                s1[full] = np.add.reduceat(mix(values ^ np.uint64(0xA5)), at)
-                s2[full] = np.bitwise_xor.reduceat(mix(values + np.uint64(0x5A)), at)
-                least = np.empty((len(full), _N_HASHES), np.uint64)
-                for k in range(_N_HASHES):
-                    least[:, k] = np.minimum.reduceat((values ^ _XOR[k]) * _MUL[k], at)
-                least = mix(least)
-                sketch[full] = (least >> np.uint64(17)).astype(np.uint8)
-                joined = _SALT[None, :].repeat(len(full), 0)
-                for j in range(WIDTH):
-                    joined = mix(joined * np.uint64(0x9E3779B97F4A7C15) + least[:, j::WIDTH])
-                tuples[full] = joined
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * 2 * TABLES, 2 * TABLES, dtype=np.int32)), _signed(tuples.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(low, n), pa.array(sizes, pa.int64()), _signed(s1), _signed(s2), lists, pa.array([r.tobytes() for r in sketch], pa.binary())],
-                ["doc_id", "n_shingles", "s1", "s2", "tuples", "sketch"],
-            )
+def _features(tables: int):
+    """Sums of each set, its 2 * ``tables`` tuples, and a byte of each minhash."""
+    n_hashes = 2 * tables * WIDTH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for low, high, sizes, values in shingle_sets(batch.column(1)):
+                n = high - low
+                full = np.flatnonzero(sizes)
+                s1, s2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+                tuples, sketch = np.zeros((n, 2 * tables), np.uint64), np.zeros((n, n_hashes), np.uint8)
+                if len(full):
+                    at = np.cumsum(sizes[full]) - sizes[full]
+                    s1[full] = np.add.reduceat(mix(values ^ np.uint64(0xA5)), at)
+                    s2[full] = np.bitwise_xor.reduceat(mix(values + np.uint64(0x5A)), at)
+                    least = np.empty((len(full), n_hashes), np.uint64)
+                    for k in range(n_hashes):
+                        least[:, k] = np.minimum.reduceat((values ^ _XOR[k]) * _MUL[k], at)
+                    least = mix(least)
+                    sketch[full] = (least >> np.uint64(17)).astype(np.uint8)
+                    joined = _SALT[None, : 2 * tables].repeat(len(full), 0)
+                    for j in range(WIDTH):
+                        joined = mix(joined * np.uint64(0x9E3779B97F4A7C15) + least[:, j::WIDTH])
+                    tuples[full] = joined
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * 2 * tables, 2 * tables, dtype=np.int32)), _signed(tuples.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(low, n), pa.array(sizes, pa.int64()), _signed(s1), _signed(s2), lists, pa.array([r.tobytes() for r in sketch], pa.binary())],
+                    ["doc_id", "n_shingles", "s1", "s2", "tuples", "sketch"],
+                )
+
+    return run
+
+
+def least_agreeing(n: int, percent: int) -> int:
+    """The smallest number of ``n`` minhashes that fewer of a linked pair agree in with a probability of at most MISSED."""
+    p, total = percent / 100, 0.0
+    for k in range(n + 1):
+        total += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if total > MISSED:
+            return k
+    return n
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +166,9 @@ def _confirm(percent: int):
     return run
 
 
-def _agreeing(x, y):
+def _agreeing(x: str, y: str):
     """Places in which two sketches agree."""
-    return F.expr(f"aggregate(sequence(1, {_N_HASHES}), 0, (n, i) -> n + if(substr({x}, i, 1) = substr({y}, i, 1), 1, 0))")
+    return F.expr(f"aggregate(sequence(1, length({x})), 0, (n, i) -> n + if(substr({x}, i, 1) = substr({y}, i, 1), 1, 0))")
 
 
 def _selected(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -162,20 +183,24 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, name: str) -> Da
     sets = stored(_selected(docs, ids).mapInArrow(released(_sets), "doc_id long, shingles binary"), f"{name}-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(released(_confirm(percent)), "a long, b long").distinct(), f"{name}-links")
+    links = stored(both.mapInArrow(released(_confirm(percent)), "a long, b long").distinct(), f"{name}-links")
+    dropped(pairs, ids, sets)
+    return links
 
 
-def _surviving_keys(classes: DataFrame) -> DataFrame:
-    """(id, key) of each table key both of whose tuples another class has too."""
+def _surviving_keys(classes: DataFrame, tables: int) -> DataFrame:
+    """(id, key) of each table key both of whose tuples another class has too; stored."""
     tuples = classes.select("id", F.posexplode("tuples").alias("t", "h"))
     shared = stored(tuples.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "near-shared-tuples")
     own = tuples.join(shared, "h", "left_semi").groupBy("id").agg(F.collect_list(F.struct("t", "h")).alias("own"))
-    own = own.select("id", F.expr(f"filter(own, x -> x.t < {TABLES})").alias("a"), F.expr(f"filter(own, x -> x.t >= {TABLES})").alias("b"))
-    return own.select("id", F.explode("a").alias("a"), "b").select("id", "a", F.explode("b").alias("b")).select("id", F.xxhash64("a.h", "b.h").alias("key"))
+    own = own.select("id", F.expr(f"filter(own, x -> x.t < {tables})").alias("a"), F.expr(f"filter(own, x -> x.t >= {tables})").alias("b"))
+    keys = stored(own.select("id", F.explode("a").alias("a"), "b").select("id", "a", F.explode("b").alias("b")).select("id", F.xxhash64("a.h", "b.h").alias("key")), "near-keys")
+    dropped(shared)
+    return keys
 
 
-def _open_rows(keys: DataFrame, component: DataFrame, turn: int = 0) -> DataFrame:
-    """(key, id, component, a) of keys that join two components or more; a is a member in another component than the row's.
+def _open_rows(keys: DataFrame, component: DataFrame, turn: int, name: str, make) -> DataFrame:
+    """``make`` of (key, id, component, a) of keys that join two components or more, stored; a is a member in another component than the row's.
 
     It is one of the key's members by a hash that is another each turn or, for rows of that one's component, one of the
     key's first or last component.
@@ -191,22 +216,27 @@ def _open_rows(keys: DataFrame, component: DataFrame, turn: int = 0) -> DataFram
     )
     ends = stored(ends.filter("c0 <> c1"), "near-open-keys")
     other = F.when(F.col("component") != F.col("any.component"), F.col("any.id")).when(F.col("component") != F.col("c0"), F.col("a0")).otherwise(F.col("a1"))
-    return rows.join(ends, "key").select("key", "id", "component", other.alias("a"))
+    out = stored(make(rows.join(ends, "key").select("key", "id", "component", other.alias("a"))), name)
+    dropped(rows, ends)
+    return out
 
 
 def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
-    """The components after ``links`` (a, b) between ids."""
+    """The components after ``links`` (a, b) between ids; stored in place of ``component``."""
     ends = links.join(component.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(component.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
     tops = connected_components(component.select(F.col("component").alias("id")).distinct(), ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    return stored(component.join(tops.select(F.col("id").alias("component"), F.col("component").alias("top")), "component").select("id", F.col("top").alias("component")), "near-components")
+    out = stored(component.join(tops.select(F.col("id").alias("component"), F.col("component").alias("top")), "component").select("id", F.col("top").alias("component")), "near-components")
+    dropped(component, links)
+    return out
 
 
-def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) across components that may be similar enough, by prefix and position filters.
+def _prefix_pairs(sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """All pairs (a, b) across components that may be similar enough, by prefix, size and position filters, and the tables they are made of.
 
     ``sets`` has id, component, size and tokens. Tokens are ordered from the rarest to the most common; two sets that
     overlap enough have their first common token within a short prefix of each, at places that leave enough to
-    overlap. Tokens that one set alone has only move the others' places, so they are never sent anywhere.
+    overlap. Tokens that one set alone has only move the others' places, so they are never sent anywhere. Sets of a
+    pair are of one band of sizes or of neighbouring ones, so a common token meets in its band alone.
     """
     rows = sets.select("id", "component", "size", F.explode("tokens").alias("token"))
     shared = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-shared-tokens")
@@ -215,65 +245,101 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     # The larger set of a pair looks in its prefix for percent, the smaller one in that for equal sizes.
     placed = stored(placed.filter(100 * F.col("place") <= (100 - percent) * F.col("size")), "near-placed")
     crossing = stored(placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("token"), "near-crossing")
-    placed = stored(placed.join(crossing, "token", "left_semi"), "near-crossing-placed")
-    large = placed.select("token", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "size", "place")])
-    small = placed.filter((100 + percent) * F.col("place") <= (100 - percent) * F.col("size")).select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "size", "place")])
+    crossed = stored(placed.join(crossing, "token", "left_semi"), "near-crossing-placed")
+    dropped(shared, placed, crossing)
+    # A band is twice as wide as a pair's sizes may be apart, so the smaller one is in the larger one's band or the next.
+    band = F.floor(F.ln("size") / (2 * math.log(100 / percent))).cast("int") if percent < 100 else F.lit(0)
+    large = crossed.withColumn("band", F.explode(F.array(band - 1, band))).select("token", "band", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "size", "place")])
+    small = crossed.filter((100 + percent) * F.col("place") <= (100 - percent) * F.col("size")).withColumn("band", band).select("token", "band", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "size", "place")])
     near = (
         (F.col("component_a") != F.col("component_b"))
         & ((F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("id_a") > F.col("id_b"))))
         & (100 * F.col("size_b") >= percent * F.col("size_a"))
         & ((100 + percent) * F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= percent * (F.col("size_a") + F.col("size_b")))
     )
-    return large.join(small, "token").filter(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return large.join(small, ["token", "band"]).filter(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), [crossed]
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (doc_id = component_id), one row a row of ``docs``."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, tables: int = TABLES) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (doc_id = component_id), one row a row of ``docs``.
+
+    ``tables`` (at most TABLES) is the number of tuples of either collection.
+    """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    feats = stored(docs.mapInArrow(released(_features), FEATURES), "near-features")
+    feats = stored(docs.mapInArrow(released(_features(tables)), FEATURES), "near-features")
     nodes = feats.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(nodes.groupBy("s1", "s2", "n_shingles").agg(F.min_by(F.struct("doc_id", "tuples", "sketch"), "doc_id").alias("r")).select("s1", "s2", F.col("r.doc_id").alias("id"), "r.tuples", "r.sketch"), "near-classes")
-    keys = stored(_surviving_keys(classes), "near-keys")
+    classes = stored(nodes.groupBy("s1", "s2", "n_shingles").agg(F.min_by(F.struct("doc_id", "tuples", "sketch"), "doc_id").alias("r")).select("s1", "s2", "n_shingles", F.col("r.doc_id").alias("id"), "r.tuples", "r.sketch"), "near-classes")
+    keys = _surviving_keys(classes, tables)
 
     sketches = classes.select("id", "sketch")
+    least = least_agreeing(2 * tables * WIDTH, percent)
 
     def plausible(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-        return pairs.withColumn("agree", _agreeing("x", "y")).filter(F.col("agree") >= LEAST_AGREEING).select("a", "b", "agree")
+        return pairs.withColumn("agree", _agreeing("x", "y")).filter(F.col("agree") >= least).select("a", "b", "agree")
+
+    # Rows that share a doc_id are one node: such an id links the classes it is in.
+    repeated = stored(feats.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "near-repeated")
+    some_repeated = not repeated.isEmpty()
 
     # Stars: each class with the smallest member of each of its keys; the best candidate is confirmed first.
     first = stored(keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "a"), "near-first")
     stars = keys.join(first, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
     stars = plausible(stars).groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
     links = _confirmed(docs, stars, percent, "near-star")
-    # Rows that share a doc_id are one node; an id that stands for two classes needs no link.
-    component = stored(connected_components(keys.select("id").distinct(), links), "near-components")
+    ids, both = keys.select("id"), links
+    if some_repeated:
+        own = nodes.join(repeated, "doc_id", "left_semi").join(classes.select("s1", "s2", "n_shingles", "id"), ["s1", "s2", "n_shingles"]).select("id", "doc_id")
+        same = stored(own.filter("id <> doc_id").distinct().toDF("a", "b"), "near-same-id")
+        ids, both = ids.union(same.select("a")).union(same.select("b")), links.union(same)
+    component = stored(connected_components(ids.distinct(), both), "near-components")
+    dropped(first, links, *([same] if some_repeated else []))
 
     # Again for the keys that still join several components, with members of other components.
     for turn in range(STAR_ROUNDS):
-        again = plausible(_open_rows(keys, component, turn).select("a", F.col("id").alias("b")).distinct())
-        links = _confirmed(docs, again.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b"), percent, "near-star")
+        again = _open_rows(keys, component, turn, "near-again", lambda rows: rows.select("a", F.col("id").alias("b")).distinct())
+        links = _confirmed(docs, plausible(again).groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b"), percent, "near-star")
         component = _merged(component, links)
+        dropped(again)
 
     # Members of the keys that are left: every pair of them across components, by an exact join.
-    open_ = stored(_open_rows(keys, component).select("id", "component").distinct(), "near-open")
+    open_ = _open_rows(keys, component, 0, "near-open", lambda rows: rows.select("id", "component").distinct())
     sets = stored(_selected(docs, open_.select(F.col("id").alias("doc_id"))).mapInArrow(released(_token_lists), "doc_id long, size long, tokens array<long>").join(open_.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "id"), "near-open-sets")
-    component = _merged(component, _confirmed(docs, _prefix_pairs(sets, percent), percent, "near-cross"))
+    pairs, made_of = _prefix_pairs(sets, percent)
+    links = _confirmed(docs, pairs, percent, "near-cross")
+    dropped(open_, sets, *made_of)
+    component = _merged(component, links)
+    dropped(keys)
 
     # Each row by its class, each class by its component.
-    labels = classes.join(component, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
-    out = nodes.select("doc_id", "n_shingles", "s1", "s2").join(labels, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
-    rest = feats.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(rest).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    labels = stored(classes.join(component, "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component_id")), "near-labels")
+    dropped(classes)
+    out = nodes.select("doc_id", "n_shingles", "s1", "s2").join(labels, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(feats.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    if some_repeated:
+        # A row without words is with the other rows of its id.
+        top = stored(out.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("top")), "near-tops")
+        out = out.join(top, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("top", "component_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group, with their columns; of rows that share a doc_id one stays."""
+    """The rows of ``docs`` whose doc_id is the smallest of its group, with their columns.
+
+    Rows that share a doc_id are one document, of which one row stays: the one whose text comes first, of equal texts
+    the one whose other columns, as JSON, come first. A null doc_id stays.
+    """
     found = stored(near_duplicates(docs, percent), "near-verdicts")
     gone = found.filter("not kept").select("doc_id").distinct()
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if again.isEmpty():
-        return out
-    return out.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    rows, name = by_position(docs)
+    key = name["doc_id"]
+    gone = gone.withColumnRenamed("doc_id", "gone")
+    same = F.col(key).cast("long") == F.col("gone")
+    out = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge"), same, "left_anti")
+    again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("gone"))
+    if not again.isEmpty():
+        order = Window.partitionBy(key).orderBy(F.col(name["text"]).cast("string").asc_nulls_first(), F.to_json(F.struct(*rows.columns)))
+        first = out.join(again, same, "left_semi").withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place")
+        out = out.join(again, same, "left_anti").unionByName(first)
+    return out.toDF(*docs.columns)

@@ -1,11 +1,15 @@
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from test_near_dedup import brute
+
 from faultline.llm import decontamination, line_dedup
 from faultline.llm.decontamination import decontaminated, leaks, tiles
-from faultline.llm.line_dedup import group_leaf, lines_filtered, recurring_lines, without_recurring
+from faultline.llm.line_dedup import lines_filtered
 
 
 def words(r, n):
@@ -43,20 +47,13 @@ def test_recurring_templates_go(corpus):
 
 def test_without_broadcast(corpus, monkeypatch):
     _, df = corpus
-    lines = recurring_lines(df)
-    a = without_recurring(df, lines)
+    a = line_dedup.line_dedup(df).cache()
+    a.count()
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
-    b = without_recurring(df, lines)
+    b = line_dedup.line_dedup(df).cache()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_large_leaves(corpus, monkeypatch):
-    """Leaves over the limit are parsed deeper; exact recurrences still go."""
-    passage, df = corpus
-    monkeypatch.setattr(line_dedup, "LEAF_LINES", 2)
-    assert not [r for r in line_dedup.line_dedup(df).collect() if passage in r.text]
-
-
 def test_line_edges(odd, nothing):
     rows = line_dedup.line_dedup(odd).collect()
     assert sorted(repr((r.doc_id, r.text)) for r in rows) == sorted(repr((r.doc_id, r.text)) for r in odd.collect())
@@ -64,35 +61,96 @@ def test_line_edges(odd, nothing):
     assert lines_filtered(odd).columns == odd.columns
 
 
-def test_group_leaf():
-    import numpy as np
-
-    line = lambda *t: np.array(t, np.uint32).tobytes()
-    rows = [(1, 5, line(1, 2, 3, 4, 5)), (2, 1, line(1, 2, 3, 4, 9)), (3, 1, line(1, 2, 8, 7, 9)), (4, 1, line(1, 2, 3, 4, 7))]
-    assert dict(group_leaf(rows)) == {1: 1, 2: 1, 3: 3, 4: 1} and group_leaf(rows) == group_leaf(rows[::-1])
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def plain_units(text):
+    """(tokens, whether a line) of a text's units in order, lower-cased, tokens with a digit as #."""
+    out = []
+    for line in text.split("\n"):
+        words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in line))
+        tokens = tuple("#" if re.search("[0-9]", w) else w for w in words)
+        if len(tokens) >= 3:
+            out.append((tokens, True))
+        sentences, start = [], 0
+        for i, w in enumerate(words):
+            if w[-1] in ".!?" or i == len(words) - 1:
+                sentences.append(tokens[start : i + 1])
+                start = i + 1
+        out += [(x, False) for x in sentences if len(x) >= 8 and len(sentences) > 1]
+    return out
+
+
+def plain_recurring(texts):
+    """The units that go from ``texts``, by looking at each template of each unit."""
+    numbered = sorted({t for t in texts if t is not None})
+    components = brute(enumerate(numbered))
+    units = {}
+    for i, t in enumerate(numbered):
+        for tokens, _ in plain_units(t):
+            units.setdefault(tokens, set()).add(components[i][1])
+    enough = lambda n: 3 if n >= 8 else 8
+    support = Counter()
+    for tokens, families in units.items():
+        for place in range(4, len(tokens)):
+            support[len(tokens), tokens[:4], place, tokens[place]] += min(8, len(families))
+    templates, has = {}, {}
+    for tokens, families in units.items():
+        n, has[tokens] = len(tokens), [tokens]
+        mask = [None if p >= 4 and support[n, tokens[:4], p, t] < enough(n) else t for p, t in enumerate(tokens)]
+        spare = n // 5 - mask.count(None)
+        if spare >= 0:
+            has[tokens].append((tuple(mask), "template"))
+        if spare > 0:
+            has[tokens] += [((*mask[:p], None, *mask[p + 1 :]), "template") for p in range(4, n) if mask[p] is not None]
+        for x in has[tokens]:
+            templates.setdefault(x, set()).update(families)
+    size = lambda x: len(x[0]) if x[-1] == "template" and isinstance(x[0], tuple) else len(x)
+    return {tokens for tokens, own in has.items() if any(len(templates[x]) >= enough(size(x)) for x in own)}
+
+
+def test_against_plain_parser(docs):
+    """On the documents: what goes is what a plain template parser finds, and nothing else does."""
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    gone = plain_recurring(rows.values())
+    assert gone
+    components = brute([(i, t) for i, t in rows.items() if t is not None])
+    sizes = Counter(c for _, c in components.values())
+    for r in line_dedup.line_dedup(docs).collect():
+        old = rows[r.doc_id]
+        units = plain_units(old or "")
+        if not any(t in gone for t, _ in units):
+            assert r.text == old and r.n_dropped == 0
+        elif r.text != old:
+            assert r.n_dropped > 0 and not any(t in gone for t, _ in plain_units(r.text))
+            assert not Counter(WORD.findall(r.text)) - Counter(WORD.findall(old))
+        else:
+            # Whole only if nothing would be left and there is a copy.
+            assert sizes[components[r.doc_id][1]] > 1 and all(t in gone for t, line in units if line)
+
+
+@pytest.mark.parametrize("n", [30, 1500, 2600])
+def test_field_in_leaf_of_any_size(spark, n):
+    """A variable field goes whatever the number of its fillings and wherever it stands, in lines and in sentences."""
+    r = random.Random(9)
+    forms = ["this page was last edited by the following registered site user named {}", "Posted in the category of general news by {} and other people"]
+    rows = [(i, f"{words(r, 12)}\n{forms[0].format(words(r, 1))}\n{words(r, 9)}. {forms[1].format(words(r, 1))}. {words(r, 9)}.") for i in range(n)]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    assert out.filter("n_dropped = 2").count() == n and out.filter("text like '%page was%' or text like '%category%'").count() == 0
 
 
-def test_group_leaf_by_index(monkeypatch):
-    """The index finds the templates that comparing with all of them finds."""
-    import numpy as np
+def test_two_common_fields(spark):
+    """Two fields with few values each, so that no value is rare: one of them is a further variable place."""
+    names, places = ([words(random.Random(x + k), 1) for k in range(12)] for x in (100, 200))
+    r = random.Random(13)
+    rows = [(12 * i + j, f"{words(r, 12)}\nposted in the general news of the day by {a} in the town of {b} yesterday") for i, a in enumerate(names) for j, b in enumerate(places)]
+    assert not [x for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if "posted" in x.text]
 
-    r = random.Random(8)
-    for n in (3, 5, 6, 7, 9, 10, 12, 15, 23):
-        lines = {np.array([1, 2, 3, 4, *(r.randrange(3) for _ in range(n))][:n], np.uint32).tobytes() for _ in range(300)}
-        rows = [(i, r.randrange(1, 5), t) for i, t in enumerate(sorted(lines))]
-        plain = group_leaf(rows)
-        with monkeypatch.context() as m:
-            m.setattr(line_dedup, "LEAF_LINES", 0)
-            assert group_leaf(rows) == plain, n
 
-
-def test_field_in_large_leaf(spark, monkeypatch):
-    """A variable field goes whatever the number of its fillings and wherever it stands."""
-    r = random.Random(9)
-    form = {i: f"Posted in the category of general news {'by' if i % 2 else 'and views by'} {words(r, 1)} and other people" for i in range(60)}
-    df = spark.createDataFrame([(i, f"{words(r, 12)}\n{x}") for i, x in form.items()], "doc_id long, text string")
-    monkeypatch.setattr(line_dedup, "LEAF_LINES", 2)
-    assert not [x for x in line_dedup.line_dedup(df).collect() if "Posted" in x.text]
+def test_dotted_names(spark):
+    df = spark.createDataFrame([(i, f"{words(random.Random(i), 12)}\nall of these lines are the same everywhere here now", "x") for i in range(5)], "doc_id long, text string, `a.b c` string")
+    out = lines_filtered(df)
+    assert out.columns == df.columns and not out.filter("text like '%everywhere%'").count()
 
 
 def test_copies_keep_nothing(spark):

@@ -71,6 +71,22 @@ def test_edges(spark, odd, nothing):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 3, 4, 5, 7, 8, 9]
 
 
+def test_repeated_ids(spark):
+    """Rows that share a doc_id are one node: they join what any of them is linked with."""
+    r = random.Random(2)
+    x, y, z = (" ".join(f"w{r.randrange(10**6)}" for _ in range(40)) for _ in range(3))
+    near = x + " one more"
+    rows = [(5, x), (3, x), (5, y), (4, y), (9, z), (9, z), (8, z), (20, near), (20, None), (30, None), (20, "short"), (7, "short")]
+    df = spark.createDataFrame([(i, t, f"{n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, `a.b` string")
+    found = near_duplicates(df).collect()
+    assert len(found) == len(rows)
+    assert {(q.doc_id, q.component_id) for q in found} == {(5, 3), (3, 3), (4, 3), (20, 3), (7, 3), (9, 8), (8, 8), (30, 30)}
+    out = one_of_each_group(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [(3, x, "1"), (8, z, "6"), (30, None, "9")]
+    again = one_of_each_group(spark.createDataFrame([(1, "b", "2"), (1, "a", "3"), (1, "a", "1"), (2, None, "1")], "doc_id long, text string, `a.b` string"))
+    assert sorted(map(tuple, again.collect())) == [(1, "a", "1"), (2, None, "1")]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(200, 100), (100, 300), (7, 7)]
     nodes = spark.createDataFrame([(i,) for i in [*range(1, 61), 100, 200, 300, 400]], "id long")
