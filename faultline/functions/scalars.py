@@ -56,7 +56,7 @@ def evidence_badge(value: Column | str) -> Column:
 
 def discovery_badge(value: Column | str) -> Column:
     v = _c(value)
-    return F.when(v.isin("semantic", "graph", "both"), F.concat(F.lit("["), F.upper(v), F.lit("]"))).otherwise("")
+    return F.when(v == "semantic", "[SEM]").when(v == "graph", "[GRAPH]").when(v == "both", "[SEM+GRAPH]").otherwise("")
 
 
 def direction_arrow(value: Column | str) -> Column:
@@ -78,10 +78,10 @@ def uca_title_case(value: Column | str) -> Column:
 
 # The guide question of each kind of unsafe control action.
 UCA_QUESTIONS = {
-    "not_provided": "What happens if the action is not provided when needed?",
-    "providing_incorrectly": "What happens if the action is provided incorrectly?",
-    "wrong_timing": "What happens if the action comes too early, too late or out of order?",
-    "wrong_duration": "What happens if the action lasts too long or stops too soon?",
+    "not_provided": "What control is missing?",
+    "providing_incorrectly": "What assumption is wrong?",
+    "wrong_timing": "What feedback is delayed?",
+    "wrong_duration": "What enforcement is bypassed?",
 }
 
 
@@ -175,13 +175,14 @@ def delay(seconds: Column | str) -> Column:
 
 
 def percent(fraction: Column | str) -> Column:
-    return F.format_string("%.0f%%", _c(fraction).cast("double") * 100)
+    """Whole per cents, halves to the even one."""
+    return F.format_string("%.0f%%", F.rint(_c(fraction).cast("double") * 100))
 
 
 def digits_int(value: Column | str) -> Column:
-    """Digits alone as a number; anything else, and nothing, as 0."""
+    """Digits alone as a number of 64 bits; anything else, and nothing, as 0."""
     v = _c(value)
-    return F.coalesce(F.when(v.rlike("^[0-9]+$"), v.try_cast("int")), F.lit(0))
+    return F.coalesce(F.when(v.rlike("^[0-9]+$"), v.try_cast("long")), F.lit(0).cast("long"))
 
 
 def prefix_int(value: Column | str, default: int) -> Column:
@@ -255,17 +256,18 @@ def occurrence_suffix(count: Column | str, blast_radius: Column | str, mttr: Col
         return F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(prefix), x))
 
     n = _c(count)
-    return F.when(n > 0, F.concat(F.lit(" ("), F.concat_ws(", ", F.concat(n.cast("string"), F.lit(" occurrences")), part("blast radius: ", blast_radius), part("MTTR: ", mttr)), F.lit(")"))).otherwise("")
+    return F.when(n > 0, F.concat(F.lit(" ("), F.concat_ws(", ", F.concat(F.lit("seen "), n.cast("string"), F.lit("x")), part("blast: ", blast_radius), part("MTTR: ", mttr)), F.lit(")"))).otherwise("")
 
 
 def effectiveness_suffix(applied: Column | str, score: Column | str) -> Column:
-    return F.when(_c(applied) > 0, F.concat(F.lit(" effectiveness "), percent(score))).otherwise("")
+    n = _c(applied)
+    return F.when(n > 0, F.concat(F.lit(" (effectiveness: "), percent(score), F.lit(", applied: "), n.cast("string"), F.lit(")"))).otherwise("")
 
 
 def mitigation_label(control_code, control_name, procedure_title, entity_label) -> Column:
     """Control with its name, else the procedure, else the entity."""
     code, procedure = F.coalesce(_c(control_code), F.lit("")), F.coalesce(_c(procedure_title), F.lit(""))
-    return F.when(code != "", F.concat_ws(" ", code, _c(control_name))).when(procedure != "", procedure).otherwise(_c(entity_label))
+    return F.when(code != "", F.concat(code, F.lit(": "), F.coalesce(_c(control_name), F.lit("")))).when(procedure != "", procedure).otherwise(_c(entity_label))
 
 
 def first_prose_line(content: Column | str, limit: int = 80) -> Column:

@@ -18,6 +18,11 @@ def list_controls(controls: DataFrame, category=None, limit: int | None = None)
     return df.orderBy("control_code").limit(limit) if limit else df
 
 
+def control_page(controls: DataFrame, category=None, limit: int = CONTROL_LIMIT) -> DataFrame:
+    """The first ``limit`` controls by code, as lists show them by default."""
+    return list_controls(controls, category, limit)
+
+
 def code_kind(code: Column | str) -> Column:
     """risk, control or unknown, by prefix; a risk's code is refused where a control's is wanted."""
     c = F.col(code) if isinstance(code, str) else code
@@ -54,6 +59,12 @@ def list_evidence(evidence: DataFrame, controls: DataFrame, type=None, status=No
     return df.join(known, "control_id").withColumn("badge", S.evidence_badge("status"))
 
 
+def evidence_page(evidence: DataFrame, controls: DataFrame, limit: int = EVIDENCE_LIMIT, **filters) -> DataFrame:
+    """(short_id, control_code, type, badge, name, commit): the first ``limit`` pieces of evidence by id, ids and commits cut to 8 characters."""
+    rows = list_evidence(evidence, controls, **filters).orderBy("id").limit(limit)
+    return rows.select(S.short_id("id").alias("short_id"), "control_code", "type", "badge", "name", S.short_id(F.coalesce("git_hash", F.lit(""))).alias("commit"))
+
+
 def evidence_gaps(controls: DataFrame, evidence: DataFrame) -> DataFrame:
     """(control_code, gap): expected types of evidence that a control lacks, in long form."""
     expected = F.col("expected_evidence_types") if "expected_evidence_types" in controls.columns else F.array(*map(F.lit, EXPECTED))
@@ -83,7 +94,11 @@ def verify_evidence(evidence: DataFrame, ids: DataFrame, at: str) -> DataFrame:
 
 
 def incident_history(incidents: DataFrame, as_of: str | None = None) -> DataFrame:
-    """By service: totals, of the last 30 and 90 days before ``as_of`` (default: the last incident), by severity, the latest, mean value."""
+    """By service: totals, of the last 30 and 90 days before ``as_of`` (default: the last incident), by severity, the latest, mean value.
+
+    The latest is given by id and, where incidents have a title, by title.
+    """
+    title = [F.max_by("title", F.struct("ts", "id")).alias("most_recent_title")] if "title" in incidents.columns else []
     now = F.lit(as_of).cast("timestamp_ntz") if as_of else None
     if now is None:
         incidents = incidents.join(F.broadcast(incidents.agg(F.max("ts").alias("_now"))))
@@ -96,5 +111,6 @@ def incident_history(incidents: DataFrame, as_of: str | None = None) -> DataFram
         F.count_if(F.col("severity") == "critical").alias("critical_count"),
         F.count_if(F.col("severity") == "high").alias("high_count"),
         F.max_by("id", F.struct("ts", "id")).alias("most_recent_id"),
+        *title,
         F.avg("value").alias("average_value"),
     )

@@ -120,13 +120,35 @@ def with_fallback(found: DataFrame, projects: DataFrame) -> DataFrame:
     return found.unionByName(none)
 
 
-# Files that speak for a language.
-LANGUAGES = {"go.mod": "go", "Cargo.toml": "rust", "package.json": "javascript", "tsconfig.json": "typescript", "pyproject.toml": "python", "setup.py": "python", "requirements.txt": "python", "pom.xml": "java", "build.gradle": "java", "build.gradle.kts": "kotlin", "Gemfile": "ruby", "mix.exs": "elixir", "build.sbt": "scala", "CMakeLists.txt": "cpp", "composer.json": "php", "pubspec.yaml": "dart", "Package.swift": "swift"}
+# The files at a root that speak for a language, and patterns of files there or one level below.
+LANGUAGES = {
+    "Go": ["go.mod", "go.work"],
+    "Java": ["pom.xml", "build.gradle", "build.gradle.kts"],
+    "Python": ["pyproject.toml", "setup.py", "requirements.txt", "Pipfile"],
+    "Rust": ["Cargo.toml"],
+    "Ruby": ["Gemfile"],
+    "JavaScript": ["package.json"],
+    "TypeScript": ["tsconfig.json"],
+    "C#": [],
+    "C/C++": ["CMakeLists.txt"],
+    "PHP": ["composer.json"],
+    "Elixir": ["mix.exs"],
+    "Scala": ["build.sbt"],
+    "Dart": ["pubspec.yaml"],
+}
+LANGUAGE_SUFFIXES = {"C#": ".csproj", "Ruby": ".gemspec"}
+SOLUTION_SUFFIX, SOLUTION_LANGUAGE = ".sln", "C#"
 
 
 def languages(files: DataFrame) -> DataFrame:
-    """(repo, language) by the files at each root."""
-    out = F.lit(None).cast("string")
-    for name, language in LANGUAGES.items():
-        out = F.when(F.col("path") == name, language).otherwise(out)
-    return files.select("repo", out.alias("language")).filter("language is not null").distinct()
+    """(repo, language), each language of a repository once, by the files at its root or, for two of them, one level below."""
+    path, deep = F.col("path"), F.size(F.split("path", "/"))
+    by_name = F.lit(None).cast("string")
+    for language, names in LANGUAGES.items():
+        if names:
+            by_name = F.when(path.isin(names), language).otherwise(by_name)
+    found = by_name
+    for language, suffix in LANGUAGE_SUFFIXES.items():
+        found = F.when((deep <= 2) & path.endswith(suffix), language).otherwise(found)
+    found = F.when((deep == 1) & path.endswith(SOLUTION_SUFFIX), SOLUTION_LANGUAGE).otherwise(found)
+    return files.select("repo", found.alias("language")).filter("language is not null").distinct()

@@ -9,8 +9,35 @@ from faultline.functions import scalars as S
 from faultline.operators.graph import delete, upsert
 
 
-def registry(spark: SparkSession, editors: list[tuple[str, str, str, int]]) -> DataFrame:
-    """A table of (name, display_name, binary, tier); the list is configuration."""
+# Name, display name, binary and tier of each supported editor.
+EDITORS = [
+    ("claude", "Claude Code", "claude", 1),
+    ("codex", "OpenAI Codex", "codex", 2),
+    ("gemini", "Google Gemini CLI", "gemini", 2),
+    ("cursor", "Cursor", "cursor", 2),
+    ("windsurf", "Windsurf", "windsurf", 2),
+    ("copilot", "GitHub Copilot", "copilot", 2),
+    ("augment", "Augment Code", "auggie", 2),
+    ("cline", "Cline", "cline", 3),
+    ("roo", "Roo Code", "roo", 3),
+    ("openhands", "OpenHands", "openhands", 3),
+    ("goose", "Goose", "goose", 3),
+    ("warp", "Warp", "warp", 3),
+    ("continue", "Continue", "continue", 3),
+    ("amp", "Amp", "amp", 3),
+    ("kilo", "Kilo Code", "kilo", 3),
+    ("opencode", "OpenCode", "opencode", 3),
+    ("trae", "Trae", "trae", 3),
+    ("junie", "Junie", "junie", 3),
+    ("qwen-code", "Qwen Code", "qwen", 3),
+    ("antigravity", "Antigravity", "antigravity", 3),
+    ("firebender", "Firebender", "firebender", 3),
+    ("kiro", "Kiro", "kiro", 3),
+]
+
+
+def registry(spark: SparkSession, editors: list[tuple[str, str, str, int]] = EDITORS) -> DataFrame:
+    """A table of (name, display_name, binary, tier)."""
     return spark.createDataFrame(editors, "name string, display_name string, binary string, tier int")
 
 

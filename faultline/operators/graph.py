@@ -7,9 +7,13 @@ strength is the product of its edges'.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.sources.scratch import dropped, stored
+
 DEPTH, STRENGTH = 3, 0.3
 
 
@@ -32,19 +36,36 @@ def relationships(edges: DataFrame, entity_id: str) -> DataFrame:
     return edges.filter((F.col("source_id") == entity_id) | (F.col("target_id") == entity_id))
 
 
+def expand(edges: DataFrame, seeds: DataFrame, max_depth: int = 1, min_strength: float = STRENGTH, relation_types=None) -> DataFrame:
+    """(seed, entity_id, entity_type, depth, strength, path): what each seed (entity_id) reaches within ``max_depth``, each node at its smallest depth.
+
+    strength is that of the strongest edge that reaches the node there, path the nodes of one way to it: of those over a
+    strongest last edge the first in order of its nodes. The edges and each level are written once, so a level costs
+    one join however deep it is; the search ends with the first level that finds nothing.
+    """
+    links = stored(usable(edges, min_strength, relation_types), "graph-edges")
+    seeds = seeds.select(F.col("entity_id").cast("string").alias("entity_id")).distinct()
+    frontier = seen = stored(seeds.select(F.col("entity_id").alias("seed"), "entity_id", F.array("entity_id").alias("path")), "graph-seeds")
+    levels = [frontier.select("seed", "entity_id", F.lit("").alias("entity_type"), F.lit(0).alias("depth"), F.lit(0.0).alias("strength"), "path").limit(0)]
+    for depth in range(1, max_depth + 1):
+        step = links.join(frontier.withColumnRenamed("entity_id", "src"), "src").groupBy("seed", F.col("dst").alias("entity_id")).agg(
+            F.max("strength").alias("strength"), F.min("dst_type").alias("entity_type"), F.min_by("path", F.struct(-F.col("strength"), F.col("path"))).alias("path")
+        )
+        step = step.join(seen.select("seed", "entity_id"), ["seed", "entity_id"], "left_anti")
+        step = stored(step.select("seed", "entity_id", "entity_type", F.lit(depth).alias("depth"), "strength", F.array_append("path", F.col("entity_id")).alias("path")), "graph-level")
+        levels.append(step)
+        if step.isEmpty():
+            break
+        frontier = step.select("seed", "entity_id", "path")
+        seen = seen.select("seed", "entity_id").unionByName(step.select("seed", "entity_id"))
+    dropped(links)
+    return reduce(DataFrame.unionByName, levels)
+
+
 def traverse(edges: DataFrame, start: str, max_depth: int = DEPTH, min_strength: float = STRENGTH, relation_types=None) -> DataFrame:
     """(entity_id, entity_type, depth, strength): nodes within ``max_depth`` at their smallest depth; strength of the strongest edge that reaches them there."""
-    usable_edges = usable(edges, min_strength, relation_types)
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(start,)], "entity_id string")
-    frontier, out = seen, None
-    for depth in range(1, max_depth + 1):
-        step = usable_edges.join(frontier.withColumnRenamed("entity_id", "src"), "src").groupBy(F.col("dst").alias("entity_id"), F.col("dst_type").alias("entity_type")).agg(F.max("strength").alias("strength"))
-        step = step.join(seen, "entity_id", "left_anti").withColumn("depth", F.lit(depth))
-        out = step if out is None else out.unionByName(step)
-        frontier = step.select("entity_id").distinct()
-        seen = seen.unionByName(frontier)
-    return out.select("entity_id", "entity_type", "depth", "strength")
+    seeds = edges.sparkSession.createDataFrame([(start,)], "entity_id string")
+    return expand(edges, seeds, max_depth, min_strength, relation_types).select("entity_id", "entity_type", "depth", "strength")
 
 
 def by_depth(nodes: DataFrame) -> DataFrame:
@@ -59,14 +80,19 @@ def depth_counts(nodes: DataFrame) -> DataFrame:
 
 def foresight(edges: DataFrame, start: str, depth: int = DEPTH, min_strength: float = STRENGTH, relation_types=None) -> DataFrame:
     """(path, depth, total_strength): all simple paths of up to ``depth`` edges from the entity."""
-    usable_edges = usable(edges, min_strength, relation_types).select("src", "dst", "strength")
+    links = stored(usable(edges, min_strength, relation_types).select("src", "dst", "strength"), "graph-edges")
     paths = edges.sparkSession.createDataFrame([([start], start, 1.0)], "path array<string>, src string, total_strength double")
-    out = None
+    levels = []
     for n in range(1, depth + 1):
-        paths = paths.join(usable_edges, "src").filter(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("src"), (F.col("total_strength") * F.col("strength")).alias("total_strength"))
-        step = paths.select("path", F.lit(n).alias("depth"), "total_strength")
-        out = step if out is None else out.unionByName(step)
-    return out
+        # A level is written once, so longer paths start from it and not from the edges again.
+        step = paths.join(links, "src").filter(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"), F.lit(n).alias("depth"), (F.col("total_strength") * F.col("strength")).alias("total_strength"))
+        step = stored(step, "graph-paths")
+        levels.append(step)
+        if n < depth and step.isEmpty():
+            break
+        paths = step.select("path", F.element_at("path", -1).alias("src"), "total_strength")
+    dropped(links)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def with_mitigations(paths: DataFrame, mitigations: DataFrame) -> DataFrame:
@@ -82,8 +108,13 @@ def impact_metadata(edges: DataFrame, paths: DataFrame, depth: int) -> DataFrame
 
 
 def upsert(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``table`` with the rows of ``new`` in place of those of equal keys; of equal keys in ``new`` any one stays."""
-    new = new.dropDuplicates(keys)
+    """``table`` with the rows of ``new`` in place of those of equal keys; of equal keys in ``new`` the last one stays.
+
+    Rows are in the order in which ``new`` gives them: by partition, then by place in it.
+    """
+    columns = new.columns
+    last = new.withColumn("_at", F.monotonically_increasing_id()).groupBy(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)])
+    new = last.agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in columns]), "_at").alias("_row")).select("_row.*")
     return table.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 

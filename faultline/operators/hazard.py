@@ -39,13 +39,14 @@ def resolve_parents(scenarios: DataFrame) -> DataFrame:
     """(scenario_id, parent_id): parents by exact title among those created before, in order of level, then place.
 
     Of equal titles created before, the last wins; a missing parent leaves null. Needs scenario_id, pos, title, level
-    and parent_title.
+    and parent_title; with document_id, a parent is looked for in the scenario's own document.
     """
+    document = F.col("document_id") if "document_id" in scenarios.columns else F.lit(0)
     order = F.struct(level_rank("level").alias("rank"), F.col("pos"))
     # By title, in order: a scenario asks before those of its own place, so it finds the last one before it.
-    asks = scenarios.select(F.col("parent_title").alias("key"), order.alias("at"), F.lit(0).alias("kind"), "scenario_id", F.lit(None).alias("named"))
-    titles = scenarios.filter("title is not null").select(F.col("title").alias("key"), order.alias("at"), F.lit(1).alias("kind"), "scenario_id", F.col("scenario_id").alias("named"))
-    before = Window.partitionBy("key").orderBy("at", "kind", "scenario_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asks = scenarios.select(document.alias("document"), F.col("parent_title").alias("key"), order.alias("at"), F.lit(0).alias("kind"), "scenario_id", F.lit(None).alias("named"))
+    titles = scenarios.filter("title is not null").select(document.alias("document"), F.col("title").alias("key"), order.alias("at"), F.lit(1).alias("kind"), "scenario_id", F.col("scenario_id").alias("named"))
+    before = Window.partitionBy("document", "key").orderBy("at", "kind", "scenario_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = asks.filter("key is not null").unionByName(titles).withColumn("parent_id", F.last("named", ignorenulls=True).over(before))
     return rows.filter("kind = 0").select("scenario_id", "parent_id").unionByName(asks.filter("key is null").select("scenario_id", F.col("named").alias("parent_id")))
 
@@ -62,6 +63,11 @@ def detection_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy(form.alias("canonical_form")).agg(F.count(F.lit(1)).alias("detection_count"), F.min("content").alias("content"), F.max("confidence").alias("confidence"))
 
 
+def uca_page(ucas: DataFrame, limit: int = UCA_LIMIT, **filters) -> DataFrame:
+    """The first ``limit`` of :func:`list_ucas`, as lists show them by default."""
+    return list_ucas(ucas, limit=limit, **filters)
+
+
 def list_ucas(ucas: DataFrame, source=None, type=None, control_code=None, limit: int | None = None) -> DataFrame:
     """Actions by source and type, and by control code whatever its case; the most often detected first."""
     df = ucas

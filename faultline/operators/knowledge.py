@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultline.functions import scalars as S
+from faultline.operators.graph import STRENGTH, expand
 from faultline.operators.risks import filtered
 
 LIMIT, ENRICH_LIMIT = 20, 10
-#: Queries that are broadcast to the vectors at once; more are taken in blocks.
+#: Queries that are held against the vectors at once; more are taken in blocks.
 QUERY_BLOCK = 1000
 
 
@@ -29,6 +35,19 @@ def procedures_for_control(procedures: DataFrame, code: str) -> DataFrame:
     return procedures.join(F.broadcast(some)).filter(hit | ~F.col("_some")).withColumn("matched", F.col("_some")).drop("_some")
 
 
+def procedures(df: DataFrame, vertical=None, technology=None, type=None, control=None, limit: int | None = None) -> DataFrame:
+    """Procedures equal in the given columns; ``technology`` may be an array column or a plain one.
+
+    With ``control``, those related to it, or all that match otherwise where none is. With a limit, the first by id.
+    """
+    member = {"technologies": technology} if "technologies" in df.columns else {}
+    equal = {} if member or technology is None else {"technology": technology}
+    out = filtered(df, member=member, **({"vertical": vertical} if vertical else {}), **({"procedure_type": type} if type else {}), **equal)
+    if control is not None:
+        out = procedures_for_control(out, control)
+    return out.orderBy("id").limit(limit) if limit else out
+
+
 def patterns(df: DataFrame, vertical=None, type=None, min_occurrences: int = 0) -> DataFrame:
     """Patterns; a minimum of 0 or less is no predicate."""
     out = filtered(df, vertical=vertical, **({"pattern_type": type} if type else {}))
@@ -41,37 +60,80 @@ def causal_chains(df: DataFrame) -> DataFrame:
 
 
 def health(facts: DataFrame, procedures: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Totals by kind, validated percentage (0-100), mean confidence (0-1), contradictions and all entries together."""
+    """Totals by kind, validated percentage (0-100), mean confidence (0-1), stale and contradicted facts, and all entries together.
+
+    A fact is stale if its stale_since says so or, without such a column, if that is its validation status.
+    """
+    stale = F.coalesce(F.col("stale_since").cast("string"), F.lit("")) != "" if "stale_since" in facts.columns else F.col("validation_status") == "stale"
     f = facts.agg(
         F.count(F.lit(1)).alias("total_facts"),
         (100.0 * F.count_if(F.col("validation_status") == "analyst_validated") / F.count(F.lit(1))).alias("validated_percentage"),
         F.avg("confidence").alias("avg_confidence"),
+        F.count_if(stale).alias("stale_count"),
         F.count_if(F.col("validation_status") == "contradicted").alias("contradiction_count"),
     )
     p, q = procedures.agg(F.count(F.lit(1)).alias("total_procedures")), patterns.agg(F.count(F.lit(1)).alias("total_patterns"))
     return f.join(F.broadcast(p)).join(F.broadcast(q)).withColumn("total", F.col("total_facts") + F.col("total_procedures") + F.col("total_patterns"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of numbers, in doubles; null where either has no length."""
-
-    def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def unit_rows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A matrix of the arrays' directions, and which rows have one: those of ``size`` numbers that are not all 0."""
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    ok = sizes == size
+    matrix = np.zeros((len(column), size))
+    if ok.any():
+        matrix[ok] = column.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+    length = np.sqrt((matrix * matrix).sum(axis=1))
+    ok &= (length > 0) & np.isfinite(length)
+    matrix[ok] /= length[ok, None]
+    return matrix, ok
+
+
+def _nearest(names: pa.Array, queries: np.ndarray, directed: np.ndarray, limit: int):
+    """The ``limit`` best (query_id, vec_id, score) of each query within a batch; scores are rounded to 12 places, so that equal vectors tie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matrix, ok = unit_rows(batch.column(1), queries.shape[1])
+            scores = np.round(queries @ matrix.T, 12)
+            scores[:, ~ok], scores[~directed] = -np.inf, -np.inf
+            n = min(limit, batch.num_rows)
+            if not n:
+                continue
+            # All that score as the n-th best or better: of equal ones the smallest id is to stay, which the rank decides.
+            least = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
+            ids = pc.sort_indices(batch.column(0)).to_numpy()
+            query, row = [], []
+            for q in range(len(names)):
+                better = np.flatnonzero(scores[q] > least[q])
+                equal = ids[scores[q][ids] == least[q]][: n - len(better)]
+                row += [*better, *equal]
+                query += [q] * n
+            query, row = np.array(query, np.int64), np.array(row, np.int64)
+            found = scores[query, row]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), batch.column(0).take(pa.array(row)), pa.array(found, mask=~np.isfinite(found))], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The ``limit`` nearest vectors of each query by cosine, ties by id: every query against all vectors.
 
-    ``queries`` has query_id and query_vector, and is held against the vectors in blocks of about ``QUERY_BLOCK``. A
-    task keeps no more than ``limit`` rows of a query before the shuffle by query.
+    ``queries`` has query_id and query_vector. Blocks of about ``QUERY_BLOCK`` queries come to the driver and go to the
+    tasks as a matrix; a batch of vectors is brought to unit length once and multiplied with it, and no more than
+    ``limit`` rows of a query leave it before the shuffle by query. A vector without a direction (null, all 0, of
+    another length) has a null score, as every vector has for such a query, and ranks last.
     """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    rows = vectors.select("vec_id", "embedding")
+    schema = queries.select("query_id").schema.add(rows.schema["vec_id"]).add("score", "double")
     scored = None
     for b in range(blocks):
-        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        part = vectors.join(F.broadcast(own)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
+        own = (queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).select("query_id", "query_vector").toArrow()
+        column = own.column("query_vector").combine_chunks()
+        size = max([0, *pc.list_value_length(column).drop_null().to_pylist()])
+        matrix, directed = unit_rows(column, size)
+        part = rows.mapInArrow(_nearest(own.column("query_id").combine_chunks(), matrix, directed, limit), schema)
         scored = part if scored is None else scored.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query_id", "rank", "vec_id", "score")
@@ -84,10 +146,24 @@ def graph_search(hits: DataFrame, expanded: DataFrame) -> DataFrame:
     return merged.select("id", "score", "graph_score", method.alias("discovery_method"), S.discovery_badge(method).alias("badge"))
 
 
-def enrich(patterns: DataFrame, procedures: DataFrame, facts: DataFrame | None = None, hits: DataFrame | None = None, limit: int = ENRICH_LIMIT) -> DataFrame:
-    """One table of (section, rank, id, label, score): patterns and procedures always, facts and hits where given.
+def expanded_search(hits: DataFrame, edges: DataFrame, depth: int = 1, types: str | list[str] | None = None, min_strength: float = STRENGTH) -> DataFrame:
+    """Hits (id, score) and what the graph reaches from them within ``depth``: id, score, graph_score, graph_path, depth, discovery_method and badge.
+
+    graph_score is the strength of the edge by which a node is reached. Of several hits that reach a node, the nearest
+    counts, then the strongest edge, then the first path. A hit that is reached from another one was found both ways.
+    """
+    reached = expand(edges, hits.select(F.col("id").cast("string").alias("entity_id")), depth, min_strength, types)
+    best = F.min_by(F.struct("strength", "path", "depth"), F.struct(F.col("depth"), -F.col("strength"), F.col("path")))
+    near = reached.groupBy(F.col("entity_id").alias("id")).agg(best.alias("b")).select("id", F.col("b.strength").alias("graph_score"), F.array_join("b.path", " -> ").alias("graph_path"), "b.depth")
+    found = graph_search(hits.select(F.col("id").cast("string").alias("id"), "score"), near.select("id", "graph_score"))
+    return found.join(near.select("id", "graph_path", "depth"), "id", "left").select("id", "score", "graph_score", "graph_path", "depth", "discovery_method", "badge")
+
+
+def enrich(patterns: DataFrame, procedures: DataFrame, facts: DataFrame | None = None, hits: DataFrame | None = None, health: DataFrame | None = None, limit: int = ENRICH_LIMIT) -> DataFrame:
+    """One table of (section, rank, id, label, score): patterns and procedures always; facts, hits and health where given.
 
-    Each input has id, label and score. The sections are planned as one job, so they run side by side.
+    Each list has id, label and score. ``health`` is the one row of :func:`health`, whose numbers become a row each, by
+    name. The sections are planned as one job, so they run side by side.
     """
     out = None
     for section, df in (("patterns", patterns), ("procedures", procedures), ("facts", facts), ("search", hits)):
@@ -97,4 +173,8 @@ def enrich(patterns: DataFrame, procedures: DataFrame, facts: DataFrame | None =
         top = df.select("id", "label", "score").orderBy(*by).limit(limit)
         part = top.select(F.lit(section).alias("section"), F.row_number().over(Window.orderBy(*by)).alias("rank"), F.col("id").cast("string").alias("id"), "label", F.col("score").cast("double").alias("score"))
         out = part if out is None else out.unionByName(part)
+    if health is not None:
+        entries = F.array(*[F.struct(F.lit(c).alias("id"), F.col(c).cast("double").alias("score")) for c in sorted(health.columns)])
+        rows = health.select(F.posexplode(entries).alias("place", "e"))
+        out = out.unionByName(rows.select(F.lit("health").alias("section"), (F.col("place") + 1).alias("rank"), "e.id", F.replace("e.id", F.lit("_"), F.lit(" ")).alias("label"), "e.score"))
     return out

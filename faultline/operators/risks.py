@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultline.functions import scalars as S
-from faultline.operators.controls import incident_history
+from faultline.operators.controls import EXPECTED, incident_history
 
 RISK_LIMIT, READY_LIMIT = 1000, 10
 
@@ -33,6 +33,21 @@ def list_risks(risks: DataFrame, status=None, category=None, service=None, limit
     return df.orderBy(F.desc("score"), "risk_code").limit(limit) if limit else df
 
 
+#: Columns of the list's table, with their widths.
+TABLE = {"CODE": 10, "STATUS": 12, "SCORE": 8, "CATEGORY": 20, "TITLE": 50}
+
+
+def table_lines(risks: DataFrame, status=None, category=None, service=None, limit: int = RISK_LIMIT) -> DataFrame:
+    """(place, line): the list as a table of fixed widths with its total, header and rule; at most ``limit`` risks."""
+    matching = filtered(risks, member={"linked_services": service}, status=status, category=category)
+    head = matching.agg(F.array(F.concat(F.lit("Total Risks: "), F.count(F.lit(1)).cast("string")), F.lit(""), F.lit(" ".join(k.ljust(n) for k, n in TABLE.items())), F.lit("-" * 110)).alias("lines")).select(F.posexplode("lines").alias("place", "line"))
+    by = [F.desc("score"), F.col("risk_code")]
+    top = matching.orderBy(*by).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*by)) + 3)
+    cells = zip([F.col("risk_code"), S.badge("status"), F.col("score").cast("string"), F.col("category"), S.cut("title", 47, 47)], TABLE.values())
+    line = F.concat_ws(" ", *[F.when(F.length(v) < n, F.rpad(v, n, " ")).otherwise(F.coalesce(v, F.lit(" " * n))) for v, n in cells])
+    return head.unionByName(top.select("place", line.alias("line")))
+
+
 def open_risks(risks: DataFrame) -> DataFrame:
     return risks.filter(F.col("status") == "detected")
 
@@ -47,7 +62,7 @@ def ready(risks: DataFrame, category=None, limit: int = READY_LIMIT, legacy_orde
     top = open_risks(df).orderBy(*by).limit(limit)
     # At most ``limit`` rows reach the rank's one partition.
     rank = F.row_number().over(Window.orderBy(*by))
-    return top.select(rank.alias("rank"), "risk_code", "score", S.priority("score").alias("priority"), F.substring(S.title_case("category"), 1, 18).alias("category"), S.cut("title", 45, 42).alias("title"))
+    return top.select(rank.alias("rank"), "risk_code", "score", S.priority("score").alias("priority"), F.substring(S.title_case("category"), 1, 18).alias("category"), S.cut("title", 42, 42).alias("title"))
 
 
 def remaining(risks: DataFrame, limit: int = READY_LIMIT) -> DataFrame:
@@ -79,21 +94,40 @@ def mapped_controls(risks: DataFrame, bridge: DataFrame, controls: DataFrame) ->
 
 
 def detail(risks: DataFrame, bridge: DataFrame, controls: DataFrame) -> DataFrame:
-    """Each risk with its controls as an array, sorted by code."""
-    own = mapped_controls(risks, bridge, controls).groupBy("risk_code").agg(F.array_sort(F.collect_list(F.struct("control_code", "name", "category", "type"))).alias("mapped_controls"))
-    return risks.join(own, "risk_code", "left")
+    """Each risk with its controls as an array, sorted by code. Risks are told apart by id, so equal codes keep their own."""
+    own = bridge.join(controls.select(F.col("id").alias("control_id"), "control_code", "name", "category", "type"), "control_id")
+    own = own.groupBy(F.col("risk_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("control_code", "name", "category", "type"))).alias("mapped_controls"))
+    return risks.join(own, "id", "left")
+
+
+def _section(rows: DataFrame, name: str) -> DataFrame:
+    """(id, ``name``): the rows of each risk_id as an array of structs, the highest score first, then by id."""
+    rest = [c for c in rows.columns if c not in ("risk_id", "score", "id")]
+    entries = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_by"), "id", "score", *rest)))
+    return rows.groupBy(F.col("risk_id").alias("id")).agg(F.transform(entries, lambda e: F.struct(e["id"].alias("id"), e["score"].alias("score"), *[e[c].alias(c) for c in rest])).alias(name))
+
 
+def context(risks: DataFrame, bridge: DataFrame, controls: DataFrame, evidence: DataFrame, incidents: DataFrame | None = None, as_of: str | None = None, factors: DataFrame | None = None, **knowledge: DataFrame) -> DataFrame:
+    """Each risk with nested controls, their evidence and gaps, and the history of its service.
 
-def context(risks: DataFrame, bridge: DataFrame, controls: DataFrame, evidence: DataFrame, incidents: DataFrame | None = None, as_of: str | None = None) -> DataFrame:
-    """Each risk with nested controls, their evidence, and the history of its service."""
+    ``factors`` (risk_id, description, source, points) is its score breakdown. ``knowledge`` has a table of each further
+    section, as patterns, procedures or facts: (risk_id, id, score, ...), nested from the most relevant on. Sections are
+    joined by id, each gathered once; a risk without entries has an empty array.
+    """
     types = evidence.groupBy("risk_id", "control_id").agg(F.array_sort(F.collect_set("type")).alias("evidence_types"))
     own = (
         bridge.join(controls.select(F.col("id").alias("control_id"), "control_code", "name", "type"), "control_id")
         .join(types, ["risk_id", "control_id"], "left")
         .groupBy("risk_id")
-        .agg(F.array_sort(F.collect_list(F.struct("control_code", "name", "type", F.coalesce("evidence_types", F.array().cast("array<string>")).alias("evidence_types")))).alias("controls"))
+        .agg(F.array_sort(F.collect_list(F.struct("control_code", "name", "type", F.coalesce("evidence_types", F.array().cast("array<string>")).alias("evidence_types"), F.array_except(F.array(*map(F.lit, EXPECTED)), F.coalesce("evidence_types", F.array().cast("array<string>"))).alias("evidence_gaps")))).alias("controls"))
     )
     out = risks.join(own.withColumnRenamed("risk_id", "id"), "id", "left")
+    if factors is not None:
+        own = factors.groupBy(F.col("risk_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("source", "description", "points"))).alias("score_breakdown"))
+        out = out.join(own, "id", "left").withColumn("score_breakdown", F.coalesce("score_breakdown", F.array().cast(own.schema["score_breakdown"].dataType)))
+    for name, rows in knowledge.items():
+        own = _section(rows, name)
+        out = out.join(own, "id", "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
     if incidents is not None:
         out = out.join(incident_history(incidents, as_of), "service_id", "left")
     return out
@@ -129,8 +163,9 @@ def score_breakdown(factors: DataFrame) -> DataFrame:
 
 
 def with_status(risks: DataFrame, codes: DataFrame, status: str, reason: str = "") -> DataFrame:
-    """The register after the risks in ``codes`` got ``status``; resolving has a default reason."""
+    """The register after the risks in ``codes`` got ``status``; resolving has a default reason. Other risks keep theirs."""
     reason = reason or ("Resolved" if status == "resolved" else "")
     hit = risks.join(codes.select("risk_code").distinct().withColumn("_hit", F.lit(True)), "risk_code", "left")
     changed = F.coalesce("_hit", F.lit(False))
-    return hit.withColumn("status_reason", F.when(changed, F.lit(reason))).withColumn("status", F.when(changed, status).otherwise(F.col("status"))).drop("_hit")
+    old = F.col("status_reason") if "status_reason" in risks.columns else F.lit(None)
+    return hit.withColumn("status_reason", F.when(changed, F.lit(reason)).otherwise(old)).withColumn("status", F.when(changed, status).otherwise(F.col("status"))).drop("_hit")

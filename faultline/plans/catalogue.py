@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from faultline.operators import ingest as I
 from faultline.operators import integrity as V
 from faultline.operators import knowledge as K
 from faultline.operators import risks as R
-from faultline.plans.relations import Relations, with_views
+from faultline.plans.relations import VIEWS, Relations, with_views
 from faultline.sources import sinks
 from faultline.streaming import incidents as streams
 
@@ -49,7 +50,7 @@ def oracle_sql() -> dict[str, str]:
 _PRIORITY = "case when score >= 80 then 'CRITICAL' when score >= 60 then 'HIGH' when score >= 40 then 'MEDIUM' else 'LOW' end"
 _TITLE_CASE = "array_to_string(list_transform(string_split({0}, '_'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')"
 _READY = f"""select cast(row_number() over (order by score desc, id) as int) as rank, risk_code, score, {_PRIORITY} as priority, substr({_TITLE_CASE.format('category')}, 1, 18) as category,
-  case when length(title) > 45 then substr(title, 1, 42) || '...' else title end as title from risk where status = 'detected'"""
+  case when length(title) > 42 then substr(title, 1, 42) || '...' else title end as title from risk where status = 'detected'"""
 
 # --- Risks -------------------------------------------------------------------------------------------------------
 
@@ -64,6 +65,15 @@ def risk_ready_by_category(r):
     return R.ready(r.risk, category="urgent", limit=25)
 
 
+_LONG = "risk as (select * replace (title || ' ' || repeat('x', id % 31) as title) from orders_risk)"
+
+
+@query("", f"""orders_risk as ({VIEWS['risk']}), {_LONG} {_READY} order by rank limit 200""")
+def risk_ready_long_titles(r):
+    """Titles on both sides of the length at which they are cut."""
+    return R.ready(r.risk.withColumn("title", F.concat("title", F.lit(" "), F.repeat(F.lit("x"), (F.col("id") % 31).cast("int")))), limit=200)
+
+
 @query("risk", "select cast(count(*) as bigint) as total_open, greatest(count(*) - 10, 0) as remaining from risk where status = 'detected'")
 def risk_ready_remaining(r):
     return R.remaining(r.risk)
@@ -87,9 +97,18 @@ def risk_stale(r):
     return R.stale(r.risk.withColumn("stale_since", since))
 
 
-@query("risk risk_control control", "select risk_code, control_code, name, c.category, type from risk r join risk_control on risk_id = r.id join control c on c.id = control_id where score >= 60")
+@query("risk risk_control control", "select risk_code, control_code, name, c.category, type from risk r join risk_control on risk_id = r.id join control c on c.id = control_id")
 def risk_show_controls(r):
-    return R.mapped_controls(r.risk.filter("score >= 60"), r.risk_control, r.control)
+    return R.mapped_controls(r.risk, r.risk_control, r.control)
+
+
+@query("risk", """t as (select row_number() over (order by score desc, risk_code) as n, * from risk where status = 'detected' qualify n <= 1000)
+  select 0 as place, 'Total Risks: ' || cast(count(*) as varchar) as line from risk where status = 'detected' union all select 1, ''
+  union all select 2, rpad('CODE', 10, ' ') || ' ' || rpad('STATUS', 12, ' ') || ' ' || rpad('SCORE', 8, ' ') || ' ' || rpad('CATEGORY', 20, ' ') || ' ' || rpad('TITLE', 50, ' ') union all select 3, repeat('-', 110)
+  union all select n + 3, rpad(risk_code, 10, ' ') || ' ' || rpad('[' || upper(status) || ']', 12, ' ') || ' ' || rpad(cast(score as varchar), 8, ' ') || ' ' || rpad(category, 20, ' ') || ' ' || rpad(title, 50, ' ') from t""")
+def risk_list_table(r):
+    """The list's first thousand lines, its limit."""
+    return R.table_lines(r.risk, status="detected")
 
 
 @query("risk", "select risk_code, id from (select concat('R-', cast(c_custkey * 7 as varchar)) as risk_code from customer) left join risk using (risk_code)")
@@ -121,23 +140,33 @@ def risk_accept_apply(r):
 
 @query("risk risk_control control evidence", """t as (select risk_id, control_id, string_agg(distinct type, '+' order by type) as types from evidence group by all)
   select risk_code, string_agg(control_code || ':' || coalesce(types, ''), ',' order by control_code) as controls from risk r join risk_control b on b.risk_id = r.id join control c on c.id = b.control_id
-  left join t on t.risk_id = b.risk_id and t.control_id = b.control_id where score >= 70 group by risk_code""")
+  left join t on t.risk_id = b.risk_id and t.control_id = b.control_id group by risk_code""")
 def risk_context_controls(r):
-    return _context_controls(r, r.risk.filter("score >= 70"))
-
-
-def _context_controls(r, risk):
     """Nested context, flattened for comparison."""
-    df = R.context(risk, r.risk_control, r.control, r.evidence).filter(F.size("controls") > 0)
+    df = R.context(r.risk, r.risk_control, r.control, r.evidence).filter(F.size("controls") > 0)
     flat = F.array_join(F.transform("controls", lambda c: F.concat(c["control_code"], F.lit(":"), F.array_join(c["evidence_types"], "+"))), ",")
     return df.select("risk_code", flat.alias("controls"))
 
 
-@query("risk risk_control control evidence", """t as (select risk_id, control_id, string_agg(distinct type, '+' order by type) as types from evidence group by all)
-  select risk_code, string_agg(control_code || ':' || coalesce(types, ''), ',' order by control_code) as controls from risk r join risk_control b on b.risk_id = r.id join control c on c.id = b.control_id
-  left join t on t.risk_id = b.risk_id and t.control_id = b.control_id group by risk_code""")
-def risk_context_controls_all(r):
-    return _context_controls(r, r.risk)
+@query("risk pattern procedure_stats incident", """points as (select l_orderkey as risk_id, string_agg(concat(l_returnflag, ':', cast(n as varchar)), ',' order by l_returnflag) as breakdown from (select l_orderkey, l_returnflag, count(*) as n from lineitem group by all) group by 1),
+  pat as (select l_orderkey as risk_id, p.id, p.occurrence_count as score from lineitem join part on p_partkey = l_partkey join pattern p on p.vertical = p_type and starts_with(p.id, l_returnflag || l_linestatus)),
+  pats as (select risk_id, string_agg(id, ',' order by score desc, id) as patterns from (select distinct * from pat) group by 1),
+  pro as (select distinct l_orderkey as risk_id, p_brand as id, cast(success_count as double) / applied_count as score from lineitem join part on p_partkey = l_partkey join procedure_stats s on s.id = p_brand),
+  pros as (select risk_id, string_agg(id, ',' order by score desc, id) as procedures from pro group by 1),
+  inc as (select service_id, count(*) as total_incidents, arg_max(title, (ts, id)) as most_recent_title from incident group by 1)
+  select risk_code, coalesce(breakdown, '') as breakdown, coalesce(patterns, '') as patterns, coalesce(procedures, '') as procedures, total_incidents, most_recent_title from risk r
+  left join points on points.risk_id = r.id left join pats on pats.risk_id = r.id left join pros on pros.risk_id = r.id left join inc on inc.service_id = r.service_id""")
+def risk_context_sections(r):
+    """The sections beside the controls: score breakdown, patterns, procedures, incidents of the service."""
+    lines = r.table("lineitem").select(F.col("l_orderkey").alias("risk_id"), "l_returnflag", "l_linestatus", F.col("l_partkey").alias("p_partkey")).join(r.table("part"), "p_partkey")
+    factors = lines.groupBy("risk_id", F.col("l_returnflag").alias("source")).agg(F.count(F.lit(1)).alias("points")).withColumn("description", F.lit(""))
+    kind = F.concat("l_returnflag", "l_linestatus", F.lit("-"), "p_type")
+    patterns = lines.select("risk_id", kind.alias("id")).distinct().join(r.pattern.select("id", F.col("occurrence_count").alias("score")), "id")
+    procedures = lines.select("risk_id", F.col("p_brand").alias("id")).distinct().join(r.procedure.select("id", (F.col("success_count").cast("double") / F.col("applied_count")).alias("score")), "id")
+    df = R.context(r.risk, r.risk_control, r.control, r.evidence, r.incident, factors=factors, patterns=patterns, procedures=procedures)
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"]), ",").alias(c)
+    breakdown = F.array_join(F.transform("score_breakdown", lambda x: F.concat(x["source"], F.lit(":"), x["points"].cast("string"))), ",")
+    return df.select("risk_code", breakdown.alias("breakdown"), ids("patterns"), ids("procedures"), "total_incidents", "most_recent_title")
 
 
 @query("", """select l_orderkey as risk_id, l_returnflag as source, cast(sum(case when l_returnflag = 'R' then -cast(l_quantity as bigint) else cast(l_quantity as bigint) end) as bigint) as points, count(*) as factors
@@ -147,20 +176,10 @@ def score_breakdown(r):
     return R.score_breakdown(r.table("lineitem").select(F.col("l_orderkey").alias("risk_id"), F.col("l_returnflag").alias("source"), points.alias("points")))
 
 
-@query("risk risk_control control", """select risk_code, coalesce(string_agg(control_code || '/' || type, ',' order by control_code), '') as mapped from risk r left join risk_control b on b.risk_id = r.id left join control c on c.id = b.control_id
-  where r.id % 20 = 0 group by risk_code""")
-def risk_detail(r):
-    return _detail(r, r.risk.filter("id % 20 = 0"))
-
-
 @query("risk risk_control control", """select risk_code, coalesce(string_agg(control_code || '/' || type, ',' order by control_code), '') as mapped from risk r left join risk_control b on b.risk_id = r.id left join control c on c.id = b.control_id
   group by risk_code""")
-def risk_detail_all(r):
-    return _detail(r, r.risk)
-
-
-def _detail(r, risk):
-    df = R.detail(risk, r.risk_control, r.control)
+def risk_detail(r):
+    df = R.detail(r.risk, r.risk_control, r.control)
     flat = F.array_join(F.transform("mapped_controls", lambda c: F.concat(c["control_code"], F.lit("/"), c["type"])), ",")
     return df.select("risk_code", F.coalesce(flat, F.lit("")).alias("mapped"))
 
@@ -174,6 +193,41 @@ def control_list_tiers(r):
     return C.list_controls(r.control)
 
 
+_CONTROL_ROWS = """select control_code, '[' || upper(type) || ']' as type, cast(weight as varchar) || '/10' as weight,
+  case when weight >= 9 then 'Critical' when weight >= 7 then 'Required' when weight >= 5 then 'Important' when weight >= 3 then 'Recommended' else 'Advisory' end as tier, category, name from control"""
+
+
+@query("control", f"{_CONTROL_ROWS} where category = (select min(category) from control)")
+def control_list_category(r):
+    first = r.control.agg(F.min("category")).first()[0]
+    return C.list_controls(r.control, category=first)
+
+
+@query("control", f"{_CONTROL_ROWS} order by control_code limit 50")
+def control_page(r):
+    """The list as it is by default, which is its limit's."""
+    return C.control_page(r.control)
+
+
+@query("evidence control", """e as (select 'ev-' || cast(risk_id as varchar) || '-' || cast(control_id as varchar) as id, sha256(cast(risk_id as varchar)) as git_hash, * from evidence)
+  select substr(e.id, 1, 8) as short_id, control_code, e.type, '[' || upper(status) || ']' as badge, e.id as name, substr(git_hash, 1, 8) as commit from e join control c on c.id = control_id where control_code = 'RC-7' order by e.id limit 20""")
+def evidence_page(r):
+    """The list of one control as it is by default, which is its limit's."""
+    name = F.concat_ws("-", F.lit("ev"), F.col("risk_id").cast("string"), F.col("control_id").cast("string"))
+    rows = r.evidence.withColumns({"id": name, "name": name, "git_hash": F.sha2(F.col("risk_id").cast("string"), 256)})
+    return C.evidence_page(rows, r.control, control_code="RC-7")
+
+
+@query("", """c as (select p_partkey % 50 as code, ['code', 'test', 'document'][cast(p_size % 3 as int) + 1] as expected from part), s as (select s_suppkey as id, 'RC-' || cast(s_suppkey as varchar) as control_code, ['code', 'test'][cast(s_suppkey % 2 as int) + 1] as type from supplier)
+  select id, s.control_code, s.type, exists (select 1 from part p where 'RC-' || cast(p_partkey as varchar) = s.control_code and ['code', 'test', 'document'][cast(p_size % 3 as int) + 1] = s.type) as expected from s""")
+def evidence_expected_type(r):
+    k = F.col("s_suppkey")
+    kinds = F.array(F.lit("code"), F.lit("test"), F.lit("document"))
+    control = r.table("part").select(F.concat(F.lit("RC-"), F.col("p_partkey").cast("string")).alias("control_code"), F.array(F.get(kinds, F.col("p_size") % 3)).alias("expected_evidence_types"))
+    new = r.table("supplier").select(k.alias("id"), F.concat(F.lit("RC-"), k.cast("string")).alias("control_code"), F.get(kinds, (k % 2).cast("int")).alias("type"))
+    return C.expected_type(control, new)
+
+
 @query("control risk_control risk", "select control_code, count(*) as n_risks, count(*) filter (status = 'detected') as n_open, max(score) as max_score from control c join risk_control on control_id = c.id join risk r on r.id = risk_id group by 1")
 def control_show_risks(r):
     return C.control_risks(r.control, r.risk_control, r.risk)
@@ -207,7 +261,7 @@ def evidence_verify(r):
 
 
 @query("incident", """select service_id, count(*) as total_incidents, count(*) filter (ts >= m - interval 30 day) as last_30_days, count(*) filter (ts >= m - interval 90 day) as last_90_days,
-  count(*) filter (severity = 'critical') as critical_count, count(*) filter (severity = 'high') as high_count, arg_max(id, (ts, id)) as most_recent_id, round(avg(value), 6) as average_value
+  count(*) filter (severity = 'critical') as critical_count, count(*) filter (severity = 'high') as high_count, arg_max(id, (ts, id)) as most_recent_id, arg_max(title, (ts, id)) as most_recent_title, round(avg(value), 6) as average_value
   from incident, (select max(ts) as m from incident) group by service_id""")
 def incident_history(r):
     return C.incident_history(r.incident).withColumn("average_value", F.round("average_value", 6))
@@ -229,16 +283,40 @@ def procedures_by_control_fallback(r):
     return one.unionByName(other)
 
 
+_PROCEDURES = "p as (select p_brand as id, 'v' || cast(count(*) % 3 as varchar) as vertical, case when count(*) % 2 = 0 then 'runbook' else 'playbook' end as procedure_type, list(distinct p_type) as technologies, list(distinct 'RC-' || cast(p_partkey as varchar)) as related from part group by 1)"
+
+
+def _procedures(r):
+    n = F.count(F.lit(1))
+    return r.table("part").groupBy(F.col("p_brand").alias("id")).agg(F.concat(F.lit("v"), (n % 3).cast("string")).alias("vertical"), F.when(n % 2 == 0, "runbook").otherwise("playbook").alias("procedure_type"), F.collect_set("p_type").alias("technologies"), F.collect_set(F.concat(F.lit("RC-"), F.col("p_partkey").cast("string"))).alias("related_controls"))
+
+
+@query("", f"{_PROCEDURES} select id, vertical, procedure_type from p where procedure_type = 'runbook' and vertical = 'v1' and list_contains(technologies, (select max(p_type) from part))")
+def procedures_filtered(r):
+    last = r.table("part").agg(F.max("p_type")).first()[0]
+    return K.procedures(_procedures(r), vertical="v1", technology=last, type="runbook").select("id", "vertical", "procedure_type")
+
+
+@query("", f"{_PROCEDURES} select id, procedure_type from p where list_contains(related, 'RC-5')")
+def procedures_of_control(r):
+    return K.procedures(_procedures(r), control="RC-5").select("id", "procedure_type")
+
+
 @query("pattern", "select id, vertical, occurrence_count from pattern where occurrence_count >= 150")
 def patterns_min_occurrences(r):
     return K.patterns(r.pattern, min_occurrences=150)
 
 
 @query("fact procedure_stats pattern", """select count(*) as total_facts, 100.0::double * count(*) filter (validation_status = 'analyst_validated') / count(*) as validated_percentage, round(avg(confidence), 9) as avg_confidence,
-  count(*) filter (validation_status = 'contradicted') as contradiction_count, (select count(*) from procedure_stats) as total_procedures, (select count(*) from pattern) as total_patterns,
+  count(*) filter (id % 9 = 0) as stale_count, count(*) filter (validation_status = 'contradicted') as contradiction_count, (select count(*) from procedure_stats) as total_procedures, (select count(*) from pattern) as total_patterns,
   count(*) + (select count(*) from procedure_stats) + (select count(*) from pattern) as total from fact""")
 def knowledge_health(r):
-    return K.health(r.fact.drop("content"), r.procedure, r.pattern).withColumn("avg_confidence", F.round("avg_confidence", 9))
+    return _health(r).withColumn("avg_confidence", F.round("avg_confidence", 9))
+
+
+def _health(r):
+    facts = r.fact.drop("content").withColumn("stale_since", F.when(F.col("id") % 9 == 0, "2024-01-01").otherwise(""))
+    return K.health(facts, r.procedure, r.pattern)
 
 
 @query("", """q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 100 = 0),
@@ -256,7 +334,7 @@ def _cosine(r):
 @query("", """q as (select embedding as e from embeddings where vec_id = 0), s as (select vec_id, list_cosine_similarity(embedding::double[], e::double[]) as score from embeddings, q order by score desc, vec_id limit 20),
   g as (select vec_id, 0.5::double as graph_score from embeddings where label = (select label from embeddings where vec_id = 0)), m as (select coalesce(s.vec_id, g.vec_id) as id, score, graph_score from s full join g on s.vec_id = g.vec_id)
   select id, round(score, 4) as score, graph_score, case when score is not null and graph_score is not null then 'both' when score is not null then 'semantic' else 'graph' end as discovery_method,
-  case when score is not null and graph_score is not null then '[BOTH]' when score is not null then '[SEMANTIC]' else '[GRAPH]' end as badge from m""")
+  case when score is not null and graph_score is not null then '[SEM+GRAPH]' when score is not null then '[SEM]' else '[GRAPH]' end as badge from m""")
 def graph_search_merge(r):
     v = r.table("embeddings")
     hits = _cosine(r).filter("query_id = 0").select(F.col("vec_id").alias("id"), "score")
@@ -265,16 +343,42 @@ def graph_search_merge(r):
     return K.graph_search(hits, near).withColumn("score", F.round("score", 4))
 
 
-@query("pattern procedure_stats fact", """x as (select 'patterns' as section, id, vertical as label, cast(occurrence_count as double) as score from pattern
+_LINKS = """e as (select 'v' || cast(vec_id as varchar) as src, 'v' || cast(to_id as varchar) as dst, strength from
+  (select vec_id, unnest([(vec_id * 7 + 3) % n, (vec_id * 5 + 1) % n]) as to_id, unnest([(vec_id % 10) / 10.0::double, 0.8::double]) as strength from embeddings, (select count(*) as n from embeddings)) where strength >= 0.3::double)"""
+
+
+@query("", f"""q as (select embedding as e from embeddings where vec_id = 0), s as (select 'v' || cast(vec_id as varchar) as id, list_cosine_similarity(embedding::double[], e::double[]) as score from embeddings, q order by score desc, vec_id limit 20),
+  {_LINKS}, one as (select s.id as seed, dst as id, 1 as depth, max(strength) as strength, s.id || ' -> ' || dst as path from s join e on src = s.id where dst <> s.id group by s.id, dst),
+  two as (select seed, dst as id, 2 as depth, arg_min((e.strength, path || ' -> ' || dst), (-e.strength, path)) as b from one join e on src = one.id where dst <> seed and not exists (select 1 from one o where o.seed = one.seed and o.id = dst) group by seed, dst),
+  r as (select seed, id, depth, strength, path from one union all select seed, id, depth, b[1], b[2] from two),
+  g as (select id, arg_min((strength, path, depth), (depth, -strength, path)) as b from r group by id)
+  select coalesce(s.id, g.id) as id, round(score, 4) as score, b[1] as graph_score, b[2] as graph_path, b[3] as depth, case when score is not null and b is not null then 'both' when score is not null then 'semantic' else 'graph' end as discovery_method,
+  case when score is not null and b is not null then '[SEM+GRAPH]' when score is not null then '[SEM]' else '[GRAPH]' end as badge from s full join g on s.id = g.id""")
+def graph_search_expanded(r):
+    """The nearest vectors of one, and what links lead to from them in two steps."""
+    v = r.table("embeddings").select("vec_id")
+    n, k = v.count(), F.col("vec_id")
+    node = lambda x: F.concat(F.lit("v"), x.cast("string"))
+    links = F.array(F.struct(((k * 7 + 3) % n).alias("to"), ((k % 10) / F.lit(10.0)).alias("strength")), F.struct(((k * 5 + 1) % n).alias("to"), F.lit(0.8).alias("strength")))
+    edges = v.select("vec_id", F.inline(links)).select(node(k).alias("source_id"), F.lit("vector").alias("source_type"), node(F.col("to")).alias("target_id"), F.lit("vector").alias("target_type"), F.lit("near").alias("relation_type"), "strength")
+    hits = _cosine(r).filter("query_id = 0").select(node(F.col("vec_id")).alias("id"), "score")
+    return K.expanded_search(hits, edges, depth=2, types="near").withColumn("score", F.round("score", 4))
+
+
+@query("pattern procedure_stats fact", """h as (select count(*) as f, 100.0::double * count(*) filter (validation_status = 'analyst_validated') / count(*) as v, avg(confidence) as a, count(*) filter (id % 9 = 0) as s, count(*) filter (validation_status = 'contradicted') as c,
+    (select count(*) from procedure_stats) as p, (select count(*) from pattern) as q from fact),
+  hs as (select cast(row_number() over (order by id) as int) as rank, * from (select unnest(['total_facts', 'validated_percentage', 'avg_confidence', 'stale_count', 'contradiction_count', 'total_procedures', 'total_patterns', 'total']) as id, unnest([f, v, a, s, c, p, q, f + p + q]::double[]) as score from h)),
+  x as (select 'patterns' as section, id, vertical as label, cast(occurrence_count as double) as score from pattern
   union all select 'procedures', id, id, cast(success_count as double) / applied_count from procedure_stats
   union all select 'facts', cast(id as varchar), technology, confidence from fact where technology = 'src3'),
   y as (select section, id, label, score, case section when 'facts' then lpad(id, 12, '0') else id end as k from x)
-  select section, cast(row_number() over (partition by section order by score desc, k) as int) as rank, id, label, score from y qualify rank <= 10""")
+  select section, cast(row_number() over (partition by section order by score desc, k) as int) as rank, id, label, score from y qualify rank <= 10
+  union all select 'health', rank, id, replace(id, '_', ' '), score from hs""")
 def enrich_sections(r):
     pat = r.pattern.select("id", F.col("vertical").alias("label"), F.col("occurrence_count").cast("double").alias("score"))
     pro = r.procedure.select("id", F.col("id").alias("label"), (F.col("success_count").cast("double") / F.col("applied_count")).alias("score"))
     fact = K.facts(r.fact, technology="src3").select("id", F.col("technology").alias("label"), F.col("confidence").alias("score"))
-    return K.enrich(pat, pro, fact)
+    return K.enrich(pat, pro, fact, health=_health(r))
 
 
 # --- Graph -------------------------------------------------------------------------------------------------------
@@ -292,6 +396,20 @@ def graph_traverse_depth3(r):
     return G.traverse(r.edge, "region:1")
 
 
+@query("edge", """b as (select source_id, source_type, target_id, target_type, strength from edge where relation_type in ('contains', 'causes') union all select target_id, target_type, source_id, source_type, strength from edge where relation_type = 'contains'
+    union all select source_id, source_type, concat('nation:', cast(s_nationkey as varchar)), 'nation', strength from edge join supplier on source_id = concat('supplier:', cast(s_suppkey as varchar)) where relation_type = 'causes'),
+  walk as (select target_id as entity_id, target_type as entity_type, 1 as depth, strength from b where source_id = 'supplier:3' and strength >= 0.5::double
+  union select e.target_id, e.target_type, depth + 1, e.strength from walk join b e on e.source_id = walk.entity_id where depth < 4 and e.strength >= 0.5::double)
+  select entity_id, entity_type, min(depth) as depth, arg_min(strength, (depth, -strength)) as strength from walk where entity_id <> 'supplier:3' group by entity_id, entity_type""", recursive=True)
+def graph_traverse_types(r):
+    """Relation types, edges that go both ways and cycles: suppliers lead to their nations, nations to regions and back."""
+    supplied = r.edge.filter("relation_type = 'causes'")
+    nation = r.table("supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("source_id"), F.concat(F.lit("nation:"), F.col("s_nationkey").cast("string")).alias("target_id"))
+    up = supplied.drop("target_id", "target_type").join(nation, "source_id").withColumn("target_type", F.lit("nation"))
+    edges = r.edge.unionByName(up).withColumn("direction", F.when(F.col("relation_type") == "contains", "bidirectional").otherwise(""))
+    return G.traverse(edges, "supplier:3", max_depth=4, min_strength=0.5, relation_types="contains, causes")
+
+
 @query("edge", """walk as (select ['region:1', target_id] as path, target_id as node, 1 as depth, strength as total from edge where source_id = 'region:1' and strength >= 0.3::double
   union all select list_append(path, e.target_id), e.target_id, depth + 1, total * e.strength from walk join edge e on e.source_id = node where depth < 3 and e.strength >= 0.3::double and not list_contains(path, e.target_id))
   select array_to_string(path, '>') as path, depth, round(total, 6) as total_strength from walk""", recursive=True)
@@ -398,7 +516,7 @@ def loss_dedup(r):
 
 
 _SCENARIOS = """s as (select o_orderkey as scenario_id, o_orderkey as pos, o_custkey % 50 as document_id, concat('t', cast(o_orderkey % 40 as varchar)) as title, case o_orderkey % 4 when 0 then 'top' when 1 then 'intermediate' when 2 then 'immediate' else 'odd' end as level,
-  concat('t', cast((o_orderkey + 1) % 45 as varchar)) as parent_title from orders where o_orderkey <= 600), l as (select *, case level when 'intermediate' then 1 when 'immediate' then 2 else 0 end as rank from s)"""
+  concat('t', cast((o_orderkey + 1) % 45 as varchar)) as parent_title from orders), l as (select *, case level when 'intermediate' then 1 when 'immediate' then 2 else 0 end as rank from s)"""
 
 
 def _scenarios(r):
@@ -407,28 +525,74 @@ def _scenarios(r):
     return r.table("orders").select(k.alias("scenario_id"), k.alias("pos"), (F.col("o_custkey") % 50).alias("document_id"), F.concat(F.lit("t"), (k % 40).cast("string")).alias("title"), level.alias("level"), F.concat(F.lit("t"), ((k + 1) % 45).cast("string")).alias("parent_title"))
 
 
-@query("", f"{_SCENARIOS} select scenario_id, (select arg_max(p.scenario_id, (p.rank, p.pos)) from l p where p.title = l.parent_title and (p.rank, p.pos) < (l.rank, l.pos)) as parent_id from l")
+@query("", f"""{_SCENARIOS}, o as (select *, cast(rank as hugeint) * 1000000000000 + pos as place from l), t as (select document_id, title, place, scenario_id from o)
+  select o.scenario_id, t.scenario_id as parent_id from o asof left join t on t.document_id = o.document_id and t.title = o.parent_title and o.place > t.place""")
 def scenario_parent_resolve(r):
-    return H.resolve_parents(_scenarios(r).filter("scenario_id <= 600"))
+    return H.resolve_parents(_scenarios(r))
 
 
 @query("", f"{_SCENARIOS} select document_id, scenario_id, cast(row_number() over (partition by document_id order by rank, pos) as int) as rank from l")
 def scenario_level_order(r):
-    return H.ranked_scenarios(_scenarios(r).filter("scenario_id <= 600")).select("document_id", "scenario_id", "rank")
-
-
-# The same over all of orders.
-_ALL_SCENARIOS = _SCENARIOS.replace(" where o_orderkey <= 600", "")
-
-
-@query("", f"{_ALL_SCENARIOS} select scenario_id, (select arg_max(p.scenario_id, (p.rank, p.pos)) from l p where p.title = l.parent_title and (p.rank, p.pos) < (l.rank, l.pos)) as parent_id from l")
-def scenario_parent_resolve_all(r):
-    return H.resolve_parents(_scenarios(r))
+    return H.ranked_scenarios(_scenarios(r)).select("document_id", "scenario_id", "rank")
 
 
-@query("", f"{_ALL_SCENARIOS} select document_id, scenario_id, cast(row_number() over (partition by document_id order by rank, pos) as int) as rank from l")
-def scenario_level_order_all(r):
-    return H.ranked_scenarios(_scenarios(r)).select("document_id", "scenario_id", "rank")
+@query("", """p as (select c_custkey as id, case when c_custkey % 10 = 0 then null else c_custkey // 10 end as parent from customer),
+  up as (select id, id as root_id, 0 as depth from p where parent is null or parent not in (select id from p) union all select p.id, up.root_id, depth + 1 from p join up on p.parent = up.id) select id as scenario_id, root_id, depth from up""", recursive=True)
+def scenario_hierarchy(r):
+    k = F.col("c_custkey")
+    rows = r.table("customer").select(k.alias("scenario_id"), F.when(k % 10 != 0, F.floor(k / 10)).cast("long").alias("parent_id"))
+    known = rows.select(F.col("scenario_id").alias("parent_id"), F.lit(True).alias("known"))
+    rows = rows.join(known, "parent_id", "left").select("scenario_id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"))
+    return H.hierarchy(rows)
+
+
+_NATION_DOCUMENT = """n as (select n_nationkey as k, n_name as name, ['top', 'intermediate', 'immediate'][n_nationkey % 3 + 1] as level, 't' || cast(n_nationkey % 7 as varchar) as title, 't' || cast((n_nationkey + 1) % 9 as varchar) as parent_title, n_nationkey % 3 as rank from nation)"""
+
+
+@query("", f"""{_NATION_DOCUMENT}
+  select 'loss' as kind, name as a, '' as b from n where lower(name) not in (select lower(n_name) from nation where n_regionkey = 1)
+  union all select 'uca', 'uca-' || cast(k as varchar), case when k % 4 = 0 then '' else 'RC-' || cast(k as varchar) end from n
+  union all select 'parent', 'scenario-' || cast(k as varchar), coalesce((select arg_max('scenario-' || cast(p.k as varchar), (p.rank, p.k)) from n p where p.title = n.parent_title and (p.rank, p.k) < (n.rank, n.k)), '') from n
+  union all select 'link', 'scenario-' || cast(k as varchar), 'uca-' || cast(k as varchar) from n
+  union all select 'missing', 'scenario-' || cast(k as varchar), cast(k + 100 as varchar) from n
+  union all select 'control', 'scenario-' || cast(k as varchar), cast(k as varchar) from n where k in (select p_partkey from part)
+  union all select 'node', 'n' || cast(k as varchar), name from n union all select 'node', 'n' || cast(n_nationkey + 20 as varchar), 'old' from nation where n_nationkey + 20 not in (select n_nationkey from nation)
+  union all select 'edge', 'n' || cast(k as varchar), 'n' || cast(k + 1 as varchar) from n""")
+def hazard_submit(r):
+    """A hazard document with a loss, an action, a scenario and a node for each nation, and the tables that it makes."""
+    k, text = F.col("n_nationkey"), lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    nothing = F.lit(None).cast("string")
+    kinds = {
+        "losses": F.struct(F.col("n_name").alias("title"), nothing.alias("description"), nothing.alias("category")),
+        "findings": F.struct(F.col("n_name").alias("content"), F.when(k % 4 == 0, "").otherwise(text("RC-", k)).alias("control_code")),
+        "loss_scenarios": F.struct(text("t", k % 7).alias("title"), F.get(F.array(*map(F.lit, H.LEVELS)), k % 3).alias("level"), text("t", (k + 1) % 9).alias("parent_title"), F.array(k, k + 100).alias("uca_refs"), F.array(F.struct(text("RC-", k).alias("control_code"), F.lit("mitigates").alias("relationship"))).alias("control_links")),
+        "nodes": F.struct(text("n", k).alias("node_key"), F.col("n_name").alias("name")),
+        "edges": F.struct(text("n", k).alias("from_key"), text("n", k + 1).alias("to_key")),
+    }
+    gathered = r.table("nation").agg(*[F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), x.alias("x")))), lambda e: e["x"]).alias(name) for name, x in kinds.items()])
+    document = gathered.select("losses", "findings", "loss_scenarios", F.struct("nodes", "edges").alias("control_structure"))
+    old = r.table("nation").select(text("n", k + 20).alias("node_key"), F.lit("old").alias("name"))
+    out = H.submit(document, r.table("nation").filter("n_regionkey = 1").select(F.lower("n_name").alias("title")), r.control.select("id", "control_code"), nodes=old, repo_url="here")
+    row = lambda name, kind, a, b: out[name].select(F.lit(kind).alias("kind"), F.col(a).cast("string").alias("a"), (F.coalesce(F.col(b).cast("string"), F.lit("")) if b else F.lit("")).alias("b"))
+    found = [row("losses", "loss", "title", None), row("ucas", "uca", "uca_id", "control_code"), row("scenarios", "parent", "scenario_id", "parent_id"), row("uca_links", "link", "scenario_id", "uca_id"), row("missing_refs", "missing", "scenario_id", "ref"), row("control_links", "control", "scenario_id", "control_id"), row("nodes", "node", "node_key", "name"), row("edges", "edge", "from_key", "to_key")]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("", """u as (select event_id as id, event_type as uca_type, case when event_id % 3 = 0 then 'design_review' else 'scan' end as source, case when event_id % 2 = 0 then 'RC-a' else 'rc-A' end as control_code, event_id % 17 as detection_count from events)
+  select id, uca_type, source, detection_count from u where source = 'scan' and uca_type = 'error' and lower(control_code) = 'rc-a'""")
+def ucas_filtered(r):
+    return H.list_ucas(_ucas(r), source="scan", type="error", control_code="Rc-A").select("id", "uca_type", "source", "detection_count")
+
+
+@query("", "select event_id as id, event_id % 17 as detection_count from events order by detection_count desc, id limit 50")
+def uca_page(r):
+    """The list as it is by default, which is its limit's."""
+    return H.uca_page(_ucas(r)).select("id", "detection_count")
+
+
+def _ucas(r):
+    k = F.col("event_id")
+    return r.table("events").select(k.alias("id"), F.col("event_type").alias("uca_type"), F.when(k % 3 == 0, "design_review").otherwise("scan").alias("source"), F.when(k % 2 == 0, "RC-a").otherwise("rc-A").alias("control_code"), (k % 17).alias("detection_count"))
 
 
 @query("", "refs as (select c_custkey as scenario_id, unnest([cast(c_custkey % 30 as int), cast(c_custkey % 1000 as int)]) as ref from customer) select scenario_id, ref, s_suppkey as uca_id from refs left join supplier on s_suppkey = ref")
@@ -516,10 +680,10 @@ def title_case(r):
     return r.table("part").select(F.col("p_partkey").alias("id"), S.title_case(x).alias("title"), S.uca_title_case(y).alias("uca"))
 
 
-@query("", "select o_orderkey as id, coalesce(try_cast(case when regexp_full_match(v, '[0-9]+') then v end as int), 0) as digits, coalesce(try_cast(nullif(regexp_extract(v, '^\\s*([+-]?\\d+)', 1), '') as int), 20) as prefix from (select o_orderkey, case o_orderkey % 4 when 0 then cast(o_orderkey as varchar) when 1 then cast(o_orderkey as varchar) || 'x' when 2 then 'x1' else ' -12z' end as v from orders)")
+@query("", "select o_orderkey as id, coalesce(try_cast(case when regexp_full_match(v, '[0-9]+') then v end as bigint), 0) as digits, coalesce(try_cast(nullif(regexp_extract(v, '^\\s*([+-]?\\d+)', 1), '') as int), 20) as prefix from (select o_orderkey, case o_orderkey % 4 when 0 then cast(o_orderkey * 10000000 as varchar) when 1 then cast(o_orderkey as varchar) || 'x' when 2 then 'x1' else ' -12z' end as v from orders)")
 def parse_int(r):
     k = F.col("o_orderkey")
-    v = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.concat(k.cast("string"), F.lit("x"))).when(k % 4 == 2, "x1").otherwise(" -12z")
+    v = F.when(k % 4 == 0, (k * 10000000).cast("string")).when(k % 4 == 1, F.concat(k.cast("string"), F.lit("x"))).when(k % 4 == 2, "x1").otherwise(" -12z")
     return r.table("orders").select(k.alias("id"), S.digits_int(v).alias("digits"), S.prefix_int(v, 20).alias("prefix"))
 
 
@@ -541,11 +705,34 @@ def repository_and_ref(r):
     return r.table("customer").select(k.alias("id"), S.repository_name(remote, F.concat(F.lit("/home/repo"), s)).alias("name"), S.last_ref_segment(ref).alias("branch"))
 
 
-@query()
+@query("", r"""w as (select doc_id, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w from documents)
+  select doc_id as id, case when len(w) = 0 then '' else list_reduce(w, lambda a, x: case when length(ltrim(regexp_extract(a, '[^\n]*$'), ' ')) + 1 + length(x) <= 78 then a || ' ' || x else a || chr(10) || '  ' || x end) end as wrapped from w""")
 def wrap_text(r):
     return r.table("documents").select(F.col("doc_id").alias("id"), S.wrap("text", 80, "  ").alias("wrapped"))
 
 
+@query("", """select c_custkey as id, case k when 0 then 'What control is missing?' when 1 then 'What assumption is wrong?' when 2 then 'What feedback is delayed?' when 3 then 'What enforcement is bypassed?' else '' end as question
+  from (select c_custkey, c_custkey % 5 as k from customer)""")
+def uca_questions(r):
+    k = F.col("c_custkey") % 5
+    kind = F.when(k == 0, "not_provided").when(k == 1, "Providing Incorrectly").when(k == 2, "wrong_timing").when(k == 3, "Wrong_Duration").otherwise("not specified")
+    return r.table("customer").select(F.col("c_custkey").alias("id"), S.uca_question(kind).alias("question"))
+
+
+@query("", """select p_partkey as id, case when p_size % 5 = 0 then '' else ' (seen ' || cast(p_size % 5 as varchar) || 'x' || case when p_size % 2 = 0 then ', blast: ' || p_brand else '' end || case when p_size % 3 = 0 then ', MTTR: 2h' else '' end || ')' end as occurrences,
+    case when p_size % 4 = 0 then '' else ' (effectiveness: ' || cast(p_size as varchar) || '%, applied: ' || cast(p_size % 4 as varchar) || ')' end as effectiveness,
+    case when p_size % 2 = 0 then 'RC-' || cast(p_partkey as varchar) || ': ' || p_name when p_size % 3 = 0 then p_brand else p_type end as mitigation from part""")
+def display_suffixes(r):
+    n = F.col("p_size")
+    text = lambda condition, value: F.when(condition, value).otherwise("")
+    return r.table("part").select(
+        F.col("p_partkey").alias("id"),
+        S.occurrence_suffix(n % 5, text(n % 2 == 0, F.col("p_brand")), text(n % 3 == 0, F.lit("2h"))).alias("occurrences"),
+        S.effectiveness_suffix(n % 4, n / F.lit(100.0)).alias("effectiveness"),
+        S.mitigation_label(text(n % 2 == 0, F.concat(F.lit("RC-"), F.col("p_partkey").cast("string"))), F.col("p_name"), text(n % 3 == 0, F.col("p_brand")), F.col("p_type")).alias("mitigation"),
+    )
+
+
 # --- Tables kept by key, sinks, discovery --------------------------------------------------------------------------
 
 
@@ -588,6 +775,43 @@ def component_discovery(r):
     return D.components(files)
 
 
+@query("", """n as (select 'r' || cast(n_nationkey as varchar) as repo, cast(n_nationkey as varchar) as k, n_nationkey % 2 = 0 as even from nation)
+  select repo, unnest(['svc' || k, 'crate' || k, 'w' || k, 'mod' || k, 'core', 'App' || k, 'd' || k, 'api' || k, 'run' || k, 'app' || k, 'tool' || k]) as name,
+    unnest(['svc' || k || '/', 'crate' || k || '/', 'web/w' || k || '/', 'mod' || k || '/', 'lib' || k || '/core/', 'src/App' || k || '/', 'dart/d' || k || '/', 'services/api' || k || '/', 'cmd/run' || k || '/', '.', 'tool' || k || '/']) as path,
+    unnest([10, 11, 12, 13, 14, 15, 16, 20, 30, 31, 40]) as phase from n where even
+  union all select repo, 'project' || k, '.', 50 from n where not even""")
+def workspace_components(r):
+    """A repository for each nation: every second one has a component of each phase, the others fall back to the project."""
+    key = F.col("n_nationkey")
+    k = key.cast("string")
+    of = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    files = [
+        (F.lit("go.work"), of("go 1.22\nuse ./svc", k, "\n")),
+        (F.lit("Cargo.toml"), of('[workspace]\nmembers = [\n"crate', k, '",\n"gone"\n]\n')),
+        (F.lit("package.json"), F.lit('{"workspaces": ["web/*"]}')),
+        (F.lit("pom.xml"), of("<modules><module>mod", k, "</module><module>gone</module></modules>")),
+        (F.lit("settings.gradle"), of("include ':lib", k, ":core', ':gone'\n")),
+        (F.lit("all.sln"), of('Project("{1}") = "App", "src\\App', k, "\\App", k, '.csproj", "{2}"\n')),
+        (F.lit("melos.yaml"), F.lit("name: all\npackages:\n  - dart/*\nscripts:\n  - other/*\n")),
+        (F.lit("pubspec.yaml"), of("name: app", k, "\n")),
+        *[(path, F.lit(None).cast("string")) for path in (of("crate", k, "/src.rs"), of("web/w", k, "/index.js"), F.lit("web/readme"), of("mod", k, "/a"), of("lib", k, "/core/a"), of("src/App", k, "/App", k, ".csproj"), of("dart/d", k, "/pubspec.yaml"), F.lit("dart/none/readme"), of("services/api", k, "/go.mod"), of("services/doc", k, "/readme"), of("cmd/run", k, "/main.go"), F.lit("lib/main.dart"), of("tool", k, "/Dockerfile"), F.lit("vendor/Dockerfile"))],
+    ]
+    repo = of("r", k)
+    trees = r.table("nation").filter(key % 2 == 0).select(repo.alias("repo"), F.inline(F.array(*[F.struct(p.alias("path"), c.alias("content")) for p, c in files])))
+    return D.with_fallback(D.components(trees), r.table("nation").select(repo.alias("repo"), of("project", k).alias("project")))
+
+
+_ROOT_FILES = {"go.work": "Go", "build.gradle.kts": "Java", "Pipfile": "Python", "Cargo.toml": "Rust", "Gemfile": "Ruby", "package.json": "JavaScript", "tsconfig.json": "TypeScript", "a.sln": "C#", "CMakeLists.txt": "C/C++", "composer.json": "PHP", "mix.exs": "Elixir", "build.sbt": "Scala", "pubspec.yaml": "Dart", "lib/x.gemspec": "Ruby", "src/x.csproj": "C#", "a/b/x.csproj": None, "sub/go.mod": None, "notes.txt": None}
+
+
+@query("", f"""f(i, language) as (values {', '.join(f"({i}, {repr(v) if v else 'null'})" for i, v in enumerate(_ROOT_FILES.values()))})
+  select distinct 'r' || cast(c_nationkey as varchar) as repo, language from customer join f on i = c_custkey % {len(_ROOT_FILES)} where language is not null""")
+def root_languages(r):
+    names = F.array(*map(F.lit, _ROOT_FILES))
+    files = r.table("customer").select(F.concat(F.lit("r"), F.col("c_nationkey").cast("string")).alias("repo"), F.get(names, (F.col("c_custkey") % len(_ROOT_FILES)).cast("int")).alias("path"))
+    return D.languages(files)
+
+
 # --- Extensions ----------------------------------------------------------------------------------------------------
 
 

@@ -63,7 +63,7 @@ class Relations:
     @cached_property
     def incident(self) -> DataFrame:
         severity = F.when(F.col("value") >= 300, "critical").when(F.col("value") >= 100, "high").otherwise("other")
-        return self.table("events").filter("event_type = 'error'").select(F.col("event_id").alias("id"), F.col("user_id").alias("service_id"), "ts", "value", severity.alias("severity"))
+        return self.table("events").filter("event_type = 'error'").select(F.col("event_id").alias("id"), F.col("user_id").alias("service_id"), "ts", "value", severity.alias("severity"), F.concat(F.col("event_type"), F.lit(" "), F.col("event_id").cast("string")).alias("title"))
 
     @cached_property
     def fact(self) -> DataFrame:
@@ -134,7 +134,7 @@ VIEWS = {
     "risk_control": "select distinct l_orderkey as risk_id, l_partkey as control_id from lineitem",
     "evidence": """select l_orderkey as risk_id, l_partkey as control_id, case l_returnflag when 'A' then 'test' when 'N' then 'code' else 'document' end as type,
       case l_linestatus when 'F' then 'verified' else 'configured' end as status, l_shipdate as created_at from lineitem where l_linenumber = 1""",
-    "incident": """select event_id as id, user_id as service_id, ts, value, case when value >= cast(300 as double) then 'critical' when value >= cast(100 as double) then 'high' else 'other' end as severity
+    "incident": """select event_id as id, user_id as service_id, ts, value, case when value >= cast(300 as double) then 'critical' when value >= cast(100 as double) then 'high' else 'other' end as severity, concat(event_type, ' ', cast(event_id as varchar)) as title
       from events where event_type = 'error'""",
     "fact": """select d.doc_id as id, d.text as content, d.lang as vertical, d.source as technology,
       case when l.quality = 1 then 'analyst_validated' when l.quality = 0 then 'contradicted' else 'auto_extracted' end as validation_status,

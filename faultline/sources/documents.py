@@ -75,6 +75,25 @@ def project_config(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMAS["project_config"])
 
 
+def project_file(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """The row of the first project file of ``names`` (the current name, then former ones) that ``folder`` has; no row without one.
+
+    Files are left under the names they have.
+    """
+    for name in names:
+        at = f"{folder.rstrip('/')}/{name}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(path):
+            # Names may begin with a dot, which file sources leave out.
+            stream = system.open(path)
+            try:
+                return project_config(spark, spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+    return spark.createDataFrame([], SCHEMAS["project_config"])
+
+
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
     """(archive, path, content) of the regular files of tar.gz archives; archives are read in parallel, each by one task."""
     found = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -95,11 +114,24 @@ def path_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.length(F.trim("value")) > 0).withColumnRenamed("value", "path")
 
 
+#: Files whose content says what components a tree has.
+READ = ["go.work", "Cargo.toml", "package.json", "pom.xml", "settings.gradle", "settings.gradle.kts", "*.sln", "melos.yaml", "pubspec.yaml"]
+
+
 def source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(repo, path, content) of the files under ``root``/<repo>/, content of all (component discovery reads few of them)."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    below = F.lit(".*?" + re.escape(root.strip("/")) + "/([^/]+)/(.+)$")
-    return df.select(F.regexp_extract("path", below, 1).alias("repo"), F.regexp_extract("path", below, 2).alias("path"), F.col("content").cast("string").alias("content"))
+    """(repo, path, content) of the files under ``root``/<repo>/.
+
+    Only files whose names are in ``READ`` are opened, content of the others is null: they are listed, not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    below = ".*?" + re.escape(root.strip("/")) + "/([^/]+)/(.+)$"
+    place = [F.regexp_extract("path", below, 1).alias("repo"), F.regexp_extract("path", below, 2).alias("path")]
+    read = files.option("pathGlobFilter", "{" + ",".join(READ) + "}").load(root).select(*place, F.col("content").cast("string").alias("content"))
+    # Without content among the columns, the source opens no file.
+    listed = files.option("pathGlobFilter", "*").load(root).select(*place)
+    name = F.element_at(F.split("path", "/"), -1)
+    others = listed.filter(~(name.isin([x for x in READ if "*" not in x]) | name.rlike("|".join(re.escape(x[1:]) + "$" for x in READ if "*" in x))))
+    return read.unionByName(others.withColumn("content", F.lit(None).cast("string")))
 
 
 def installs(spark: SparkSession, paths: list[str]) -> DataFrame:

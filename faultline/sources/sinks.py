@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,11 +60,35 @@ def managed_block(text: str, block: str, begin: str, end: str) -> str:
 
 
 def overwrite_keyed(df: DataFrame, path: str, format: str = "json") -> None:
-    """A table written over the one it was read from: through a copy beside it, which takes its place."""
+    """A table written over the one it was read from: through a copy beside it, which takes its place.
+
+    The old table is set aside before and deleted last, so at any moment one of the two is whole: after a crash in
+    between, the next call first puts a table back that was set aside and not replaced.
+    """
     spark = df.sparkSession
-    fresh = path.rstrip("/") + "._new"
-    df.write.mode("overwrite").format(format).save(fresh)
+    fresh, aside = path.rstrip("/") + "._new", path.rstrip("/") + "._old"
     jvm = spark._jvm.org.apache.hadoop.fs
     system = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(jvm.Path(path), True)
-    system.rename(jvm.Path(fresh), jvm.Path(path))
+
+    def moved(source: str, target: str) -> None:
+        if not system.rename(jvm.Path(source), jvm.Path(target)):
+            raise OSError(f"{source} could not be renamed to {target}")
+
+    restore_keyed(spark, path)
+    df.write.mode("overwrite").format(format).save(fresh)
+    if system.exists(jvm.Path(path)):
+        moved(path, aside)
+    moved(fresh, path)
+    system.delete(jvm.Path(aside), True)
+
+
+def restore_keyed(spark: SparkSession, path: str) -> None:
+    """Puts back the table that an interrupted :func:`overwrite_keyed` set aside, or deletes it where its successor is in place."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at, aside = jvm.Path(path), jvm.Path(path.rstrip("/") + "._old")
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(aside):
+        if system.exists(at):
+            system.delete(aside, True)
+        else:
+            system.rename(aside, at)

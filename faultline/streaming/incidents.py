@@ -29,7 +29,16 @@ def sessions(rows: DataFrame, gap: str = "6 hours", watermark: str = "2 days") -
 
 
 def run_to_completion(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """A streaming result over what the source has now, as an in-memory table."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """A streaming result over what the source has now, as files beside the checkpoint.
+
+    Appended rows go to files as they are final; in the other modes each batch's whole result takes the place of the
+    one before.
+    """
+    out, spark = f"{checkpoint.rstrip('/')}-{name}", df.sparkSession
+    writer = df.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", out).start()
+    else:
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(out)

@@ -250,14 +250,102 @@ def test_parents_without_pairs(spark):
     assert {x.scenario_id: x.parent_id for x in found.collect()} == expected
 
 
-def test_scenarios_of_all_orders(spark, sf):
+def test_whole_tables(spark, sf):
+    r = Relations(spark, sf)
     n = spark.read.parquet(f"{sf}/orders.parquet").count()
-    for name in ("scenario_parent_resolve_all", "scenario_level_order_all"):
+    for name in ("scenario_parent_resolve", "scenario_level_order", "risk_detail"):
         assert catalogue.queries()[name](spark, sf).count() == n
+    mapped = r.risk_control.join(r.risk.select(F.col("id").alias("risk_id")), "risk_id").select("risk_id").distinct().count()
+    assert catalogue.queries()["risk_context_controls"](spark, sf).count() == mapped
 
 
-def test_detail_and_context_of_all_risks(spark, sf):
-    r = Relations(spark, sf)
-    mapped = r.risk_control.join(r.risk.select(F.col("id").alias("risk_id")), "risk_id").select("risk_id").distinct().count()
-    assert catalogue.queries()["risk_detail_all"](spark, sf).count() == r.risk.count()
-    assert catalogue.queries()["risk_context_controls_all"](spark, sf).count() == mapped
+def test_parents_of_the_own_document(spark):
+    rows = [(1, 1, 0, "a", "top", None), (2, 2, 0, "b", "top", None), (3, 2, 1, "c", "immediate", "a"), (4, 1, 1, "d", "immediate", "a")]
+    df = spark.createDataFrame(rows, "scenario_id long, document_id int, pos int, title string, level string, parent_title string")
+    assert {r.scenario_id: r.parent_id for r in hazard.resolve_parents(df).collect()} == {1: None, 2: None, 3: None, 4: 1}
+
+
+def test_reasons_stay(spark, register):
+    first = risks.with_status(register, spark.createDataFrame([("R-1",)], "risk_code string"), "accepted", "why")
+    then = {r.risk_code: r for r in risks.with_status(first, spark.createDataFrame([("R-2",)], "risk_code string"), "resolved").collect()}
+    assert (then["R-1"].status, then["R-1"].status_reason) == ("accepted", "why") and then["R-2"].status_reason == "Resolved" and then["R-3"].status_reason is None
+
+
+def test_detail_by_id(spark):
+    same = spark.createDataFrame([(1, "R-1"), (2, "R-1")], "id int, risk_code string")
+    control = spark.createDataFrame([(7, "RC-7", "n", "c", "t"), (8, "RC-8", "n", "c", "t")], "id int, control_code string, name string, category string, type string")
+    found = risks.detail(same, spark.createDataFrame([(1, 7), (2, 8)], "risk_id int, control_id int"), control)
+    assert {r.id: [c.control_code for c in r.mapped_controls] for r in found.collect()} == {1: ["RC-7"], 2: ["RC-8"]}
+
+
+def test_last_of_equal_keys(spark):
+    old = spark.createDataFrame([("a", 1)], "k string, v int")
+    new = spark.createDataFrame([("a", i) for i in range(2, 30)] + [("b", 7), ("b", None)], "k string, v int")
+    assert sorted(map(repr, map(tuple, graph.upsert(old, new, ["k"]).collect()))) == ["('a', 29)", "('b', None)"]
+
+
+def test_interrupted_overwrite(spark, tmp_path):
+    """A table that was set aside and not replaced comes back; one whose successor is in place goes."""
+    at = str(tmp_path / "t")
+    spark.createDataFrame([("a", 1)], "k string, v int").write.json(at + "._old")
+    sinks.restore_keyed(spark, at)
+    assert spark.read.json(at).count() == 1
+    spark.createDataFrame([("b", 1)], "k string, v int").write.json(at + "._old")
+    sinks.overwrite_keyed(spark.read.schema("k string, v int").json(at).filter("v > 5"), at)
+    assert spark.read.schema("k string, v int").json(at).count() == 0 and not [p for p in tmp_path.iterdir() if p.name != "t"]
+
+
+def test_source_tree_reads_few(spark, tmp_path):
+    for name, text in {"r/go.work": "use ./a", "r/src/big.bin": "x", "r/all.sln": "y", "r/melos.yaml.bak": "z"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    tree = documents.source_tree(spark, str(tmp_path))
+    assert {(r.repo, r.path): r.content for r in tree.collect()} == {("r", "go.work"): "use ./a", ("r", "src/big.bin"): None, ("r", "all.sln"): "y", ("r", "melos.yaml.bak"): None}
+
+
+def test_project_file(spark, tmp_path):
+    names = [".now.yaml", ".before.yaml"]
+    assert documents.project_file(spark, str(tmp_path), names).count() == 0
+    (tmp_path / ".before.yaml").write_text("project: old\n")
+    assert documents.project_file(spark, str(tmp_path), names).first().project == "old"
+    (tmp_path / ".now.yaml").write_text("project: new\n")
+    assert documents.project_file(spark, str(tmp_path), names).first().project == "new" and (tmp_path / ".before.yaml").exists()
+
+
+def test_levels_are_planned_once(spark):
+    """The plan of a deep traversal has as many joins as that of a shallow one."""
+    edges = spark.createDataFrame([("n", f"v{i}", "n", f"v{i + 1}", "causes", 1.0, "") for i in range(12)] + [("n", "v5", "n", "v2", "causes", 1.0, "bidirectional")], EDGES)
+    found = graph.traverse(edges, "v0", max_depth=9)
+    assert {r.entity_id: r.depth for r in found.collect()} == {**{f"v{i}": i for i in range(1, 6) if i != 5}, "v5": 3, "v6": 4, "v7": 5, "v8": 6, "v9": 7, "v10": 8, "v11": 9}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    paths = {tuple(r.path): r.depth for r in graph.foresight(edges, "v4", depth=3).collect()}
+    assert paths == {("v4", "v5"): 1, ("v4", "v5", "v6"): 2, ("v4", "v5", "v2"): 2, ("v4", "v5", "v6", "v7"): 3, ("v4", "v5", "v2", "v3"): 3}
+
+
+def test_search_of_odd_vectors(spark):
+    v = spark.createDataFrame([(3, None), (2, [1.0]), (1, [0.0, 1.0]), (5, [3.0, 4.0]), (4, [6.0, 8.0])], "vec_id int, embedding array<double>")
+    q = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 0.0])], "query_id string, query_vector array<double>")
+    rows = knowledge.semantic_search(v, q, 4).collect()
+    assert [(r.vec_id, r.score) for r in sorted(rows, key=lambda r: r.rank) if r.query_id == "a"] == [(4, 1.0), (5, 1.0), (1, 0.8), (2, None)]
+    assert [(r.vec_id, r.score) for r in sorted(rows, key=lambda r: r.rank) if r.query_id == "b"] == [(1, None), (2, None), (3, None), (4, None)]
+    assert knowledge.semantic_search(v.limit(0), q).count() == 0 and knowledge.semantic_search(v, q.limit(0)).count() == 0
+
+
+def test_signatures(spark):
+    """The second and third vectors of RFC 8032, and what is wrong with them when a bit is turned."""
+    vectors = [
+        ("3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c", b"\x72", "92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00"),
+        ("fc51cd8e6218a1a38da47ed00230f0580816ed13ba3303ac5deb911548908025", b"\xaf\x82", "6291d657deec24024827e69c3abe01a30ce548a284743a445e3680d7db5ac3ac18ff9b538d16f290ae67f760984dc6594a7c15e9716ed28dc027beceea1ec40a"),
+    ]
+    for key, message, signature in vectors:
+        assert integrity.ed25519_valid(bytes.fromhex(key), bytes.fromhex(signature), message)
+        assert not integrity.ed25519_valid(bytes.fromhex(key), bytes.fromhex(signature), message + b"x")
+        assert not integrity.ed25519_valid(bytes.fromhex(key)[::-1], bytes.fromhex(signature), message)
+    key, _, signature = vectors[0]
+    rows = spark.createDataFrame([("r", signature, "EdDSA"), ("r", signature, "RSA"), ("s", signature, "EdDSA"), ("r", "zz", "EdDSA"), ("r", None, "EdDSA")], "canonical string, signature string, algorithm string")
+    assert [r.verified for r in integrity.verify_signature(rows, bytes.fromhex(key)).collect()] == [True, False, False, False, False]
+
+
+def test_editor_registry(spark):
+    rows = editors.registry(spark).collect()
+    assert len({r.name for r in rows}) == len(rows) == 22 and {r.tier for r in rows} == {1, 2, 3}
