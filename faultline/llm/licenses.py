@@ -1,13 +1,16 @@
 """License scans by diagonal voting.
 
 Method
-    Every rolling word k-gram of every text is hashed and joined to the positions of the templates' k-grams. Hits are
-    counted by diagonal (place in the text less place in the template), neighbouring diagonals, which inserted or
-    left-out words make, are merged into one span, and a span stands if it covers enough of the template's k-grams.
-    A hit must have the template's very words, not only their hash; a phrase is a template of one k-gram, so each of
-    its hits is a place.
+    Every rolling word k-gram of every text is hashed and joined to the positions of the templates' k-grams. Hits vote by
+    diagonal (place in the text less place in the template): a diagonal has the different places of the template that
+    are hit on it, so a fragment that is repeated votes once. Neighbouring diagonals, which inserted or left-out words
+    make, are merged into one span. A span is verified word by word: the words of the template that its hits cover (a
+    hit has the template's very words, not only their hash) are at least ``COVERAGE`` of all, and those that decide between
+    variants, as version or kind, are there without a gap. Of overlapping spans of one family of licences the one with
+    the most words stands. A phrase is a template of one k-gram, so each of its hits is a place.
     Before the join, k-grams whose hash is not in a bitmap of the templates' hashes are left out (a runtime filter:
-    it drops no hit). The templates' table is broadcast if it has at most ``BROADCAST_GRAMS`` rows.
+    it drops no hit). The templates' table is broadcast if it has at most ``BROADCAST_GRAMS`` rows. What is found is
+    written before it is shuffled, so rows keep the numbers that they are told apart by when an executor is lost.
 
 Cases
     Null or empty text, or text without words: n_words 0, no labels, first_word and last_word null, score 0. Rows
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultline.llm._store import bounded_batches
+from faultline.llm._store import bounded_batches, stored
 from faultline.llm._text import ALNUM_WORDS, gram_hash, words_of
 
 GRAM = 3
@@ -39,28 +42,71 @@ _BITS = 1 << 20
 
 
 class Template(NamedTuple):
+    """``deciding`` words of the text must be found without a gap; of overlapping spans of a ``family`` one stands."""
+
     label: str
     text: str
     base: bool = False
+    family: str = ""
+    deciding: str = ""
 
 
-# Base phrases, then notices and openings of public licences, with their labels.
+# Base phrases, then notices and texts of public licences, with label, family and deciding words.
 BASE_PHRASES = [Template("cc-by", "cc by", True), Template("gpl", "general public license", True), Template("reserved", "all rights reserved", True)]
 TEMPLATES = [
     *BASE_PHRASES,
-    Template("apache-2.0", "licensed under the apache license version 2 0"),
-    Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    Template("mit", "released under the mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    Template("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    Template("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
-    Template("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    Template("apache-2.0", "licensed under the apache license version 2 0", family="apache", deciding="apache license version 2 0"),
+    Template(
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        family="apache",
+        deciding="apache license version 2 0",
+    ),
+    Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", family="apache", deciding="apache org licenses license 2 0"),
+    Template("mit", "released under the mit license", family="mit", deciding="the mit license"),
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation "
+        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        family="mit",
+    ),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", family="mit"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", family="isc"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", family="isc"),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", family="bsd"),
+    Template(
+        "bsd-2-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice "
+        "this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other "
+        "materials provided with the distribution this software is provided by the copyright holders and contributors as is",
+        family="bsd",
+        deciding="provided with the distribution this software is provided",
+    ),
+    Template(
+        "bsd-3-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice "
+        "this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other "
+        "materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        family="bsd",
+        deciding="may be used to endorse or promote products",
+    ),
+    Template("gpl-3.0", "licensed under the gnu general public license version 3", family="gpl", deciding="general public license version 3"),
+    Template("gpl-2.0", "licensed under the gnu general public license version 2", family="gpl", deciding="general public license version 2"),
+    Template("lgpl", "licensed under the gnu lesser general public license", family="gpl", deciding="gnu lesser general public license"),
+    Template("agpl", "licensed under the gnu affero general public license", family="gpl", deciding="gnu affero general public license"),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", family="gpl", deciding="gnu general public license as published"),
+    Template("cc-by-4.0", "licensed under cc by 4 0", family="cc", deciding="cc by 4 0"),
+    Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", family="cc", deciding="cc by sa 4 0"),
+    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", family="cc", deciding="cc by nc 4 0"),
+    Template("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", family="cc", deciding="commons attribution 4 0"),
+    Template("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license", family="cc", deciding="attribution sharealike 4 0"),
+    Template("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license", family="cc", deciding="attribution noncommercial 4 0"),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", family="cc"),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", family="mpl", deciding="mozilla public license v 2 0"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", family="unlicense"),
 ]
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -70,15 +116,22 @@ def _words(text: str) -> list[str]:
 
 
 def gram_rows(templates: list[Template]) -> list[tuple]:
-    """(hash, k, gram, template, label, base, tpos, grams) of each k-gram; a phrase of up to GRAM + 1 words is one k-gram."""
+    """(hash, k, gram, template, label, base, family, tpos, words, deciding) of each k-gram; a phrase of up to GRAM words is one k-gram.
+
+    deciding: whether the k-gram lies in the template's deciding words.
+    """
     rows = []
     for t, x in enumerate(templates):
-        words = _words(x.text)
+        words, deciding = _words(x.text), _words(x.deciding)
         if not words:
             continue
         k = len(words) if x.base or len(words) <= GRAM else GRAM
         n = len(words) - k + 1
-        rows += [(int(np.uint64(gram_hash(words[i : i + k])).astype(np.int64)), k, " ".join(words[i : i + k]), t, x.label, x.base, i, n) for i in range(n)]
+        at = next((i for i in range(len(words)) if deciding and words[i : i + len(deciding)] == deciding), None)
+        if deciding and at is None:
+            raise ValueError(f"{x.deciding!r} is not in the template of {x.label}")
+        within = range(at, at + len(deciding) - k + 1) if deciding else range(0)
+        rows += [(int(np.uint64(gram_hash(words[i : i + k])).astype(np.int64)), k, " ".join(words[i : i + k]), t, x.label, x.base, x.family, i, len(words), i in within) for i in range(n)]
     return rows
 
 
@@ -112,27 +165,40 @@ def _grams(sizes: list[int], bitmap: np.ndarray):
 
 
 def spans(docs: DataFrame, templates: list[Template] = TEMPLATES) -> DataFrame:
-    """Spans (row, doc_id, n_words, label, base, first, last, score) of each row of ``docs``; rows without a span have one with a null label."""
+    """Spans (row, doc_id, n_words, label, base, first, last, score) of each row of ``docs``; each row has one with a null label besides."""
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
     grams = gram_rows(templates)
     bitmap = np.zeros(_BITS, bool)
     bitmap[[g[0] & (_BITS - 1) for g in grams]] = True
-    table = spark.createDataFrame(grams, "hash long, k int, gram string, template int, label string, base boolean, tpos int, grams int")
+    table = spark.createDataFrame(grams, "hash long, k int, gram string, template int, label string, base boolean, family string, tpos int, words int, deciding boolean")
+    n_deciding = table.filter("deciding").groupBy("template").agg(F.count(F.lit(1)).alias("n_deciding"))
+    table = table.join(F.broadcast(n_deciding), "template", "left").na.fill(0, ["n_deciding"])
     if len(grams) <= BROADCAST_GRAMS:
         table = F.broadcast(table)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_grams(sorted({g[1] for g in grams}), bitmap), ROWS)
-    hits = rows.join(table, ["hash", "k", "gram"], "left").filter("pos is null or label is not null").repartition("row")
-    own = ["row", "doc_id", "n_words", "template", "label", "base", "grams"]
-    diagonals = hits.withColumn("diagonal", F.col("pos") - F.col("tpos")).groupBy(*own, "diagonal").agg(F.count("pos").alias("hits"), F.min("pos").alias("low"), F.max(F.col("pos") + F.col("k") - 1).alias("high"))
+    rows = stored(rows, "license-grams")
+    hits = rows.filter("pos is not null").join(table, ["hash", "k", "gram"])
+    own = ["row", "doc_id", "n_words", "template", "label", "base", "family", "words", "n_deciding", "k"]
+    places = F.collect_set("tpos"), F.collect_set(F.when(F.col("deciding"), F.col("tpos")))
+    diagonals = hits.groupBy(*own, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(places[0].alias("places"), places[1].alias("decided"), F.min("pos").alias("low"), F.max(F.col("pos") + F.col("k") - 1).alias("high"))
     # A phrase's diagonals are places of their own; a longer template's drift apart where words are put in or left out.
     in_order = Window.partitionBy("row", "template").orderBy("low", "diagonal")
     far = F.col("base") | (F.abs(F.col("diagonal") - F.lag("diagonal").over(in_order)) > DRIFT) | (F.col("low") - F.lag("high").over(in_order) > GAP)
-    merged = diagonals.withColumn("new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(in_order)).groupBy(*own, "span").agg(F.sum("hits").alias("hits"), F.min("low").alias("first"), F.max("high").alias("last"))
-    score = F.when(F.col("label").isNotNull(), F.least(F.lit(1.0), F.col("hits") / F.col("grams")))
-    verified = merged.withColumn("score", score).filter(F.col("label").isNull() | (F.col("score") >= COVERAGE))
-    # A row all of whose spans fell through keeps its empty one, which every row has.
-    return verified.select("row", "doc_id", "n_words", "label", "base", "first", "last", "score")
+    both = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    merged = diagonals.withColumn("span", F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(in_order)).groupBy(*own, "span").agg(both("places").alias("places"), both("decided").alias("decided"), F.min("low").alias("first"), F.max("high").alias("last"))
+    # Word by word: those that the hits cover, and whether all that decide are among them.
+    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("k") - 1)))))
+    verified = merged.withColumn("covered", covered).withColumn("score", F.col("covered") / F.col("words")).filter((F.col("score") >= COVERAGE) & (F.size("decided") == F.col("n_deciding")))
+    # Overlapping spans of a family: the one with the most words stands. Phrases all do.
+    group = Window.partitionBy("row", "family").orderBy("first", "last", "template")
+    apart = F.col("first") > F.max("last").over(group.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(group)
+    best = F.row_number().over(Window.partitionBy("row", "family", "island").orderBy(F.desc("covered"), F.desc("score"), "first", "template"))
+    standing = verified.filter("not base").withColumn("island", island).withColumn("best", best).filter("best = 1").unionByName(verified.filter("base"), allowMissingColumns=True)
+    columns = ["row", "doc_id", "n_words", "label", "base", "first", "last", "score"]
+    nothing = [F.lit(None).cast(standing.schema[c].dataType).alias(c) for c in columns[3:]]
+    return standing.select(*columns).unionByName(rows.filter("pos is null").select("row", "doc_id", "n_words", *nothing))
 
 
 def license_scan(docs: DataFrame, templates: list[Template] = TEMPLATES) -> DataFrame:
@@ -151,7 +217,7 @@ def license_scan(docs: DataFrame, templates: list[Template] = TEMPLATES) -> Data
             F.max(F.when(base, F.col("first"))).cast("long").alias("last_word"),
             labels(base).alias("base_labels"),
             labels(F.col("label").isNotNull()).alias("labels"),
-            F.coalesce(F.max("score"), F.lit(0.0)).alias("score"),
+            F.coalesce(F.max("score"), F.lit(0.0)).cast("double").alias("score"),
         )
         .drop("row")
     )

@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 
 from faultline.llm._memory import released
 from faultline.llm._store import bounded_batches, by_position, dropped, stored
-from faultline.llm._text import BASE, BASE_INVERSE, SPACE_WORDS, Words, mix, power_table, utf8, words_of
+from faultline.llm._text import BASE, BASE_INVERSE, SPACE_WORDS, Words, chunks, mix, power_table, utf8, words_of
 from faultline.llm.near_dedup import near_duplicates
 
 DEPTH, SIMILAR_PERCENT = 4, 80
@@ -49,6 +49,8 @@ MIN_DOCS, MIN_DOCS_SHORT = 3, 8
 BROADCAST_LINES = 1_000_000
 #: Tuples of either collection when families are looked for: a pair of similarity 0.75 shares a key with a probability of 0.997.
 FAMILY_TABLES = 8
+#: Rounds of stars in which families grow together.
+FAMILY_ROUNDS = 3
 _U = np.uint64
 _VARIABLE = _U(0x5851F42D4C957F2D)
 _DIGIT = np.zeros(256, bool)
@@ -197,14 +199,15 @@ class Candidates:
         text = docs.select(F.col("text").cast("string").alias("text")).withColumn("source", _source()).join(_few(self.sources, self.n_sources), "source", "left_semi")
         # Read several times: where they are few it is a scan with a filter, else they are gathered once.
         self.text = text if self.n_sources <= BROADCAST_LINES else stored(text, "lines-texts")
-        found = near_duplicates(self.text.select(F.col("source").alias("doc_id"), "text"), tables=FAMILY_TABLES)
+        found = near_duplicates(self.text.select(F.col("source").alias("doc_id"), "text"), tables=FAMILY_TABLES, star_rounds=FAMILY_ROUNDS)
         found = stored(found.groupBy("doc_id").agg(F.min("component_id").alias("family"), F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "source"), "lines-families")
         large = stored(found.groupBy("family").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("family", F.lit(True).alias("copied")), "lines-copied")
         #: (source, family, copied): copied says whether more than one row is in the family.
         self.family = stored(found.join(large, "family", "left").select("source", "family", F.coalesce("copied", F.lit(False)).alias("copied")), "lines-families")
         dropped(found, large)
-        #: (line, leaf, n, family), each once.
-        self.carried = stored(carried.join(_few(self.family.select("source", "family"), self.n_sources), "source").select("line", "leaf", "n", "family").distinct(), "lines-families-of")
+        #: (line, leaf, n, family, source), the families of each line, each once, with a text that has it.
+        of = carried.join(_few(self.family.select("source", "family"), self.n_sources), "source").groupBy("line", "leaf", "n", "family").agg(F.min("source").alias("source"))
+        self.carried = stored(of, "lines-families-of")
         dropped(carried)
 
     def drop(self) -> None:
@@ -219,14 +222,16 @@ def recurring_lines(candidates: Candidates) -> DataFrame:
     wide = carried.groupBy("leaf", "n").agg(F.min("line").alias("l0"), F.max("line").alias("l1"), F.count_distinct("family").alias("docs")).filter((F.col("l0") != F.col("l1")) & _enough("docs")).select("leaf", "n")
     wide = stored(wide, "lines-wide")
     few = stored(
-        carried.join(_few(wide, wide.count()), ["leaf", "n"], "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("line").orderBy("family"))).filter(F.col("place") <= MIN_DOCS_SHORT).select("line", "leaf", "n", "family"),
+        carried.join(_few(wide, wide.count()), ["leaf", "n"], "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("line").orderBy("family"))).filter(F.col("place") <= MIN_DOCS_SHORT).select("line", "leaf", "n", "family", "source"),
         "lines-few",
     )
-    units = stored(few.groupBy("line", "leaf", "n").agg(F.count(F.lit(1)).alias("docs")), "lines-units")
+    units = stored(few.groupBy("line", "leaf", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("source").alias("source")), "lines-units")
     n_units = units.count()
     wanted = np.sort(units.select("line").toArrow().column("line").to_numpy().astype(np.int64)) if n_units <= BROADCAST_LINES else None
-    tokens = candidates.text.select("text").mapInArrow(released(_tokens_of(wanted)), "line long, tokens array<long>").dropDuplicates(["line"])
-    tokens = stored(units.join(tokens, "line"), "lines-tokens")
+    # One text of each unit is read for its tokens.
+    text = candidates.text.join(_few(units.select("source").distinct(), n_units), "source", "left_semi").select("text")
+    tokens = text.mapInArrow(released(_tokens_of(wanted)), "line long, tokens array<long>").dropDuplicates(["line"])
+    tokens = stored(units.drop("source").join(tokens, "line"), "lines-tokens")
     places = tokens.select("line", "leaf", "n", "docs", F.posexplode("tokens").alias("place", "token")).filter(F.col("place") >= DEPTH)
     rare = stored(places.groupBy("leaf", "n", "place", "token").agg(F.sum("docs").alias("docs")).filter(~_enough("docs")).select("leaf", "n", "place", "token"), "lines-rare")
     masks = places.join(rare, ["leaf", "n", "place", "token"]).groupBy("line").agg(F.collect_list("place").alias("rare"))
@@ -286,27 +291,27 @@ def _cuts(u: Units, w: Words, gone: np.ndarray, copied: np.ndarray) -> dict[int,
     return out
 
 
-def _lines_with_words(column: pa.Array) -> np.ndarray:
+def _lines_with_words(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Lines of each row that are not blank."""
-    offsets, data = utf8(column)
-    words = SPACE_WORDS[data]
-    seen = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(words, out=seen[1:])
-    ends = np.union1d(np.flatnonzero(data == 10), offsets[1:])
-    begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    full = np.concatenate(([0], np.cumsum(seen[ends] > seen[begins])))
-    return full[np.searchsorted(ends, offsets[1:], "right")] - full[np.searchsorted(ends, offsets[:-1], "right")]
+    if not len(data):
+        return np.zeros(len(offsets) - 1, np.int64)
+    begins = np.union1d(np.flatnonzero(data == 10) + 1, offsets[:-1])
+    begins = begins[begins < len(data)]
+    full = np.concatenate(([0], np.cumsum(np.logical_or.reduceat(SPACE_WORDS[data], begins))))
+    at = np.searchsorted(begins, offsets)
+    return full[at[1:]] - full[at[:-1]]
 
 
 def _rewritten(column: pa.Array, look: np.ndarray, copied: np.ndarray, gone_of) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
     """New texts (null where a text stays as it is), lines with words and dropped units of each row; ``look`` says which rows may change, ``copied`` which have a copy."""
-    texts, n_lines, n_dropped = [None] * len(column), _lines_with_words(column), np.zeros(len(column), np.int64)
+    texts, n_lines, n_dropped = [None] * len(column), _lines_with_words(*utf8(column)), np.zeros(len(column), np.int64)
     at = np.flatnonzero(look)
-    for low, _, w in words_of(column.take(pa.array(at)), SPACE_WORDS, fold=False):
-        folded = Words(w.data, w.offsets, SPACE_WORDS, True)
-        u = Units(folded)
+    offsets, data = utf8(column.take(pa.array(at)))
+    for low, high in chunks(offsets):
+        w = Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], SPACE_WORDS, True)
+        u = Units(w)
         for r, (cuts, count) in _cuts(u, w, gone_of(at[low + u.row], u.hash), copied[at[low:]]).items():
-            raw = w.data[w.offsets[r] : w.offsets[r + 1]].tobytes()
+            raw = data[offsets[low + r] : offsets[low + r + 1]].tobytes()
             kept, done = [], 0
             for a, b in cuts:
                 kept.append(raw[done:a])

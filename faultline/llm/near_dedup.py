@@ -51,6 +51,8 @@ TABLES, WIDTH = 12, 2
 MISSED = 1e-7
 #: Rounds of stars across components before the exact join.
 STAR_ROUNDS = 1
+#: Candidates of a class that are confirmed in such a round, the most alike by minhashes.
+STAR_CANDIDATES = 4
 #: Candidate ids that are broadcast as a filter of the documents (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -260,10 +262,11 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFr
     return large.join(small, ["token", "band"]).filter(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), [crossed]
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, tables: int = TABLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, tables: int = TABLES, star_rounds: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (doc_id = component_id), one row a row of ``docs``.
 
-    ``tables`` (at most TABLES) is the number of tuples of either collection.
+    ``tables`` (at most TABLES) is the number of tuples of either collection. With ``star_rounds``, so many rounds of
+    stars across components take the place of the exact join: components are then those of the links that stars find.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -297,19 +300,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tables: int = TABLE
     dropped(first, links, *([same] if some_repeated else []))
 
     # Again for the keys that still join several components, with members of other components.
-    for turn in range(STAR_ROUNDS):
+    for turn in range(STAR_ROUNDS if star_rounds is None else star_rounds):
         again = _open_rows(keys, component, turn, "near-again", lambda rows: rows.select("a", F.col("id").alias("b")).distinct())
-        links = _confirmed(docs, plausible(again).groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b"), percent, "near-star")
+        best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
+        links = _confirmed(docs, plausible(again).withColumn("best", best).filter(F.col("best") <= STAR_CANDIDATES).select("a", "b"), percent, "near-star")
         component = _merged(component, links)
         dropped(again)
 
-    # Members of the keys that are left: every pair of them across components, by an exact join.
-    open_ = _open_rows(keys, component, 0, "near-open", lambda rows: rows.select("id", "component").distinct())
-    sets = stored(_selected(docs, open_.select(F.col("id").alias("doc_id"))).mapInArrow(released(_token_lists), "doc_id long, size long, tokens array<long>").join(open_.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "id"), "near-open-sets")
-    pairs, made_of = _prefix_pairs(sets, percent)
-    links = _confirmed(docs, pairs, percent, "near-cross")
-    dropped(open_, sets, *made_of)
-    component = _merged(component, links)
+    if star_rounds is None:
+        # Members of the keys that are left: every pair of them across components, by an exact join.
+        open_ = _open_rows(keys, component, 0, "near-open", lambda rows: rows.select("id", "component").distinct())
+        sets = stored(_selected(docs, open_.select(F.col("id").alias("doc_id"))).mapInArrow(released(_token_lists), "doc_id long, size long, tokens array<long>").join(open_.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "id"), "near-open-sets")
+        pairs, made_of = _prefix_pairs(sets, percent)
+        links = _confirmed(docs, pairs, percent, "near-cross")
+        dropped(open_, sets, *made_of)
+        component = _merged(component, links)
     dropped(keys)
 
     # Each row by its class, each class by its component.

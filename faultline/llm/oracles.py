@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faultline.llm.licenses import COVERAGE, DRIFT, GAP, TEMPLATES, gram_rows
+from faultline.llm.licenses import COVERAGE, DRIFT, GAP, GRAM, TEMPLATES
 from faultline.llm.quality_rules import DELTA, GRIDS, MAX_REPEAT_PERCENT, MIN_WORDS, RISK
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -60,20 +60,30 @@ failed as (select doc_id, string_agg(rule, ',' order by rule) as rules from long
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rules is null as kept, coalesce(rules, '') as failed_rules from c left join failed using (doc_id)
 """
 
-_TEMPLATE_ROWS = ", ".join("({}, {}, '{}', {}, '{}', {}, {})".format(t, k, gram, tpos, label, base, n) for _, k, gram, t, label, base, tpos, n in gram_rows(TEMPLATES))
+# The licence texts are data; their words and k-grams are worked out by the SQL.
+_LICENCES = ", ".join(f"({t}, '{x.label}', '{x.family}', {x.base}, '{x.text}', '{x.deciding}')" for t, x in enumerate(TEMPLATES))
+_LICENCE_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 LICENSE_SCAN = rf"""
-with w as (
-  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
-t(template, k, gram, tpos, label, base, grams) as (values {_TEMPLATE_ROWS}),
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_LICENCE_WORDS}) as w from documents),
+l(template, label, family, base, text, deciding) as (values {_LICENCES}),
+t as (select *, regexp_extract_all(text, {_LICENCE_WORDS}) as words, regexp_extract_all(deciding, {_LICENCE_WORDS}) as d, case when base then len(words) else least(len(words), {GRAM}) end as k from l),
+t2 as (select *, list_filter(range(0, len(words) - len(d) + 1), lambda i: len(d) > 0 and words[i + 1:i + len(d)] = d)[1] as at from t),
+g as (select template, label, family, base, k, len(words) as n, unnest(range(0, len(words) - k + 1)) as tpos, words, case when at is null then [] else range(at, at + len(d) - k + 1) end as must from t2),
 places as (select doc_id, k, w, unnest(range(0, len(w) - k + 1)) as pos from w, (select distinct k from t)),
-hits as (select doc_id, template, label, base, grams, p.pos, p.pos - tpos as diagonal, p.k from (select doc_id, k, pos, array_to_string(w[pos + 1:pos + k], ' ') as gram from places) p join t using (k, gram)),
-d as (select doc_id, template, label, base, grams, diagonal, count(*) as hits, min(pos) as low, max(pos + k - 1) as high from hits group by all),
+grams as (select doc_id, k, pos, array_to_string(w[pos + 1:pos + k], ' ') as gram from places),
+hits as (select doc_id, template, label, family, base, n, must, p.pos, tpos, p.k from grams p join g on g.k = p.k and p.gram = array_to_string(words[tpos + 1:tpos + g.k], ' ')),
+d as (select doc_id, template, label, family, base, n, must, k, pos - tpos as diagonal, list(distinct tpos) as tp, min(pos) as low, max(pos + k - 1) as high from hits group by all),
 f as (select *, lag(diagonal) over o as d0, lag(high) over o as h0 from d window o as (partition by doc_id, template order by low, diagonal)),
-g as (select *, sum(case when base or d0 is null or abs(diagonal - d0) > {DRIFT} or low - h0 > {GAP} then 1 else 0 end) over (partition by doc_id, template order by low, diagonal) as span from f),
-m as (select doc_id, template, label, base, grams, span, sum(hits) as hits, min(low) as first from g group by all),
-v as (select *, least(1.0::double, cast(hits as double) / grams) as score from m where least(1.0::double, cast(hits as double) / grams) >= {COVERAGE}::double)
+s as (select *, sum(case when base or d0 is null or abs(diagonal - d0) > {DRIFT} or low - h0 > {GAP} then 1 else 0 end) over (partition by doc_id, template order by low, diagonal) as span from f),
+m as (select doc_id, template, label, family, base, n, must, k, span, list_distinct(flatten(list(tp))) as tp, min(low) as first, max(high) as last from s group by all),
+c as (select *, len(list_distinct(flatten(list_transform(tp, lambda x: range(x, x + k))))) as covered from m),
+v as (select *, cast(covered as double) / n as score from c where cast(covered as double) / n >= {COVERAGE}::double and list_has_all(tp, must)),
+i0 as (select *, max(last) over (partition by doc_id, family order by first, last, template rows between unbounded preceding and 1 preceding) as before from v where not base),
+i1 as (select *, sum(case when before is null or first > before then 1 else 0 end) over (partition by doc_id, family order by first, last, template rows unbounded preceding) as island from i0),
+x as (select doc_id, label, base, first, score from v where base union all
+  select doc_id, label, base, first, score from (select *, row_number() over (partition by doc_id, family, island order by covered desc, score desc, first, template) as best from i1) where best = 1)
 select w.doc_id, cast(len(w.w) as bigint) as n_words, count(*) filter (base) as n_base, min(first) filter (base) as first_word, max(first) filter (base) as last_word,
   coalesce(string_agg(distinct label, ',' order by label) filter (base), '') as base_labels, coalesce(string_agg(distinct label, ',' order by label), '') as labels, coalesce(max(score), 0.0::double) as score
-from w left join v on v.doc_id = w.doc_id group by w.doc_id, w.w
+from w left join x on x.doc_id = w.doc_id group by w.doc_id, w.w
 """
