@@ -1,25 +1,34 @@
 """Benchmark decontamination by greedy string tiling.
 
 Method
-    The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, each of which is broadcast and held against all
-    documents; a block's seeds are the Karp-Rabin hashes of its k-grams of ``SEED`` words. Within a document, seeds
-    shared with an item are joined to runs on one diagonal; the longest run is marked as a tile in both texts, runs that
-    it cuts are shortened, and so on until no run of ``SEED`` unmarked words is left. The share of an item's words that
-    are in tiles, wherever in the document and in whatever order, is its coverage; at ``COVERAGE`` or more it leaked.
-    Items whose seeds cannot reach that are not tiled (an upper bound, so no leak is lost). Nothing is shuffled.
+    The seeds of an item are the Karp-Rabin hashes of its k-grams of ``SEED`` words, kept as a stored table. Documents are
+    read once; one that has a seed by which an item is looked for keeps its places of shared seeds, and these are
+    joined to the items by the seed. Each pair of a text and an item found so is tiled: shared seeds are joined to runs on
+    one diagonal; the longest run is marked as a tile in both texts, runs that it cuts are shortened, and so on until
+    no run of ``SEED`` unmarked words is left. The share of an item's words that are in tiles, wherever in the document
+    and in whatever order, is its coverage; at ``COVERAGE`` or more it leaked.
+
+    An item is looked for by its rare seeds, those in at most ``COMMON`` items: what common seeds alone could cover of it
+    does not make a leak, so a prompt that very many items share pairs no document with all of them. Only an item that
+    common seeds could cover enough is looked for by all but its commonest seeds, as many as a leak must share at
+    least. Both lose no leak. Pairs whose seeds cannot reach the coverage are not tiled (an upper bound).
+    What comes to the driver are two bitmaps of at most 2 ** ``MOST_BITS`` bits, whatever the size of the benchmark; they
+    only spare k-grams that are no seed the join.
 
 Words are runs of ASCII letters and digits and all other non-ASCII characters, A-Z in lower case.
 
 Cases
-    Null or empty texts of either table match nothing; an item of fewer than ``SEED`` words is matched by all of
-    its words at once. Items with one text each get their own result, rows that share an item_id have the larger
-    coverage. Repeated documents and null doc_ids are judged row by row. Empty tables: no leaks. Texts are read whole.
-    Columns other than doc_id, text and item_id are ignored.
+    Null or empty texts of either table match nothing. An item of fewer than ``SEED`` words says too little to be looked for
+    within a text: it leaked only into a text that has its words and no others. Items with equal texts have equal
+    results, rows that share an item_id have the larger coverage. Repeated documents and null doc_ids are judged row
+    by row. Empty tables: no leaks. Texts are read whole. Columns other than doc_id, text and item_id are ignored, or
+    kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,64 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm._memory import released
-from faultline.llm._store import bounded_batches
-from faultline.llm._text import ALNUM_WORDS, Words, words_of
+from faultline.llm._store import bounded_batches, by_position, dropped, stored
+from faultline.llm._text import ALNUM_WORDS, words_of
 
 SEED = 5
 COVERAGE = 0.6
-BLOCK_WORDS = 2_000_000
-_BITS = 1 << 22
-_MASK = np.uint64(_BITS - 1)
-
-
-class Index:
-    """Seeds of one block of items: sorted hashes with the item and the place of each."""
-
-    def __init__(self, items: pa.Table, seed: int = SEED):
-        self.ids, lengths, parts, self.seed = items.column("item_id").to_pylist(), [], {}, seed
-        text = items.column("text").combine_chunks()
-        text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks or [pa.array([], pa.string())])
-        for low, high, w in words_of(text, ALNUM_WORDS):
-            n = np.diff(w.bounds)
-            lengths.append(n)
-            for k in {seed, *n[(n > 0) & (n < seed)].tolist()}:
-                g, ok = w.grams(k), w.gram_mask(k)
-                at = np.flatnonzero(ok)
-                row = np.searchsorted(w.bounds, at, "right") - 1
-                use = (n[row] >= seed) if k == seed else (n[row] == k)
-                parts.setdefault(k, []).append((g[at][use], row[use] + low, (at - w.bounds[row])[use]))
-        self.lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-        self.tables = {}
-        for k, found in parts.items():
-            h, item, place = (np.concatenate(x) for x in zip(*found))
-            if not len(h):
-                continue
-            order = np.argsort(h, kind="stable")
-            bitmap = np.zeros(_BITS, bool)
-            bitmap[(h & _MASK).astype(np.int64)] = True
-            self.tables[k] = (h[order], item[order], place[order], bitmap)
-
-    def hits(self, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, item, place in the item, place in the document, seed length) of each shared seed, by row."""
-        out = []
-        for k, (h, item, place, bitmap) in self.tables.items():
-            g = w.grams(k)
-            at = np.flatnonzero(bitmap[(g & _MASK).astype(np.int64)] & w.gram_mask(k))
-            low, high = np.searchsorted(h, g[at], "left"), np.searchsorted(h, g[at], "right")
-            n = high - low
-            if n.sum():
-                source = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                at = np.repeat(at, n)
-                row = np.searchsorted(w.bounds, at, "right") - 1
-                out.append((row, item[source], place[source], at - w.bounds[row], np.full(len(at), k)))
-        if not out:
-            return
-        row, item, place, at, k = (np.concatenate(x) for x in zip(*out))
-        order = np.argsort(row, kind="stable")
-        row, item, place, at, k = row[order], item[order], place[order], at[order], k[order]
-        cuts = np.flatnonzero(np.diff(row)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(row)]):
-            yield int(row[a]), item[a:b], place[a:b], at[a:b], k[a:b]
+#: Items that may have a seed before it counts as common.
+COMMON = 64
+#: Rows that are broadcast in a join.
+BROADCAST_ROWS = 500_000
+#: Bits of the bitmaps: 16 for each seed, at most 2 to this power.
+MOST_BITS = 27
 
 
 def tiles(place: np.ndarray, at: np.ndarray, length: int, seed: int) -> list[tuple[int, int, int]]:
@@ -120,82 +82,212 @@ def tiles(place: np.ndarray, at: np.ndarray, length: int, seed: int) -> list[tup
     return out
 
 
-def leaks_of(w: Words, index: Index, coverage: float) -> Iterator[tuple[int, int, float, list]]:
-    """(row, item number, coverage, tiles) of each item that a row covers enough."""
-    for row, item, place, at, k in index.hits(w):
-        order = np.argsort(item, kind="stable")
-        item, place, at, k = item[order], place[order], at[order], k[order]
-        cuts = np.flatnonzero(np.diff(item)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(item)]):
-            which, seed = int(item[a]), int(k[a])
-            length = int(index.lengths[which])
-            covered = np.zeros(length + 1, np.int64)
-            np.add.at(covered, place[a:b], 1)
-            np.add.at(covered, place[a:b] + seed, -1)
-            if np.count_nonzero(np.cumsum(covered[:-1])) < coverage * length:
-                continue
-            found = tiles(place[a:b], at[a:b], length, seed)
-            share = sum(t[2] for t in found) / length
-            if share >= coverage:
-                yield row, which, share, found
+def _seeds(column: pa.Array) -> Iterator[tuple[int, np.ndarray, int, np.ndarray, np.ndarray]]:
+    """(row, its words' number, seed length, hashes of its k-grams) of each row with words; fewer than SEED words are one k-gram."""
+    for low, _, w in words_of(column, ALNUM_WORDS):
+        grams = {SEED: w.grams(SEED)}
+        for r, (a, b) in enumerate(zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist())):
+            n = b - a
+            k = min(n, SEED)
+            if n:
+                if k not in grams:
+                    grams[k] = w.grams(k)
+                yield low + r, n, k, grams[k][a : b - k + 1]
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[pa.Table]:
-    """The benchmark's items, at most about BLOCK_WORDS words at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + total // (5 * BLOCK_WORDS)
-    for b in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b)
-        yield own.toArrow()
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
 
 
-LEAKS = "doc_id long, item_id long, coverage double, n_tiles int, longest_tile int, item_words int, reordered boolean"
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, sizes, found = [], [], []
+        for r, n, _, grams in _seeds(batch.column(1)):
+            rows.append(r)
+            sizes.append(n)
+            found.append(_signed(grams))
+        bounds = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.zeros(0, np.int64), *found])))], ["item", "n_words", "seeds"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """One row a document and item that leaked into it."""
+def looked_for(seeds: np.ndarray, n_items: np.ndarray, n_words: int, coverage: float, common: int) -> np.ndarray:
+    """The seeds by which an item is looked for, distinct; ``n_items`` says how many items have each."""
+    rare = n_items <= common
+    places = np.flatnonzero(~rare)
+    covered = np.zeros(n_words + SEED + 1, np.int64)
+    np.add.at(covered, places, 1)
+    np.add.at(covered, places + min(SEED, n_words), -1)
+    if np.count_nonzero(np.cumsum(covered)) < coverage * n_words:
+        return np.unique(seeds[rare])
+    # A leak has tiles over so many words, and at least one seed for every SEED of them.
+    least = max(1, math.ceil(coverage * n_words / SEED))
+    return np.unique(seeds[np.argsort(n_items, kind="stable")[: len(seeds) - least + 1]])
+
+
+def _looked_for(coverage: float, common: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, hashes = [], []
+            for item, n_words, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                fields = entries.values.flatten()  # place, seed and count of each, in order of places
+                own = _signed(np.empty(0, np.uint64)) if not len(entries.values) else looked_for(fields[1].to_numpy(), fields[2].to_numpy(), n_words, coverage, common)
+                items += [item] * len(own)
+                hashes.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *hashes])), pa.array(items, pa.int64())], ["seed", "item"])
+
+    return run
+
+
+def _bitmap(seeds: DataFrame, bits: int) -> bytes:
+    """A bitmap of a column of hashes, put together from pieces that tasks make."""
+    piece = min(bits, 1 << 16)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for at in batch.column(1):
+                flags = np.zeros(piece, bool)
+                flags[at.values.to_numpy()] = True
+                out.append(np.packbits(flags, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["piece", "bits"])
+
+    at = F.pmod("seed", F.lit(bits))
+    pieces = seeds.select(F.floor(at / piece).cast("int").alias("piece"), (at % piece).cast("int").alias("bit")).groupBy("piece").agg(F.collect_set("bit").alias("bits"))
+    out = np.zeros((bits // piece, piece // 8), np.uint8)
+    for row in pieces.mapInArrow(packed, "piece int, bits binary").toArrow().to_pylist():
+        out[row["piece"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.tobytes()
+
+
+def _has_bit(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+HITS = "source long, asked array<long>, places binary, hashes binary"
+
+
+def _hits(asked_bits: bytes, all_bits: bytes):
+    """Of each text with a seed that an item is looked for by: these seeds, and the places and hashes of all it may share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by, known = np.frombuffer(asked_bits, np.uint8), np.frombuffer(all_bits, np.uint8)
+        for batch in batches:
+            rows, asked, places, hashes = [], [], [], []
+            for r, _, _, grams in _seeds(batch.column(1)):
+                hit = _has_bit(by, grams)
+                if hit.any():
+                    at = np.flatnonzero(_has_bit(known, grams))
+                    rows.append(r)
+                    asked.append(_signed(np.unique(grams[hit])))
+                    places.append(at.astype("<i4").tobytes())
+                    hashes.append(grams[at].tobytes())
+            bounds = pa.array(np.cumsum([0, *map(len, asked)]), pa.int32())
+            lists = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.zeros(0, np.int64), *asked])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), lists, pa.array(places, pa.binary()), pa.array(hashes, pa.binary())], ["source", "asked", "places", "hashes"])
+
+    return run
+
+
+def shared(seeds: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the item, place in the document) of each shared seed.
+
+    Of a run of one repeated word that is far longer than the item, the middle is left out: tiles cannot fill it.
+    """
+    most = 4 * len(seeds)
+    new = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (places[1:] != places[:-1] + 1))))
+    length = np.diff(np.append(new, len(hashes)))
+    if (length > most).any():
+        within = np.arange(len(hashes)) - np.repeat(new, length)
+        keep = (within < most // 2) | (within >= np.repeat(length, length) - most // 2)
+        places, hashes = places[keep], hashes[keep]
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    low, high = np.searchsorted(ranked, seeds, "left"), np.searchsorted(ranked, seeds, "right")
+    n = high - low
+    at = order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    return np.repeat(np.arange(len(seeds)), n), places[at]
+
+
+FOUND = "source long, item long, coverage double, n_tiles int, longest_tile int, item_words int, reordered boolean"
+
+
+def _tiled(coverage: float):
+    """The pairs (source, places, hashes, item, n_words, seeds) that tiles cover enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for source, item, n_words, places, hashes, seeds in zip(*(batch.column(c).to_pylist() if c < 3 else batch.column(c) for c in range(6))):
+                own = seeds.values.to_numpy().view(np.uint64)
+                doc = np.frombuffer(hashes.as_buffer(), np.uint64)
+                seed = min(SEED, n_words)
+                hit = np.flatnonzero(np.isin(own, doc))
+                covered = np.zeros(n_words + 1, np.int64)
+                np.add.at(covered, hit, 1)
+                np.add.at(covered, hit + seed, -1)
+                if np.count_nonzero(np.cumsum(covered)) < coverage * n_words or not len(hit):
+                    continue
+                place, at = shared(own, np.frombuffer(places.as_buffer(), "<i4").astype(np.int64), doc)
+                found = tiles(place, at, n_words, seed)
+                share = sum(t[2] for t in found) / n_words
+                if share >= coverage:
+                    order = [j for _, j, _ in sorted(found)]
+                    rows.append((source, item, share, len(found), max(t[2] for t in found), n_words, order != sorted(order)))
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*zip(*rows)] or [[]] * 7, kinds)], [c.split()[0] for c in FOUND.split(", ")])
+
+    return run
+
+
+def _few(table: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(table) if n <= BROADCAST_ROWS else table.hint("merge")
+
+
+def _text(df: DataFrame) -> DataFrame:
+    """(name, text) of the rows with a text; equal texts have the same name."""
+    return df.select(F.col("text").cast("string").alias("text")).filter("text is not null").select(F.xxhash64("text").alias("name"), "text")
+
+
+def leaked_texts(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """(source, item, coverage, n_tiles, longest_tile, item_words, reordered), stored: the leaks of each text, by the hashes of both texts."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for items in _blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Index(items)
-            for batch in batches:
-                rows = []
-                for low, _, w in words_of(batch.column(1), ALNUM_WORDS):
-                    best = {}
-                    for row, which, share, found in leaks_of(w, index, coverage):
-                        ordered = [j for _, j, _ in sorted(found)]
-                        r = (share, len(found), max(t[2] for t in found), int(index.lengths[which]), ordered != sorted(ordered))
-                        key = (row, index.ids[which])
-                        if key not in best or best[key] < r:
-                            best[key] = r
-                    rows += [(low + row, item, *r) for (row, item), r in best.items()]
-                columns = [*zip(*rows)] or [[]] * 7
-                kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds))], [c.split()[0] for c in LEAKS.split(", ")])
-
-        found = docs.mapInArrow(released(run), LEAKS)
-        out = found if out is None else out.unionByName(found)
+    items = stored(_text(benchmark).dropDuplicates(["name"]).mapInArrow(released(_item_seeds), "item long, n_words int, seeds array<long>"), "benchmark-items")
+    n_items, n_seeds = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("seeds")), F.lit(0))).first()
+    places = items.select("item", "n_words", F.posexplode("seeds").alias("place", "seed"))
+    counts = stored(places.groupBy("seed").agg(F.count_distinct("item").alias("n")), "benchmark-counts")
+    entries = places.join(counts, "seed").groupBy("item", "n_words").agg(F.array_sort(F.collect_list(F.struct("place", "seed", "n"))).alias("entries"))
+    index = stored(entries.mapInArrow(released(_looked_for(coverage, COMMON)), "seed long, item long"), "benchmark-index")
+    bits = 1 << min(MOST_BITS, max(10, (16 * n_seeds).bit_length()))
+    by, known = _bitmap(index.select("seed"), bits), _bitmap(counts.select("seed"), bits)
+    hits = stored(_text(docs).withColumnRenamed("name", "source").mapInArrow(released(_hits(by, known)), HITS).dropDuplicates(["source"]), "benchmark-hits")
+    pairs = hits.select("source", F.explode("asked").alias("seed")).join(_few(index, index.count()), "seed").select("source", "item").distinct()
+    pairs = stored(pairs, "benchmark-pairs")
+    both = pairs.join(_few(items, n_seeds), "item").join(hits.select("source", "places", "hashes"), "source")
+    out = stored(both.select("source", "item", "n_words", "places", "hashes", "seeds").mapInArrow(released(_tiled(coverage)), FOUND), "benchmark-leaks")
+    dropped(items, counts, index, hits, pairs)
     return out
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """One row a document and item that leaked into it: doc_id, item_id, coverage, n_tiles, longest_tile, item_words, reordered."""
+    found = leaked_texts(docs, benchmark, coverage)
+    n = found.count()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(F.col("text").cast("string")).alias("item")).filter("item_id is not null").distinct()
+    own = ["coverage", "n_tiles", "longest_tile", "item_words", "reordered"]
+    by_item = items.unionByName(benchmark.filter("item_id is null and text is not null").select(F.lit(None).cast("long").alias("item_id"), F.xxhash64(F.col("text").cast("string")).alias("item")).distinct())
+    best = found.join(by_item, "item").groupBy("source", "item_id").agg(F.max(F.struct(*own)).alias("best"))
+    best = stored(best.select("source", "item_id", "best.*"), "benchmark-leaked")
+    dropped(found)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("source"))
+    return texts.join(_few(best, n), "source").select("doc_id", "item_id", *own)
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` into which no item leaked, with their columns."""
-    bounded_batches(docs.sparkSession)
-    schema, at = docs.schema, docs.columns.index("text")
-    for items in _blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Index(items)
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for low, _, w in words_of(batch.column(at), ALNUM_WORDS):
-                    for row, *_ in leaks_of(w, index, coverage):
-                        keep[low + row] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(released(run), schema)
-    return docs
+    found = leaked_texts(docs, benchmark, coverage)
+    gone = stored(found.select("source").distinct(), "benchmark-gone")
+    dropped(found)
+    rows, name = by_position(docs)
+    out = rows.join(_few(gone, gone.count()), F.xxhash64(F.col(name["text"]).cast("string")) == F.col("source"), "left_anti")
+    return out.toDF(*docs.columns)

@@ -211,16 +211,6 @@ def test_leaks(spark):
     assert sorted(x.doc_id for x in decontaminated(docs, bench).collect()) == [3, 4, 6]
 
 
-def test_blocks_agree(spark, docs, sf, monkeypatch):
-    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    whole = sorted(map(tuple, leaks(docs, bench).collect()))
-    assert whole and {(r[0], r[1]) for r in whole} >= {(d.doc_id, b.item_id) for d in docs.collect() for b in bench.collect() if b.text in d.text}
-    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 500)
-    assert sorted(map(tuple, leaks(docs, bench).collect())) == whole
-    kept = docs.join(leaks(docs, bench).select("doc_id").distinct(), "doc_id", "left_anti")
-    assert {r.doc_id for r in decontaminated(docs, bench).collect()} == {r.doc_id for r in kept.collect()}
-
-
 def plain_tiling(item, doc, least):
     """Greedy string tiling by looking at every pair of places."""
     in_item, in_doc, out = [False] * len(item), [False] * len(doc), []
@@ -251,9 +241,79 @@ def test_tiling_against_plain():
         assert got == plain_tiling(item, doc, 3), (item, doc)
 
 
+def tokens(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain_leaks(docs, items):
+    """(doc, item, covered words) by looking at every pair of texts and every pair of places."""
+    out = set()
+    for d, text in docs:
+        doc = tokens(text)
+        grams = {tuple(doc[i : i + 5]) for i in range(len(doc) - 4)}
+        for i, other in items:
+            item = tokens(other)
+            if len(item) < 5:
+                if item and item == doc:
+                    out.add((d, i, len(item)))
+            elif sum(tuple(item[j : j + 5]) in grams for j in range(len(item) - 4)) * 5 >= 0.6 * len(item):
+                covered = sum(n for _, _, n in plain_tiling(item, doc, 5))
+                if covered >= 0.6 * len(item):
+                    out.add((d, i, covered))
+    return out
+
+
+def found_leaks(docs, bench):
+    return {(r.doc_id, r.item_id, round(r.coverage * r.item_words)) for r in leaks(docs, bench).collect()}
+
+
+def test_leaks_against_plain(spark, docs, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    expected = plain_leaks([(d.doc_id, d.text) for d in docs.collect()], [(b.item_id, b.text) for b in bench.collect()])
+    assert expected and found_leaks(docs, bench) == expected
+    assert {r.doc_id for r in decontaminated(docs, bench).collect()} == {r.doc_id for r in docs.collect()} - {d for d, *_ in expected}
+
+
+@pytest.mark.parametrize("common, rows", [(64, 500_000), (2, 0), (0, 500_000)])
+def test_common_seeds(spark, monkeypatch, common, rows):
+    """Items that share prompts of every length, however many items count as common, with and without broadcasts."""
+    r = random.Random(21)
+    prompt = words(r, 30).split()
+    items = [(i, " ".join(prompt[: r.randrange(31)] + words(r, r.randrange(3, 30)).split() + prompt[r.randrange(31) :])) for i in range(40)]
+    texts = [" ".join(prompt), " ".join(prompt[:20]), "none of it", *(t for _, t in items[:10])]
+    texts += [" ".join([*t.split()[len(t.split()) // 2 :], words(r, 3), *t.split()[: len(t.split()) // 2]]) for _, t in items[10:20]]
+    texts += [" ".join(w for w in t.split() if r.random() < 0.93) for _, t in items[20:30]]
+    monkeypatch.setattr(decontamination, "COMMON", common)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", rows)
+    docs = [*enumerate(texts)]
+    got = found_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert got == plain_leaks(docs, items) and len(got) > 20
+
+
+def test_prompt_of_very_many_items(spark):
+    """A prompt that 20,000 items share pairs a document that has it with none of them but those whose rest it has too."""
+    r = random.Random(22)
+    prompt = words(r, 12)
+    bench = spark.range(20_000).select(F.col("id").alias("item_id"), F.concat(F.lit(prompt + " "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(14)), lambda k: F.concat(F.lit("own"), F.col("id").cast("string"), F.lit("x"), k.cast("string"))), " ")).alias("text"))
+    own = " ".join(f"own77x{k}" for k in range(15))
+    df = spark.createDataFrame([(i, f"{prompt} {words(r, 10)}") for i in range(200)] + [(900, f"{prompt} {own}"), (901, own)], "doc_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in leaks(df, bench).collect()} == {(900, 77)}
+
+
+def test_repeated_word(spark):
+    """One word a hundred thousand times."""
+    bench = spark.createDataFrame([(1, "wort " * 60), (2, "wort " * 20 + "and some other words that are not there at all anywhere in it no"), (3, "x " + "wort " * 30 + "y")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "wort " * 100_000), (2, "wort " * 10), (3, "wort " * 1000 + "z x " + "wort " * 1000 + "y")], "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): x.coverage for x in leaks(df, bench).collect()}
+    assert got[1, 1] == got[3, 1] == 1.0 and got[1, 3] == 30 / 32 and got[3, 3] >= 31 / 32 and (2, 1) not in got and (1, 2) not in got
+
+
 def test_leak_edges(spark, odd, nothing):
-    bench = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, "same text here of six words"), (4, "other"), (None, "wort wort wort wort wort wort")], "item_id long, text string").withColumn("doc_id", F.lit(1))
-    got = {(r.doc_id, r.item_id) for r in leaks(odd, bench).collect()}
-    assert got == {(4, 3), (5, 4), (6, 4), (None, 4), (7, None)}
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, "same text here of six words"), (4, "other"), (None, "wort wort wort wort wort wort"), (5, "ONE"), (6, "the")], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    got = sorted(((r.doc_id, r.item_id) for r in leaks(odd, bench).collect()), key=repr)
+    # An item of one word is in a text of that word alone.
+    assert got == sorted([(4, 3), (4, 5), (5, 4), (5, 4), (6, 4), (None, 4), (7, None)], key=repr)
     assert leaks(nothing, bench).count() == 0 and leaks(odd, bench.limit(0)).count() == 0
     assert decontaminated(odd, bench).columns == odd.columns and decontaminated(odd, bench.limit(0)).count() == odd.count()
+    dotted = spark.createDataFrame([(1, "one", "x"), (2, "two", "y")], "doc_id long, text string, `a.b c` string")
+    assert [tuple(r) for r in decontaminated(dotted, bench).collect()] == [(2, "two", "y")]
