@@ -50,7 +50,7 @@ BROADCAST_LINES = 1_000_000
 #: Tuples of either collection when families are looked for: a pair of similarity 0.75 shares a key with a probability of 0.997.
 FAMILY_TABLES = 8
 #: Rounds of stars in which families grow together.
-FAMILY_ROUNDS = 3
+FAMILY_ROUNDS = 2
 _U = np.uint64
 _VARIABLE = _U(0x5851F42D4C957F2D)
 _DIGIT = np.zeros(256, bool)

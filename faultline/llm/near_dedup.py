@@ -47,8 +47,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Tuples in each of the two collections, and minhashes in a tuple.
 TABLES, WIDTH = 12, 2
-#: A candidate pair whose minhashes agree in so few places that a pair to be linked does so with this probability is dropped.
-MISSED = 1e-7
+#: A star whose minhashes agree in so few places that a pair to be linked does so with this probability is not confirmed; its keys stay open for what follows.
+MISSED = 1e-3
 #: Rounds of stars across components before the exact join.
 STAR_ROUNDS = 1
 #: Candidates of a class that are confirmed in such a round, the most alike by minhashes.
@@ -143,10 +143,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component, size, tokens) of stored sets."""
     for batch in batches:
-        for low, high, sizes, values in shingle_sets(batch.column(1)):
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), _signed(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sizes, pa.int64()), lists], ["doc_id", "size", "tokens"])
+        raw = batch.column(2)
+        sizes = np.array([len(x.as_buffer()) // 8 for x in raw], np.int64)
+        values = np.frombuffer(b"".join(x.as_py() for x in raw), np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), lists], ["id", "component", "size", "tokens"])
 
 
 def _confirm(percent: int):
@@ -178,16 +181,11 @@ def _selected(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), "doc_id", "left_semi")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Only documents in a pair have their sets built."""
-    pairs = stored(pairs, f"{name}-pairs")
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-    sets = stored(_selected(docs, ids).mapInArrow(released(_sets), "doc_id long, shingles binary"), f"{name}-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    links = stored(both.mapInArrow(released(_confirm(percent)), "a long, b long").distinct(), f"{name}-links")
-    dropped(pairs, ids, sets)
-    return links
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose full ``sets`` are similar enough; stored."""
+    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = both.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
+    return stored(both.mapInArrow(released(_confirm(percent)), "a long, b long").distinct(), name)
 
 
 def _surviving_keys(classes: DataFrame, tables: int) -> DataFrame:
@@ -290,32 +288,34 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tables: int = TABLE
     first = stored(keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "a"), "near-first")
     stars = keys.join(first, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
     stars = plausible(stars).groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-    links = _confirmed(docs, stars, percent, "near-star")
-    ids, both = keys.select("id"), links
+    keyed = stored(keys.select(F.col("id").alias("doc_id")).distinct(), "near-keyed")
+    sets = stored(_selected(docs, keyed).mapInArrow(released(_sets), "doc_id long, shingles binary"), "near-sets")
+    links = _confirmed(sets, stars, percent, "near-links")
+    ids, both = keyed.select(F.col("doc_id").alias("id")), links
     if some_repeated:
         own = nodes.join(repeated, "doc_id", "left_semi").join(classes.select("s1", "s2", "n_shingles", "id"), ["s1", "s2", "n_shingles"]).select("id", "doc_id")
         same = stored(own.filter("id <> doc_id").distinct().toDF("a", "b"), "near-same-id")
         ids, both = ids.union(same.select("a")).union(same.select("b")), links.union(same)
     component = stored(connected_components(ids.distinct(), both), "near-components")
-    dropped(first, links, *([same] if some_repeated else []))
+    dropped(first, keyed, links, *([same] if some_repeated else []))
 
     # Again for the keys that still join several components, with members of other components.
     for turn in range(STAR_ROUNDS if star_rounds is None else star_rounds):
         again = _open_rows(keys, component, turn, "near-again", lambda rows: rows.select("a", F.col("id").alias("b")).distinct())
         best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
-        links = _confirmed(docs, plausible(again).withColumn("best", best).filter(F.col("best") <= STAR_CANDIDATES).select("a", "b"), percent, "near-star")
+        links = _confirmed(sets, plausible(again).withColumn("best", best).filter(F.col("best") <= STAR_CANDIDATES).select("a", "b"), percent, "near-links")
         component = _merged(component, links)
         dropped(again)
 
     if star_rounds is None:
         # Members of the keys that are left: every pair of them across components, by an exact join.
         open_ = _open_rows(keys, component, 0, "near-open", lambda rows: rows.select("id", "component").distinct())
-        sets = stored(_selected(docs, open_.select(F.col("id").alias("doc_id"))).mapInArrow(released(_token_lists), "doc_id long, size long, tokens array<long>").join(open_.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "id"), "near-open-sets")
-        pairs, made_of = _prefix_pairs(sets, percent)
-        links = _confirmed(docs, pairs, percent, "near-cross")
-        dropped(open_, sets, *made_of)
+        lists = stored(open_.join(sets.withColumnRenamed("doc_id", "id"), "id").select("id", "component", "shingles").mapInArrow(released(_token_lists), "id long, component long, size long, tokens array<long>"), "near-open-sets")
+        pairs, made_of = _prefix_pairs(lists, percent)
+        links = _confirmed(sets, pairs, percent, "near-links")
+        dropped(open_, lists, *made_of)
         component = _merged(component, links)
-    dropped(keys)
+    dropped(keys, sets)
 
     # Each row by its class, each class by its component.
     labels = stored(classes.join(component, "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component_id")), "near-labels")
