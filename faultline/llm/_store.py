@@ -1,68 +1,12 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Stored tables, columns by position and Arrow batches, as the text operators use them."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_paths: dict[str, SparkSession] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where a session with one JVM has none, a temporary one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    known = context._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    if context.master.partition("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="faultline-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    context.setCheckpointDir(f"file://{own}")
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: computed once, with no lineage to lose.
-
-    The table goes with :func:`dropped`, at the latest when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _paths:
-        atexit.register(_drop_all)
-    _paths[path] = spark
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def _delete(path: str) -> None:
-    spark = _paths.pop(path, None)
-    if spark is not None:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of :func:`stored` that nothing reads any more."""
-    for table in tables:
-        _delete(table._stored_at)
-
+from faultline.sources.scratch import dropped, shared_folder, stored
 
-def _drop_all() -> None:
-    for path in [*_paths]:
-        with contextlib.suppress(Exception):  # the session may be gone; the folder is the cluster's to empty then
-            _delete(path)
+__all__ = ["bounded_batches", "by_position", "dropped", "shared_folder", "stored"]
 
 
 def by_position(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -36,11 +36,15 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from faultline.llm._memory import released
-from faultline.llm._store import bounded_batches
+from faultline.llm._store import bounded_batches, stored
 
 #: The pattern that splits text before the merges (a fixed value of the vocabulary's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_CHARS = 4_000_000
+#: Bytes of input for each partition of distinct words; a plan that says it has more than UNKNOWN_BYTES doesn't know.
+PARTITION_BYTES, UNKNOWN_BYTES = 128 << 20, 1 << 50
+#: Steps of a plan after which rows may be dealt otherwise when it is run again.
+_MOVED = re.compile(r"(?i)Aggregate|Join|Repartition|Sort|Window|Limit|MapIn|Sample|Deduplicate|rand\(|uuid\(")
 _EXOTIC = re.compile("[^\x00-ɏ]")
 
 
@@ -88,6 +92,17 @@ class Splitter:
         return [w for part in self.parts.split(text) if part for w in ([part] if part in self.added else self._plain(part))]
 
 
+def _forgetting(run):
+    """``run`` for mapInArrow, after which the worker, which outlives its task, holds no tokenizer."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _tokenizer.cache_clear()
+        _pieces.cache_clear()
+
+    return released(wrapped)
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Unsigned 32-bit integers, byte planes apart, compressed."""
     return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
@@ -104,7 +119,8 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 # Rows between the steps: part -1 is a block's documents, others are its words for one partition. Both kinds come from
-# a reading of their own; check, a checksum of the block's words by position, ends the job if the two differ.
+# a reading of their own, of input whose partitions are fixed (else it is stored first); check, a checksum of the block's
+# words by position, ends the job should the two differ all the same.
 BLOCKS = "block long, check long, part int, doc_id array<long>, n_words binary, body binary, lengths binary"
 
 
@@ -228,12 +244,17 @@ def encode_decode(docs: DataFrame, path: str, partitions: int | None = None, tex
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of ``docs``; with ``texts`` also ids and decoded.
 
     ``path`` is the vocabulary file, at the same place on every executor. ``partitions`` of distinct words: by
-    default the session's shuffle partitions.
+    default the session's shuffle partitions, and one for every ``PARTITION_BYTES`` of a larger input.
     """
     bounded_batches(docs.sparkSession)
-    parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = source.mapInArrow(released(_split(path, parts, documents=True)), BLOCKS)
-    words = source.mapInArrow(released(_split(path, parts, documents=False)), BLOCKS).select("block", "check", "part", "n_words", "body", "lengths").repartition(parts, "part").mapInArrow(released(_encode(path)), "block long, check long, n_words binary, body binary, lengths binary")
+    plan = source._jdf.queryExecution().optimizedPlan()
+    size = int(plan.stats().sizeInBytes().toString())
+    parts = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES if size < UNKNOWN_BYTES else 0)
+    if _MOVED.search(plan.toString()):
+        # Both readings are to see the same partitions.
+        source = stored(source, "bpe-documents")
+    blocks = source.mapInArrow(_forgetting(_split(path, parts, documents=True)), BLOCKS)
+    words = source.mapInArrow(_forgetting(_split(path, parts, documents=False)), BLOCKS).select("block", "check", "part", "n_words", "body", "lengths").repartition(parts, "part").mapInArrow(_forgetting(_encode(path)), "block long, check long, n_words binary, body binary, lengths binary")
     out = ENCODED + (", ids array<int>, decoded string" if texts else "")
     return blocks.select("block", "check", "doc_id", "n_words", "body").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assemble(path, texts), out)

@@ -47,7 +47,7 @@ c as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERC
 long as ({_LONG}),
 grid(rule, step, cut) as (values {_GRID_ROWS}),
 good as (select doc_id, min(quality) as quality from labels where doc_id is not null and quality is not null group by doc_id),
-learn as (select lang, rule, value, quality = 1 as good from long join good using (doc_id) where not base_failed),
+learn as (select lang, rule, any_value(value) as value, min(quality) = 1 as good from long join good using (doc_id) join (select doc_id, md5(text) as text from t) using (doc_id) where not base_failed group by lang, rule, text),
 size as (select lang, cast(count(*) filter (good) / {_RULES} as bigint) as n from learn group by lang),
 steps as (select lang, rule, step, cut, count(*) filter (good and value > cut) as k, count(*) filter (not good and value > cut) as b from learn join grid using (rule) group by all),
 tested as (

@@ -4,8 +4,9 @@ Method
     Tokens are runs of letters, digits or symbols; capitals and numbers share a token by length. Tokens are hashed to
     ``BUCKETS`` rows. Each row has a sparse random index vector; a row's context vector is the sum of the index
     vectors of its neighbours up to ``REACH`` places away, over all documents (each partition sums its own, and the
-    sums are added by row). A document is the mean of its tokens' vectors, common tokens weighing less, with its
-    length, share of distinct tokens and shares of token classes. A network of one hidden layer is trained in numpy on
+    sums are added by row). A document is what its tokens' vectors pool to: their mean with common tokens weighing less,
+    their plain mean, their spread, and the mean product of neighbours; nothing else is known of it. A network of one
+    hidden layer is trained in numpy on
     at most ``SAMPLE`` labelled rows of either class, none of them held out; a temperature fitted on a part of them
     that training leaves out calibrates its probabilities.
 
@@ -44,7 +45,8 @@ _CLASS[[*range(0x30, 0x3A)]] = 2
 _random = np.random.default_rng(20)
 _PLACES = _random.integers(0, DIM, (BUCKETS, NONZERO))
 _SIGNS = _random.choice([-1, 1], (BUCKETS, NONZERO))
-_EXTRA = 7
+#: Numbers of a document: four poolings of its tokens' vectors.
+POOLED = 4 * DIM
 
 
 def buckets(w: Words) -> np.ndarray:
@@ -98,27 +100,23 @@ def word_vectors(docs: DataFrame) -> Vectors:
 
 
 def pooled(column: pa.Array, words: Vectors) -> np.ndarray:
-    """A row of features for each text."""
-    out = np.zeros((len(column), DIM + _EXTRA))
-    weighted = words.vectors * words.weights[:, None]
+    """A row of POOLED numbers for each text; one without tokens has zeros."""
+    out = np.zeros((len(column), POOLED))
     for low, high, w in words_of(column, _CLASS, fold=False):
         b = buckets(w)
         n = np.diff(w.bounds)
         full = np.flatnonzero(n)
         if not len(full):
             continue
-        at, size = w.bounds[:-1][full], n[full].astype(float)
-        part = out[low:high]
-        part[full, :DIM] = np.add.reduceat(weighted[b], at, axis=0) / np.maximum(np.add.reduceat(words.weights[b], at), 1e-9)[:, None]
-        first = w.data[w.start]
-        kinds = _CLASS[first]
-        for j, flag in enumerate((kinds == 1, kinds == 2, kinds == 3, (b > 16) & (b < 32))):
-            part[full, DIM + j] = np.add.reduceat(flag.astype(float), at) / size
-        part[full, DIM + 4] = np.log1p(size)
-        row = np.repeat(np.arange(high - low), n)
-        pairs = np.unique(row * BUCKETS + b)
-        part[:, DIM + 5] = np.bincount(pairs // BUCKETS, minlength=high - low) / np.maximum(n, 1)
-        part[full, DIM + 6] = np.add.reduceat((w.end - w.start).astype(float), at) / size
+        at, size = w.bounds[:-1][full], n[full][:, None]
+        vectors, weights = words.vectors[b], words.weights[b][:, None]
+        neighbours = np.zeros_like(vectors)
+        neighbours[:-1] = vectors[:-1] * vectors[1:]
+        neighbours[w.bounds[1:][full] - 1] = 0  # the next token is another text's
+        total = lambda x: np.add.reduceat(x, at, axis=0, dtype=np.float64)
+        mean = total(vectors) / size
+        spread = np.sqrt(np.maximum(total(vectors * vectors) / size - mean * mean, 0))
+        out[low:high][full] = np.concatenate((total(vectors * weights) / np.maximum(total(weights), 1e-9), mean, spread, total(neighbours) / size), axis=1)
     return out
 
 

@@ -6,13 +6,16 @@ are learned from labelled rows: of a grid that runs from the mildest to the stri
 exact binomial test rejects "this rule drops more than RISK / rules of the good documents of the stratum" at the
 level DELTA / (strata * rules), and all milder ones are certified (fixed-sequence testing within a grid, Bonferroni
 between grids). So with probability 1 - DELTA no stratum loses more than RISK of its good documents to the learned
-rules. Of the certified cutoffs, the one with the most bad less good documents dropped is used, the mildest of equals;
+rules. The bound presumes independent rows, so of labelled rows each doc_id counts once and each text of a stratum once,
+good only if all its labels are. Of the certified cutoffs, the one with the most bad less good documents dropped is used, the mildest of equals;
 a stratum with too few labels to certify anything has no learned rule.
 
 Cases
     Null or empty text: no words, all measures 0, base_failed. Null lang: a stratum of its own. Labels with a null
     quality or without a document are ignored; no labels, or an empty table: base rules alone. Repeated rows are
-    judged one by one; of several labels of a doc_id the worst counts. Null doc_id: judged, never used to learn.
+    judged one by one; of several labels of a doc_id the worst counts, of several rows of a labelled doc_id the one with
+    the smallest hash. Null doc_id: judged, never used to learn. Without a lang column all documents are one stratum.
+    Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultline.llm._store import stored
+from faultline.llm._store import by_position, stored
 
 RISK, DELTA = 0.02, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -62,16 +65,19 @@ def _repeated(words: Column, n: Column) -> Column:
     return F.when(n < 4, 0).otherwise(count)
 
 
-def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` as the struct ``doc``, with the counts of the whole text; needs text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def measured(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``columns`` of ``docs`` as the struct ``doc``, with doc_id, stratum, a hash and the counts of the whole text; and each column's name in the struct."""
+    rows, name = by_position(docs)
+    text = F.coalesce(F.col(name["text"]).cast("string"), F.lit(""))
+    stratum = F.coalesce(F.col(name["lang"]).cast("string"), F.lit("\0null")) if "lang" in name else F.lit("")
     # Each level is used several times by the next, so the optimizer keeps it as a projection of its own.
-    df = docs.select(F.struct(*columns).alias("doc"), text.alias("t"))
-    df = df.select("doc", "t", F.btrim("t", F.lit(_SPACE)).alias("trimmed"))
-    df = df.select("doc", "t", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", _SPACES)).alias("words"), F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "").alias("lines"))
+    own = ["doc", "doc_id", "stratum", "source"]
+    df = rows.select(F.struct(*[name[c] for c in columns]).alias("doc"), F.col(name["doc_id"]).cast("long").alias("doc_id"), stratum.alias("stratum"), F.xxhash64(text).alias("source"), text.alias("t"))
+    df = df.select(*own, "t", F.btrim("t", F.lit(_SPACE)).alias("trimmed"))
+    df = df.select(*own, "t", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", _SPACES)).alias("words"), F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "").alias("lines"))
     n = F.size("words")
-    return df.select(
-        "doc",
+    df = df.select(
+        *own,
         n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("t", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -80,6 +86,7 @@ def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
         F.length(F.regexp_replace("t", "[^\\p{Lu}]+", "")).cast("long").alias("n_capitals"),
         F.size("lines").cast("long").alias("n_lines"),
     )
+    return df, name
 
 
 def _values() -> Column:
@@ -120,15 +127,17 @@ def cutoffs(values: DataFrame, risk: float = RISK, delta: float = DELTA, grids:
 
 
 def judged(counts: DataFrame, labels: DataFrame) -> DataFrame:
-    """``counts`` (of :func:`measured`, with doc.doc_id and doc.lang) with base_failed, kept and failed_rules.
+    """``counts`` (of :func:`measured`) with base_failed, kept and failed_rules.
 
     ``counts`` is read twice, so it should be stored. ``labels`` are the labelled holdout; to validate on some of them, leave them out.
     """
-    rows = counts.withColumn("stratum", F.coalesce(F.col("doc.lang").cast("string"), F.lit("\0null"))).withColumn("values", _values())
+    rows = counts.withColumn("values", _values())
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    # Rows that fail the base rules are gone in any case; the cutoffs are for the others.
-    learn = rows.filter(~F.col("base_failed")).select(F.col("doc.doc_id").cast("long").alias("doc_id"), "stratum", "values").join(known, "doc_id").select("stratum", (F.col("quality") == 1).alias("good"), "values")
+    # Rows that fail the base rules are gone in any case; the cutoffs are for the others. Copies are no evidence of their own.
+    learn = rows.filter(~F.col("base_failed")).select("doc_id", "stratum", "source", "values").join(known, "doc_id")
+    learn = learn.groupBy("doc_id").agg(F.min_by(F.struct("stratum", "source", "values", "quality"), F.struct("source", "stratum")).alias("r")).select("r.*")
+    learn = learn.groupBy("stratum", "source").agg(F.first("values").alias("values"), (F.min("quality") == 1).alias("good")).select("stratum", "good", "values")
     chosen = stored(cutoffs(learn), "quality-cutoffs")
     rows = rows.join(chosen, "stratum", "left")
     failed = F.coalesce(F.map_keys(F.map_filter("cutoffs", lambda rule, cutoff: F.element_at(F.col("values"), rule) > cutoff)), F.array().cast("array<string>"))
@@ -137,11 +146,11 @@ def judged(counts: DataFrame, labels: DataFrame) -> DataFrame:
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a document: doc_id, the counts, base_failed, kept and the learned rules that it fails."""
-    counts = stored(measured(docs, ["doc_id", "lang"]), "quality-counts")
-    return judged(counts, labels).select(F.col("doc.doc_id").alias("doc_id"), *COUNTS[:5], "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+    counts, name = measured(docs, ["doc_id"])
+    return judged(stored(counts, "quality-counts"), labels).select(F.col(f"doc.{name['doc_id']}").alias("doc_id"), *COUNTS[:5], "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
 def quality_filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    counts = stored(measured(docs, docs.columns), "quality-documents")
-    return judged(counts, labels).filter("kept").select("doc.*")
+    counts, _ = measured(docs, docs.columns)
+    return judged(stored(counts, "quality-documents"), labels).filter("kept").select("doc.*").toDF(*docs.columns)

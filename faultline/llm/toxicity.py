@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Method
-    Words become symbols: insult, threat, target, negation, report, other. Five transducers are composed: one finds
-    insults, one threats, and three rewrite them by what stands around: an insult near a target becomes a directed
-    one, after a negation a negated one, in reported speech a reported one. The composed machine runs over each clause
-    that has an insult or a threat and sums weights by kind; a logistic layer over the sums of a document gives its
-    score. So a document's score comes from its matched clauses, never from a word alone.
+    Words become symbols: insult, threat, target, negation, report, other. The transducers of ``GRAMMAR`` rewrite them
+    by what stands around: an insult near a target becomes a directed one, after a negation a negated one, in reported
+    speech a reported one, and a threat counts only with a target after it. The composed machine runs over each clause
+    that has an insult or a threat. A last transducer runs over what the clauses of a text have written: an insult that
+    has no target is one word alone, and counts only where an insult or threat stands before it in the text. Weights are
+    summed by kind, and a logistic layer over the sums of a document gives its score. So a document's score comes from
+    what the grammar accepts, never from a word alone.
     Insults are a seed list and what labels teach: words, and stems of four letters or more, that are
     significantly commoner in toxic documents of the training sample. The sample is at most ``SAMPLE`` rows of either
     class, none of them held out; labels beyond it and ids, languages and sources are never read.
@@ -21,8 +23,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -83,32 +86,47 @@ class Transducer:
         return Transducer((self.start, other.start), step)
 
 
-def near(trigger: str, reach: int, rewrite: dict[str, str]) -> Transducer:
-    """Rewrites symbols that follow ``trigger`` within ``reach`` words; reach 0: to the end of the clause."""
+class Rule(NamedTuple):
+    """Symbols that follow ``trigger`` within ``reach`` words (0: to the end of the clause) are rewritten."""
 
+    trigger: str
+    reach: int
+    rewrite: dict[str, str]
+
+
+#: Threats that a target follows, in the reading from the end of the clause.
+AIMED = "t"
+#: The clause is read once from its end, then by the others from its start, each over what the one before has written.
+GRAMMAR = {
+    "target behind": Rule(TARGET, 4, {INSULT: DIRECTED, THREAT: AIMED}),
+    "target before": Rule(TARGET, 4, {INSULT: DIRECTED}),
+    "negation": Rule(NEGATION, 3, {INSULT: NEGATED, DIRECTED: NEGATED, THREAT: NEGATED}),
+    "report": Rule(REPORT, 0, {INSULT: REPORTED, DIRECTED: REPORTED, THREAT: REPORTED}),
+}
+
+
+def near(rule: Rule) -> Transducer:
     def step(state, symbol):
-        if symbol == trigger:
-            return reach or -1, symbol
-        out = rewrite.get(symbol, symbol) if state else symbol
+        if symbol == rule.trigger:
+            return rule.reach or -1, symbol
+        out = rule.rewrite.get(symbol, symbol) if state else symbol
         return (state - 1 if state > 0 else state), out
 
     return Transducer(0, step)
 
 
-NEGATION_MACHINE = near(NEGATION, 3, {INSULT: NEGATED, DIRECTED: NEGATED, THREAT: NEGATED})
-REPORT_MACHINE = near(REPORT, 0, {INSULT: REPORTED, DIRECTED: REPORTED, THREAT: REPORTED})
-TARGET_MACHINE = near(TARGET, 4, {INSULT: DIRECTED})
-#: A threat counts only with a target after it; the machine runs over the clause from its end.
-BACKWARD_TARGET = near(TARGET, 4, {INSULT: DIRECTED, THREAT: "t"})
-FORWARD = TARGET_MACHINE.then(NEGATION_MACHINE).then(REPORT_MACHINE)
+BACKWARD, *_forward = map(near, GRAMMAR.values())
+FORWARD = reduce(Transducer.then, _forward)
+#: Over the symbols of a whole text: an insult without a target needs one before it.
+ACCUMULATION = Transducer(False, lambda before, symbol: (before or symbol in (INSULT, DIRECTED, THREAT), OTHER if symbol == INSULT and not before else symbol))
 
 
 def run_clause(symbols: list[str]) -> list[str]:
     """What the composed transducers write for a clause."""
-    state, back = BACKWARD_TARGET.start, []
+    state, back = BACKWARD.start, []
     for s in reversed(symbols):
-        state, out = BACKWARD_TARGET.step(state, s)
-        back.append({THREAT: OTHER, "t": THREAT}.get(out, out))
+        state, out = BACKWARD.step(state, s)
+        back.append({THREAT: OTHER, AIMED: THREAT}.get(out, out))
     state, written = FORWARD.start, []
     for s in reversed(back):
         state, out = FORWARD.step(state, s)
@@ -116,9 +134,8 @@ def run_clause(symbols: list[str]) -> list[str]:
     return written
 
 
-@lru_cache(4)
-def _machine(terms: tuple[tuple[str, bool, float], ...]):
-    """Finds insults (whole words or stems) and threats in lower-cased text."""
+def machine_of(terms: Iterable[tuple[str, bool, float]]) -> ahocorasick.Automaton:
+    """Finds insults (whole words or stems) and threats in lower-cased text; built once a task."""
     automaton = ahocorasick.Automaton()
     for term, stem, weight in terms:
         automaton.add_word(term, (len(term), stem, weight, INSULT))
@@ -132,19 +149,19 @@ def _machine(terms: tuple[tuple[str, bool, float], ...]):
 _FUNCTION = {w: s for s, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS)) for w in words}
 
 
-def clause_sums(text: str, terms: tuple) -> list[float]:
-    """Summed weights of a text's matched clauses by kind."""
+def clause_sums(text: str, machine: ahocorasick.Automaton, grammar: bool = True) -> list[float]:
+    """Summed weights of a text's matched clauses by kind; without ``grammar`` every insult and threat counts as it stands."""
     text = text.lower()
     hits: dict[int, tuple[float, str]] = {}
     n = len(text)
-    for end, (size, stem, weight, symbol) in _machine(terms).iter(text):
+    for end, (size, stem, weight, symbol) in machine.iter(text):
         start = end - size + 1
         if (start and text[start - 1].isalpha()) or (not stem and end + 1 < n and text[end + 1].isalpha()):
             continue
         if start not in hits or hits[start][0] < weight:
             hits[start] = (weight, symbol)
     sums = dict.fromkeys(KINDS, 0.0)
-    done = 0
+    done, state = 0, ACCUMULATION.start
     for start in sorted(hits):
         if start < done:
             continue
@@ -156,7 +173,9 @@ def clause_sums(text: str, terms: tuple) -> list[float]:
         done = m.end() if m else n
         words = [(w.start(), w[0]) for w in _WORD.finditer(text, low, done)]
         symbols = [hits[at][1] if at in hits else _FUNCTION.get(w, OTHER) for at, w in words]
-        for (at, _), out in zip(words, run_clause(symbols)):
+        for (at, _), out in zip(words, run_clause(symbols) if grammar else symbols):
+            if grammar:
+                state, out = ACCUMULATION.step(state, out)
             if out in sums:
                 sums[out] += hits[at][0]
     return [sums[k] for k in KINDS]
@@ -274,8 +293,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[
     terms = tuple(learn_terms(rows, n_toxic, n_clean, max(1.0, stands_for)))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = machine_of(terms)
         for batch in batches:
-            found = [clause_sums(t.as_py() or "", terms) for t in batch.column("text")]
+            found = [clause_sums(t.as_py() or "", machine) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.float64()))], ["label", "sums"])
 
     got = rows.mapInArrow(sums, "label int, sums array<double>").collect()
@@ -289,8 +309,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Dat
     terms, weights = train(docs, labels, per_class)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = machine_of(terms)
         for batch in batches:
-            sums = np.array([clause_sums(t.as_py() or "", terms) for t in batch.column(1)]).reshape(-1, len(KINDS))
+            sums = np.array([clause_sums(t.as_py() or "", machine) for t in batch.column(1)]).reshape(-1, len(KINDS))
             p = 1 / (1 + np.exp(-_features(sums) @ weights))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), *(pa.array(np.ascontiguousarray(c)) for c in sums.T)], ["doc_id", "score", "insult", "directed", "negated", "reported", "threat"])
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from faultline.llm import queries as Q
 from faultline.llm.decontamination import leaks
@@ -31,6 +33,20 @@ def test_stages(spark, sf, tmp_path):
     assert {r.doc_id for r in Q.queries()["pipeline"](spark, sf).collect()} == kept[4]
 
 
+def test_stages_on_odd_tables(spark, sf, odd, nothing):
+    """Nulls, repeated rows, an empty table and columns whose names clash or need quoting."""
+    names = [*odd.columns, "a.b c"]
+    some, none = (df.withColumn("other", F.lit("x")).toDF(*names) for df in (odd, nothing))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, some, sf)
+        assert out.columns == names, name
+        kept = sorted((r.doc_id for r in out.select("doc_id").collect()), key=repr)
+        # The only text of enough words is one word over and over, which the quality rules reject; 5 and 6 are equal.
+        assert kept == {"quality rules": [], "near dedup": [1, 2, 3, 4, 5, 7, 8, 9, None, None]}.get(name, sorted((r.doc_id for r in odd.collect()), key=repr)), name
+        assert stage(spark, none, sf).count() == 0, name
+    assert corpus_pipeline.STAGES[4][1](spark, some, sf).count() == odd.count() and corpus_pipeline.STAGES[4][1](spark, none, sf).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 

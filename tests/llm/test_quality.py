@@ -3,12 +3,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from faultline.llm.quality_model import quality_scores
 from faultline.llm.quality_rules import COUNTS, GRIDS, RISK, _certified, cutoffs, quality_filtered, quality_verdicts
-from faultline.llm.toxicity import DIRECTED, INSULT, INSULTS, NEGATED, REPORTED, THREAT, clause_sums, learn_terms, run_clause, toxicity
+from faultline.llm.toxicity import DIRECTED, INSULT, INSULTS, NEGATED, PRIOR, REPORTED, THREAT, _features, clause_sums, learn_terms, machine_of, run_clause, toxicity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -74,20 +75,44 @@ def test_cutoffs_control_risk(spark):
     assert few == []
 
 
+def test_copies_are_no_evidence(spark):
+    """Labelled copies count once, so what is too little to certify a cutoff stays too little; a text with any bad label is not good."""
+    r = random.Random(8)
+    text = lambda bad: " ".join(f"{r.choice('abcdefgh')}{'word' * 2}{'#$%' if bad and i % 2 else ''}{r.randrange(10**6)}" for i in range(60))
+    few, lang = [(text(i < 10), i >= 10) for i in range(60)], F.lit("en")
+    rows = [(100 * k + i, t, int(good)) for k in range(40) for i, (t, good) in enumerate(few)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").withColumn("lang", lang)
+    assert quality_verdicts(df.drop("quality"), df.select("doc_id", "quality")).filter("failed_rules <> ''").count() == 0
+    many = [(i, text(i < 200), int(i >= 200)) for i in range(2400)]
+    df = spark.createDataFrame(many, "doc_id long, text string, quality int").withColumn("a.b c", lang)
+    verdicts = quality_verdicts(df.drop("quality"), df.select("doc_id", "quality"))
+    assert verdicts.filter("doc_id < 200 and failed_rules <> ''").count() == 200 and verdicts.filter("doc_id >= 200 and not kept").count() <= 0.02 * 2200
+    kept = quality_filtered(df.drop("quality"), df.select("doc_id", "quality"))
+    assert kept.columns == ["doc_id", "text", "a.b c"] and kept.count() == verdicts.filter("kept").count()
+
+
 def accuracy(df, labels, column):
     rows = df.join(labels, "doc_id").filter("held_out").collect()
     return sum(r.predicted == r[column] for r in rows) / len(rows)
 
 
+def ranking(df, labels, column):
+    """How often a held-out row of label 1 scores above one of label 0, ties counting half."""
+    rows = df.join(labels, "doc_id").filter("held_out").collect()
+    one, zero = (np.array([r.score for r in rows if r[column] == x]) for x in (1, 0))
+    return float(np.mean((one[:, None] > zero[None, :]) + 0.5 * (one[:, None] == zero[None, :])))
+
+
 @pytest.fixture(scope="module")
 def larger(spark):
-    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    """Some thousand labelled documents."""
+    return spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
 
 
 def test_quality_model(larger, odd, nothing):
     docs, labels = larger
     scores = quality_scores(docs, labels)
-    assert accuracy(scores, labels, "quality") >= 0.93
+    assert accuracy(scores, labels, "quality") >= 0.93 and ranking(scores, labels, "quality") >= 0.98
     assert scores.filter("score < 0 or score > 1 or predicted <> int(score >= 0.7)").count() == 0
     assert quality_scores(odd, labels).count() == odd.count() and quality_scores(nothing, labels).count() == 0
     assert {r.score for r in quality_scores(odd, labels.limit(0)).collect()} == {0.5}
@@ -108,7 +133,7 @@ def test_labels_of_held_out_rows_are_not_read(spark, larger):
 def test_toxicity(larger, odd, nothing):
     docs, labels = larger
     scores = toxicity(docs, labels)
-    assert accuracy(scores, labels, "toxic") >= 0.93
+    assert accuracy(scores, labels, "toxic") >= 0.93 and ranking(scores, labels, "toxic") >= 0.95
     assert scores.filter("score < 0 or score > 1 or predicted <> int(score >= 0.3)").count() == 0
     rows = toxicity(odd, labels).collect()
     assert len(rows) == odd.count() and len({r.score for r in rows}) == 1 and rows[0].predicted == 0
@@ -124,21 +149,47 @@ def test_grammar():
     assert run_clause(list("TG"))[0] == THREAT and run_clause(list("TO"))[0] == "O"
     assert run_clause(list("NTG"))[1] == NEGATED
     terms = (("idiot", False, 2.0), ("chll", True, 1.0))
-    sums = clause_sums("You idiot. The plan is sound: not an idiot! He said idiot, x\nchllado idiotic", terms)
+    sums = clause_sums("You idiot. The plan is sound: not an idiot! He said idiot, x\nchllado idiotic", machine_of(terms))
     # insult, directed, negated, reported, threat; idiotic is another word.
     assert sums == [1.0, 2.0, 2.0, 2.0, 0.0]
 
 
+def test_a_word_alone():
+    """An insult without a target counts only after another match of the text."""
+    m = machine_of([("idiot", False, 1.5), ("moron", False, 1.0)])
+    assert clause_sums("a fine idiot stood there", m) == [0, 0, 0, 0, 0]
+    assert clause_sums("a fine idiot stood there. And a moron", m) == clause_sums("a fine idiot, a moron", m) == [1.0, 0, 0, 0, 0]
+    assert clause_sums("You idiot. A moron", m) == [1.0, 1.5, 0, 0, 0] and clause_sums("He said idiot. A moron", m) == [0, 0, 0, 1.5, 0]
+
+
+def test_grammar_matters():
+    """Ablation: with the grammar, prior weights part what is meant from what is told, denied or a word alone; without it they do not."""
+    r = random.Random(6)
+    insult, filler = lambda: r.choice(INSULTS), lambda n: " ".join(r.choice("plan house river green table walked early morning".split()) for _ in range(n))
+    toxic = [f"{filler(9)}. you are a {insult()} and {insult()}, {filler(3)}. I will kill you {filler(2)}" if i % 2 else f"{filler(5)} {insult()} {insult()}. these people are {insult()} {filler(4)}" for i in range(40)]
+    clean = [f"{filler(5)}. he said that {filler(3)} {insult()}. {filler(4)}. you are not {insult()}" if i % 2 else f"{filler(6)} a {insult()} stood there. to kill time {filler(3)}" for i in range(40)]
+    m = machine_of([(w, False, 1.5) for w in INSULTS])
+
+    def right(grammar):
+        scores = lambda texts: _features(np.array([clause_sums(t, m, grammar) for t in texts])) @ PRIOR
+        good, bad = scores(clean), scores(toxic)
+        return float(np.mean(bad[:, None] > good[None, :])), float(np.mean(np.concatenate((bad > 0, good <= 0))))
+
+    with_grammar, without = right(True), right(False)
+    assert with_grammar[0] == 1.0 and with_grammar[1] >= 0.95
+    assert without[1] <= 0.6
+
+
 def test_long_clauses():
     """Clauses are read to their marks, however long."""
-    terms, far = (("idiot", False, 1.5),), "wort " * 300
-    assert clause_sums(f"He said {far} idiot", terms) == clause_sums("He said idiot", terms) != clause_sums("idiot", terms)
-    assert clause_sums(f"He said {far} idiot {far} idiot", terms) == clause_sums("He said idiot wort idiot", terms)
+    m, far = machine_of([("idiot", False, 1.5)]), "wort " * 300
+    assert clause_sums(f"He said {far} idiot", m) == clause_sums("He said idiot", m) != clause_sums("you idiot", m)
+    assert clause_sums(f"He said {far} idiot {far} idiot", m) == clause_sums("He said idiot wort idiot", m)
     # 400 characters after the first hit a cut would fall between the threat and its target.
     between = "wort " * 78
-    threat = clause_sums(f"idiot {between}kill you", terms)
+    threat = clause_sums(f"idiot {between}kill you", m)
     assert threat[[INSULT, DIRECTED, NEGATED, REPORTED, THREAT].index(THREAT)] == 1
-    assert clause_sums(f"He said {far}. {far} idiot", terms) == clause_sums("idiot", terms)
+    assert clause_sums(f"He said {far}. you {far} idiot idiot", m) == clause_sums("idiot idiot", m)
 
 
 def test_all_terms_are_kept(spark):

@@ -46,6 +46,12 @@ def test_bpe_splits(spark, monkeypatch):
         assert r.decoded == texts[r.doc_id] and len(r.ids) == r.n_tokens
 
 
+def test_bpe_of_a_plan_that_moves_rows(spark, docs):
+    """A shuffled input is stored first, so its two readings agree."""
+    df = docs.repartition(5).select("doc_id", "text")
+    same((tuple(r) for r in encode_decode(df, VOCABULARY).collect()), plain_bpe([tuple(r) for r in docs.select("doc_id", "text").collect()]))
+
+
 # --- Token counts -------------------------------------------------------------------------------------------------
 
 
