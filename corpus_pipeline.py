@@ -1,7 +1,10 @@
 """The corpus pipeline: documents in, encoded documents out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents, whatever other columns there are and whatever their
+names. A stage gives an empty table for an empty one. A null text counts as an empty one: the quality rules reject it,
+the other stages keep it; a null doc_id is kept and judged like any other row, but in near dedup, where it is in no
+group. Equal rows are judged alike, and near dedup keeps one of those that share a doc_id.
 """
 
 from __future__ import annotations
