@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from faultline.llm import licenses, pii
 from faultline.llm.bpe import encode_decode
-from faultline.llm.token_counts import attribute, field_token_counts, line_token_counts
+from faultline.llm.token_counts import _encoding, attribute, field_token_counts, line_token_counts
 
 VOCABULARY, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 
@@ -86,6 +86,25 @@ def plain_attribute(lengths, sections, rule):
     return counts
 
 
+def test_rows_against_plain(docs):
+    """Each row of the query, by looking at each token of each text and each line."""
+    expected = []
+    enc, sizes = _encoding(RANKS)
+    short = docs.filter("length(text) < 4000")
+    for r in short.collect():
+        raw = (r.text or "").encode()
+        lengths = [sizes[t] for t in enc.encode((r.text or ""), disallowed_special=())]
+        assert sum(lengths) == len(raw)
+        sections, at = [], 0
+        for line in (raw.split(b"\n") if raw else []):
+            sections.append((at, at + len(line)))
+            at += len(line) + 1
+        points = lambda b: len(raw[:b].decode())
+        counts = plain_attribute(lengths, sections, "largest")
+        expected += [(r.doc_id, k, points(a), points(b), float(counts[k])) for k, (a, b) in enumerate(sections)] + [(r.doc_id, -1, None, None, float(counts[-1]))]
+    same([(r.doc_id, r.section, r.start, r.end, r.n_tokens) for r in line_token_counts(short, RANKS).collect()], expected)
+
+
 def test_attribution_rules():
     r = random.Random(1)
     for _ in range(300):
