@@ -249,7 +249,7 @@ def encode_decode(docs: DataFrame, path: str, partitions: int | None = None, tex
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plan = source._jdf.queryExecution().optimizedPlan()
-    size = int(plan.stats().sizeInBytes().toString())
+    size = int(str(plan.stats().sizeInBytes()))
     parts = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES if size < UNKNOWN_BYTES else 0)
     if _MOVED.search(plan.toString()):
         # Both readings are to see the same partitions.
