@@ -182,10 +182,18 @@ def _selected(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose full ``sets`` are similar enough; stored."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = both.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(released(_confirm(percent)), "a long, b long").distinct(), name)
+    """The pairs (a, b) whose full ``sets`` are similar enough; stored.
+
+    Few enough pairs are broadcast to the sets, so that a set moves only to its partner, and only if it has one.
+    """
+    pairs = stored(pairs, f"{name}-pairs")
+    few = pairs.count() <= BROADCAST_IDS
+    own = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")).join(F.broadcast(pairs) if few else pairs, "b")
+    first = pairs.select("a").distinct()
+    first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")).join(F.broadcast(first) if few else first.hint("merge"), "a", "left_semi")
+    links = stored(own.join(first.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(released(_confirm(percent)), "a long, b long").distinct(), name)
+    dropped(pairs)
+    return links
 
 
 def _surviving_keys(classes: DataFrame, tables: int) -> DataFrame:
