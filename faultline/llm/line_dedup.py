@@ -47,8 +47,8 @@ DEPTH, SIMILAR_PERCENT = 4, 80
 MIN_TOKENS, SENTENCE_TOKENS, LONG_TOKENS = 3, 8, 8
 MIN_DOCS, MIN_DOCS_SHORT = 3, 8
 BROADCAST_LINES = 1_000_000
-#: Tuples of either collection when families are looked for: a pair of similarity 0.75 shares a key with a probability of 0.986, and families have several pairs.
-FAMILY_TABLES = 6
+#: Tuples of either collection when families are looked for: a pair of similarity 0.75 shares a key with a probability of 0.997, and families have several pairs.
+FAMILY_TABLES = 8
 #: Rounds of stars across components in which families grow together, after the first one within keys.
 FAMILY_ROUNDS = 1
 _U = np.uint64
