@@ -199,12 +199,12 @@ class Candidates:
         text = docs.select(F.col("text").cast("string").alias("text")).withColumn("source", _source()).join(_few(self.sources, self.n_sources), "source", "left_semi")
         # Read several times: where they are few it is a scan with a filter, else they are gathered once.
         self.text = text if self.n_sources <= BROADCAST_LINES else stored(text, "lines-texts")
-        found = near_duplicates(self.text.select(F.col("source").alias("doc_id"), "text"), tables=FAMILY_TABLES, star_rounds=FAMILY_ROUNDS)
-        found = stored(found.groupBy("doc_id").agg(F.min("component_id").alias("family"), F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "source"), "lines-families")
+        near = near_duplicates(self.text.select(F.col("source").alias("doc_id"), "text"), tables=FAMILY_TABLES, star_rounds=FAMILY_ROUNDS)
+        found = stored(near.groupBy("doc_id").agg(F.min("component_id").alias("family"), F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "source"), "lines-families")
         large = stored(found.groupBy("family").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("family", F.lit(True).alias("copied")), "lines-copied")
         #: (source, family, copied): copied says whether more than one row is in the family.
         self.family = stored(found.join(large, "family", "left").select("source", "family", F.coalesce("copied", F.lit(False)).alias("copied")), "lines-families")
-        dropped(found, large)
+        dropped(found, large, *near.reads)
         #: (line, leaf, n, family, source), the families of each line, each once, with a text that has it.
         of = carried.join(_few(self.family.select("source", "family"), self.n_sources), "source").groupBy("line", "leaf", "n", "family").agg(F.min("source").alias("source"))
         self.carried = stored(of, "lines-families-of")

@@ -271,7 +271,7 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFr
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, tables: int = TABLES, star_rounds: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (doc_id = component_id), one row a row of ``docs``.
 
-    ``tables`` (at most TABLES) is the number of tuples of either collection. With ``star_rounds``, so many rounds of
+    The result reads the stored tables in its ``reads``. ``tables`` (at most TABLES) is the number of tuples of either collection. With ``star_rounds``, so many rounds of
     stars across components take the place of the exact join: components are then those of the links that stars find.
     """
     bounded_batches(docs.sparkSession)
@@ -334,7 +334,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tables: int = TABLE
         # A row without words is with the other rows of its id.
         top = stored(out.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("top")), "near-tops")
         out = out.join(top, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("top", "component_id").alias("component_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out.reads = [feats, labels, repeated, *([top] if some_repeated else [])]
+    return out
 
 
 def one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -343,7 +345,9 @@ def one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Rows that share a doc_id are one document, of which one row stays: the one whose text comes first, of equal texts
     the one whose other columns, as JSON, come first. A null doc_id stays.
     """
-    found = stored(near_duplicates(docs, percent), "near-verdicts")
+    verdicts = near_duplicates(docs, percent)
+    found = stored(verdicts, "near-verdicts")
+    dropped(*verdicts.reads)
     gone = found.filter("not kept").select("doc_id").distinct()
     rows, name = by_position(docs)
     key = name["doc_id"]
