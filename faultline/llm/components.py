@@ -16,7 +16,7 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     each round is written to the shared folder. Null ids and null ends are dropped. An empty table of links gives every
     node itself.
     """
-    links = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+    links = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components", small=True)
     before = None
     while True:
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -31,6 +31,6 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         links = links.distinct()
         least = links.groupBy("u").agg(F.min("v").alias("least"))
         links = links.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
-        links = stored(links, "components")
+        links = stored(links, "components", small=True)
         dropped(old)
     return nodes.select("id").filter("id is not null").distinct().join(links.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))

@@ -255,14 +255,14 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     items = stored(_text(benchmark).dropDuplicates(["name"]).mapInArrow(released(_item_seeds), "item long, n_words int, seeds array<long>"), "benchmark-items")
     n_items, n_seeds = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("seeds")), F.lit(0))).first()
     places = items.select("item", "n_words", F.posexplode("seeds").alias("place", "seed"))
-    counts = stored(places.groupBy("seed").agg(F.count_distinct("item").alias("n")), "benchmark-counts")
+    counts = stored(places.groupBy("seed").agg(F.count_distinct("item").alias("n")), "benchmark-counts", small=True)
     entries = places.join(counts, "seed").groupBy("item", "n_words").agg(F.array_sort(F.collect_list(F.struct("place", "seed", "n"))).alias("entries"))
     index = stored(entries.mapInArrow(released(_looked_for(coverage, COMMON)), "seed long, item long"), "benchmark-index")
     bits = 1 << min(MOST_BITS, max(10, (16 * n_seeds).bit_length()))
     by, known = _bitmap(index.select("seed"), bits), _bitmap(counts.select("seed"), bits)
     hits = stored(_text(docs).withColumnRenamed("name", "source").mapInArrow(released(_hits(by, known)), HITS).dropDuplicates(["source"]), "benchmark-hits")
     pairs = hits.select("source", F.explode("asked").alias("seed")).join(_few(index, index.count()), "seed").select("source", "item").distinct()
-    pairs = stored(pairs, "benchmark-pairs")
+    pairs = stored(pairs, "benchmark-pairs", small=True)
     both = pairs.join(_few(items, n_seeds), "item").join(hits.select("source", "places", "hashes"), "source")
     out = stored(both.select("source", "item", "n_words", "places", "hashes", "seeds").mapInArrow(released(_tiled(coverage)), FOUND), "benchmark-leaks")
     dropped(items, counts, index, hits, pairs)
@@ -277,7 +277,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     own = ["coverage", "n_tiles", "longest_tile", "item_words", "reordered"]
     by_item = items.unionByName(benchmark.filter("item_id is null and text is not null").select(F.lit(None).cast("long").alias("item_id"), F.xxhash64(F.col("text").cast("string")).alias("item")).distinct())
     best = found.join(by_item, "item").groupBy("source", "item_id").agg(F.max(F.struct(*own)).alias("best"))
-    best = stored(best.select("source", "item_id", "best.*"), "benchmark-leaked")
+    best = stored(best.select("source", "item_id", "best.*"), "benchmark-leaked", small=True)
     dropped(found)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("source"))
     return texts.join(_few(best, n), "source").select("doc_id", "item_id", *own)
@@ -286,7 +286,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` into which no item leaked, with their columns."""
     found = leaked_texts(docs, benchmark, coverage)
-    gone = stored(found.select("source").distinct(), "benchmark-gone")
+    gone = stored(found.select("source").distinct(), "benchmark-gone", small=True)
     dropped(found)
     rows, name = by_position(docs)
     out = rows.join(_few(gone, gone.count()), F.xxhash64(F.col(name["text"]).cast("string")) == F.col("source"), "left_anti")

@@ -186,7 +186,7 @@ def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int, name: str) -> Da
 
     Few enough pairs are broadcast to the sets, so that a set moves only to its partner, and only if it has one.
     """
-    pairs = stored(pairs, f"{name}-pairs")
+    pairs = stored(pairs, f"{name}-pairs", small=True)
     few = pairs.count() <= BROADCAST_IDS
     own = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")).join(F.broadcast(pairs) if few else pairs, "b")
     first = pairs.select("a").distinct()
@@ -213,7 +213,7 @@ def _open_rows(keys: DataFrame, component: DataFrame, turn: int, name: str, make
     It is one of the key's members by a hash that is another each turn or, for rows of that one's component, one of the
     key's first or last component.
     """
-    rows = stored(keys.select("id", "key").join(component, "id"), "near-open-rows")
+    rows = stored(keys.select("id", "key").join(component, "id"), "near-open-rows", small=True)
     lot = F.xxhash64("id", "key", F.lit(turn))
     ends = rows.groupBy("key").agg(
         F.min("component").alias("c0"),
@@ -222,9 +222,9 @@ def _open_rows(keys: DataFrame, component: DataFrame, turn: int, name: str, make
         F.min_by("id", F.struct(-F.col("component"), lot)).alias("a1"),
         F.min_by(F.struct("id", "component"), lot).alias("any"),
     )
-    ends = stored(ends.filter("c0 <> c1"), "near-open-keys")
+    ends = stored(ends.filter("c0 <> c1"), "near-open-keys", small=True)
     other = F.when(F.col("component") != F.col("any.component"), F.col("any.id")).when(F.col("component") != F.col("c0"), F.col("a0")).otherwise(F.col("a1"))
-    out = stored(make(rows.join(ends, "key").select("key", "id", "component", other.alias("a"))), name)
+    out = stored(make(rows.join(ends, "key").select("key", "id", "component", other.alias("a"))), name, small=True)
     dropped(rows, ends)
     return out
 
@@ -233,7 +233,7 @@ def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
     """The components after ``links`` (a, b) between ids; stored in place of ``component``."""
     ends = links.join(component.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(component.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
     tops = connected_components(component.select(F.col("component").alias("id")).distinct(), ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    out = stored(component.join(tops.select(F.col("id").alias("component"), F.col("component").alias("top")), "component").select("id", F.col("top").alias("component")), "near-components")
+    out = stored(component.join(tops.select(F.col("id").alias("component"), F.col("component").alias("top")), "component").select("id", F.col("top").alias("component")), "near-components", small=True)
     dropped(component, links)
     return out
 
@@ -252,7 +252,7 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFr
     placed = ordered.select("id", "component", "size", (F.col("size") - F.size("order")).alias("own"), F.posexplode("order").alias("place", "x")).select("id", "component", "size", F.col("x.token").alias("token"), (F.col("own") + F.col("place")).alias("place"))
     # The larger set of a pair looks in its prefix for percent, the smaller one in that for equal sizes.
     placed = stored(placed.filter(100 * F.col("place") <= (100 - percent) * F.col("size")), "near-placed")
-    crossing = stored(placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("token"), "near-crossing")
+    crossing = stored(placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("token"), "near-crossing", small=True)
     crossed = stored(placed.join(crossing, "token", "left_semi"), "near-crossing-placed")
     dropped(shared, placed, crossing)
     # A band is twice as wide as a pair's sizes may be apart, so the smaller one is in the larger one's band or the next.
@@ -289,22 +289,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tables: int = TABLE
         return pairs.withColumn("agree", _agreeing("x", "y")).filter(F.col("agree") >= least).select("a", "b", "agree")
 
     # Rows that share a doc_id are one node: such an id links the classes it is in.
-    repeated = stored(feats.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "near-repeated")
+    repeated = stored(feats.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "near-repeated", small=True)
     some_repeated = not repeated.isEmpty()
 
     # Stars: each class with the smallest member of each of its keys; the best candidate is confirmed first.
-    first = stored(keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "a"), "near-first")
+    first = stored(keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "a"), "near-first", small=True)
     stars = keys.join(first, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
     stars = plausible(stars).groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-    keyed = stored(keys.select(F.col("id").alias("doc_id")).distinct(), "near-keyed")
+    keyed = stored(keys.select(F.col("id").alias("doc_id")).distinct(), "near-keyed", small=True)
     sets = stored(_selected(docs, keyed).mapInArrow(released(_sets), "doc_id long, shingles binary"), "near-sets")
     links = _confirmed(sets, stars, percent, "near-links")
     ids, both = keyed.select(F.col("doc_id").alias("id")), links
     if some_repeated:
         own = nodes.join(repeated, "doc_id", "left_semi").join(classes.select("s1", "s2", "n_shingles", "id"), ["s1", "s2", "n_shingles"]).select("id", "doc_id")
-        same = stored(own.filter("id <> doc_id").distinct().toDF("a", "b"), "near-same-id")
+        same = stored(own.filter("id <> doc_id").distinct().toDF("a", "b"), "near-same-id", small=True)
         ids, both = ids.union(same.select("a")).union(same.select("b")), links.union(same)
-    component = stored(connected_components(ids.distinct(), both), "near-components")
+    component = stored(connected_components(ids.distinct(), both), "near-components", small=True)
     dropped(first, keyed, links, *([same] if some_repeated else []))
 
     # Again for the keys that still join several components, with members of other components.
@@ -326,13 +326,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tables: int = TABLE
     dropped(keys, sets)
 
     # Each row by its class, each class by its component.
-    labels = stored(classes.join(component, "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component_id")), "near-labels")
+    labels = stored(classes.join(component, "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component_id")), "near-labels", small=True)
     dropped(classes)
     out = nodes.select("doc_id", "n_shingles", "s1", "s2").join(labels, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(feats.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     if some_repeated:
         # A row without words is with the other rows of its id.
-        top = stored(out.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("top")), "near-tops")
+        top = stored(out.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("top")), "near-tops", small=True)
         out = out.join(top, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("top", "component_id").alias("component_id"))
     out = out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     out.reads = [feats, labels, repeated, *([top] if some_repeated else [])]
@@ -346,7 +346,7 @@ def one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     the one whose other columns, as JSON, come first. A null doc_id stays.
     """
     verdicts = near_duplicates(docs, percent)
-    found = stored(verdicts, "near-verdicts")
+    found = stored(verdicts, "near-verdicts", small=True)
     dropped(*verdicts.reads)
     gone = found.filter("not kept").select("doc_id").distinct()
     rows, name = by_position(docs)

@@ -138,7 +138,7 @@ def judged(counts: DataFrame, labels: DataFrame) -> DataFrame:
     learn = rows.filter(~F.col("base_failed")).select("doc_id", "stratum", "source", "values").join(known, "doc_id")
     learn = learn.groupBy("doc_id").agg(F.min_by(F.struct("stratum", "source", "values", "quality"), F.struct("source", "stratum")).alias("r")).select("r.*")
     learn = learn.groupBy("stratum", "source").agg(F.first("values").alias("values"), (F.min("quality") == 1).alias("good")).select("stratum", "good", "values")
-    chosen = stored(cutoffs(learn), "quality-cutoffs")
+    chosen = stored(cutoffs(learn), "quality-cutoffs", small=True)
     rows = rows.join(chosen, "stratum", "left")
     failed = F.coalesce(F.map_keys(F.map_filter("cutoffs", lambda rule, cutoff: F.element_at(F.col("values"), rule) > cutoff)), F.array().cast("array<string>"))
     return rows.withColumn("failed_rules", F.array_sort(failed)).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
