@@ -1,260 +1,85 @@
-"""BPE encoding and decoding through a table of distinct words.
+"""BPE encoding and decoding through a table of distinct words (:mod:`faultline.llm.word_table`).
 
 Method
-    1. Texts are split into the tokenizer's words (pieces that merges never cross) in blocks of ``BLOCK_CHARS``
-       characters. A block keeps, for each document, the numbers of its words in the block's list of distinct words.
-    2. The lists are dealt by a hash of the word, so that all blocks' requests for a word meet in one partition,
-       where it is encoded once; the ids go back under the word's number. What is dealt is packed: one row for
-       each block and partition, so a common word costs an entry a block, not an entry an occurrence.
-    3. Each block gets its ids back, joins them to its documents by word position, and decodes by a join of ids to
-       the table of pieces.
-    No step gathers more than a block or a partition's distinct words, and nothing is broadcast but the tokenizer.
+    Texts are split into the words that merges never cross, each distinct word is encoded once, ids are joined back by
+    position, and ids are joined to the table of pieces to decode.
 
 Splitting follows the byte-level pattern of the vocabulary file; texts with characters beyond U+024F, about whose
 classes Unicode versions differ, are split by the library itself. The added token of the file is one word.
 
 Cases
     Null text reads as empty: no tokens, hashes of nothing. Empty table: no rows. Repeated rows and null doc_ids are
-    encoded row by row. Very long texts make a block of their own. Other columns are ignored.
+    encoded row by row. Very long texts make a block of their own. Other columns are ignored. Input that two readings
+    give differently, though its plan moves no rows, is an error.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-import zlib
-from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 import regex
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from faultline.llm._memory import released
-from faultline.llm._store import bounded_batches, stored
+from faultline.llm.word_table import through_words
 
 #: The pattern that splits text before the merges (a fixed value of the vocabulary's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK_CHARS = 4_000_000
-#: Bytes of input for each partition of distinct words; a plan that says it has more than UNKNOWN_BYTES doesn't know.
-PARTITION_BYTES, UNKNOWN_BYTES = 128 << 20, 1 << 50
-#: Steps of a plan after which rows may be dealt otherwise when it is run again.
-_MOVED = re.compile(r"(?i)Aggregate|Join|Repartition|Sort|Window|Limit|MapIn|Sample|Deduplicate|rand\(|uuid\(")
 _EXOTIC = re.compile("[^\x00-ɏ]")
 
 
-@lru_cache(2)
-def _tokenizer(path: str) -> Tokenizer:
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t
-
-
-@lru_cache(2)
-def _pieces(path: str) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Starts and lengths of the ids' pieces in one string of bytes; an added token's piece is its text."""
-    t = _tokenizer(path)
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    back = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-    added = {i: a.content for i, a in t.get_added_tokens_decoder().items()}
-    size = max([*t.get_vocab(True).values()]) + 1
-    pieces = [b""] * size
-    for piece, i in t.get_vocab(True).items():
-        pieces[i] = added[i].encode() if i in added else bytes(back[c] for c in piece)
-    lengths = np.array([*map(len, pieces)], np.int64)
-    return np.cumsum(lengths) - lengths, lengths, b"".join(pieces)
-
-
-class Splitter:
-    """Words of a text, as the tokenizer file splits it."""
+class ByteBpe:
+    """The words, ids and pieces of a tokenizer file."""
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.find = regex.compile(PATTERN).findall
-        added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = set(added)
-        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.by_id = {i: a.content for i, a in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {*self.by_id.values()}
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii() and _EXOTIC.search(text):
             return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return self.find(text)
 
-    def __call__(self, text: str) -> list[str]:
+    def split(self, text: str) -> list[str]:
         if self.parts is None or not any(a in text for a in self.added):
             return self._plain(text)
         return [w for part in self.parts.split(text) if part for w in ([part] if part in self.added else self._plain(part))]
 
+    def encode(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
-def _forgetting(run):
-    """``run`` for mapInArrow, after which the worker, which outlives its task, holds no tokenizer."""
-
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        _tokenizer.cache_clear()
-        _pieces.cache_clear()
-
-    return released(wrapped)
-
-
-def _pack(x: np.ndarray) -> bytes:
-    """Unsigned 32-bit integers, byte planes apart, compressed."""
-    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-
-
-def _unpack(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The numbers start .. start + length - 1 of each, one after another."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
-# Rows between the steps: part -1 is a block's documents, others are its words for one partition. Both kinds come from
-# a reading of their own, of input whose partitions are fixed (else it is stored first); check, a checksum of the block's
-# words by position, ends the job should the two differ all the same.
-BLOCKS = "block long, check long, part int, doc_id array<long>, n_words binary, body binary, lengths binary"
-
-
-class _Numbers(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
-
-
-def _split(path: str, parts: int, documents: bool):
-    """Blocks' documents, or the words for each partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, count = Splitter(path), 0
-        base = TaskContext.get().partitionId() << 32
-
-        def flush(ids, numbers, table):
-            nonlocal count
-            words = [w.encode("utf-8") for w in table]
-            body = np.concatenate([np.zeros(0, np.uint32), *numbers])
-            key = (base | count, zlib.crc32(b"\0".join(words), zlib.crc32(body.tobytes())))
-            if documents:
-                rows = [(*key, -1, ids, _pack(np.array([*map(len, numbers)], np.uint32)), _pack(body), None)]
-            else:
-                where = np.array([zlib.crc32(w) % parts for w in words], np.int64)
-                order = np.argsort(where, kind="stable")
-                cuts = np.searchsorted(where[order], np.arange(parts + 1))
-                rows = []
-                for p in range(parts):
-                    at = order[cuts[p] : cuts[p + 1]]
-                    if len(at):
-                        own = [words[i] for i in at]
-                        rows.append((*key, p, None, _pack(at), zstandard.compress(b"".join(own), 1), _pack(np.array([*map(len, own)]))))
-            count += 1
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*rows)] or [[]] * 7, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()))], ["block", "check", "part", "doc_id", "n_words", "body", "lengths"])
-
-        ids, numbers, table, chars = [], [], _Numbers(), 0
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py() or ""
-                if chars and chars + len(text) > BLOCK_CHARS:
-                    yield flush(ids, numbers, table)
-                    ids, numbers, table, chars = [], [], _Numbers(), 0
-                words = split(text)
-                numbers.append(np.fromiter(map(table.__getitem__, words), np.uint32, len(words)))
-                ids.append(i)
-                chars += len(text)
-        if ids:
-            yield flush(ids, numbers, table)
-
-    return run
-
-
-def _cut(body: bytes, lengths: np.ndarray) -> list[str]:
-    out, at = [], 0
-    for n in lengths.tolist():
-        out.append(body[at : at + n].decode("utf-8"))
-        at += n
-    return out
-
-
-def _encode(path: str):
-    """Words to ids, each distinct word of the partition once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _tokenizer(path), {}
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                words = _cut(zstandard.decompress(r["body"]), _unpack(r["lengths"]))
-                new = [w for w in words if w not in known]
-                for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-                ids = [known[w] for w in words]
-                rows.append((r["block"], r["check"], r["n_words"], _pack(np.frombuffer(b"".join(ids), "<u4")), _pack(np.array([*map(len, ids)]) // 4)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["block", "check", "n_words", "body", "lengths"])
-
-    return run
-
-
-ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-
+    def _size(self) -> int:
+        return max([*self.tokenizer.get_vocab(True).values()]) + 1
 
-def _assemble(path: str, texts: bool):
-    """A block's documents and its words' ids, joined by position; then ids to pieces."""
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """Starts and lengths of the ids' pieces in one string of bytes; an added token's piece is its text."""
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        back = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+        pieces = [b""] * self._size()
+        for piece, i in self.tokenizer.get_vocab(True).items():
+            pieces[i] = self.by_id[i].encode() if i in self.by_id else bytes(back[c] for c in piece)
+        lengths = np.array([*map(len, pieces)], np.int64)
+        return np.cumsum(lengths) - lengths, lengths, b"".join(pieces)
 
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        at, flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-        if len({*docs.column("check").to_pylist(), *words.column("check").to_pylist()}) > 1:
-            raise RuntimeError("the documents differed between two readings; store them before encoding")
-        for r in words.to_pylist():
-            at.append(_unpack(r["n_words"]))
-            flat.append(_unpack(r["body"]))
-            lengths.append(_unpack(r["lengths"]))
-        at, flat, lengths = np.concatenate(at), np.concatenate(flat), np.concatenate(lengths).astype(np.int64)
-        starts = np.cumsum(lengths) - lengths
-        first, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        first[at], size[at] = starts, lengths
-        piece_start, piece_size, pieces = _pieces(path)
-        pieces_array = np.frombuffer(pieces, np.uint8)
-        out = []
-        for r in docs.to_pylist():
-            n_words, body = _unpack(r["n_words"]).astype(np.int64), _unpack(r["body"])
-            ends = np.cumsum(n_words)
-            for doc_id, low, high in zip(r["doc_id"], (ends - n_words).tolist(), ends.tolist()):
-                w = body[low:high]
-                ids = flat[_ranges(first[w], size[w])]
-                text = pieces_array[_ranges(piece_start[ids], piece_size[ids])].tobytes().decode("utf-8", "replace")
-                row = (doc_id, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest())
-                out.append((*row, ids.tolist(), text) if texts else row)
-        kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())][: 6 if texts else 4]
-        return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), kinds)], [n for n, _ in kinds]) if out else pa.schema(kinds).empty_table()
+    def digits(self) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """An id adds four bytes to the digest."""
+        n = self._size()
+        return np.arange(n) * 4, np.full(n, 4), np.arange(n, dtype="<u4").tobytes()
 
-    return run
+    def finish(self, ids: bytes, text: bytes) -> tuple[bytes, str]:
+        return ids, text.decode("utf-8", "replace")
 
 
 def encode_decode(docs: DataFrame, path: str, partitions: int | None = None, texts: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of ``docs``; with ``texts`` also ids and decoded.
 
     ``path`` is the vocabulary file, at the same place on every executor. ``partitions`` of distinct words: by
-    default the session's shuffle partitions, and one for every ``PARTITION_BYTES`` of a larger input.
+    default the session's shuffle partitions, and one for every 128 MB of a larger input.
     """
-    bounded_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    plan = source._jdf.queryExecution().optimizedPlan()
-    size = int(str(plan.stats().sizeInBytes()))
-    parts = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES if size < UNKNOWN_BYTES else 0)
-    if _MOVED.search(plan.toString()):
-        # Both readings are to see the same partitions.
-        source = stored(source, "bpe-documents")
-    blocks = source.mapInArrow(_forgetting(_split(path, parts, documents=True)), BLOCKS)
-    words = source.mapInArrow(_forgetting(_split(path, parts, documents=False)), BLOCKS).select("block", "check", "part", "n_words", "body", "lengths").repartition(parts, "part").mapInArrow(_forgetting(_encode(path)), "block long, check long, n_words binary, body binary, lengths binary")
-    out = ENCODED + (", ids array<int>, decoded string" if texts else "")
-    return blocks.select("block", "check", "doc_id", "n_words", "body").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assemble(path, texts), out)
+    return through_words(docs, ByteBpe, path, partitions, texts)

@@ -17,11 +17,13 @@ from faultline.llm.near_dedup import near_duplicates
 from faultline.llm.pii import pii_digest
 from faultline.llm.quality_model import quality_scores
 from faultline.llm.quality_rules import quality_verdicts
+from faultline.llm.sentencepieces import encode_decode as encode_decode_pieces
 from faultline.llm.token_counts import line_token_counts
 from faultline.llm.toxicity import toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode_pieces(table(spark, sf_dir, "documents"), PIECES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -80,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_bpe": op10_bpe,
+        "op12_sentencepiece": op12_sentencepiece,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -7,13 +7,15 @@ import re
 import numpy as np
 import public_tokenizers as P
 import pytest
+import sentencepiece
 from tokenizers import Tokenizer
 
-from faultline.llm import licenses, pii
+from faultline.llm import licenses, pii, sentencepieces
 from faultline.llm.bpe import encode_decode
 from faultline.llm.token_counts import _encoding, attribute, field_token_counts, line_token_counts
 
 VOCABULARY, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
+PIECES = P.path("piece_bpe_32k.model")
 
 
 def same(a, b):
@@ -52,6 +54,44 @@ def test_bpe_of_a_plan_that_moves_rows(spark, docs):
     same((tuple(r) for r in encode_decode(df, VOCABULARY).collect()), plain_bpe([tuple(r) for r in docs.select("doc_id", "text").collect()]))
 
 
+# --- SentencePiece -----------------------------------------------------------------------------------------------
+
+
+def plain_pieces(rows):
+    m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for i, text in rows:
+        ids = m.encode(text or "")
+        yield i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(m.decode(ids).encode()).hexdigest()
+
+
+def test_pieces(spark, docs, odd, nothing):
+    for df in (docs, odd, docs.repartition(5)):
+        df = df.select("doc_id", "text")
+        same((tuple(r) for r in sentencepieces.encode_decode(df, PIECES).collect()), plain_pieces([tuple(r) for r in df.collect()]))
+    assert sentencepieces.encode_decode(nothing, PIECES).count() == 0
+
+
+def test_pieces_of_odd_texts(spark):
+    """Runs of markers at either end, markers in the text, bytes, names of control pieces."""
+    some, rng = [*"abcdehiost ,.\n\t  é日\U0001f600\u200b\0\ufeffÀ0<>", sentencepieces.MARK, "<s>", "</s>", "<unk>", "<0x0A>", "  ", "     ", "the ", "\r\n", "\xa0", "\ufffd", "\u0301"], random.Random(5)
+    rows = [(i, "".join(rng.choices(some, k=rng.randint(0, 25)))) for i in range(4000)] + [(-1, " " * 40), (-2, sentencepieces.MARK), (-3, "x" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same((tuple(r) for r in sentencepieces.encode_decode(df, PIECES, partitions=3).collect()), plain_pieces(rows))
+    texts = dict(rows)
+    for r in sentencepieces.encode_decode(df, PIECES, texts=True).collect():
+        assert r.decoded == texts[r.doc_id].replace(sentencepieces.MARK, " ") and len(r.ids) == r.n_tokens
+
+
+def test_pieces_refuse_other_models(monkeypatch):
+    class Crossing(sentencepiece.SentencePieceProcessor):
+        def id_to_piece(self, i):
+            return "a" + sentencepieces.MARK if i == 500 else super().id_to_piece(i)
+
+    monkeypatch.setattr(sentencepieces.sentencepiece, "SentencePieceProcessor", Crossing)
+    with pytest.raises(ValueError):
+        sentencepieces.SentencePieces(PIECES)
+
+
 # --- Token counts -------------------------------------------------------------------------------------------------
 
 
