@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from faultline.llm.licenses import COVERAGE, DRIFT, GAP, GRAM, TEMPLATES
 from faultline.llm.quality_rules import DELTA, GRIDS, MAX_REPEAT_PERCENT, MIN_WORDS, RISK
+from faultline.llm.spelling import FORM_FACTOR, LEAST_COUNT, LEAST_LENGTH, ONE_IN
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -87,3 +88,37 @@ select w.doc_id, cast(len(w.w) as bigint) as n_words, count(*) filter (base) as
   coalesce(string_agg(distinct label, ',' order by label) filter (base), '') as base_labels, coalesce(string_agg(distinct label, ',' order by label), '') as labels, coalesce(max(score), 0.0::double) as score
 from w left join x on x.doc_id = w.doc_id group by w.doc_id, w.w
 """
+
+# Words of text whose A-Z are in lower case.
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_LICENCE_WORDS})"
+
+RANKED_SEARCH = rf"""
+with d as (select row_number() over () as r, doc_id, w, len(w) as n from (select doc_id, {_TERMS} as w from documents) where len(w) > 0),
+s as (select count(*) as c, cast(sum(n) as bigint) as l from d),
+p as (select r, doc_id, n, term, count(*) as tf from (select r, doc_id, n, unnest(w) as term from d) group by all),
+f as (select term, count(*) as df from p group by term),
+q as (select item, item_id, term, count(*) as repeats from (select item, item_id, unnest(w) as term from (select row_number() over () as item, item_id, {_TERMS} as w from benchmark)) group by all),
+x as (select item, item_id, r, doc_id, cast(sum(repeats * cast(floor(1000 * ln((2 * c + 2)::double / (2 * df + 1))) as bigint) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * c) // l)))) as bigint) as score
+  from q join f using (term) join p using (term), s group by all),
+y as (select item_id, row_number() over (partition by item order by score desc, doc_id) as rank, doc_id, score from x where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from y where rank <= 10
+"""
+
+_RUNS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z' || chr(192) || '-' || chr(255) || ']+')"
+
+SPELLING_VARIANTS = rf"""
+with recursive crc as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as t),
+r as (select coalesce(cast(doc_id as varchar), '') || ':' || run as name, run, count(*) as n from (select doc_id, unnest({_RUNS}) as run from documents) group by all),
+b as (select name, run, n, hex(encode(name)) as x from r where length(run) >= {LEAST_LENGTH}),
+h as (select run, n, xor(4294967295, list_reduce(list_transform(range(length(x) // 2), lambda i: cast('0x' || x[2 * i + 1:2 * i + 2] as bigint)), lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8), 4294967295)) as h from b, crc),
+o as (select case when h % {ONE_IN} = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from h),
+w as (select word, cast(sum(n) as bigint) as n from o where length(word) >= {LEAST_LENGTH} group by word having sum(n) >= {LEAST_COUNT}),
+e as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as less from (select word, n, unnest(range(1, length(word) + 1)) as i from w)),
+pairs as (select a.word, c.word as other, c.n from e a join e c on a.i = c.i and a.less = c.less and a.word <> c.word
+  union select e.word, w.word, w.n from e join w on w.word = e.less union select w.word, e.word, e.n from e join w on w.word = e.less),
+best as (select word, count(*) as n_near, arg_min(other, (-n, other)) as form, max(n) as form_n from pairs group by word),
+f as (select w.word, case when form_n >= {FORM_FACTOR} * w.n then form end as form, w.n, coalesce(n_near, 0) as n_near, case when form_n >= {FORM_FACTOR} * w.n then form_n end as form_n from w left join best using (word)),
+way as (select word, coalesce(form, word) as root from f union select way.word, f.form from way join f on f.word = way.root where f.form is not null),
+last as (select way.word, way.root from way join f on f.word = way.root where f.form is null)
+select f.word, form, root, n, n_near, form_n from f join last using (word)
+"""

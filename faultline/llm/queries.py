@@ -11,6 +11,7 @@ import public_tokenizers
 from faultline.llm import oracles
 from faultline.llm.bpe import encode_decode
 from faultline.llm.decontamination import leaks
+from faultline.llm.lexical_search import ranked_search
 from faultline.llm.licenses import license_scan
 from faultline.llm.line_dedup import line_dedup
 from faultline.llm.near_dedup import near_duplicates
@@ -18,6 +19,7 @@ from faultline.llm.pii import pii_digest
 from faultline.llm.quality_model import quality_scores
 from faultline.llm.quality_rules import quality_verdicts
 from faultline.llm.sentencepieces import encode_decode as encode_decode_pieces
+from faultline.llm.spelling import spelling_variants
 from faultline.llm.token_counts import line_token_counts
 from faultline.llm.toxicity import toxicity
 
@@ -70,10 +72,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_pieces(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -86,10 +96,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_bpe": op10_bpe,
+        "op11_ranked_search": op11_ranked_search,
         "op12_sentencepiece": op12_sentencepiece,
+        "op13_spelling": op13_spelling,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": oracles.LICENSE_SCAN, "op8_quality_rules": oracles.QUALITY_RULES, "op9_near_duplicates": oracles.NEAR_DUPLICATES}
+    return {"op2_license_scan": oracles.LICENSE_SCAN, "op8_quality_rules": oracles.QUALITY_RULES, "op9_near_duplicates": oracles.NEAR_DUPLICATES, "op11_ranked_search": oracles.RANKED_SEARCH, "op13_spelling": oracles.SPELLING_VARIANTS}

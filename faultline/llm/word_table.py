@@ -68,7 +68,7 @@ def unpack(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers start .. start + length - 1 of each, one after another."""
     ends = np.cumsum(lengths)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
@@ -165,7 +165,7 @@ ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def _by_word(ids: np.ndarray, ends: np.ndarray, starts: np.ndarray, lengths: np.ndarray, data: bytes) -> list[bytes]:
     """What each word's ids stand for: ids up to ``ends``, joined to their places in ``data``."""
-    joined = np.frombuffer(data, np.uint8)[_ranges(starts[ids], lengths[ids])].tobytes()
+    joined = np.frombuffer(data, np.uint8)[ranges(starts[ids], lengths[ids])].tobytes()
     cuts = np.concatenate(([0], np.cumsum(lengths[ids])))[np.concatenate(([0], ends))].tolist()
     return [joined[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
@@ -184,7 +184,7 @@ def _assemble(kind: type, path: str, texts: bool):
         # The words come by partition; what they have is put in order of their numbers.
         at, flat, lengths = np.concatenate(at), np.concatenate(flat), np.concatenate(lengths).astype(np.int64)
         order = np.argsort(at)
-        flat, lengths = flat[_ranges((np.cumsum(lengths) - lengths)[order], lengths[order])], lengths[order]
+        flat, lengths = flat[ranges((np.cumsum(lengths) - lengths)[order], lengths[order])], lengths[order]
         ends, tokenizer = np.cumsum(lengths), _made(kind, path)
         digits, pieces = (_by_word(flat, ends, *t) for t in (tokenizer.digits(), tokenizer.pieces()))
         out = []
@@ -196,7 +196,7 @@ def _assemble(kind: type, path: str, texts: bool):
                 numbers = w.tolist()
                 ids, text = tokenizer.finish(b"".join(map(digits.__getitem__, numbers)), b"".join(map(pieces.__getitem__, numbers)))
                 row = (doc_id, int(lengths[w].sum()), hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest())
-                out.append((*row, flat[_ranges((ends - lengths)[w], lengths[w])].tolist(), text) if texts else row)
+                out.append((*row, flat[ranges((ends - lengths)[w], lengths[w])].tolist(), text) if texts else row)
         kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())][: 6 if texts else 4]
         return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), kinds)], [n for n, _ in kinds]) if out else pa.schema(kinds).empty_table()
 
