@@ -18,6 +18,7 @@ from faultline.operators import ingest as I
 from faultline.operators import integrity as V
 from faultline.operators import knowledge as K
 from faultline.operators import risks as R
+from faultline.operators import vector_index as X
 from faultline.plans.relations import VIEWS, Relations, with_views
 from faultline.sources import sinks
 from faultline.streaming import incidents as streams
@@ -319,16 +320,37 @@ def _health(r):
     return K.health(facts, r.procedure, r.pattern)
 
 
-@query("", """q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 100 = 0),
+_TOPK = """q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 100 = 0),
   s as (select query_id, vec_id, list_cosine_similarity(embedding::double[], e::double[]) as score from embeddings, q)
-  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, round(score, 4) as score from s qualify rank <= 20""")
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, round(score, 4) as score from s qualify rank <= 20"""
+
+
+@query("", _TOPK)
 def search_cosine_topk(r):
     return _cosine(r).withColumn("score", F.round("score", 4))
 
 
-def _cosine(r):
+def _asked(r):
     v = r.table("embeddings").select("vec_id", "embedding")
-    return K.semantic_search(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")))
+    return v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def _cosine(r):
+    return K.semantic_search(*_asked(r))
+
+
+@query("", _TOPK)
+def search_index_exact(r):
+    """The same by the index: what angles rule out is not compared."""
+    vectors, queries = _asked(r)
+    return X.search(X.build(vectors), queries, exact=True).withColumn("score", F.round("score", 4))
+
+
+@query("", "select count(*) filter (vec_id % 100 = 0) * least(20, count(*)) as n_wanted, true as enough from embeddings")
+def search_index_recall(r):
+    """Whether looking into the nearest cells alone finds 0.95 of what a comparison with all vectors does."""
+    vectors, queries = _asked(r)
+    return X.recall(X.search(X.build(vectors), queries), _cosine(r)).select("n_wanted", (F.col("recall") >= 0.95).alias("enough"))
 
 
 @query("", """q as (select embedding as e from embeddings where vec_id = 0), s as (select vec_id, list_cosine_similarity(embedding::double[], e::double[]) as score from embeddings, q order by score desc, vec_id limit 20),
