@@ -11,10 +11,15 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from faultline.sources.scratch import dropped, stored
+from faultline.sources.scratch import dropped, stored, stored_in_buckets
 
 DEPTH, STRENGTH = 3, 0.3
+#: Edges of one source that are kept together; more are dealt over several buckets.
+HOT_EDGES = 100_000
+#: Sources with so many edges that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def usable(edges: DataFrame, min_strength: float = STRENGTH, relation_types: str | list[str] | None = None) -> DataFrame:
@@ -36,19 +41,47 @@ def relationships(edges: DataFrame, entity_id: str) -> DataFrame:
     return edges.filter((F.col("source_id") == entity_id) | (F.col("target_id") == entity_id))
 
 
+def _adjacency(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``links`` stored in buckets of src, and (src, parts) of the sources that have very many; stored, None if there are none.
+
+    The edges of such a source are dealt over as many buckets as parts, so that none holds them all.
+    """
+    hot = stored(links.groupBy("src").count().filter(F.col("count") > HOT_EDGES).select("src", F.ceil(F.col("count") / HOT_EDGES).cast("int").alias("parts")), "graph-hot")
+    n = hot.count()
+    part = F.lit(0)
+    if n:
+        links = links.join(F.broadcast(hot) if n <= BROADCAST_ROWS else hot, "src", "left")
+        part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")
+    buckets = stored_in_buckets(links.select("src", part.alias("part"), *[c for c in links.columns if c not in ("src", "parts")]), "graph-edges", ["src", "part"])
+    if n:
+        return buckets, F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+    dropped(hot)
+    return buckets, None
+
+
+def _followed(links: DataFrame, hot: DataFrame | None, frontier: DataFrame) -> DataFrame:
+    """The frontier (src, ...) joined to its edges, which stay where they are."""
+    if hot is None:
+        frontier = frontier.withColumn("part", F.lit(0))
+    else:
+        frontier = frontier.join(hot, "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    # Neither side is broadcast: edges are too many, and a frontier may be.
+    return frontier.hint("merge").join(links, ["src", "part"]).drop("part")
+
+
 def expand(edges: DataFrame, seeds: DataFrame, max_depth: int = 1, min_strength: float = STRENGTH, relation_types=None) -> DataFrame:
     """(seed, entity_id, entity_type, depth, strength, path): what each seed (entity_id) reaches within ``max_depth``, each node at its smallest depth.
 
     strength is that of the strongest edge that reaches the node there, path the nodes of one way to it: of those over a
-    strongest last edge the first in order of its nodes. The edges and each level are written once, so a level costs
-    one join however deep it is; the search ends with the first level that finds nothing.
+    strongest last edge the first in order of its nodes. The edges are written once, in buckets, so a level moves its
+    frontier to them and no edge; each level is written too. The search ends with the first level that finds nothing.
     """
-    links = stored(usable(edges, min_strength, relation_types), "graph-edges")
+    links, hot = _adjacency(usable(edges, min_strength, relation_types))
     seeds = seeds.select(F.col("entity_id").cast("string").alias("entity_id")).distinct()
     frontier = seen = stored(seeds.select(F.col("entity_id").alias("seed"), "entity_id", F.array("entity_id").alias("path")), "graph-seeds")
     levels = [frontier.select("seed", "entity_id", F.lit("").alias("entity_type"), F.lit(0).alias("depth"), F.lit(0.0).alias("strength"), "path").limit(0)]
     for depth in range(1, max_depth + 1):
-        step = links.join(frontier.withColumnRenamed("entity_id", "src"), "src").groupBy("seed", F.col("dst").alias("entity_id")).agg(
+        step = _followed(links, hot, frontier.withColumnRenamed("entity_id", "src")).groupBy("seed", F.col("dst").alias("entity_id")).agg(
             F.max("strength").alias("strength"), F.min("dst_type").alias("entity_type"), F.min_by("path", F.struct(-F.col("strength"), F.col("path"))).alias("path")
         )
         step = step.join(seen.select("seed", "entity_id"), ["seed", "entity_id"], "left_anti")
@@ -79,13 +112,16 @@ def depth_counts(nodes: DataFrame) -> DataFrame:
 
 
 def foresight(edges: DataFrame, start: str, depth: int = DEPTH, min_strength: float = STRENGTH, relation_types=None) -> DataFrame:
-    """(path, depth, total_strength): all simple paths of up to ``depth`` edges from the entity."""
-    links = stored(usable(edges, min_strength, relation_types).select("src", "dst", "strength"), "graph-edges")
+    """(path, depth, total_strength): all simple paths of up to ``depth`` edges from the entity.
+
+    Their number grows as the degree to the power of ``depth``; :func:`strongest_paths` gives the first k alone.
+    """
+    links, hot = _adjacency(usable(edges, min_strength, relation_types).select("src", "dst", "strength"))
     paths = edges.sparkSession.createDataFrame([([start], start, 1.0)], "path array<string>, src string, total_strength double")
     levels = []
     for n in range(1, depth + 1):
         # A level is written once, so longer paths start from it and not from the edges again.
-        step = paths.join(links, "src").filter(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"), F.lit(n).alias("depth"), (F.col("total_strength") * F.col("strength")).alias("total_strength"))
+        step = _followed(links, hot, paths).filter(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"), F.lit(n).alias("depth"), (F.col("total_strength") * F.col("strength")).alias("total_strength"))
         step = stored(step, "graph-paths")
         levels.append(step)
         if n < depth and step.isEmpty():
@@ -95,6 +131,52 @@ def foresight(edges: DataFrame, start: str, depth: int = DEPTH, min_strength: fl
     return reduce(DataFrame.unionByName, levels)
 
 
+def _strongest_links(links: DataFrame, k: int, depth: int) -> DataFrame:
+    """The edges that one of the ``k`` strongest paths can use.
+
+    A path goes on over one of the ``k`` strongest of the ways that it may take; at most ``depth`` of the nodes there are
+    on it already. So of each source the ``k + depth`` targets with the strongest edges are enough, and of parallel edges k.
+    """
+    parallel = Window.partitionBy("src", "dst").orderBy(F.desc("strength"))
+    links = links.withColumn("_n", F.row_number().over(parallel)).filter(F.col("_n") <= k)
+    best = links.withColumn("_best", F.max("strength").over(Window.partitionBy("src", "dst")))
+    place = F.dense_rank().over(Window.partitionBy("src").orderBy(F.desc("_best"), "dst"))
+    return best.withColumn("_n", place).filter(F.col("_n") <= k + depth).drop("_n", "_best")
+
+
+def strongest_paths(edges: DataFrame, seeds: DataFrame, k: int, depth: int = DEPTH, min_strength: float = STRENGTH, relation_types=None) -> DataFrame:
+    """(seed, rank, path, depth, total_strength): the first ``k`` simple paths of each seed (entity_id), of up to ``depth`` edges.
+
+    The strongest come first, of equal ones the shorter, then by their nodes. Strengths are from 0 to 1, so a path comes
+    after each of its beginnings: no path among the first ``k`` begins with one that is not. A level therefore goes on from
+    those of its paths alone that are among the first ``k`` so far, at most ``k`` a seed, and nothing weaker than the last
+    of them is made. Seeds that nothing leads on from have no rows; parallel edges make paths of their own.
+    """
+    links = usable(edges, min_strength, relation_types).select("src", "dst", "strength")
+    wrong = links.filter((F.col("strength") > 1) | (F.col("strength") < 0) | F.isnan("strength"))
+    if not wrong.isEmpty():
+        raise ValueError("strengths are to be from 0 to 1")
+    links, hot = _adjacency(_strongest_links(links, k, depth))
+    order = Window.partitionBy("seed").orderBy(F.desc("total_strength"), "depth", "path")
+    seeds = seeds.select(F.col("entity_id").cast("string").alias("seed")).filter("seed is not null").distinct()
+    best, frontier = None, seeds.select("seed", F.array("seed").alias("path"), F.col("seed").alias("src"), F.lit(1.0).alias("total_strength"), F.lit(0.0).alias("least"))
+    for n in range(1, depth + 1):
+        step = _followed(links, hot, frontier).withColumn("total_strength", F.col("total_strength") * F.col("strength")).filter((F.col("total_strength") >= F.col("least")) & ~F.array_contains("path", F.col("dst")))
+        step = step.select("seed", F.array_append("path", F.col("dst")).alias("path"), F.lit(n).alias("depth"), "total_strength")
+        known = step if best is None else best.select(*step.columns).unionByName(step)
+        ranked = stored(known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "graph-strongest")
+        if best is not None:
+            dropped(best)
+        best = ranked
+        last = best.filter(F.col("rank") == k).select("seed", F.col("total_strength").alias("least"))
+        frontier = best.filter(F.col("depth") == n)
+        if n < depth and frontier.isEmpty():
+            break
+        frontier = frontier.join(last, "seed", "left").select("seed", "path", F.element_at("path", -1).alias("src"), "total_strength", F.coalesce("least", F.lit(0.0)).alias("least"))
+    dropped(links)
+    return best.select("seed", "rank", "path", "depth", "total_strength")
+
+
 def with_mitigations(paths: DataFrame, mitigations: DataFrame) -> DataFrame:
     """Paths with the mitigations (for_node_id, label) of any of their nodes, sorted."""
     keyed = paths.withColumn("_path", F.array_join("path", "\0"))

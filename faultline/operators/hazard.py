@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from faultline.functions import scalars as S
 from faultline.operators.graph import upsert
+from faultline.sources.scratch import dropped, stored
 
 # The order of scenario levels; an unknown level sorts as top.
 LEVELS = {"top": 0, "intermediate": 1, "immediate": 2}
@@ -104,13 +105,30 @@ def submit(document: DataFrame, existing_losses: DataFrame, controls: DataFrame,
     return out
 
 
-def hierarchy(parents: DataFrame, depth: int = 10) -> DataFrame:
-    """(scenario_id, root_id, depth) of a parent table, whose trees are at most ``depth`` deep."""
-    up = parents.select("scenario_id", F.coalesce("parent_id", "scenario_id").alias("root_id"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"))
-    for _ in range(max(1, depth.bit_length())):
-        above = up.select(F.col("scenario_id").alias("root_id"), F.col("root_id").alias("_next"), F.col("depth").alias("_more"))
-        up = up.join(above, "root_id").select("scenario_id", F.col("_next").alias("root_id"), (F.col("depth") + F.col("_more")).alias("depth"))
-    return up
+def hierarchy(parents: DataFrame) -> DataFrame:
+    """(scenario_id, root_id, depth) of a parent table (scenario_id, parent_id), however deep its trees.
+
+    Each round doubles the steps that a scenario has gone up, and is written, so the plan does not grow with the depth.
+    Depths have no gaps along a way up: once a round brings no scenario to its root, those that are left lead into a cycle,
+    and their root_id and depth are null. A parent that is not there counts as none; of several rows of a scenario the
+    smallest parent counts; a null scenario_id is left out.
+    """
+    rows = parents.filter("scenario_id is not null").groupBy("scenario_id").agg(F.min("parent_id").alias("parent_id"))
+    known = rows.select(F.col("scenario_id").alias("parent_id"), F.lit(True).alias("known"))
+    rows = rows.join(known, "parent_id", "left")
+    root = F.col("known").isNull()
+    up = stored(rows.select("scenario_id", F.when(root, F.col("scenario_id")).otherwise(F.col("parent_id")).alias("above"), F.when(root, 0).otherwise(1).alias("depth"), root.alias("done")), "hierarchy")
+    left = up.filter("not done").count()
+    while left:
+        further = up.select(F.col("scenario_id").alias("above"), F.col("above").alias("_above"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        moved = up.filter("not done").join(further, "above").select("scenario_id", F.col("_above").alias("above"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
+        step = stored(up.filter("done").unionByName(moved), "hierarchy")
+        dropped(up)
+        before, up = left, step
+        left = up.filter("not done").count()
+        if left == before:
+            break
+    return up.select("scenario_id", F.when(F.col("done"), F.col("above")).alias("root_id"), F.when(F.col("done"), F.col("depth")).alias("depth"))
 
 
 def ranked_scenarios(scenarios: DataFrame) -> DataFrame:

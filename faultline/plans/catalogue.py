@@ -448,6 +448,50 @@ def foresight_mitigations(r):
     return G.with_mitigations(paths, mitigations).select(F.array_join("path", ">").alias("path"), own.alias("mitigations"))
 
 
+_WAYS = """walk as (select source_id as seed, [source_id, target_id] as path, target_id as node, 1 as depth, strength as total from edge where source_type = 'region' and strength >= 0.3::double
+  union all select seed, list_append(path, e.target_id), e.target_id, depth + 1, total * e.strength from walk join edge e on e.source_id = node where depth < 3 and e.strength >= 0.3::double and not list_contains(path, e.target_id)),
+  ranked as (select *, row_number() over (partition by seed order by total desc, depth, path) as n from walk)"""
+_KS = (1, 10, 500)
+
+
+@query("edge", f"{_WAYS} select cast(k as int) as k, seed, cast(n as int) as rank, array_to_string(path, '>') as path, depth, round(total, 6) as total_strength from ranked join (select unnest({[*_KS]}) as k) on n <= k", recursive=True)
+def foresight_strongest(r):
+    """The first k paths of every region, for several k, each found without the others."""
+    seeds = r.edge.filter("source_type = 'region'").select(F.col("source_id").alias("entity_id"))
+    found = [G.strongest_paths(r.edge, seeds, k).select(F.lit(k).alias("k"), "seed", "rank", F.array_join("path", ">").alias("path"), "depth", F.round("total_strength", 6).alias("total_strength")) for k in _KS]
+    return reduce(DataFrame.unionByName, found)
+
+
+_BACK = """edges as (select source_id, target_id, strength from edge union all select 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 0.75 + (s_suppkey % 5) / 20.0::double from supplier
+  union all select target_id, source_id, strength from edge where relation_type = 'contains'),"""
+
+
+@query("edge", f"""{_BACK} walk as (select source_id as seed, [source_id, target_id] as path, target_id as node, 1 as depth, strength as total from edges where source_id in (select 'supplier:' || s_suppkey from supplier where s_suppkey % 50 = 0) and strength >= 0.7::double
+  union all select seed, list_append(path, e.target_id), e.target_id, depth + 1, total * e.strength from walk join edges e on e.source_id = node where depth < 4 and e.strength >= 0.7::double and not list_contains(path, e.target_id)),
+  ranked as (select *, row_number() over (partition by seed order by total desc, depth, path) as n from walk)
+  select seed, cast(n as int) as rank, array_to_string(path, '>') as path, depth, round(total, 6) as total_strength from ranked where n <= 40""", recursive=True)
+def foresight_strongest_cycles(r):
+    """Among edges that go both ways: no path comes back to a node."""
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    up = r.table("supplier").select(F.lit("supplier").alias("source_type"), key("supplier", "s_suppkey").alias("source_id"), F.lit("nation").alias("target_type"), key("nation", "s_nationkey").alias("target_id"), F.lit("is_in").alias("relation_type"), (F.lit(0.75) + (F.col("s_suppkey") % 5) / F.lit(20.0)).alias("strength"))
+    edges = r.edge.unionByName(up).withColumn("direction", F.when(F.col("relation_type") == "contains", "bidirectional").otherwise(""))
+    seeds = r.table("supplier").filter("s_suppkey % 50 = 0").select(key("supplier", "s_suppkey").alias("entity_id"))
+    return G.strongest_paths(edges, seeds, 40, depth=4, min_strength=0.7).select("seed", "rank", F.array_join("path", ">").alias("path"), "depth", F.round("total_strength", 6).alias("total_strength"))
+
+
+@query("edge", f"""{_WAYS}, m as (select 'supplier:' || s_suppkey as node, s_name as label from supplier where s_acctbal > 0 union all select 'nation:' || n_nationkey, n_name from nation where n_nationkey % 2 = 0),
+  own as (select seed, n, string_agg(label, ',' order by node, label) as labels from (select seed, n, unnest(path) as node from ranked where n <= 300) join m using (node) group by seed, n)
+  select seed, cast(r.n as int) as rank, depth, array_to_string(path, '>') as path, coalesce(labels, '') as mitigations from ranked r left join own using (seed, n) where r.n <= 300""", recursive=True)
+def foresight_mitigated(r):
+    """The strongest paths of several steps with the mitigations of any of their nodes."""
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string")).alias("for_node_id")
+    mitigations = r.table("supplier").filter("s_acctbal > 0").select(key("supplier", "s_suppkey"), F.col("s_name").alias("label"))
+    mitigations = mitigations.unionByName(r.table("nation").filter("n_nationkey % 2 = 0").select(key("nation", "n_nationkey"), F.col("n_name").alias("label")))
+    paths = G.strongest_paths(r.edge, r.edge.filter("source_type = 'region'").select(F.col("source_id").alias("entity_id")), 300)
+    own = F.coalesce(F.array_join(F.transform("mitigations", lambda m: m["label"]), ","), F.lit(""))
+    return G.with_mitigations(paths, mitigations).select("seed", "rank", "depth", F.array_join("path", ">").alias("path"), own.alias("mitigations"))
+
+
 @query("edge", """walk as (select target_id as id, 1 as depth, strength from edge where source_id = 'region:1' and strength >= 0.3::double
   union all select e.target_id, depth + 1, e.strength from walk join edge e on e.source_id = walk.id where depth < 3 and e.strength >= 0.3::double),
   first as (select id, min(depth) as depth, arg_min(strength, (depth, -strength)) as strength from walk group by id) select depth, count(*) as n, max(strength) as max_strength from first group by depth""", recursive=True)
@@ -568,6 +612,17 @@ def scenario_hierarchy(r):
     return H.hierarchy(rows)
 
 
+@query("", """p as (select c_custkey as id, case when c_custkey % 41 <> 0 then c_custkey - 1 when (c_custkey // 41) % 5 = 0 then (select min(x) from (values (c_custkey + 40), ((select max(c_custkey) from customer))) as t(x)) end as parent from customer),
+  k as (select id, case when parent in (select id from p) then parent end as parent from p),
+  up as (select id, id as root_id, 0 as depth from k where parent is null union all select k.id, up.root_id, depth + 1 from k join up on k.parent = up.id) select k.id as scenario_id, root_id, depth from k left join up using (id)""", recursive=True)
+def scenario_hierarchy_deep(r):
+    """Chains of 41; in every fifth the first hangs on the last, so that it has no root."""
+    k = F.col("c_custkey")
+    last = r.table("customer").agg(F.max(k).alias("last"))
+    first = F.when(F.floor(k / 41) % 5 == 0, F.least(k + 40, F.col("last")))
+    return H.hierarchy(r.table("customer").join(F.broadcast(last)).select(k.alias("scenario_id"), F.when(k % 41 != 0, k - 1).otherwise(first).alias("parent_id")))
+
+
 _NATION_DOCUMENT = """n as (select n_nationkey as k, n_name as name, ['top', 'intermediate', 'immediate'][n_nationkey % 3 + 1] as level, 't' || cast(n_nationkey % 7 as varchar) as title, 't' || cast((n_nationkey + 1) % 9 as varchar) as parent_title, n_nationkey % 3 as rank from nation)"""
 
 

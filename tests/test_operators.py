@@ -106,6 +106,56 @@ def test_graph(spark):
     assert graph.relationships(edges, "a").count() == 4
 
 
+def all_strongest(edges, seed, depth, k):
+    """Every simple path, in order."""
+    found, level = [], [((seed,), 1.0)]
+    for n in range(1, depth + 1):
+        level = [((*path, dst), total * s) for path, total in level for src, dst, s in edges if src == path[-1] and dst not in path]
+        found += [(-total, n, path) for path, total in level]
+    return [(seed, i, path, n, -total) for i, (total, n, path) in enumerate(sorted(found)[:k], 1)]
+
+
+def test_strongest_paths(spark, monkeypatch):
+    """Cycles, hubs, parallel edges and ties: the first k of the list of all paths, whatever k."""
+    rng = random.Random(8)
+    nodes = [f"n{i}" for i in range(9)]
+    plain = [(a, b, rng.choice([0.25, 0.5, 0.5, 0.75, 1.0])) for a in nodes for b in nodes if a != b and rng.random() < 0.5]
+    plain += plain[:6] + [("n0", f"leaf{i}", 0.5) for i in range(30)]
+    edges = spark.createDataFrame([("n", a, "n", b, "causes", s, "") for a, b, s in plain], EDGES)
+    seeds = spark.createDataFrame([("n0",), ("n3",), ("n3",), ("leaf1",), ("none",), (None,)], "entity_id string")
+    for k, depth, hot in ((1, 3, 100), (4, 4, 2), (60, 3, 5), (100_000, 3, 100)):
+        monkeypatch.setattr(graph, "HOT_EDGES", hot)
+        got = sorted((r.seed, r["rank"], tuple(r.path), r.depth, r.total_strength) for r in graph.strongest_paths(edges, seeds, k, depth, min_strength=0.0).collect())
+        assert got == sorted(all_strongest(plain, "n0", depth, k) + all_strongest(plain, "n3", depth, k))
+    with pytest.raises(ValueError):
+        graph.strongest_paths(edges.withColumn("strength", F.col("strength") * 3), seeds, 1)
+
+
+def test_edges_stay_in_their_buckets(spark, monkeypatch):
+    """A level moves its frontier, not the edges; a source with very many edges has several buckets."""
+    rows = [("n", f"a{i % 40}", "n", f"a{i * 7 % 41}", "causes", 0.5 + i % 3 / 10, "") for i in range(300)] + [("n", "a1", "n", f"b{i}", "causes", 0.9, "") for i in range(50)]
+    edges = spark.createDataFrame(rows, EDGES)
+    plain = sorted(map(repr, graph.traverse(edges, "a1").collect()))
+    monkeypatch.setattr(graph, "HOT_EDGES", 10)
+    assert sorted(map(repr, graph.traverse(edges, "a1").collect())) == plain
+    links, hot = graph._adjacency(graph.usable(edges))
+    frontier = spark.createDataFrame([("a1", "x"), ("a2", "y")], "src string, seed string")
+    level = graph._followed(links, hot, frontier)
+    plan = level._jdf.queryExecution().executedPlan().toString()
+    assert hot is not None and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert level.count() == sum(r[1] in ("a1", "a2") for r in rows)
+
+
+def test_hierarchy_of_any_depth(spark):
+    """Chains deeper than any number of rounds that is fixed, a cycle and what leads into it, a parent that is not there."""
+    rows = [(i, i - 1 if i else None) for i in range(1000)] + [(2000, 2002), (2001, 2000), (2002, 2001), (2003, 2002), (2004, 2004), (3000, 9999), (3001, 3000), (3001, None), (None, 1)]
+    up = hazard.hierarchy(spark.createDataFrame(rows, "scenario_id long, parent_id long"))
+    got = {r.scenario_id: (r.root_id, r.depth) for r in up.collect()}
+    assert got == {**{i: (0, i) for i in range(1000)}, **{i: (None, None) for i in (2000, 2001, 2002, 2003, 2004)}, 3000: (3000, 0), 3001: (3000, 1)}
+    assert "Join" not in up._jdf.queryExecution().optimizedPlan().toString()
+    assert hazard.hierarchy(spark.createDataFrame([], "scenario_id long, parent_id long")).count() == 0
+
+
 def test_upsert(spark):
     old, new = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int"), spark.createDataFrame([("b", 2), ("c", 2)], "k string, v int")
     assert sorted(map(tuple, graph.upsert(old, new, ["k"]).collect())) == [("a", 1), ("b", 2), ("c", 2)]
