@@ -4,7 +4,7 @@ Method
     Every rolling word k-gram of every text is hashed and joined to the positions of the templates' k-grams. Hits vote by
     diagonal (place in the text less place in the template): a diagonal has the different places of the template that
     are hit on it, so a fragment that is repeated votes once. Neighbouring diagonals, which inserted or left-out words
-    make, are merged into one span. A span is verified word by word: the words of the template that its hits cover (a
+    make, are merged into one strand, and a strand is cut into spans where it leaves out many words of the text. A span is verified word by word: the words of the template that its hits cover (a
     hit has the template's very words, not only their hash) are at least ``COVERAGE`` of all, and those that decide between
     variants, as version or kind, are there without a gap. Of overlapping spans of one family of licences the one with
     the most words stands. A phrase is a template of one k-gram, so each of its hits is a place.
@@ -183,10 +183,14 @@ def spans(docs: DataFrame, templates: list[Template] = TEMPLATES) -> DataFrame:
     places = F.collect_set("tpos"), F.collect_set(F.when(F.col("deciding"), F.col("tpos")))
     diagonals = hits.groupBy(*own, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(places[0].alias("places"), places[1].alias("decided"), F.min("pos").alias("low"), F.max(F.col("pos") + F.col("k") - 1).alias("high"))
     # A phrase's diagonals are places of their own; a longer template's drift apart where words are put in or left out.
-    in_order = Window.partitionBy("row", "template").orderBy("low", "diagonal")
-    far = F.col("base") | (F.abs(F.col("diagonal") - F.lag("diagonal").over(in_order)) > DRIFT) | (F.col("low") - F.lag("high").over(in_order) > GAP)
+    # Near diagonals first, whatever others (of passages that the template repeats) lie between them in the text; then places.
+    across = Window.partitionBy("row", "template").orderBy("diagonal")
+    apart = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(across) > DRIFT)
+    diagonals = diagonals.withColumn("strand", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(across))
+    along = Window.partitionBy("row", "template", "strand").orderBy("low", "diagonal")
+    far = F.col("low") - F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1)) > GAP
     both = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    merged = diagonals.withColumn("span", F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(in_order)).groupBy(*own, "span").agg(both("places").alias("places"), both("decided").alias("decided"), F.min("low").alias("first"), F.max("high").alias("last"))
+    merged = diagonals.withColumn("span", F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(along)).groupBy(*own, "strand", "span").agg(both("places").alias("places"), both("decided").alias("decided"), F.min("low").alias("first"), F.max("high").alias("last"))
     # Word by word: those that the hits cover, and whether all that decide are among them.
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("k") - 1)))))
     verified = merged.withColumn("covered", covered).withColumn("score", F.col("covered") / F.col("words")).filter((F.col("score") >= COVERAGE) & (F.size("decided") == F.col("n_deciding")))

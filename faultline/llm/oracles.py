@@ -69,15 +69,17 @@ LICENSE_SCAN = rf"""
 with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_LICENCE_WORDS}) as w from documents),
 l(template, label, family, base, text, deciding) as (values {_LICENCES}),
 t as (select *, regexp_extract_all(text, {_LICENCE_WORDS}) as words, regexp_extract_all(deciding, {_LICENCE_WORDS}) as d, case when base then len(words) else least(len(words), {GRAM}) end as k from l),
-t2 as (select *, list_filter(range(0, len(words) - len(d) + 1), lambda i: len(d) > 0 and words[i + 1:i + len(d)] = d)[1] as at from t),
-g as (select template, label, family, base, k, len(words) as n, unnest(range(0, len(words) - k + 1)) as tpos, words, case when at is null then [] else range(at, at + len(d) - k + 1) end as must from t2),
+t2 as (select *, list_filter(range(0, len(words) - len(d) + 1), lambda i: len(d) > 0 and words[i + 1:i + len(d)] = d)[1] as first_at from t),
+g as (select template, label, family, base, k, len(words) as n, unnest(range(0, len(words) - k + 1)) as tpos, words, case when first_at is null then [] else range(first_at, first_at + len(d) - k + 1) end as must from t2),
 places as (select doc_id, k, w, unnest(range(0, len(w) - k + 1)) as pos from w, (select distinct k from t)),
 grams as (select doc_id, k, pos, array_to_string(w[pos + 1:pos + k], ' ') as gram from places),
 hits as (select doc_id, template, label, family, base, n, must, p.pos, tpos, p.k from grams p join g on g.k = p.k and p.gram = array_to_string(words[tpos + 1:tpos + g.k], ' ')),
 d as (select doc_id, template, label, family, base, n, must, k, pos - tpos as diagonal, list(distinct tpos) as tp, min(pos) as low, max(pos + k - 1) as high from hits group by all),
-f as (select *, lag(diagonal) over o as d0, lag(high) over o as h0 from d window o as (partition by doc_id, template order by low, diagonal)),
-s as (select *, sum(case when base or d0 is null or abs(diagonal - d0) > {DRIFT} or low - h0 > {GAP} then 1 else 0 end) over (partition by doc_id, template order by low, diagonal) as span from f),
-m as (select doc_id, template, label, family, base, n, must, k, span, list_distinct(flatten(list(tp))) as tp, min(low) as first, max(high) as last from s group by all),
+e as (select *, lag(diagonal) over (partition by doc_id, template order by diagonal) as d0 from d),
+f as (select *, sum(case when base or d0 is null or diagonal - d0 > {DRIFT} then 1 else 0 end) over (partition by doc_id, template order by diagonal) as strand from e),
+h as (select *, max(high) over (partition by doc_id, template, strand order by low, diagonal rows between unbounded preceding and 1 preceding) as h0 from f),
+s as (select *, sum(case when h0 is null or low - h0 > {GAP} then 1 else 0 end) over (partition by doc_id, template, strand order by low, diagonal) as span from h),
+m as (select doc_id, template, label, family, base, n, must, k, strand, span, list_distinct(flatten(list(tp))) as tp, min(low) as first, max(high) as last from s group by all),
 c as (select *, len(list_distinct(flatten(list_transform(tp, lambda x: range(x, x + k))))) as covered from m),
 v as (select *, cast(covered as double) / n as score from c where cast(covered as double) / n >= {COVERAGE}::double and list_has_all(tp, must)),
 i0 as (select *, max(last) over (partition by doc_id, family order by first, last, template rows between unbounded preceding and 1 preceding) as before from v where not base),

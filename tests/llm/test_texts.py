@@ -194,6 +194,59 @@ def test_license_diagonals(spark):
     assert got[1].score == got[2].score == 1.0 and 0.7 <= got[3].score < 1 and got[4].score == 0 and got[6].base_labels == ""
 
 
+def runs(rows, apart):
+    """Rows in order, a new run wherever ``apart`` says so of a run and the next row."""
+    out = []
+    for row in rows:
+        if out and not apart(out[-1], row):
+            out[-1].append(row)
+        else:
+            out.append([row])
+    return out
+
+
+def plain_labels(words):
+    """Labels of the templates that are no phrases, by looking at every place of the text and of each template."""
+    spans = []
+    for number, t in enumerate(licenses.TEMPLATES):
+        own, deciding = licenses._words(t.text), licenses._words(t.deciding)
+        if t.base:
+            continue
+        k = min(len(own), licenses.GRAM)
+        hits = [(i - j, i, j) for i in range(len(words) - k + 1) for j in range(len(own) - k + 1) if words[i : i + k] == own[j : j + k]]
+        diagonals = [(d, min(i for e, i, _ in hits if e == d), max(i for e, i, _ in hits if e == d) + k - 1, {j for e, _, j in hits if e == d}) for d in sorted({h[0] for h in hits})]
+        for strand in runs(diagonals, lambda run, x: x[0] - run[-1][0] > licenses.DRIFT):
+            for span in runs(sorted(strand, key=lambda x: (x[1], x[0])), lambda run, x: x[1] - max(r[2] for r in run) > licenses.GAP):
+                places = set().union(*(x[3] for x in span))
+                covered = len({j + n for j in places for n in range(k)})
+                at = next((j for j in range(len(own)) if own[j : j + len(deciding)] == deciding), 0)
+                if covered >= licenses.COVERAGE * len(own) and set(range(at, at + len(deciding) - k + 1)) <= places:
+                    spans.append((t.family, min(x[1] for x in span), max(x[2] for x in span), number, covered, covered / len(own), t.label))
+    labels = set()
+    for family in {x[0] for x in spans}:
+        for island in runs(sorted((x for x in spans if x[0] == family), key=lambda x: x[1:4]), lambda run, x: x[1] > max(r[2] for r in run)):
+            labels.add(min(island, key=lambda x: (-x[4], -x[5], x[1], x[3]))[6])
+    return labels
+
+
+def test_license_edits(spark):
+    """A word put in, left out or changed at every place of every template."""
+    rows = []
+    for t in licenses.TEMPLATES:
+        words = licenses._words(t.text)
+        for i in range(len(words)):
+            rows += [(t.label, i, " ".join(x)) for x in ([*words[:i], "zzz", *words[i:]], [*words[:i], *words[i + 1 :]], [*words[:i], "zzz", *words[i + 1 :]])]
+    df = spark.createDataFrame([(n, text) for n, (_, _, text) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: {*filter(None, r.labels.split(","))} - {*filter(None, r.base_labels.split(","))} for r in licenses.license_scan(df).collect()}
+    phrases = {t.label for t in licenses.BASE_PHRASES}
+    for n, (_, _, text) in enumerate(rows):
+        assert found[n] - phrases == plain_labels(licenses._words(text)) - phrases, text
+    # Repeated passages of a text do not hide it: it is found unless the words that decide are broken.
+    own = next(t for t in licenses.TEMPLATES if t.label == "bsd-2-clause")
+    assert all("bsd-2-clause" in found[n] for n, (label, i, text) in enumerate(rows) if label == "bsd-2-clause" and own.deciding in text)
+    assert sum(label == "bsd-2-clause" and "bsd-2-clause" in found[n] for n, (label, _, _) in enumerate(rows)) > 200
+
+
 def test_license_spans(spark):
     """A repeated fragment fills no template, variants need the words that decide, and of a family's overlapping spans one stands."""
     texts = {
