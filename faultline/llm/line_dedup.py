@@ -10,7 +10,8 @@ Method
     template, so it is a variable field. Of the other tokens one more may be variable. A unit so has a template for its
     rare tokens and one for each further place, as long as ``SIMILAR_PERCENT`` of its tokens stay fixed; units of the same fixed
     tokens share a template. A unit goes if it, or a template it has, recurs in ``MIN_DOCS`` documents or more
-    (``MIN_DOCS_SHORT`` if it is short); so do the short sentences between two that go.
+    (``MIN_DOCS_SHORT`` if it is short). Short sentences between two of a line that go do so too if the whole run, from the
+    first of the two to the second, recurs as it is in ``MIN_DOCS`` documents; they stay if only what is around them does.
     Documents that are near copies of each other count as one family: the component of the links that near-duplicate
     detection confirms on shingle sets, among the documents with a unit that might recur (no other document can tell
     whether it does). The number of families alone decides, so copying a document does not make its lines boilerplate,
@@ -180,34 +181,37 @@ def units_of(docs: DataFrame) -> DataFrame:
 
 
 class Candidates:
-    """Units that might recur, and the families of the texts that have them. ``drop`` deletes its tables."""
+    """Units that might recur, and the families of the texts that have them. ``drop`` deletes its tables.
 
-    def __init__(self, docs: DataFrame, seen: DataFrame):
+    With ``exact``, families are the components of all links that near-duplicate detection finds.
+    """
+
+    def __init__(self, docs: DataFrame, seen: DataFrame, exact: bool = False):
         several = [F.count(F.lit(1)).alias("rows"), F.min("source").alias("s0"), F.max("source").alias("s1")]
         counted = stored(seen.groupBy("line", "leaf", "n").agg(*several), "lines-counted")
         alone = counted.filter((F.col("s0") != F.col("s1")) & _enough("rows")).select("line", "leaf", "n")
         # Leaves in which several units could make up a recurring template together.
         by_leaf = counted.groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("lines"), F.sum("rows").alias("rows"), F.min("s0").alias("s0"), F.max("s1").alias("s1"))
-        leaves = stored(by_leaf.filter((F.col("lines") > 1) & (F.col("s0") != F.col("s1")) & _enough("rows")).select("leaf", "n"), "lines-leaves", small=True)
+        leaves = stored(by_leaf.filter((F.col("lines") > 1) & (F.col("s0") != F.col("s1")) & _enough("rows")).select("leaf", "n"), "lines-leaves")
         together = counted.join(_few(leaves, leaves.count()), ["leaf", "n"], "left_semi").select("line", "leaf", "n")
-        self.lines = stored(alone.unionByName(together).distinct(), "lines-candidates", small=True)
+        self.lines = stored(alone.unionByName(together).distinct(), "lines-candidates")
         n_lines = self.lines.count()
         carried = stored(seen.select("line", "source").join(_few(self.lines, n_lines), "line").select("line", "leaf", "n", "source").distinct(), "lines-carried")
         dropped(counted, leaves)
-        self.sources = stored(carried.select("source").distinct(), "lines-sources", small=True)
+        self.sources = stored(carried.select("source").distinct(), "lines-sources")
         self.n_sources = self.sources.count()
         text = docs.select(F.col("text").cast("string").alias("text")).withColumn("source", _source()).join(_few(self.sources, self.n_sources), "source", "left_semi")
         # Read several times: where they are few it is a scan with a filter, else they are gathered once.
         self.text = text if self.n_sources <= BROADCAST_LINES else stored(text, "lines-texts")
-        near = near_duplicates(self.text.select(F.col("source").alias("doc_id"), "text"), tables=FAMILY_TABLES, star_rounds=FAMILY_ROUNDS)
-        found = stored(near.groupBy("doc_id").agg(F.min("component_id").alias("family"), F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "source"), "lines-families", small=True)
-        large = stored(found.groupBy("family").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("family", F.lit(True).alias("copied")), "lines-copied", small=True)
+        near = near_duplicates(self.text.select(F.col("source").alias("doc_id"), "text"), **({} if exact else {"tables": FAMILY_TABLES, "star_rounds": FAMILY_ROUNDS}))
+        found = stored(near.groupBy("doc_id").agg(F.min("component_id").alias("family"), F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "source"), "lines-families")
+        large = stored(found.groupBy("family").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("family", F.lit(True).alias("copied")), "lines-copied")
         #: (source, family, copied): copied says whether more than one row is in the family.
-        self.family = stored(found.join(large, "family", "left").select("source", "family", F.coalesce("copied", F.lit(False)).alias("copied")), "lines-families", small=True)
+        self.family = stored(found.join(large, "family", "left").select("source", "family", F.coalesce("copied", F.lit(False)).alias("copied")), "lines-families")
         dropped(found, large, *near.reads)
         #: (line, leaf, n, family, source), the families of each line, each once, with a text that has it.
         of = carried.join(_few(self.family.select("source", "family"), self.n_sources), "source").groupBy("line", "leaf", "n", "family").agg(F.min("source").alias("source"))
-        self.carried = stored(of, "lines-families-of", small=True)
+        self.carried = stored(of, "lines-families-of")
         dropped(carried)
 
     def drop(self) -> None:
@@ -220,13 +224,12 @@ def recurring_lines(candidates: Candidates) -> DataFrame:
     alone = carried.groupBy("line", "n").agg(F.count(F.lit(1)).alias("docs")).filter(_enough("docs")).select("line")
     # Leaves of several units that enough families have.
     wide = carried.groupBy("leaf", "n").agg(F.min("line").alias("l0"), F.max("line").alias("l1"), F.count_distinct("family").alias("docs")).filter((F.col("l0") != F.col("l1")) & _enough("docs")).select("leaf", "n")
-    wide = stored(wide, "lines-wide", small=True)
+    wide = stored(wide, "lines-wide")
     few = stored(
         carried.join(_few(wide, wide.count()), ["leaf", "n"], "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("line").orderBy("family"))).filter(F.col("place") <= MIN_DOCS_SHORT).select("line", "leaf", "n", "family", "source"),
         "lines-few",
-        small=True,
     )
-    units = stored(few.groupBy("line", "leaf", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("source").alias("source")), "lines-units", small=True)
+    units = stored(few.groupBy("line", "leaf", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("source").alias("source")), "lines-units")
     n_units = units.count()
     wanted = np.sort(units.select("line").toArrow().column("line").to_numpy().astype(np.int64)) if n_units <= BROADCAST_LINES else None
     # One text of each unit is read for its tokens.
@@ -234,23 +237,51 @@ def recurring_lines(candidates: Candidates) -> DataFrame:
     tokens = text.mapInArrow(released(_tokens_of(wanted)), "line long, tokens array<long>").dropDuplicates(["line"])
     tokens = stored(units.drop("source").join(tokens, "line"), "lines-tokens")
     places = tokens.select("line", "leaf", "n", "docs", F.posexplode("tokens").alias("place", "token")).filter(F.col("place") >= DEPTH)
-    rare = stored(places.groupBy("leaf", "n", "place", "token").agg(F.sum("docs").alias("docs")).filter(~_enough("docs")).select("leaf", "n", "place", "token"), "lines-rare", small=True)
+    rare = stored(places.groupBy("leaf", "n", "place", "token").agg(F.sum("docs").alias("docs")).filter(~_enough("docs")).select("leaf", "n", "place", "token"), "lines-rare")
     masks = places.join(rare, ["leaf", "n", "place", "token"]).groupBy("line").agg(F.collect_list("place").alias("rare"))
     keys = tokens.select("line", "leaf", "tokens").join(masks, "line", "left").mapInArrow(released(_keyed), "key long, line long")
     keys = stored(keys, "lines-keys")
     shared = keys.groupBy("key").agg(F.min("line").alias("l0"), F.max("line").alias("l1")).filter("l0 <> l1").select("key")
-    members = stored(keys.join(shared, "key", "left_semi"), "lines-members", small=True)
+    members = stored(keys.join(shared, "key", "left_semi"), "lines-members")
     often = members.join(few.select("line", "n", "family"), "line").select("key", "n", "family").distinct().groupBy("key", "n").agg(F.count(F.lit(1)).alias("docs")).filter(_enough("docs")).select("key")
-    out = stored(alone.union(members.join(often, "key", "left_semi").select("line")).distinct(), "lines-recurring", small=True)
+    out = stored(alone.union(members.join(often, "key", "left_semi").select("line")).distinct(), "lines-recurring")
     dropped(wide, few, units, tokens, rare, keys, members)
     return out
 
 
-def _cuts(u: Units, w: Words, gone: np.ndarray, copied: np.ndarray) -> dict[int, tuple[list[tuple[int, int]], int]]:
-    """By row: byte ranges of the row's text to cut, and the units that go. ``gone`` says which units do, ``copied`` which rows are not to lose all words."""
-    dropped_line, dropped_sentence = np.zeros(len(w.hash) + 1, bool), np.zeros(len(w.hash) + 1, bool)
-    dropped_line[u.first[gone & u.is_line]] = True
-    dropped_sentence[u.first[gone & ~u.is_line]] = True
+def _between(go: np.ndarray, short: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of sentences of a line that go, with nothing between them but short ones that don't."""
+    at = np.flatnonzero(go).tolist()
+    return [(x, y) for x, y in zip(at[:-1], at[1:]) if y > x + 1 and short[x + 1 : y].all()]
+
+
+def _dropped(u: Units, n: int, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By first word: which lines and which sentences go."""
+    line, sentence = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    line[u.first[gone & u.is_line]] = True
+    sentence[u.first[gone & ~u.is_line]] = True
+    return line, sentence
+
+
+def _runs(column: pa.Array, sources: np.ndarray, gone_of) -> Iterator[tuple[int, int]]:
+    """(hash, source) of each run of short sentences, with those on either side that go."""
+    for low, _, w in words_of(column, SPACE_WORDS):
+        u = Units(w)
+        line, sentence = _dropped(u, len(w.hash), gone_of(low + u.row, u.hash))
+        starts = np.searchsorted(u.sentences, u.lines)
+        for i in np.flatnonzero(~line[u.lines]).tolist():
+            a, b = int(starts[i]), int(starts[i + 1]) if i + 1 < len(starts) else len(u.sentences)
+            firsts, ends = u.sentences[a:b], u.sentence_end[a:b]
+            for x, y in _between(sentence[firsts], (ends - firsts) < SENTENCE_TOKENS) if b > a + 2 else ():
+                yield int(u.of(firsts[x : x + 1], ends[y : y + 1]).view(np.int64)[0]), int(sources[low + u.word_row[firsts[x]]])
+
+
+def _cuts(u: Units, w: Words, gone: np.ndarray, copied: np.ndarray, whole_run) -> dict[int, tuple[list[tuple[int, int]], int]]:
+    """By row: byte ranges of the row's text to cut, and the units that go.
+
+    ``gone`` says which units do, ``copied`` which rows are not to lose all words, ``whole_run`` whether a run recurs, by row and hash.
+    """
+    dropped_line, dropped_sentence = _dropped(u, len(w.hash), gone)
     out: dict[int, tuple[list[tuple[int, int]], int]] = {}
     rows = np.unique(u.row[gone])
     for r in rows.tolist():
@@ -274,11 +305,8 @@ def _cuts(u: Units, w: Words, gone: np.ndarray, copied: np.ndarray) -> dict[int,
             go = dropped_sentence[firsts].copy()
             count += int(go.sum())
             if go.any():
-                # Short sentences between dropped ones go with them.
-                short = (ends - firsts) < SENTENCE_TOKENS
-                at = np.flatnonzero(go)
-                for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
-                    if y > x + 1 and short[x + 1 : y].all():
+                for x, y in _between(go, (ends - firsts) < SENTENCE_TOKENS):
+                    if whole_run(r, u.of(firsts[x : x + 1], ends[y : y + 1]).view(np.int64)[0]):
                         go[x + 1 : y] = True
                 if go.all():
                     cuts.append((line_start, line_end + 1))
@@ -303,7 +331,7 @@ def _lines_with_words(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return full[at[1:]] - full[at[:-1]]
 
 
-def _rewritten(column: pa.Array, look: np.ndarray, copied: np.ndarray, gone_of) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+def _rewritten(column: pa.Array, look: np.ndarray, copied: np.ndarray, gone_of, whole_run) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
     """New texts (null where a text stays as it is), lines with words and dropped units of each row; ``look`` says which rows may change, ``copied`` which have a copy."""
     texts, n_lines, n_dropped = [None] * len(column), _lines_with_words(*utf8(column)), np.zeros(len(column), np.int64)
     at = np.flatnonzero(look)
@@ -311,7 +339,7 @@ def _rewritten(column: pa.Array, look: np.ndarray, copied: np.ndarray, gone_of)
     for low, high in chunks(offsets):
         w = Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], SPACE_WORDS, True)
         u = Units(w)
-        for r, (cuts, count) in _cuts(u, w, gone_of(at[low + u.row], u.hash), copied[at[low:]]).items():
+        for r, (cuts, count) in _cuts(u, w, gone_of(at[low + u.row], u.hash), copied[at[low:]], lambda r, h, low=low: whole_run(at[low + r], h)).items():
             raw = data[offsets[low + r] : offsets[low + r + 1]].tobytes()
             kept, done = [], 0
             for a, b in cuts:
@@ -333,60 +361,75 @@ def without_recurring(docs: DataFrame, lines: DataFrame, seen: DataFrame, family
     docs = docs.withColumn(text, F.col(text).cast("string"))
     schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
     n_lines = lines.count()
-    touched = stored(seen.select("line", "source").join(_few(lines, n_lines), "line").distinct(), "lines-touched", small=True)
-
-    def rows(batch: pa.RecordBatch, look: np.ndarray, gone_of) -> pa.RecordBatch:
-        old = batch.column(len(others))
-        copied = batch.column(len(others) + 1).fill_null(False).to_numpy(zero_copy_only=False)
-        texts, counts, gone = _rewritten(old, look, copied, gone_of)
-        changed = pa.array([t is not None for t in texts], pa.bool_())
-        new = pc.if_else(changed, pa.array([None if t is None else t.decode("utf-8") for t in texts], pa.string()), old)
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(others)], new, pa.array(counts), pa.array(gone)], [*others, text, "n_lines", "n_dropped"])
-
-    # Only texts with a unit that goes are looked at; whether they have a copy is known of each of them.
-    sources = touched.select("source").distinct()
-    if n_lines <= BROADCAST_LINES:
-        hit = stored(sources.join(family.select("source", "copied"), "source"), "lines-hit", small=True)
-        table = np.sort(lines.toArrow().column("line").to_numpy().astype(np.int64))
-        keyed = docs.join(_few(hit, hit.count()), _source(text) == F.col("source"), "left").select(*columns, "copied")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield rows(batch, batch.column(len(others) + 1).is_valid().to_numpy(zero_copy_only=False), lambda _, found: _in(table, found))
-
-        return keyed.mapInArrow(released(run), schema)
-
-    # Too many to broadcast: each text is joined to those of its own units that go.
-    own = stored(touched.groupBy("source").agg(F.collect_list("line").alias("drop")).join(family.select("source", "copied"), "source"), "lines-hit", small=True)
+    touched = stored(seen.select("line", "source").join(_few(lines, n_lines), "line").distinct(), "lines-touched")
+    few = n_lines <= BROADCAST_LINES
+    # Only texts with a unit that goes are looked at; whether they have a copy is known of each of them. Hashes that are
+    # too many to send are joined to the texts that have them.
+    drop = F.collect_list("line") if not few else F.lit(None).cast("array<long>")
+    hit = stored(touched.groupBy("source").agg(drop.alias("drop")).join(family.select("source", "copied"), "source"), "lines-hit")
+    n_hit = hit.count()
+    table = np.sort(lines.toArrow().column("line").to_numpy().astype(np.int64)) if few else None
+
+    def among(lists: pa.Array, sorted_: np.ndarray | None):
+        """Whether a hash is among a row's ``lists``, or in the table that holds for all rows."""
+        if sorted_ is not None:
+            return lambda _, found: _in(sorted_, found)
+        own = [frozenset(x or ()) for x in lists.to_pylist()]
+        return lambda row, found: np.fromiter((h in own[r] for r, h in zip(row.tolist(), found.tolist())), bool, len(found))
+
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {*_runs(batch.column(0), batch.column(1).to_numpy(), among(batch.column(2), table))}
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["run", "source"])
+
+    texts = docs.select(F.col(text).alias("text"), _source(text).alias("source")).join(_few(hit, n_hit) if few else hit.hint("merge"), "source").select("text", "source", "drop")
+    runs = stored(texts.mapInArrow(released(runs_of), "run long, source long").distinct(), "lines-runs")
+    often = runs.join(_few(family.select("source", "family"), n_hit), "source").groupBy("run").agg(F.count_distinct("family").alias("docs")).filter(F.col("docs") >= MIN_DOCS).select("run")
+    often = stored(often, "lines-often")
+    few_runs = often.count() <= BROADCAST_LINES
+    run_table = np.sort(often.toArrow().column("run").to_numpy().astype(np.int64)) if few_runs else None
+    own_runs = F.lit(None).cast("array<long>").alias("runs")
+    if not few_runs:
+        hit = hit.join(runs.join(often, "run").groupBy("source").agg(F.collect_list("run").alias("runs")), "source", "left")
+    else:
+        hit = hit.select("*", own_runs)
 
-    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            drops = [frozenset(d or ()) for d in batch.column(len(others) + 2).to_pylist()]
-            yield rows(batch, np.array([bool(d) for d in drops], bool), lambda row, found: np.fromiter((h in drops[r] for r, h in zip(row.tolist(), found.tolist())), bool, len(found)))
+            old, hits, copied, drops, runs = batch.columns[len(others) :]
+            gone_of, in_runs = among(drops, table), among(runs, run_table)
+            changes = _rewritten(old, hits.is_valid().to_numpy(zero_copy_only=False), copied.fill_null(False).to_numpy(zero_copy_only=False), gone_of, lambda r, h: in_runs(np.array([r]), np.array([h]))[0])
+            changed = pa.array([t is not None for t in changes[0]], pa.bool_())
+            new = pc.if_else(changed, pa.array([None if t is None else t.decode("utf-8") for t in changes[0]], pa.string()), old)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], new, pa.array(changes[1]), pa.array(changes[2])], [*others, text, "n_lines", "n_dropped"])
 
-    return docs.join(own.hint("merge"), _source(text) == F.col("source"), "left").select(*columns, "copied", "drop").mapInArrow(released(run_joined), schema)
+    keyed = docs.join(_few(hit, n_hit) if few and few_runs else hit.hint("merge"), _source(text) == F.col("source"), "left")
+    return keyed.select(*columns, "source", "copied", "drop", "runs").mapInArrow(released(run), schema)
 
 
-def _deduplicated(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+def _deduplicated(docs: DataFrame, exact_families: bool = False) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` without recurring units, columns named by position, with n_lines and n_dropped; and the name of each column."""
     rows, name = by_position(docs)
     text = name["text"]
     seen = units_of(docs)
-    candidates = Candidates(docs, seen)
+    candidates = Candidates(docs, seen, exact_families)
     lines = recurring_lines(candidates)
     candidates.drop()
     return without_recurring(rows.select(*[c for c in rows.columns if c != text], text), lines, seen, candidates.family), name
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, text without recurring lines and sentences, n_lines and n_dropped, one row a row of ``docs``."""
-    out, name = _deduplicated(docs.select("doc_id", "text"))
+def line_dedup(docs: DataFrame, exact_families: bool = False) -> DataFrame:
+    """doc_id, text without recurring lines and sentences, n_lines and n_dropped, one row a row of ``docs``.
+
+    ``exact_families`` takes all links of near copies, by the exact join, in place of those that stars find.
+    """
+    out, name = _deduplicated(docs.select("doc_id", "text"), exact_families)
     return out.select(F.col(name["doc_id"]).alias("doc_id"), F.col(name["text"]).alias("text"), "n_lines", "n_dropped")
 
 
-def lines_filtered(docs: DataFrame) -> DataFrame:
-    """``docs`` without recurring lines and sentences; n_chars follows."""
-    out, name = _deduplicated(docs)
+def lines_filtered(docs: DataFrame, exact_families: bool = False) -> DataFrame:
+    """``docs`` without recurring lines and sentences; n_chars follows. For ``exact_families`` see :func:`line_dedup`."""
+    out, name = _deduplicated(docs, exact_families)
     if "n_chars" in name:
         at = name["n_chars"]
         out = out.withColumn(at, F.when(F.col("n_dropped") == 0, F.col(at)).otherwise(F.length(name["text"])).cast(docs.schema["n_chars"].dataType))

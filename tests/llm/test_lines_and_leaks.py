@@ -54,6 +54,31 @@ def test_without_broadcast(corpus, monkeypatch):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_LINES, 0])
+def test_short_sentences_between(spark, monkeypatch, limit):
+    """A short sentence between two that recur goes only where the whole run recurs."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", limit)
+    r = random.Random(6)
+    first, last, shared = (words(r, 10) + "." for _ in range(3))
+    own = [words(r, 4) + "." for _ in range(12)]
+    rows = [(i, f"{words(r, 14)}. {first} {own[i]} {last} {words(r, 12)}.") for i in range(12)]
+    # The run recurs in three documents, then in two documents that are copies of each other.
+    rows += [(20 + i, f"{words(r, 14)}. {first} So it is said. {last} {words(r, 12)}.") for i in range(3)]
+    again = f"{words(r, 30)}. {first} Twice the same. {last} {words(r, 30)}."
+    rows += [(30 + i, again) for i in range(4)]
+    got = {x.doc_id: x for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(own[i] in got[i].text and first not in got[i].text and last not in got[i].text for i in range(12))
+    assert all("So it is said." not in got[20 + i].text and got[20 + i].n_dropped == 2 for i in range(3))
+    assert all("Twice the same." in got[30 + i].text for i in range(4))
+
+
+def test_exact_families(corpus, docs):
+    """Families by all links: the same on documents whose copies stars find, and on the corpus."""
+    for df in (corpus[1], docs):
+        a, b = (sorted(map(repr, line_dedup.line_dedup(df.select("doc_id", "text"), exact_families=x).collect())) for x in (False, True))
+        assert a == b
+
+
 def test_line_edges(odd, nothing):
     rows = line_dedup.line_dedup(odd).collect()
     assert sorted(repr((r.doc_id, r.text)) for r in rows) == sorted(repr((r.doc_id, r.text)) for r in odd.collect())
