@@ -169,3 +169,14 @@ def with_status(risks: DataFrame, codes: DataFrame, status: str, reason: str = "
     changed = F.coalesce("_hit", F.lit(False))
     old = F.col("status_reason") if "status_reason" in risks.columns else F.lit(None)
     return hit.withColumn("status_reason", F.when(changed, F.lit(reason)).otherwise(old)).withColumn("status", F.when(changed, status).otherwise(F.col("status"))).drop("_hit")
+
+
+def status_requests(risks: DataFrame, codes: DataFrame, status: str, reason: str = "") -> DataFrame:
+    """(id, status, reason) of the risks in ``codes``, each once, as :func:`faultline.sources.rest.send` takes them.
+
+    Accepting is a PATCH of the status, resolving a POST whose body is the reason alone, so status is null there.
+    """
+    reason = reason or ("Resolved" if status == "resolved" else "")
+    sent = F.lit(None).cast("string") if status == "resolved" else F.lit(status)
+    ids = risks.join(codes.select("risk_code").distinct(), "risk_code", "left_semi").groupBy("risk_code").agg(F.min("id").alias("id"))
+    return ids.select("id", sent.alias("status"), F.lit(reason).alias("reason"))
