@@ -136,7 +136,7 @@ def test_each_row_is_written_once(spark, service):
     df = spark.createDataFrame([(i, f"R-{i}", "detected") for i in range(40)], REGISTER)
     codes = df.filter("id % 2 = 0").select("risk_code").union(df.limit(3).select("risk_code"))
     asked = risks.status_requests(df, codes, "accepted", "known").repartition(3)
-    service.broken, service.refused = 5, {"/risks/24/status"}
+    service.broken, service.refused = 4, {"/risks/24/status"}
     url, options = f"{service.url}/risks/{{id}}/status", {"backoff": "0.01", "name": "one", "commit": f"{service.url}/commit", "abort": f"{service.url}/abort"}
     with pytest.raises(PySparkException, match="400"):
         rest.send(asked, url, "id", "PATCH", **options)
