@@ -1,16 +1,16 @@
 """Components of source trees, from the paths and workspace files of many repositories at once.
 
-Input is a table of files (repo, path, content), content null for all but workspace files. Each phase gives (repo,
-phase, place, name, path); of a path found by several, the first phase and place wins.
+Input is a table of files (repo, path, content), content null for all but workspace files. Each file is read once, for
+all that it tells: directories, components, patterns. Of a path found by several phases, the first phase and place wins.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from faultline.functions.scalars import trim_space
+from faultline.sources.scratch import stored
 
 # Directories that are never components, build files, and parents of components.
 EXCLUDED = ["node_modules", "vendor", "venv", ".venv", "target", "build", "dist", ".git", "__pycache__", ".tox", "env"]
@@ -22,22 +22,9 @@ def _last(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def directories(files: DataFrame) -> DataFrame:
-    """(repo, dir): every directory of every repository."""
-    parts = F.split("path", "/")
-    depth = F.size(parts) - 1
-    return files.filter(depth > 0).select("repo", F.explode(F.transform(F.sequence(F.lit(1), depth), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("dir")).distinct()
-
-
-def _lines(files: DataFrame, path: Column) -> DataFrame:
-    return files.filter(path & F.col("content").isNotNull()).select("repo", F.col("path").alias("file"), F.posexplode(F.split("content", "\n")).alias("place", "line")).withColumn("line", trim_space("line"))
-
-
-def _named(df: DataFrame, phase: int, tracked: DataFrame | None = None) -> DataFrame:
-    """(repo, place, dir) as components of a phase, those only whose directory there is if ``tracked``."""
-    if tracked is not None:
-        df = df.join(tracked, ["repo", "dir"], "left_semi")
-    return df.filter("dir <> '' and dir <> '.'").select("repo", F.lit(phase).alias("phase"), F.col("place").cast("long").alias("place"), _last(F.col("dir")).alias("name"), F.concat("dir", F.lit("/")).alias("path"))
+#: What a file tells: a directory that is there, the directory of a package, a component, or a pattern of directories.
+DIRECTORY, PACKAGE, COMPONENT, PATTERN = range(4)
+_FACT = "struct<kind:int,dir:string,phase:int,file:int,place:bigint,name:string,path:string,tracked:boolean>"
 
 
 def _strip(x: Column) -> Column:
@@ -50,68 +37,107 @@ def _glob(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(F.replace(quoted, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]")), F.lit("$"))
 
 
-def _globbed(patterns: DataFrame, dirs: DataFrame) -> DataFrame:
-    """Directories of the same repository and depth that match a pattern."""
-    deep = lambda c: F.size(F.split(F.regexp_replace(c, r"^\./|/$", ""), "/"))
-    left = patterns.withColumn("_depth", deep(F.col("pattern"))).withColumn("_regex", _glob(F.col("pattern")))
-    return left.join(dirs.withColumn("_depth", deep(F.col("dir"))), ["repo", "_depth"]).filter(F.regexp_like("dir", F.col("_regex"))).withColumn("place", F.col("place") * 100000 + F.dense_rank().over(Window.partitionBy("repo", "pattern").orderBy("dir")))
+def _deep(path: Column) -> Column:
+    return F.size(F.split(F.regexp_replace(path, r"^\./|/$", ""), "/"))
+
+
+def _fact(kind: int, directory: Column, phase: int = 0, place: Column | None = None, tracked: bool = False, file: Column | None = None, name: Column | None = None, path: Column | None = None) -> Column:
+    """What a file tells of a directory; a component has the directory's last part as its name, unless it has another.
+
+    ``tracked``: it counts only if the directory is there. Of components with one path the first phase, file and place wins.
+    """
+    named = _last(directory) if name is None else name
+    at = F.concat(directory, F.lit("/")) if path is None else path
+    fields = {"kind": F.lit(kind), "dir": directory, "phase": F.lit(phase), "file": F.lit(0) if file is None else file, "place": F.lit(0) if place is None else place, "name": named, "path": at, "tracked": F.lit(tracked)}
+    return F.struct(*[c.alias(n) for n, c in fields.items()]).cast(_FACT)
+
+
+def _lines(condition: Column) -> Column:
+    """(place, line) of the lines of a file's content, trimmed; nothing unless ``condition`` holds."""
+    return F.when(condition, F.transform(F.split("content", "\n"), lambda line, i: F.struct(i.alias("place"), trim_space(line).alias("line"))))
+
+
+def _parts(lines: Column, separator: str) -> Column:
+    """(place, part) of the lines cut at a separator."""
+    return F.flatten(F.transform(lines, lambda x: F.transform(F.split(x["line"], separator), lambda part: F.struct(x["place"].alias("place"), part.alias("part")))))
+
+
+def _facts() -> dict[str, Column]:
+    """By rule: an array of what a file (path, content) tells. Each is null or empty for files that the rule is not about."""
+    path, parts = F.col("path"), F.split("path", "/")
+    depth, part = F.size(parts), lambda i: F.get(parts, F.lit(i))
+    out = {}
+    out["directories"] = F.when(depth > 1, F.transform(F.sequence(F.lit(1), F.greatest(depth - 1, F.lit(1))), lambda n: _fact(DIRECTORY, F.array_join(F.slice(parts, 1, n), "/"))))
+
+    go = F.filter(_lines(path == "go.work"), lambda x: x["line"].startswith("use ") | x["line"].startswith("./"))
+    out["go.work"] = F.transform(go, lambda x: _fact(COMPONENT, _strip(trim_space(F.regexp_replace(x["line"], "^use ", ""))), 10, x["place"]))
+
+    cargo = _lines((path == "Cargo.toml") & F.contains("content", F.lit("[workspace]")))
+    cargo = F.filter(cargo, lambda x: F.contains(x["line"], F.lit('"')) & ~x["line"].startswith("#") & ~x["line"].startswith("members"))
+    cargo = F.filter(_parts(cargo, '"'), lambda x: ~F.rlike(trim_space(x["part"]), F.lit(r"[\[\]=#,]")))
+    out["cargo"] = F.transform(cargo, lambda x: _fact(COMPONENT, trim_space(x["part"]), 11, x["place"], tracked=True))
+
+    package = F.when(path == "package.json", F.try_parse_json("content"))
+    workspaces = F.coalesce(F.try_variant_get(package, "$.workspaces.packages", "array<string>"), F.try_variant_get(package, "$.workspaces", "array<string>"))
+    out["package.json"] = F.transform(workspaces, lambda x, i: _fact(PATTERN, x, 12, i))
+
+    maven = F.when(path == "pom.xml", F.regexp_extract_all("content", F.lit(r"(?s)<module>(.*?)</module>"), 1))
+    out["maven"] = F.transform(maven, lambda x, i: _fact(COMPONENT, trim_space(x), 13, i, tracked=True))
+
+    gradle = F.filter(_lines(path.isin("settings.gradle", "settings.gradle.kts")), lambda x: F.contains(x["line"], F.lit("include")))
+    gradle = F.transform(_parts(gradle, "'"), lambda x: F.struct(x["place"].alias("place"), F.regexp_replace(trim_space(x["part"]), "^:", "").alias("part")))
+    gradle = F.filter(gradle, lambda x: (x["part"] != "") & ~F.rlike(x["part"], F.lit("[()=,]")))
+    out["gradle"] = F.transform(gradle, lambda x: _fact(COMPONENT, F.replace(x["part"], F.lit(":"), F.lit("/")), 14, x["place"], tracked=True, file=path.endswith(".kts").cast("int")))
+
+    solution = F.filter(_lines(path.endswith(".sln") & (depth == 1)), lambda x: F.contains(x["line"], F.lit("Project(")) & F.contains(x["line"], F.lit(".csproj")))
+    solution = F.filter(_parts(solution, '"'), lambda x: x["part"].endswith(".csproj") | x["part"].endswith(".fsproj"))
+    out["solution"] = F.transform(solution, lambda x: _fact(COMPONENT, F.regexp_extract(F.replace(x["part"], F.lit("\\"), F.lit("/")), r"^(.*)/[^/]*$", 1), 15, x["place"]))
+
+    melos = F.split(F.regexp_extract("content", r"(?m)^\s*packages:[ \t]*\n((?:[ \t]*-.*\n?|[ \t]*\n)*)", 1), "\n")
+    melos = F.when(path == "melos.yaml", F.transform(melos, lambda x, i: F.struct(i.alias("place"), trim_space(F.regexp_extract(x, r"^\s*- (.*)$", 1)).alias("pattern"))))
+    out["melos"] = F.transform(F.filter(melos, lambda x: x["pattern"] != ""), lambda x: _fact(PATTERN, x["pattern"], 16, x["place"]))
+    out["packages"] = F.when(path.endswith("/pubspec.yaml"), F.array(_fact(PACKAGE, F.regexp_extract("path", "^(.*)/[^/]*$", 1))))
+
+    parent = F.array_position(F.array(*map(F.lit, PARENTS)), part(0))
+    built = (depth == 3) & part(0).isin(PARENTS) & ~part(1).isin(EXCLUDED) & part(2).isin(BUILD_FILES)
+    out["build files"] = F.when(built, F.array(_fact(COMPONENT, F.concat_ws("/", part(0), part(1)), 20, parent)))
+    out["mains"] = F.when(F.rlike(path, F.lit(r"^cmd/[^/]+/main\.go$")), F.array(_fact(COMPONENT, F.regexp_replace("path", r"/main\.go$", ""), 30)))
+    flutter = trim_space(F.regexp_extract("content", r"(?m)^\s*name:(.*)$", 1))
+    out["flutter"] = F.when((path == "pubspec.yaml") & (flutter != ""), F.array(_fact(COMPONENT, F.lit("lib"), 31, tracked=True, name=flutter, path=F.lit("."))))
+    docker = (depth == 2) & (part(1) == "Dockerfile") & ~part(0).isin(EXCLUDED)
+    out["docker"] = F.when(docker, F.array(_fact(COMPONENT, part(0), 40)))
+    return out
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """(repo, kind, dir, phase, file, place, name, path, tracked): all that files tell, each once; one reading of the files."""
+    none = F.array().cast(f"array<{_FACT}>")
+    told = F.concat(*[F.coalesce(x, none) for x in _facts().values()])
+    return files.select("repo", F.inline(told)).distinct()
 
 
 def components(files: DataFrame) -> DataFrame:
-    """(repo, name, path, phase) of every component."""
-    dirs = directories(files)
-    at_root = lambda name: F.col("path") == name
-    found = []
-
-    go = _lines(files, at_root("go.work")).filter(F.col("line").startswith("use ") | F.col("line").startswith("./"))
-    found.append(_named(go.withColumn("dir", _strip(trim_space(F.regexp_replace("line", "^use ", "")))), 10))
-
-    cargo = _lines(files.filter(at_root("Cargo.toml") & F.contains("content", F.lit("[workspace]"))), F.lit(True))
-    cargo = cargo.filter(F.contains("line", F.lit('"')) & ~F.col("line").startswith("#") & ~F.col("line").startswith("members"))
-    cargo = cargo.select("repo", "place", F.explode(F.transform(F.split("line", '"'), trim_space)).alias("dir")).filter(~F.col("dir").rlike(r"[\[\]=#,]"))
-    found.append(_named(cargo, 11, dirs))
-
-    package = files.filter(at_root("package.json") & F.col("content").isNotNull()).select("repo", F.try_parse_json("content").alias("v"))
-    workspaces = F.coalesce(F.try_variant_get("v", "$.workspaces.packages", "array<string>"), F.try_variant_get("v", "$.workspaces", "array<string>"))
-    found.append(_named(_globbed(package.select("repo", F.posexplode(workspaces).alias("place", "pattern")), dirs), 12))
-
-    maven = files.filter(at_root("pom.xml") & F.col("content").isNotNull()).select("repo", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?s)<module>(.*?)</module>"), 1)).alias("place", "dir"))
-    found.append(_named(maven.withColumn("dir", trim_space("dir")), 13, dirs))
-
-    gradle = _lines(files, F.col("path").isin("settings.gradle", "settings.gradle.kts")).filter(F.contains("line", F.lit("include")))
-    gradle = gradle.select("repo", (F.col("place") + F.when(F.col("file").endswith(".kts"), 100000).otherwise(0)).alias("place"), F.explode(F.transform(F.split("line", "'"), trim_space)).alias("part"))
-    gradle = gradle.withColumn("part", F.regexp_replace("part", "^:", "")).filter((F.col("part") != "") & ~F.col("part").rlike("[()=,]"))
-    found.append(_named(gradle.withColumn("dir", F.replace("part", F.lit(":"), F.lit("/"))), 14, dirs))
-
-    solution = _lines(files, F.col("path").endswith(".sln") & ~F.contains("path", F.lit("/"))).filter(F.contains("line", F.lit("Project(")) & F.contains("line", F.lit(".csproj")))
-    solution = solution.select("repo", "place", F.explode(F.split("line", '"')).alias("part")).filter(F.col("part").endswith(".csproj") | F.col("part").endswith(".fsproj"))
-    path = F.replace("part", F.lit("\\"), F.lit("/"))
-    found.append(_named(solution.withColumn("dir", F.regexp_extract(path, r"^(.*)/[^/]*$", 1)), 15, dirs))
-
-    melos = files.filter(at_root("melos.yaml") & F.col("content").isNotNull()).select("repo", F.posexplode(F.split(F.regexp_extract("content", r"(?m)^\s*packages:[ \t]*\n((?:[ \t]*-.*\n?|[ \t]*\n)*)", 1), "\n")).alias("place", "line"))
-    melos = melos.withColumn("pattern", trim_space(F.regexp_extract("line", r"^\s*- (.*)$", 1))).filter("pattern <> ''")
-    packages = files.filter(F.col("path").endswith("/pubspec.yaml")).select("repo", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir")).distinct()
-    found.append(_named(_globbed(melos.select("repo", "place", "pattern"), packages), 16))
-
-    parts = F.split("path", "/")
-    built = files.filter((F.size(parts) == 3) & F.get(parts, F.lit(0)).isin(PARENTS) & ~F.get(parts, F.lit(1)).isin(EXCLUDED) & F.get(parts, F.lit(2)).isin(BUILD_FILES))
-    parent = F.array_position(F.array(*map(F.lit, PARENTS)), F.get(parts, F.lit(0)))
-    found.append(_named(built.select("repo", parent.alias("place"), F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("dir")).distinct(), 20))
-
-    mains = files.filter(F.col("path").rlike(r"^cmd/[^/]+/main\.go$"))
-    found.append(_named(mains.select("repo", F.lit(0).alias("place"), F.regexp_replace("path", r"/main\.go$", "").alias("dir")), 30))
-
-    flutter = files.filter(at_root("pubspec.yaml")).join(dirs.filter("dir = 'lib'"), "repo", "left_semi").select("repo", trim_space(F.regexp_extract("content", r"(?m)^\s*name:(.*)$", 1)).alias("name"))
-    found.append(flutter.filter("name <> ''").select("repo", F.lit(31).alias("phase"), F.lit(0).cast("long").alias("place"), "name", F.lit(".").alias("path")))
-
-    docker = files.filter((F.size(parts) == 2) & (F.get(parts, F.lit(1)) == "Dockerfile") & ~F.get(parts, F.lit(0)).isin(EXCLUDED))
-    found.append(_named(docker.select("repo", F.lit(0).alias("place"), F.get(parts, F.lit(0)).alias("dir")), 40))
-
-    rows = found[0]
-    for df in found[1:]:
-        rows = rows.unionByName(df)
-    first = F.row_number().over(Window.partitionBy("repo", "path").orderBy("phase", "place", "name"))
-    return rows.withColumn("_n", first).filter("_n = 1").select("repo", "name", "path", "phase")
+    """(repo, name, path, phase) of every component.
+
+    The files are read once. What they tell is stored and grouped by repository and directory, so no repository is held
+    by one task, however many files it has; patterns meet the directories of their own depth alone.
+    """
+    told = stored(facts(files), "discovery")
+    patterns = told.filter(F.col("kind") == PATTERN).select("repo", F.col("phase").alias("_phase"), F.col("place").alias("_place"), _deep(F.col("dir")).alias("_depth"), _glob(F.col("dir")).alias("_regex"))
+    # Patterns of one kind of file are about packages, the others about directories.
+    wanted = F.when(F.col("_phase") == 16, F.lit(PACKAGE)).otherwise(F.lit(DIRECTORY))
+    near = told.filter(F.col("kind").isin(DIRECTORY, PACKAGE)).withColumn("_depth", _deep(F.col("dir")))
+    globbed = near.join(patterns, ["repo", "_depth"]).filter((F.col("kind") == wanted) & F.regexp_like("dir", F.col("_regex")))
+    globbed = globbed.select("repo", _fact(COMPONENT, F.col("dir"), 0, F.col("_place")).alias("f"), "_phase").select("repo", "f.*", "_phase").withColumn("phase", F.col("_phase")).drop("_phase")
+    rows = told.filter(F.col("kind").isin(DIRECTORY, COMPONENT)).unionByName(globbed).filter("dir <> '' and dir <> '.'")
+    # A directory's first component, if it needs no directory or there is one; the one of another path apart.
+    own = F.struct("phase", "file", "place", "name", "path")
+    first = lambda condition: F.min(F.when((F.col("kind") == COMPONENT) & condition, own))
+    elsewhere = F.col("path") != F.concat("dir", F.lit("/"))
+    found = rows.groupBy("repo", "dir").agg(F.bool_or(F.col("kind") == DIRECTORY).alias("there"), first(~F.col("tracked")).alias("free"), first(F.col("tracked") & ~elsewhere).alias("bound"), first(F.col("tracked") & elsewhere).alias("other"))
+    held = lambda c: F.when(F.col("there"), F.col(c))
+    best = F.filter(F.array(F.least("free", held("bound")), held("other")), lambda x: x.isNotNull())
+    return found.select("repo", F.explode(best).alias("c")).select("repo", "c.name", "c.path", "c.phase")
 
 
 def with_fallback(found: DataFrame, projects: DataFrame) -> DataFrame:

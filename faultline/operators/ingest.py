@@ -31,19 +31,65 @@ def submission_fields(documents: DataFrame, column: str = "value", service: str
     )
 
 
+def _search_order(lengths: list[int]) -> dict[int, list[int]]:
+    """For each of the sorted lengths, the smaller ones that a binary search for it looks at."""
+    out = {}
+    for length in lengths:
+        low, high, out[length] = 0, len(lengths) - 1, []
+        while True:
+            middle = (low + high) // 2
+            if lengths[middle] == length:
+                break
+            if lengths[middle] < length:
+                out[length].append(lengths[middle])
+                low = middle + 1
+            else:
+                high = middle - 1
+    return out
+
+
+def prefix_markers(names: DataFrame, lengths: list[int]) -> DataFrame:
+    """(prefix, component): each of ``names`` (prefix, component), and the cuts of it that a binary search for its length looks at.
+
+    A cut leads the search on to longer prefixes; its component is the longest name that it begins with, if there is one.
+    """
+    order = _search_order(lengths)
+    looked_at = F.element_at(F.create_map(*[x for n in lengths for x in (F.lit(n), F.array(*map(F.lit, order[n])).cast("array<int>"))]), F.length("prefix"))
+    # The names that a name begins with, by length.
+    shorter = names.select(F.col("prefix").alias("whole"), F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda n: n < F.length("prefix"))).alias("n"))
+    within = shorter.select("whole", F.substr("whole", F.lit(1), "n").alias("prefix"), "n").join(names, "prefix").groupBy("whole").agg(F.collect_list(F.struct("n", "component")).alias("within"))
+    cuts = names.select(F.col("prefix").alias("whole"), F.explode(looked_at).alias("n")).join(within, "whole", "left")
+    best = F.array_max(F.filter("within", lambda x: x["n"] <= F.col("n")))
+    cuts = cuts.select(F.substr("whole", F.lit(1), "n").alias("prefix"), best["component"].alias("component"))
+    # A cut that is a name itself has the name's component from either side.
+    return names.unionByName(cuts).groupBy("prefix").agg(F.max("component").alias("component"))
+
+
 def longest_prefix(paths: DataFrame, components: DataFrame, path: str = "path") -> DataFrame:
     """``paths`` with the name of the component whose path is the longest prefix (raw text, so services/a is one of services/ab).
 
-    A prefix is found by an equi-join: a path is cut at the lengths that component paths have, so neither side is
-    crossed with the other, however many components there are. Of equal prefixes the name first in order wins; a path without one
-    has null.
+    A binary search over the lengths that component paths have: each round cuts a path at one length and looks the cut up
+    by an equi-join; found, it goes on with longer cuts, else with shorter ones. So a path is one row a round, and there are
+    log2(lengths) + 1 rounds at most, however many components there are. The lengths come to the driver; there are no more
+    of them than characters in the longest component path. Of equal prefixes the name first in order wins; a path without
+    one has null.
     """
-    names = components.filter(F.length("path") > 0).groupBy(F.col("path").alias("_prefix")).agg(F.min("name").alias("component"))
-    lengths = names.agg(F.array_sort(F.collect_set(F.length("_prefix"))).alias("_lengths"))
-    distinct = paths.select(path).distinct().join(F.broadcast(lengths))
-    cuts = distinct.select(path, F.explode(F.transform(F.filter("_lengths", lambda n: n <= F.length(path)), lambda n: F.substr(F.col(path), F.lit(1), n))).alias("_prefix"))
-    best = cuts.join(names, "_prefix").groupBy(path).agg(F.max_by("component", F.length("_prefix")).alias("component"))
-    return paths.join(best, path, "left")
+    names = components.filter(F.length("path") > 0).groupBy(F.col("path").alias("prefix")).agg(F.min("name").alias("component"))
+    lengths = sorted(r[0] for r in names.select(F.length("prefix")).distinct().collect())
+    if not lengths:
+        return paths.withColumn("component", F.lit(None).cast(components.schema["name"].dataType))
+    markers = prefix_markers(names, lengths).select(F.col("prefix").alias("_key"), F.col("component").alias("_found"), F.lit(True).alias("_hit"))
+    rows = paths.select(path).distinct().select(path, F.lit(None).cast(components.schema["name"].dataType).alias("component"), F.lit(0).alias("_low"), F.lit(len(lengths) - 1).alias("_high"))
+    known = F.array(*map(F.lit, lengths))
+    for _ in range(len(lengths).bit_length()):
+        middle = F.floor((F.col("_low") + F.col("_high")) / 2).cast("int")
+        rows = rows.withColumn("_middle", middle).withColumn("_at", F.get(known, F.col("_middle")))
+        # Keys that are in no table keep rows whose search is over, or that are shorter, apart from each other.
+        looks = (F.col("_low") <= F.col("_high")) & (F.col("_at") <= F.length(path))
+        rows = rows.withColumn("_key", F.when(looks, F.substr(F.col(path), F.lit(1), F.col("_at"))).otherwise(F.concat(F.lit("\0"), F.col(path)))).join(markers, "_key", "left")
+        hit = F.col("_hit").isNotNull()
+        rows = rows.select(path, F.when(hit, F.coalesce("_found", "component")).otherwise(F.col("component")).alias("component"), F.when(hit, F.col("_middle") + 1).otherwise(F.col("_low")).alias("_low"), F.when(hit | (F.col("_low") > F.col("_high")), F.col("_high")).otherwise(F.col("_middle") - 1).alias("_high"))
+    return paths.join(rows.select(path, "component"), path, "left")
 
 
 def linked_services(rows: DataFrame, components: DataFrame, project: str) -> DataFrame:

@@ -156,6 +156,34 @@ def test_hierarchy_of_any_depth(spark):
     assert hazard.hierarchy(spark.createDataFrame([], "scenario_id long, parent_id long")).count() == 0
 
 
+def test_longest_prefix_of_many_lengths(spark):
+    """200 different lengths, names within names, and paths that leave them at every place."""
+    rng = random.Random(3)
+    text = "".join(rng.choice("ab/") for _ in range(260))
+    names = [(f"c{n}", text[:n]) for n in rng.sample(range(1, 260), 200)] + [(f"d{i}", "".join(rng.choice("ab") for _ in range(rng.randint(1, 8)))) for i in range(60)] + [("e", ""), ("a0", text[:50]), ("z0", text[:50])]
+    paths = [text[:n] + rng.choice(["", "x", "a", "b/a"]) for n in range(260)] + ["".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(200)] + ["", "q", text[:3], text[:3]]
+    components = spark.createDataFrame(names, "name string, path string")
+    got = sorted((r.path, r.component) for r in ingest.longest_prefix(spark.createDataFrame([(p,) for p in paths], "path string"), components).collect() if r.component)
+    best = lambda p: min(((-len(x), n) for n, x in names if x and p.startswith(x)), default=(0, None))[1]
+    assert got == sorted((p, best(p)) for p in paths if best(p))
+    lengths = sorted({len(x) for _, x in names if x})
+    assert all(len(x) <= len(lengths).bit_length() for x in ingest._search_order(lengths).values())
+    none = ingest.longest_prefix(spark.createDataFrame([("a",)], "path string"), components.limit(0))
+    assert [tuple(r) for r in none.collect()] == [("a", None)]
+    assert ingest.longest_prefix(spark.createDataFrame([("a",), (None,)], "path string"), components).count() == 2
+
+
+def test_files_are_read_once(spark, tmp_path):
+    """One scan of the files for all rules, and a pattern with more matches than any rank holds keeps its place."""
+    rows = [("r", f"p/d{i}/x.txt", None) for i in range(300)] + [("r", "package.json", json.dumps({"workspaces": ["p/*", "q", "p/d1"]})), ("r", "q/a", None), ("r", "settings.gradle.kts", "include 'q'"), ("r", "settings.gradle", "include 'p:d2'")]
+    spark.createDataFrame(rows, "repo string, path string, content string").write.parquet(str(tmp_path / "f"))
+    files = spark.read.parquet(str(tmp_path / "f"))
+    plan = discovery.facts(files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+    found = {r.path: (r.name, r.phase) for r in discovery.components(files).collect()}
+    assert found == {**{f"p/d{i}/": (f"d{i}", 12) for i in range(300)}, "q/": ("q", 12)}
+
+
 def test_upsert(spark):
     old, new = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int"), spark.createDataFrame([("b", 2), ("c", 2)], "k string, v int")
     assert sorted(map(tuple, graph.upsert(old, new, ["k"]).collect())) == [("a", 1), ("b", 2), ("c", 2)]
