@@ -39,6 +39,31 @@ def canonical_input(manifest: DataFrame, *keys: str) -> DataFrame:
     return manifest.groupBy(*keys).agg(F.array_join(F.transform(lines, lambda e: F.concat(e["path"], F.lit(":"), e["hash"], F.lit("\n"))), "").alias("canonical"))
 
 
+_MANIFEST = "version string, algorithm string, signature string, files map<string,string>"
+
+
+def verify_archives(hashes: DataFrame, public_key: bytes) -> DataFrame:
+    """(archive, version, outcome, path) of each archive, from its files (archive, path, hash, content of the manifest).
+
+    The outcome is the first that applies: unreadable, no manifest, manifest (which is no JSON object), algorithm,
+    signature, missing, mismatch, untracked, ok. path is the first file, in order, that is missing, another or not listed.
+    """
+    own = F.from_json(F.col("content").cast("string"), _MANIFEST)
+    listed = hashes.filter(F.col("path") == MANIFEST).select("archive", own.alias("m")).select("archive", "m.*")
+    expected = listed.select("archive", F.explode("files").alias("path", "expected"))
+    actual = hashes.filter(F.col("path").isNotNull() & (F.col("path") != MANIFEST)).select("archive", "path", F.col("hash").alias("actual"))
+    kind = F.when(F.col("actual").isNull(), 0).when(F.col("expected").isNull(), 2).when(F.col("actual") != F.col("expected"), 1)
+    wrong = expected.join(actual, ["archive", "path"], "full_outer").withColumn("kind", kind).groupBy("archive").agg(F.min(F.when(F.col("kind").isNotNull(), F.struct("kind", "path"))).alias("wrong"))
+    lines = F.array_sort(F.map_entries("files"))
+    canonical = F.array_join(F.transform(lines, lambda e: F.concat(e["key"], F.lit(":"), e["value"], F.lit("\n"))), "")
+    signed = verify_signature(listed.select("archive", "version", "algorithm", F.col("files").isNull().alias("broken"), canonical.alias("canonical"), "signature"), public_key)
+    archives = hashes.groupBy("archive").agg(F.bool_or(F.col("path").isNull()).alias("cut")).join(signed, "archive", "left").join(wrong, "archive", "left")
+    found = F.when(F.col("wrong.kind") == 0, "missing").when(F.col("wrong.kind") == 1, "mismatch").when(F.col("wrong.kind") == 2, "untracked")
+    outcome = F.when(F.col("cut"), "unreadable").when(F.col("broken").isNull(), "no manifest").when(F.col("broken"), "manifest").when(~F.col("algorithm").eqNullSafe(F.lit("EdDSA")), "algorithm").when(~F.col("verified"), "signature")
+    outcome = outcome.otherwise(F.coalesce(found, F.lit("ok")))
+    return archives.select("archive", "version", outcome.alias("outcome"), F.when(outcome.isin("missing", "mismatch", "untracked"), F.col("wrong.path")).alias("path"))
+
+
 _P, _L = 2**255 - 19, 2**252 + 27742317777372353535851937790883648493
 _D = -121665 * pow(121666, -1, _P) % _P
 

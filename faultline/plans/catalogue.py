@@ -810,6 +810,106 @@ def display_suffixes(r):
     )
 
 
+@query("", """select doc_id, case when doc_id % 3 = 0 then left(content, 77) || case when length(content) > 80 then '...' else substr(content, 78) end else source end as label, case when length(p) > 80 then left(p, 77) || '...' else p end as prose,
+  case when doc_id % 2 = 0 then 'about ' || lang else case when length(p) > 80 then left(p, 77) || '...' else p end end as description
+  from (select doc_id, lang, source, 'of ' || repeat(source || ' ', n_chars % 30) || 'end' as p, replace(source || ' ' || repeat(lang || chr(10), n_chars % 40), chr(10), ' ') as content from documents)""")
+def texts_for_display(r):
+    """Labels from titles or contents, first lines of prose and descriptions of front matter, short and cut."""
+    n, line = F.col("n_chars") % 30, lambda *x: F.concat(*x, F.lit("\n"))
+    prose = F.concat(F.lit("of "), F.repeat(F.concat("source", F.lit(" ")), n.cast("int")), F.lit("end"))
+    body = F.concat(line(F.lit("# Heading")), line(F.lit("  ")), line(F.lit("## More")), line(F.lit("  "), prose), F.lit("then"))
+    front = F.concat(line(F.lit("---")), line(F.lit("name: x")), line(F.lit("description: 'about "), F.col("lang"), F.lit("'")), line(F.lit("---")), body)
+    content = F.concat("source", F.lit(" "), F.repeat(line(F.col("lang")), (F.col("n_chars") % 40).cast("int")))
+    return r.table("documents").select(
+        "doc_id",
+        S.label_or_content(F.when(F.col("doc_id") % 3 != 0, F.col("source")), content).alias("label"),
+        S.first_prose_line(body).alias("prose"),
+        S.front_matter_description(F.when(F.col("doc_id") % 2 == 0, front).otherwise(body)).alias("description"),
+    )
+
+
+@query("", """select o_orderkey as id, case o_orderkey % 3 when 0 then 'NEW' when 1 then 'UPD' else '---' end as tag, case when o_orderkey % 26 >= 20 then 'CRITICAL' when o_orderkey % 26 >= 15 then 'HIGH' when o_orderkey % 26 >= 10 then 'MEDIUM' else 'LOW' end as priority,
+  case when o_orderkey % 4 = 0 then 'project' when o_orderkey % 4 = 1 then 'flag' when o_orderkey % 4 = 2 then 'project' end as service, case when o_orderkey % 5 = 0 then 'full' else 'deep' end as scan_type,
+  case when length(k) > 8 then left(k, 4) || '...' || right(k, 4) else '****' end as masked, o_orderkey % 3 = 0 as inside from (select o_orderkey, 'k' || repeat('y', o_orderkey % 7) || cast(o_orderkey as varchar) as k from orders)""")
+def finding_lines(r):
+    """What a scan shows of findings: tags, the small scale, where names and types come from, keys, paths of archives."""
+    k = F.col("o_orderkey")
+    sent = F.when(k % 5 == 0, F.lit("{}")).otherwise(F.lit('{"scan_type": "deep"}'))
+    rows = r.table("orders").select(k, sent.alias("value"))
+    types = I.submission_fields(rows).select("o_orderkey", "scan_type")
+    secret = F.concat(F.lit("k"), F.repeat(F.lit("y"), (k % 7).cast("int")), k.cast("string"))
+    path = F.when(k % 3 == 0, F.concat(F.lit("/plugins/a/"), k.cast("string"))).when(k % 3 == 1, F.lit("/plugins/../etc")).otherwise(F.lit("/pluginsx/a"))
+    service = I.service_name(F.when(k % 2 == 0, "project").otherwise(""), F.when(k % 4 == 1, "flag").when(k % 4 == 2, "other"))
+    return types.select(k.alias("id"), S.finding_tag(F.when(k % 3 == 0, "created").when(k % 3 == 1, "updated").otherwise("unchanged")).alias("tag"), S.priority_25(k % 26).alias("priority"), service.alias("service"), "scan_type", S.masked(secret).alias("masked"), S.inside(path, "/plugins").alias("inside"))
+
+
+@query("", """select s_nationkey % 3 < 2 as full_support, string_agg(s_name, ', ' order by s_name) as names, count(*) as n from supplier group by 1""")
+def editor_tiers(r):
+    return E.by_tier(r.table("supplier").select(F.col("s_name").alias("name"), (F.col("s_nationkey") % 3 + 1).alias("tier")))
+
+
+@query("", "select l_orderkey as id, string_agg(cast(l_partkey as varchar), '>' order by l_linenumber, cast(l_partkey as varchar)) as chain from lineitem group by 1")
+def pattern_causal_chains(r):
+    """Chains whose steps come in any order."""
+    step = F.struct(F.col("l_linenumber").alias("position"), F.col("l_partkey").cast("string").alias("label"))
+    steps = r.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(step), asc=False).alias("causal_chain"))
+    return K.causal_chains(steps).select("id", F.array_join(F.transform("causal_chain", lambda x: x["label"]), ">").alias("chain"))
+
+
+@query("", """select o_orderkey as id, case when o_orderkey % 4 = 3 then null when o_orderkey % 4 = 1 then 'too_late' else o_orderpriority end as uca_type, case when o_orderkey % 4 = 3 then null when o_orderkey % 4 = 1 then 'loss of it' when o_orderkey % 4 = 2 then 'a loss' end as loss_scenario from orders""")
+def stpa_structured_first(r):
+    """Structured columns before what the narrative says, and neither where it is not parsed."""
+    k = F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    text = F.when(k % 4 == 1, F.lit("It ran.\n**Unsafe Control Action:** too_late\n**Loss Scenario:** loss of it"))
+    rows = r.table("orders").select(k.alias("id"), F.when(k % 4 == 0, F.col("o_orderpriority")).when(k % 4 == 2, F.col("o_orderpriority")).alias("uca_type"), F.when(k % 4 == 2, "a loss").alias("loss_scenario"), none.alias("_"), F.array().cast("array<string>").alias("causal_factors"), text.alias("narrative"))
+    seen = R.stpa_view(rows.filter("id % 4 <> 3"), parse=True).unionByName(R.stpa_view(rows.filter("id % 4 = 3").withColumn("narrative", F.lit("**Loss Scenario:** unread")), parse=False))
+    return seen.select("id", F.col("stpa.uca_type").alias("uca_type"), F.col("stpa.loss_scenario").alias("loss_scenario"))
+
+
+@query("", """select o_orderkey as id, case when o_orderkey % 2 = 0 then o_orderpriority else o_orderpriority || ' ' || o_orderstatus end as arguments, o_orderkey % 3 = 0 as present from orders""")
+def arguments_without_flag(r):
+    k = F.col("o_orderkey")
+    words = F.concat(F.when(k % 3 == 0, F.array(F.lit("--ci"))).otherwise(F.array().cast("array<string>")), F.array("o_orderpriority"), F.when(k % 2 == 1, F.array("o_orderstatus")).otherwise(F.array().cast("array<string>")), F.when(k % 6 == 0, F.array(F.lit("--ci"))).otherwise(F.array().cast("array<string>")))
+    return r.table("orders").select(k.alias("id"), I.without_flag(words, "--ci").alias("a")).select("id", F.array_join("a.arguments", " ").alias("arguments"), "a.present")
+
+
+@query("risk fact", """f as (select r.id as risk_id, f.id, f.confidence as score, f.technology from risk r join fact f on f.id = r.service_id % 50)
+  select risk_code, coalesce(string_agg(cast(f.id as varchar) || ':' || technology, ',' order by f.score desc, f.id), '') as facts from risk r left join f on f.risk_id = r.id group by risk_code""")
+def risk_context_facts(r):
+    """The facts section of each risk."""
+    facts = r.risk.select(F.col("id").alias("risk_id"), (F.col("service_id") % 50).alias("id")).join(r.fact.select("id", F.col("confidence").alias("score"), "technology"), "id")
+    df = R.context(r.risk, r.risk_control, r.control, r.evidence, facts=facts)
+    return df.select("risk_code", F.array_join(F.transform("facts", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["technology"])), ",").alias("facts"))
+
+
+@query("pattern", "select id, occurrence_count from pattern where starts_with(id, 'R') and occurrence_count >= 40")
+def patterns_by_type(r):
+    return K.patterns(r.pattern.withColumn("pattern_type", F.substring("id", 1, 1)), type="R", min_occurrences=40).select("id", "occurrence_count")
+
+
+@query("risk", """select '{"risk_code":"' || risk_code || '","score":' || cast(score as varchar) || '}' as json from risk where status = 'detected' order by score desc, id limit 100""")
+def risk_json_limited(r):
+    """The list's first hundred, as JSON: the limit is the list's."""
+    return sinks.limited_json(R.list_risks(r.risk, status="detected").join(r.risk.select("risk_code", "id"), "risk_code").select("risk_code", "score", "id"), [F.desc("score"), F.col("id")], 100).select(F.regexp_replace("json", ',"id":[0-9]+', "").alias("json"))
+
+
+@query("evidence", """select control_id, type, 'given' as name, case when l_orderkey % 2 = 0 then 'abc' || cast(l_orderkey as varchar) else 'head' end as git_hash, 'configured' as status from (select l_orderkey, l_partkey as control_id, l_linestatus as type from lineitem where l_linenumber = 2 and l_orderkey % 3 <> 0)
+  union all select control_id, type, 'old', null, status from evidence""")
+def evidence_submitted(r):
+    """Evidence with what was submitted: without a type it is left out, without a commit it gets the scan's."""
+    k = F.col("l_orderkey")
+    new = r.table("lineitem").filter("l_linenumber = 2").select(F.col("l_partkey").alias("control_id"), F.when(k % 3 != 0, F.col("l_linestatus")).alias("type"), F.lit("given").alias("name"), F.when(k % 2 == 0, F.concat(F.lit("abc"), k.cast("string"))).alias("git_hash"))
+    old = r.evidence.select("control_id", "type", F.lit("old").alias("name"), F.lit(None).cast("string").alias("git_hash"), "status")
+    return C.submit_evidence(old, new, "head")
+
+
+@query("page_path", "select path, count(*) as n from page_path where page_id % 4 <> 0 group by path")
+def changed_paths(r):
+    """Lists of changed files with blank lines in them."""
+    return I.changed_files(r.page_path.select(F.when(F.col("page_id") % 4 == 0, F.lit(" \t")).otherwise(F.col("path")).alias("value"))).groupBy(F.col("value").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- Tables kept by key, sinks, discovery --------------------------------------------------------------------------
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import tarfile
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -94,19 +96,117 @@ def project_file(spark: SparkSession, folder: str, names: list[str]) -> DataFram
     return spark.createDataFrame([], SCHEMAS["project_config"])
 
 
-def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, path, content) of the regular files of tar.gz archives; archives are read in parallel, each by one task."""
-    found = spark.read.format("binaryFile").load(path).select("path", "content")
+#: Bytes of a member that are in one row.
+PIECE = 4 << 20
 
-    def untar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                with tarfile.open(fileobj=io.BytesIO(content.as_py()), mode="r:gz") as members:
-                    for m in members:
-                        if m.isfile():
-                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([m.name.removeprefix("./")]), pa.array([members.extractfile(m).read()], pa.binary())], ["archive", "path", "content"])
 
-    return found.mapInArrow(untar, "archive string, path string, content binary")
+class _Lines(io.RawIOBase):
+    """Lines without their ends, read as the bytes that they were cut from."""
+
+    def __init__(self, lines: Iterator[bytes]):
+        self.lines, self.rest, self.started = lines, memoryview(b""), False
+
+    def read(self, size: int = -1) -> bytes:
+        out, left = [], size
+        while left:
+            if not self.rest:
+                line = next(self.lines, None)
+                if line is None:
+                    break
+                self.rest = memoryview(b"\n" + line if self.started else line)
+                self.started = True
+                continue
+            piece = self.rest[:left]
+            self.rest = self.rest[len(piece) :]
+            out.append(bytes(piece))
+            left -= len(piece)
+        return b"".join(out)
+
+
+def members(rows: Iterator[tuple[str, bytes]], piece: int = PIECE) -> Iterator[tuple[str, str | None, int, bytes | None]]:
+    """(archive, path, number, content) of each piece of the regular files of tar archives, given as (archive, line).
+
+    No more than a piece and a line are held. An archive that is no tar, or is cut, ends with a row whose path is null.
+    """
+    for archive, own in groupby(rows, key=lambda r: r[0]):
+        stream = _Lines(line for _, line in own)
+        try:
+            with tarfile.open(fileobj=stream, mode="r|") as found:
+                for m in found:
+                    if not m.isfile():
+                        continue
+                    content, number = found.extractfile(m), 0
+                    while True:
+                        part = content.read(piece)
+                        if part or not number:
+                            yield archive, m.name.removeprefix("./"), number, part
+                        if len(part) < piece:
+                            break
+                        number += 1
+        except tarfile.TarError:
+            yield archive, None, 0, None
+
+
+def archive_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, line): the unpacked bytes of gzip files, cut at line ends and in order; one task unpacks one archive.
+
+    Spark unpacks files whose names end in .gz as it reads them, so none is held whole, whatever its size; a line end must
+    come within the 2 GB that a value may have.
+    """
+    return spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.gz").text(path).select(F.col("_metadata.file_path").alias("archive"), F.col("value").cast("binary").alias("line"))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    for batch in batches:
+        yield from zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1)))
+
+
+def archive_members(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
+    """(archive, path, number, content): the regular files of tar.gz archives in pieces of at most ``piece`` bytes, numbered from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in members(_rows(batches), piece):
+            if row[1] is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.string(), pa.int32(), pa.binary()))], ["archive", "path", "number", "content"])
+
+    return archive_lines(spark, path).mapInArrow(run, "archive string, path string, number int, content binary")
+
+
+#: The largest file that is kept whole beside its hash.
+KEPT = 64 << 20
+
+
+def archive_hashes(spark: SparkSession, path: str, keep: str = "integrity.manifest.json") -> DataFrame:
+    """(archive, path, size, hash, content) of the regular files of tar.gz archives, and a row with a null path of each that can't be read to its end.
+
+    content is null but for files named ``keep`` of at most ``KEPT`` bytes. Of members of one name the last counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+
+        def out(row):
+            archive, name, size, digest, content = row
+            whole = b"".join(content) if name == keep and size <= KEPT else None
+            columns = zip((archive, name, size, None if name is None else "sha256:" + digest.hexdigest(), whole), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in columns], ["archive", "path", "size", "hash", "content"])
+
+        for archive, name, number, part in members(_rows(batches)):
+            if number == 0:
+                if state:
+                    yield out(state)
+                state = [archive, name, 0, hashlib.sha256(), []]
+            if part is not None:
+                state[2] += len(part)
+                state[3].update(part)
+                if name == keep and state[2] <= KEPT:
+                    state[4].append(part)
+        if state:
+            yield out(state)
+
+    rows = archive_lines(spark, path).mapInArrow(run, "archive string, path string, size long, hash string, content binary").withColumn("_n", F.monotonically_increasing_id())
+    own = F.struct("size", "hash", "content")
+    return rows.groupBy("archive", "path").agg(F.max_by(own, "_n").alias("o")).select("archive", "path", "o.*")
 
 
 def path_list(spark: SparkSession, path: str) -> DataFrame:

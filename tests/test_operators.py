@@ -1,8 +1,11 @@
 import gzip
+import hashlib
 import io
+import itertools
 import json
 import random
 import tarfile
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -267,6 +270,99 @@ def test_integrity(spark, tmp_path):
     assert integrity.verify_signature(signed, b"0" * 32).first().verified is False
 
 
+def tarred(files):
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w") as tar:
+        for name, content in files:
+            info = tarfile.TarInfo(name)
+            info.size = len(content)
+            tar.addfile(info, io.BytesIO(content))
+    return raw.getvalue()
+
+
+def test_archives_are_streamed(spark, tmp_path):
+    """Long members come in pieces, and nothing larger than a piece and a line is held."""
+    line = b"0123456789" * 20 + b"\n"
+    long, odd = line * 400_000, bytes(range(256)) * 300 + b"\n\n\r\n"
+    (tmp_path / "x.tar.gz").write_bytes(gzip.compress(tarred([("./long", long), ("empty", b""), ("odd", odd)]), 1))
+    (tmp_path / "y.tar.gz").write_bytes(gzip.compress(tarred([("only", odd), ("only", b"again")])))
+    (tmp_path / "z.tar.gz").write_bytes(gzip.compress(tarred([("a", b"x" * 5000)])[:2000]))
+    pieces = documents.archive_members(spark, str(tmp_path), piece=1 << 20).select("archive", "path", "number", F.length("content").alias("n")).collect()
+    own = sorted((r.number, r.n) for r in pieces if r.path == "long")
+    assert [n for n, _ in own] == [*range(len(own))] and sum(n for _, n in own) == len(long) and max(n for _, n in own) == 1 << 20
+    got = {(r.archive[-8:-7], r.path): (r["size"], r.hash) for r in documents.archive_hashes(spark, str(tmp_path)).collect()}
+    digest = lambda x: (len(x), "sha256:" + hashlib.sha256(x).hexdigest())
+    assert got[("x", "long")] == digest(long) and got[("x", "odd")] == digest(odd) and got[("x", "empty")] == digest(b"") and got[("y", "only")] == digest(b"again") and ("z", None) in got
+    # Lines are made as they are asked for: 400 MB go through without being there.
+    head = tarred([("long", b"")])[:512]
+    info = tarfile.TarInfo("long")
+    info.size = len(line) * 2_000_000
+    lines = itertools.chain([("t", info.tobuf() + line[:-1])], (("t", line[:-1]) for _ in range(1_999_999)), [("t", bytes(1 << 14))])
+    tracemalloc.start()
+    assert head and sum(len(content) for _, _, _, content in documents.members(lines, 1 << 20) if content) == info.size
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+
+
+def signed(files, seed, algorithm="EdDSA", listed=None):
+    """The files of an archive with a manifest that is signed by RFC 8032, over ``listed`` or else the files."""
+    base = integrity._recovered((4 * pow(5, -1, integrity._P) % integrity._P).to_bytes(32, "little"))
+
+    def packed(point):
+        z = pow(point[2], -1, integrity._P)
+        x, y = point[0] * z % integrity._P, point[1] * z % integrity._P
+        return (y | (x & 1) << 255).to_bytes(32, "little")
+
+    hashes = {n: "sha256:" + hashlib.sha256(c).hexdigest() for n, c in (files if listed is None else listed)}
+    text = "".join(f"{n}:{hashes[n]}\n" for n in sorted(hashes)).encode()
+    h = hashlib.sha512(seed).digest()
+    a = int.from_bytes(h[:32], "little") & ((1 << 254) - 8) | 1 << 254
+    key = packed(integrity._times(a, base))
+    r = int.from_bytes(hashlib.sha512(h[32:] + text).digest(), "little") % integrity._L
+    point = packed(integrity._times(r, base))
+    k = int.from_bytes(hashlib.sha512(point + key + text).digest(), "little") % integrity._L
+    signature = point + ((r + k * a) % integrity._L).to_bytes(32, "little")
+    return key, [*files, (integrity.MANIFEST, json.dumps({"version": "1.0.0", "algorithm": algorithm, "signature": signature.hex(), "files": hashes}).encode())]
+
+
+def test_archives_are_verified(spark, tmp_path):
+    """Whole archives, and each way in which one can be wrong."""
+    files, seed = [("commands/scan.md", b"# Scan"), ("agents/é.md", b"x\n")], b"s" * 32
+    key, good = signed(files, seed)
+    cases = {
+        "good": good,
+        "other-key": signed(files, b"t" * 32)[1],
+        "none": files,
+        "no-json": [*files, (integrity.MANIFEST, b"{")],
+        "algorithm": signed(files, seed, "RSA")[1],
+        "tampered": [("commands/scan.md", b"# Scam"), *good[1:]],
+        "missing": good[1:],
+        "untracked": [*good, ("extra", b"")],
+        "empty": signed([], seed)[1],
+    }
+    for name, own in cases.items():
+        (tmp_path / f"{name}.tar.gz").write_bytes(gzip.compress(tarred(own)))
+    (tmp_path / "cut.tar.gz").write_bytes(gzip.compress(tarred(good)[:700]))
+    found = integrity.verify_archives(documents.archive_hashes(spark, str(tmp_path)), key)
+    got = {r.archive.rsplit("/", 1)[-1].removesuffix(".tar.gz"): (r.outcome, r.path) for r in found.collect()}
+    assert got == {
+        "good": ("ok", None), "other-key": ("signature", None), "none": ("no manifest", None), "no-json": ("manifest", None), "algorithm": ("algorithm", None), "tampered": ("mismatch", "commands/scan.md"),
+        "missing": ("missing", "commands/scan.md"), "untracked": ("untracked", "extra"), "empty": ("ok", None), "cut": ("unreadable", None),
+    }
+
+
+def test_project_yaml(spark, tmp_path):
+    sinks.project_yaml("shop", "critical", [("api", "services/api/"), ("web", "web/")], str(tmp_path / "p.yaml"))
+    row = documents.project_config(spark, (tmp_path / "p.yaml").read_text()).first()
+    assert (row.project, row.criticality, [tuple(c) for c in row.components]) == ("shop", "critical", [("api", "services/api/"), ("web", "web/")])
+
+
+def test_listing_by_depth_is_in_order(spark):
+    rows = [("b", "n", 2, 0.9), ("a", "n", 1, 0.5), ("c", "n", 1, 0.7), ("s", "", 0, 0.0), ("d", "n", 2, 0.9)]
+    nodes = spark.createDataFrame(rows, "entity_id string, entity_type string, depth int, strength double").repartition(3)
+    assert [r.entity_id for r in graph.by_depth(nodes).collect()] == ["c", "a", "b", "d"]
+
+
 def test_editors(spark):
     assert {r.full_support: r.names for r in editors.by_tier(editors.registry(spark, [("b", "B", "b", 1), ("a", "A", "a", 2), ("c", "C", "c", 3)])).collect()} == {True: "a, b", False: "c"}
     state = editors.install_state(spark.createDataFrame([("a",), ("b",)], "editor string"), spark.createDataFrame([("a", "0.9.0")], "editor string, version string"), "0.10.0")
