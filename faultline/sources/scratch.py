@@ -31,15 +31,28 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Bytes of input for each file of a small table, and files that it has at least.
+FILE_BYTES, LEAST_FILES = 4 << 20, 16
+
+
+def _bytes_read(df: DataFrame) -> int:
+    """The size of all tables that the plan reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read again: computed once, with no lineage to lose.
 
-    A ``small`` table, as of ids, counts or links, is written by a quarter of the shuffle partitions, in as many fewer
-    files. The table goes with :func:`dropped`, at the latest when the driver ends.
+    A ``small`` table, as of ids, counts or links, is written by no more tasks than it takes to have ``FILE_BYTES`` of the
+    tables that it is made of in each; that is all of them unless these are small. The table goes with :func:`dropped`, at
+    the latest when the driver ends.
     """
     spark = df.sparkSession
     if small:
-        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+        wanted = max(LEAST_FILES, _bytes_read(df) // FILE_BYTES)
+        if wanted < int(spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(wanted)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if not _paths:
         atexit.register(_drop_all)
