@@ -192,26 +192,26 @@ class Candidates:
         alone = counted.filter((F.col("s0") != F.col("s1")) & _enough("rows")).select("line", "leaf", "n")
         # Leaves in which several units could make up a recurring template together.
         by_leaf = counted.groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("lines"), F.sum("rows").alias("rows"), F.min("s0").alias("s0"), F.max("s1").alias("s1"))
-        leaves = stored(by_leaf.filter((F.col("lines") > 1) & (F.col("s0") != F.col("s1")) & _enough("rows")).select("leaf", "n"), "lines-leaves")
+        leaves = stored(by_leaf.filter((F.col("lines") > 1) & (F.col("s0") != F.col("s1")) & _enough("rows")).select("leaf", "n"), "lines-leaves", small=True)
         together = counted.join(_few(leaves, leaves.count()), ["leaf", "n"], "left_semi").select("line", "leaf", "n")
-        self.lines = stored(alone.unionByName(together).distinct(), "lines-candidates")
+        self.lines = stored(alone.unionByName(together).distinct(), "lines-candidates", small=True)
         n_lines = self.lines.count()
         carried = stored(seen.select("line", "source").join(_few(self.lines, n_lines), "line").select("line", "leaf", "n", "source").distinct(), "lines-carried")
         dropped(counted, leaves)
-        self.sources = stored(carried.select("source").distinct(), "lines-sources")
+        self.sources = stored(carried.select("source").distinct(), "lines-sources", small=True)
         self.n_sources = self.sources.count()
         text = docs.select(F.col("text").cast("string").alias("text")).withColumn("source", _source()).join(_few(self.sources, self.n_sources), "source", "left_semi")
         # Read several times: where they are few it is a scan with a filter, else they are gathered once.
         self.text = text if self.n_sources <= BROADCAST_LINES else stored(text, "lines-texts")
         near = near_duplicates(self.text.select(F.col("source").alias("doc_id"), "text"), **({} if exact else {"tables": FAMILY_TABLES, "star_rounds": FAMILY_ROUNDS}))
-        found = stored(near.groupBy("doc_id").agg(F.min("component_id").alias("family"), F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "source"), "lines-families")
-        large = stored(found.groupBy("family").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("family", F.lit(True).alias("copied")), "lines-copied")
+        found = stored(near.groupBy("doc_id").agg(F.min("component_id").alias("family"), F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "source"), "lines-families", small=True)
+        large = stored(found.groupBy("family").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("family", F.lit(True).alias("copied")), "lines-copied", small=True)
         #: (source, family, copied): copied says whether more than one row is in the family.
-        self.family = stored(found.join(large, "family", "left").select("source", "family", F.coalesce("copied", F.lit(False)).alias("copied")), "lines-families")
+        self.family = stored(found.join(large, "family", "left").select("source", "family", F.coalesce("copied", F.lit(False)).alias("copied")), "lines-families", small=True)
         dropped(found, large, *near.reads)
         #: (line, leaf, n, family, source), the families of each line, each once, with a text that has it.
         of = carried.join(_few(self.family.select("source", "family"), self.n_sources), "source").groupBy("line", "leaf", "n", "family").agg(F.min("source").alias("source"))
-        self.carried = stored(of, "lines-families-of")
+        self.carried = stored(of, "lines-families-of", small=True)
         dropped(carried)
 
     def drop(self) -> None:
@@ -224,12 +224,11 @@ def recurring_lines(candidates: Candidates) -> DataFrame:
     alone = carried.groupBy("line", "n").agg(F.count(F.lit(1)).alias("docs")).filter(_enough("docs")).select("line")
     # Leaves of several units that enough families have.
     wide = carried.groupBy("leaf", "n").agg(F.min("line").alias("l0"), F.max("line").alias("l1"), F.count_distinct("family").alias("docs")).filter((F.col("l0") != F.col("l1")) & _enough("docs")).select("leaf", "n")
-    wide = stored(wide, "lines-wide")
+    wide = stored(wide, "lines-wide", small=True)
     few = stored(
         carried.join(_few(wide, wide.count()), ["leaf", "n"], "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("line").orderBy("family"))).filter(F.col("place") <= MIN_DOCS_SHORT).select("line", "leaf", "n", "family", "source"),
-        "lines-few",
-    )
-    units = stored(few.groupBy("line", "leaf", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("source").alias("source")), "lines-units")
+        "lines-few", small=True)
+    units = stored(few.groupBy("line", "leaf", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("source").alias("source")), "lines-units", small=True)
     n_units = units.count()
     wanted = np.sort(units.select("line").toArrow().column("line").to_numpy().astype(np.int64)) if n_units <= BROADCAST_LINES else None
     # One text of each unit is read for its tokens.
@@ -237,14 +236,14 @@ def recurring_lines(candidates: Candidates) -> DataFrame:
     tokens = text.mapInArrow(released(_tokens_of(wanted)), "line long, tokens array<long>").dropDuplicates(["line"])
     tokens = stored(units.drop("source").join(tokens, "line"), "lines-tokens")
     places = tokens.select("line", "leaf", "n", "docs", F.posexplode("tokens").alias("place", "token")).filter(F.col("place") >= DEPTH)
-    rare = stored(places.groupBy("leaf", "n", "place", "token").agg(F.sum("docs").alias("docs")).filter(~_enough("docs")).select("leaf", "n", "place", "token"), "lines-rare")
+    rare = stored(places.groupBy("leaf", "n", "place", "token").agg(F.sum("docs").alias("docs")).filter(~_enough("docs")).select("leaf", "n", "place", "token"), "lines-rare", small=True)
     masks = places.join(rare, ["leaf", "n", "place", "token"]).groupBy("line").agg(F.collect_list("place").alias("rare"))
     keys = tokens.select("line", "leaf", "tokens").join(masks, "line", "left").mapInArrow(released(_keyed), "key long, line long")
     keys = stored(keys, "lines-keys")
     shared = keys.groupBy("key").agg(F.min("line").alias("l0"), F.max("line").alias("l1")).filter("l0 <> l1").select("key")
-    members = stored(keys.join(shared, "key", "left_semi"), "lines-members")
+    members = stored(keys.join(shared, "key", "left_semi"), "lines-members", small=True)
     often = members.join(few.select("line", "n", "family"), "line").select("key", "n", "family").distinct().groupBy("key", "n").agg(F.count(F.lit(1)).alias("docs")).filter(_enough("docs")).select("key")
-    out = stored(alone.union(members.join(often, "key", "left_semi").select("line")).distinct(), "lines-recurring")
+    out = stored(alone.union(members.join(often, "key", "left_semi").select("line")).distinct(), "lines-recurring", small=True)
     dropped(wide, few, units, tokens, rare, keys, members)
     return out
 
@@ -361,12 +360,12 @@ def without_recurring(docs: DataFrame, lines: DataFrame, seen: DataFrame, family
     docs = docs.withColumn(text, F.col(text).cast("string"))
     schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
     n_lines = lines.count()
-    touched = stored(seen.select("line", "source").join(_few(lines, n_lines), "line").distinct(), "lines-touched")
+    touched = stored(seen.select("line", "source").join(_few(lines, n_lines), "line").distinct(), "lines-touched", small=True)
     few = n_lines <= BROADCAST_LINES
     # Only texts with a unit that goes are looked at; whether they have a copy is known of each of them. Hashes that are
     # too many to send are joined to the texts that have them.
     drop = F.collect_list("line") if not few else F.lit(None).cast("array<long>")
-    hit = stored(touched.groupBy("source").agg(drop.alias("drop")).join(family.select("source", "copied"), "source"), "lines-hit")
+    hit = stored(touched.groupBy("source").agg(drop.alias("drop")).join(family.select("source", "copied"), "source"), "lines-hit", small=True)
     n_hit = hit.count()
     table = np.sort(lines.toArrow().column("line").to_numpy().astype(np.int64)) if few else None
 
@@ -383,9 +382,9 @@ def without_recurring(docs: DataFrame, lines: DataFrame, seen: DataFrame, family
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["run", "source"])
 
     texts = docs.select(F.col(text).alias("text"), _source(text).alias("source")).join(_few(hit, n_hit) if few else hit.hint("merge"), "source").select("text", "source", "drop")
-    runs = stored(texts.mapInArrow(released(runs_of), "run long, source long").distinct(), "lines-runs")
+    runs = stored(texts.mapInArrow(released(runs_of), "run long, source long").distinct(), "lines-runs", small=True)
     often = runs.join(_few(family.select("source", "family"), n_hit), "source").groupBy("run").agg(F.count_distinct("family").alias("docs")).filter(F.col("docs") >= MIN_DOCS).select("run")
-    often = stored(often, "lines-often")
+    often = stored(often, "lines-often", small=True)
     few_runs = often.count() <= BROADCAST_LINES
     run_table = np.sort(often.toArrow().column("run").to_numpy().astype(np.int64)) if few_runs else None
     own_runs = F.lit(None).cast("array<long>").alias("runs")
