@@ -18,14 +18,15 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from faultline.llm.word_table import through_words
 
-#: The pattern that splits text before the merges (a fixed value of the vocabulary's format).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Letters, numbers and white space up to U+024F.
+_LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+#: The pattern that splits text before the merges (a fixed value of the vocabulary's format), for text of such characters.
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 _EXOTIC = re.compile("[^\x00-ɏ]")
 
 
@@ -36,7 +37,7 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.find = regex.compile(PATTERN).findall
+        self.find = re.compile(PATTERN).findall
         self.by_id = {i: a.content for i, a in self.tokenizer.get_added_tokens_decoder().items()}
         self.added = {*self.by_id.values()}
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
