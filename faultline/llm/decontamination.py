@@ -18,8 +18,8 @@ Method
 Words are runs of ASCII letters and digits and all other non-ASCII characters, A-Z in lower case.
 
 Cases
-    Null or empty texts of either table match nothing. An item of fewer than ``SEED`` words says too little to be looked for
-    within a text: it leaked only into a text that has its words and no others. Items with equal texts have equal
+    Null or empty texts of either table match nothing. An item of fewer than ``SEED`` words has one seed, of all its words, and
+    leaked wherever these stand one after another; ``least_words`` leaves out items that say too little. Items with equal texts have equal
     results, rows that share an item_id have the larger coverage. Repeated documents and null doc_ids are judged row
     by row. Empty tables: no leaks. Texts are read whole. Columns other than doc_id, text and item_id are ignored, or
     kept, whatever their names.
@@ -82,17 +82,25 @@ def tiles(place: np.ndarray, at: np.ndarray, length: int, seed: int) -> list[tup
     return out
 
 
-def _seeds(column: pa.Array) -> Iterator[tuple[int, np.ndarray, int, np.ndarray, np.ndarray]]:
-    """(row, its words' number, seed length, hashes of its k-grams) of each row with words; fewer than SEED words are one k-gram."""
+def _seeds(column: pa.Array, short: list[int] | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, its words' number, places, hashes) of each row's k-grams.
+
+    Of an item they have SEED words, or all words if these are fewer; of a document SEED words and each of the ``short``
+    numbers of words that items have.
+    """
     for low, _, w in words_of(column, ALNUM_WORDS):
-        grams = {SEED: w.grams(SEED)}
+        grams = {k: w.grams(k) for k in {SEED, *(short or ())}}
         for r, (a, b) in enumerate(zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist())):
             n = b - a
-            k = min(n, SEED)
-            if n:
+            if not n:
+                continue
+            sizes = [min(n, SEED)] if short is None else [k for k in (SEED, *short) if k <= n]
+            for k in sizes:
                 if k not in grams:
                     grams[k] = w.grams(k)
-                yield low + r, n, k, grams[k][a : b - k + 1]
+            own = [grams[k][a : b - k + 1] for k in sizes]
+            if own:
+                yield low + r, n, np.concatenate([np.arange(len(x)) for x in own]), np.concatenate(own)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -167,20 +175,20 @@ def _has_bit(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 HITS = "source long, asked array<long>, places binary, hashes binary"
 
 
-def _hits(asked_bits: bytes, all_bits: bytes):
+def _hits(asked_bits: bytes, all_bits: bytes, short: list[int]):
     """Of each text with a seed that an item is looked for by: these seeds, and the places and hashes of all it may share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, known = np.frombuffer(asked_bits, np.uint8), np.frombuffer(all_bits, np.uint8)
         for batch in batches:
             rows, asked, places, hashes = [], [], [], []
-            for r, _, _, grams in _seeds(batch.column(1)):
+            for r, _, place, grams in _seeds(batch.column(1), short):
                 hit = _has_bit(by, grams)
                 if hit.any():
                     at = np.flatnonzero(_has_bit(known, grams))
                     rows.append(r)
                     asked.append(_signed(np.unique(grams[hit])))
-                    places.append(at.astype("<i4").tobytes())
+                    places.append(place[at].astype("<i4").tobytes())
                     hashes.append(grams[at].tobytes())
             bounds = pa.array(np.cumsum([0, *map(len, asked)]), pa.int32())
             lists = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.zeros(0, np.int64), *asked])))
@@ -249,18 +257,20 @@ def _text(df: DataFrame) -> DataFrame:
     return df.select(F.col("text").cast("string").alias("text")).filter("text is not null").select(F.xxhash64("text").alias("name"), "text")
 
 
-def leaked_texts(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def leaked_texts(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least_words: int = 1) -> DataFrame:
     """(source, item, coverage, n_tiles, longest_tile, item_words, reordered), stored: the leaks of each text, by the hashes of both texts."""
     bounded_batches(docs.sparkSession)
-    items = stored(_text(benchmark).dropDuplicates(["name"]).mapInArrow(released(_item_seeds), "item long, n_words int, seeds array<long>"), "benchmark-items")
-    n_items, n_seeds = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("seeds")), F.lit(0))).first()
+    items = _text(benchmark).dropDuplicates(["name"]).mapInArrow(released(_item_seeds), "item long, n_words int, seeds array<long>")
+    items = stored(items.filter(F.col("n_words") >= least_words), "benchmark-items")
+    # At most SEED - 1 numbers of words.
+    n_seeds, short = items.agg(F.coalesce(F.sum(F.size("seeds")), F.lit(0)), F.array_sort(F.collect_set(F.when(F.col("n_words") < SEED, F.col("n_words"))))).first()
     places = items.select("item", "n_words", F.posexplode("seeds").alias("place", "seed"))
     counts = stored(places.groupBy("seed").agg(F.count_distinct("item").alias("n")), "benchmark-counts", small=True)
     entries = places.join(counts, "seed").groupBy("item", "n_words").agg(F.array_sort(F.collect_list(F.struct("place", "seed", "n"))).alias("entries"))
     index = stored(entries.mapInArrow(released(_looked_for(coverage, COMMON)), "seed long, item long"), "benchmark-index")
     bits = 1 << min(MOST_BITS, max(10, (16 * n_seeds).bit_length()))
     by, known = _bitmap(index.select("seed"), bits), _bitmap(counts.select("seed"), bits)
-    hits = stored(_text(docs).withColumnRenamed("name", "source").mapInArrow(released(_hits(by, known)), HITS).dropDuplicates(["source"]), "benchmark-hits")
+    hits = stored(_text(docs).withColumnRenamed("name", "source").mapInArrow(released(_hits(by, known, [*short])), HITS).dropDuplicates(["source"]), "benchmark-hits")
     pairs = hits.select("source", F.explode("asked").alias("seed")).join(_few(index, index.count()), "seed").select("source", "item").distinct()
     pairs = stored(pairs, "benchmark-pairs", small=True)
     both = pairs.join(_few(items, n_seeds), "item").join(hits.select("source", "places", "hashes"), "source")
@@ -269,9 +279,12 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """One row a document and item that leaked into it: doc_id, item_id, coverage, n_tiles, longest_tile, item_words, reordered."""
-    found = leaked_texts(docs, benchmark, coverage)
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least_words: int = 1) -> DataFrame:
+    """One row a document and item that leaked into it: doc_id, item_id, coverage, n_tiles, longest_tile, item_words, reordered.
+
+    Items of fewer than ``least_words`` words are not looked for.
+    """
+    found = leaked_texts(docs, benchmark, coverage, least_words)
     n = found.count()
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(F.col("text").cast("string")).alias("item")).filter("item_id is not null").distinct()
     own = ["coverage", "n_tiles", "longest_tile", "item_words", "reordered"]
@@ -283,9 +296,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     return texts.join(_few(best, n), "source").select("doc_id", "item_id", *own)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` into which no item leaked, with their columns."""
-    found = leaked_texts(docs, benchmark, coverage)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least_words: int = 1) -> DataFrame:
+    """The rows of ``docs`` into which no item of at least ``least_words`` words leaked, with their columns."""
+    found = leaked_texts(docs, benchmark, coverage, least_words)
     gone = stored(found.select("source").distinct(), "benchmark-gone", small=True)
     dropped(found)
     rows, name = by_position(docs)

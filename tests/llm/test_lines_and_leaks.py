@@ -279,7 +279,7 @@ def plain_leaks(docs, items):
         for i, other in items:
             item = tokens(other)
             if len(item) < 5:
-                if item and item == doc:
+                if item and any(doc[j : j + len(item)] == item for j in range(len(doc))):
                     out.add((d, i, len(item)))
             elif sum(tuple(item[j : j + 5]) in grams for j in range(len(item) - 4)) * 5 >= 0.6 * len(item):
                 covered = sum(n for _, _, n in plain_tiling(item, doc, 5))
@@ -315,6 +315,19 @@ def test_common_seeds(spark, monkeypatch, common, rows):
     assert got == plain_leaks(docs, items) and len(got) > 20
 
 
+def test_short_items(spark):
+    """Items of one to five words, within documents and as whole ones, where they are repeated, and from a least number of words on."""
+    r = random.Random(23)
+    some = [f"w{k}" for k in range(6)]
+    items = [(i, " ".join(r.choices(some, k=1 + i % 6))) for i in range(30)]
+    docs = [(i, " ".join(r.choices([*some, "x", "y"], k=r.choice([0, 1, 2, 3, 4, 5, 30])))) for i in range(60)] + [(100, "w1 " * 500), (101, "x w2, W3! y")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert found_leaks(d, b) == plain_leaks(docs, items)
+    long = [(i, t) for i, t in items if len(t.split()) >= 3]
+    assert {(x.doc_id, x.item_id, x.item_words) for x in leaks(d, b, least_words=3).collect()} == plain_leaks(docs, long)
+    assert {x.doc_id for x in decontaminated(d, b, least_words=3).collect()} == {i for i, _ in docs} - {i for i, *_ in plain_leaks(docs, long)}
+
+
 def test_prompt_of_very_many_items(spark):
     """A prompt that 20,000 items share pairs a document that has it with none of them but those whose rest it has too."""
     r = random.Random(22)
@@ -336,7 +349,6 @@ def test_repeated_word(spark):
 def test_leak_edges(spark, odd, nothing):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, "same text here of six words"), (4, "other"), (None, "wort wort wort wort wort wort"), (5, "ONE"), (6, "the")], "item_id long, text string").withColumn("doc_id", F.lit(1))
     got = sorted(((r.doc_id, r.item_id) for r in leaks(odd, bench).collect()), key=repr)
-    # An item of one word is in a text of that word alone.
     assert got == sorted([(4, 3), (4, 5), (5, 4), (5, 4), (6, 4), (None, 4), (7, None)], key=repr)
     assert leaks(nothing, bench).count() == 0 and leaks(odd, bench.limit(0)).count() == 0
     assert decontaminated(odd, bench).columns == odd.columns and decontaminated(odd, bench.limit(0)).count() == odd.count()
