@@ -42,30 +42,29 @@ def relationships(edges: DataFrame, entity_id: str) -> DataFrame:
 
 
 def _adjacency(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``links`` stored in buckets of src, and (src, parts) of the sources that have very many; stored, None if there are none.
+    """``links`` stored in buckets of src, and (src, parts) of the sources that have very many edges, None if there are none.
 
-    The edges of such a source are dealt over as many buckets as parts, so that none holds them all.
+    If there are, the edges are stored again, those of such a source over as many buckets as parts, so that none holds them all.
     """
-    hot = stored(links.groupBy("src").count().filter(F.col("count") > HOT_EDGES).select("src", F.ceil(F.col("count") / HOT_EDGES).cast("int").alias("parts")), "graph-hot")
+    buckets = stored_in_buckets(links, "graph-edges", ["src"])
+    hot = stored(buckets.groupBy("src").count().filter(F.col("count") > HOT_EDGES).select("src", F.ceil(F.col("count") / HOT_EDGES).cast("int").alias("parts")), "graph-hot")
     n = hot.count()
-    part = F.lit(0)
-    if n:
-        links = links.join(F.broadcast(hot) if n <= BROADCAST_ROWS else hot, "src", "left")
-        part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")
-    buckets = stored_in_buckets(links.select("src", part.alias("part"), *[c for c in links.columns if c not in ("src", "parts")]), "graph-edges", ["src", "part"])
-    if n:
-        return buckets, F.broadcast(hot) if n <= BROADCAST_ROWS else hot
-    dropped(hot)
-    return buckets, None
+    if not n:
+        dropped(hot)
+        return buckets, None
+    few = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+    part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")
+    again = stored_in_buckets(buckets.join(few, "src", "left").withColumn("part", part).drop("parts"), "graph-edges", ["src", "part"])
+    dropped(buckets)
+    return again, few
 
 
 def _followed(links: DataFrame, hot: DataFrame | None, frontier: DataFrame) -> DataFrame:
     """The frontier (src, ...) joined to its edges, which stay where they are."""
-    if hot is None:
-        frontier = frontier.withColumn("part", F.lit(0))
-    else:
-        frontier = frontier.join(hot, "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     # Neither side is broadcast: edges are too many, and a frontier may be.
+    if hot is None:
+        return frontier.hint("merge").join(links, "src")
+    frontier = frontier.join(hot, "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return frontier.hint("merge").join(links, ["src", "part"]).drop("part")
 
 
@@ -138,10 +137,9 @@ def _strongest_links(links: DataFrame, k: int, depth: int) -> DataFrame:
     on it already. So of each source the ``k + depth`` targets with the strongest edges are enough, and of parallel edges k.
     """
     parallel = Window.partitionBy("src", "dst").orderBy(F.desc("strength"))
-    links = links.withColumn("_n", F.row_number().over(parallel)).filter(F.col("_n") <= k)
-    best = links.withColumn("_best", F.max("strength").over(Window.partitionBy("src", "dst")))
+    links = links.withColumns({"_n": F.row_number().over(parallel), "_best": F.max("strength").over(parallel)}).filter(F.col("_n") <= k)
     place = F.dense_rank().over(Window.partitionBy("src").orderBy(F.desc("_best"), "dst"))
-    return best.withColumn("_n", place).filter(F.col("_n") <= k + depth).drop("_n", "_best")
+    return links.withColumn("_n", place).filter(F.col("_n") <= k + depth).drop("_n", "_best")
 
 
 def strongest_paths(edges: DataFrame, seeds: DataFrame, k: int, depth: int = DEPTH, min_strength: float = STRENGTH, relation_types=None) -> DataFrame:
@@ -152,11 +150,12 @@ def strongest_paths(edges: DataFrame, seeds: DataFrame, k: int, depth: int = DEP
     those of its paths alone that are among the first ``k`` so far, at most ``k`` a seed, and nothing weaker than the last
     of them is made. Seeds that nothing leads on from have no rows; parallel edges make paths of their own.
     """
-    links = usable(edges, min_strength, relation_types).select("src", "dst", "strength")
-    wrong = links.filter((F.col("strength") > 1) | (F.col("strength") < 0) | F.isnan("strength"))
-    if not wrong.isEmpty():
+    if min_strength < 0:
+        raise ValueError("strengths are to be from 0 to 1")
+    links, hot = _adjacency(_strongest_links(usable(edges, min_strength, relation_types).select("src", "dst", "strength"), k, depth))
+    # What is larger, or no number, comes first of its source, so it is among these.
+    if not links.filter((F.col("strength") > 1) | F.isnan("strength")).isEmpty():
         raise ValueError("strengths are to be from 0 to 1")
-    links, hot = _adjacency(_strongest_links(links, k, depth))
     order = Window.partitionBy("seed").orderBy(F.desc("total_strength"), "depth", "path")
     seeds = seeds.select(F.col("entity_id").cast("string").alias("seed")).filter("seed is not null").distinct()
     best, frontier = None, seeds.select("seed", F.array("seed").alias("path"), F.col("seed").alias("src"), F.lit(1.0).alias("total_strength"), F.lit(0.0).alias("least"))

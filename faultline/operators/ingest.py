@@ -31,6 +31,10 @@ def submission_fields(documents: DataFrame, column: str = "value", service: str
     )
 
 
+#: Lengths that take no more rows a path all together than a search among more of them.
+FEW_LENGTHS = 4
+
+
 def _search_order(lengths: list[int]) -> dict[int, list[int]]:
     """For each of the sorted lengths, the smaller ones that a binary search for it looks at."""
     out = {}
@@ -70,7 +74,8 @@ def longest_prefix(paths: DataFrame, components: DataFrame, path: str = "path")
 
     A binary search over the lengths that component paths have: each round cuts a path at one length and looks the cut up
     by an equi-join; found, it goes on with longer cuts, else with shorter ones. So a path is one row a round, and there are
-    log2(lengths) + 1 rounds at most, however many components there are. The lengths come to the driver; there are no more
+    log2(lengths) + 1 rounds at most, however many components there are. Up to ``FEW_LENGTHS`` of them are all looked up
+    in one join. The lengths come to the driver; there are no more
     of them than characters in the longest component path. Of equal prefixes the name first in order wins; a path without
     one has null.
     """
@@ -78,6 +83,10 @@ def longest_prefix(paths: DataFrame, components: DataFrame, path: str = "path")
     lengths = sorted(r[0] for r in names.select(F.length("prefix")).distinct().collect())
     if not lengths:
         return paths.withColumn("component", F.lit(None).cast(components.schema["name"].dataType))
+    if len(lengths) <= FEW_LENGTHS:
+        cuts = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(path)), lambda n: F.substr(F.col(path), F.lit(1), n))
+        found = paths.select(path).distinct().select(path, F.explode(cuts).alias("prefix")).join(names, "prefix")
+        return paths.join(found.groupBy(path).agg(F.max_by("component", F.length("prefix")).alias("component")), path, "left")
     markers = prefix_markers(names, lengths).select(F.col("prefix").alias("_key"), F.col("component").alias("_found"), F.lit(True).alias("_hit"))
     rows = paths.select(path).distinct().select(path, F.lit(None).cast(components.schema["name"].dataType).alias("component"), F.lit(0).alias("_low"), F.lit(len(lengths) - 1).alias("_high"))
     known = F.array(*map(F.lit, lengths))

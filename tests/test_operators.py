@@ -171,6 +171,10 @@ def test_longest_prefix_of_many_lengths(spark):
     assert got == sorted((p, best(p)) for p in paths if best(p))
     lengths = sorted({len(x) for _, x in names if x})
     assert all(len(x) <= len(lengths).bit_length() for x in ingest._search_order(lengths).values())
+    short = [(n, x) for n, x in names if len(x) < 4]
+    best = lambda p: min(((-len(x), n) for n, x in short if x and p.startswith(x)), default=(0, None))[1]
+    got = ingest.longest_prefix(spark.createDataFrame([(p,) for p in paths], "path string"), spark.createDataFrame(short, "name string, path string"))
+    assert sorted((r.path, r.component) for r in got.collect() if r.component) == sorted((p, best(p)) for p in paths if best(p))
     none = ingest.longest_prefix(spark.createDataFrame([("a",)], "path string"), components.limit(0))
     assert [tuple(r) for r in none.collect()] == [("a", None)]
     assert ingest.longest_prefix(spark.createDataFrame([("a",), (None,)], "path string"), components).count() == 2
