@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -21,6 +22,7 @@ from faultline.operators import risks as R
 from faultline.operators import vector_index as X
 from faultline.plans.relations import VIEWS, Relations, with_views
 from faultline.sources import sinks
+from faultline.sources.scratch import shared_folder
 from faultline.streaming import incidents as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -923,6 +925,18 @@ def plugin_upsert_delete(r):
     return E.remove_install(E.record_install(installs, new), "e5")
 
 
+@query("risk", """select id, case when id % 7 = 0 then 'accepted' else status end as status from risk where id % 11 <> 0 union all select -n_nationkey - 1, 'new' from nation""")
+def keyed_buckets(r):
+    """A register in buckets by id after an upsert and a deletion that each touch a part of it."""
+    path = f"{shared_folder(r.spark)}/register-{uuid.uuid4().hex}"
+    own = r.risk.select("id", "status")
+    sinks.upsert_keyed(own, path, ["id"])
+    new = own.filter("id % 7 = 0").withColumn("status", F.lit("accepted")).unionByName(r.table("nation").select((-F.col("n_nationkey") - 1).alias("id"), F.lit("new").alias("status")))
+    sinks.upsert_keyed(new, path, ["id"])
+    sinks.delete_keyed(own.filter("id % 11 = 0").select("id"), path, own.schema)
+    return sinks.read_keyed(r.spark, path, own.schema)
+
+
 @query("", """select concat('e', cast(s_suppkey as varchar)) as editor, case when s_suppkey % 2 = 0 then cast(null as varchar) when s_suppkey % 3 = 0 then '1.5.0' else '1.4.9+x' end as version,
   case when s_suppkey % 2 = 0 then 'new' when s_suppkey % 3 = 0 then 'current' else 'update' end as outcome from supplier""")
 def install_states(r):

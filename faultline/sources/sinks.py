@@ -92,3 +92,93 @@ def restore_keyed(spark: SparkSession, path: str) -> None:
             system.delete(aside, True)
         else:
             system.rename(aside, at)
+
+
+BUCKETS = 64
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and what makes a path of a string."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def _renamed(system, source, target) -> None:
+    if not system.rename(source, target):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
+def finish_keyed(spark: SparkSession, path: str) -> None:
+    """Does the rest of a change of :func:`upsert_keyed` or :func:`delete_keyed` that was written whole but not put in place whole."""
+    path = path.rstrip("/")
+    system, make = _files(spark, path)
+    ready = make(f"{path}._ready")
+    if not system.exists(ready):
+        return
+    system.mkdirs(make(path))
+    for found in system.listStatus(ready):
+        name = found.getPath().getName()
+        if name.startswith("_bucket="):
+            target = make(f"{path}/{name}")
+            system.delete(target, True)
+            _renamed(system, found.getPath(), target)
+    system.delete(ready, True)
+
+
+def read_keyed(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of a table that is kept in buckets by key; ``schema`` is that of its rows. No table is an empty one."""
+    finish_keyed(spark, path)
+    system, make = _files(spark, path)
+    empty = spark.createDataFrame([], schema)
+    if not system.exists(make(path)):
+        return empty
+    return spark.read.schema(empty.schema.add("_bucket", "integer")).parquet(path).drop("_bucket")
+
+
+def _changed(new: DataFrame, path: str, keys: list[str], buckets: int, change) -> None:
+    spark, path = new.sparkSession, path.rstrip("/")
+    finish_keyed(spark, path)
+    system, make = _files(spark, path)
+    bucket = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(buckets)).cast("int")
+    # No more of them than the table has buckets.
+    touched = [r[0] for r in new.select(bucket).distinct().collect()]
+    if not touched:
+        return
+    schema = change.schema
+    old = spark.createDataFrame([], schema)
+    if system.exists(make(path)):
+        old = spark.read.schema(old.schema.add("_bucket", "integer")).parquet(path).filter(F.col("_bucket").isin(touched)).drop("_bucket")
+    step = f"{path}._step"
+    rows = change(old).select(*old.columns).withColumn("_bucket", bucket)
+    rows.repartition(min(buckets, len(touched)), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(step)
+    for b in touched:  # a bucket that nothing is left of takes the place of what was there, too
+        system.mkdirs(make(f"{step}/_bucket={b}"))
+    # From here on the change holds: what is ready is put in place, now or by whoever looks at the table next.
+    _renamed(system, make(step), make(f"{path}._ready"))
+    finish_keyed(spark, path)
+
+
+class _Change:
+    def __init__(self, schema, make):
+        self.schema, self.make = schema, make
+
+    def __call__(self, old: DataFrame) -> DataFrame:
+        return self.make(old)
+
+
+def upsert_keyed(new: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
+    """Puts rows in place of those of equal keys in a table in ``buckets`` by a hash of the keys, or adds them; of equal keys the last one stays.
+
+    Only buckets that the new rows are in are read and written, beside the table, whole; then they take their places.
+    After a crash the table is the old one until all is written, and the new one from then on, as :func:`read_keyed` and
+    the next change put in place what is left. One change at a time; a table has the same buckets throughout.
+    """
+    from faultline.operators.graph import upsert
+
+    _changed(new, path, keys, buckets, _Change(new.schema, lambda old: upsert(old, new, keys)))
+
+
+def delete_keyed(gone: DataFrame, path: str, schema, buckets: int = BUCKETS) -> None:
+    """Deletes the rows whose keys, all columns of ``gone``, are there; see :func:`upsert_keyed`."""
+    keys = gone.columns
+    _changed(gone, path, keys, buckets, _Change(schema, lambda old: old.join(gone.distinct(), keys, "left_anti")))

@@ -274,6 +274,47 @@ def test_integrity(spark, tmp_path):
     assert integrity.verify_signature(signed, b"0" * 32).first().verified is False
 
 
+def test_keyed_table_in_buckets(spark, tmp_path, monkeypatch):
+    """Only what changes is written, and a crash leaves the old table or the new one."""
+    path, schema = str(tmp_path / "t"), "k int, `a b` string"
+    rows = lambda: sorted(map(tuple, sinks.read_keyed(spark, path, schema).collect()))
+    frame = lambda own: spark.createDataFrame(own, schema)
+    stamps = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    assert rows() == []
+    sinks.upsert_keyed(frame([(i, "old") for i in range(200)]), path, ["k"], 16)
+    before, known = stamps(), {i: "old" for i in range(200)}
+    assert rows() == sorted(known.items()) and len(before) == 16
+    sinks.upsert_keyed(frame([(7, "x"), (7, "new"), (500, "new")]).coalesce(1), path, ["k"], 16)
+    known |= {7: "new", 500: "new"}
+    assert rows() == sorted(known.items())
+    after = stamps()
+    assert sum(after.get(f) == t for f, t in before.items()) >= 14
+    sinks.delete_keyed(spark.createDataFrame([(500,), (8,), (999,)], "k int"), path, schema, 16)
+    del known[500], known[8]
+    assert rows() == sorted(known.items())
+    # Stopped before all is written: nothing has changed. Stopped after that: the change holds.
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_renamed", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+        with pytest.raises(OSError):
+            sinks.upsert_keyed(frame([(1, "lost")]), path, ["k"], 16)
+    assert rows() == sorted(known.items())
+    done, real = [], sinks._renamed
+
+    def twice(*a):
+        if len(done) == 3:
+            raise OSError("stopped")
+        done.append(real(*a))
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_renamed", twice)
+        with pytest.raises(OSError):
+            sinks.upsert_keyed(frame([(i, "kept") for i in range(40)]), path, ["k"], 16)
+    known |= {i: "kept" for i in range(40)}
+    assert rows() == sorted(known.items()) and not [f for f in tmp_path.iterdir() if f.name != "t"]
+    sinks.delete_keyed(sinks.read_keyed(spark, path, schema).select("k"), path, schema, 16)
+    assert rows() == []
+
+
 def tarred(files):
     raw = io.BytesIO()
     with tarfile.open(fileobj=raw, mode="w") as tar:
