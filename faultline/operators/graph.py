@@ -142,6 +142,13 @@ def _strongest_links(links: DataFrame, k: int, depth: int) -> DataFrame:
     return links.withColumn("_n", place).filter(F.col("_n") <= k + depth).drop("_n", "_best")
 
 
+def _ways_on(links: DataFrame, frontier: DataFrame, k: int, depth: int) -> DataFrame:
+    """The edges of the frontier's nodes (src) that one of the ``k`` strongest paths can use; no other edge is moved."""
+    sources = frontier.select("src").distinct()
+    n = sources.count()
+    return _strongest_links(links.join(F.broadcast(sources) if n <= BROADCAST_ROWS else sources, "src", "left_semi"), k, depth)
+
+
 def strongest_paths(edges: DataFrame, seeds: DataFrame, k: int, depth: int = DEPTH, min_strength: float = STRENGTH, relation_types=None) -> DataFrame:
     """(seed, rank, path, depth, total_strength): the first ``k`` simple paths of each seed (entity_id), of up to ``depth`` edges.
 
@@ -149,18 +156,21 @@ def strongest_paths(edges: DataFrame, seeds: DataFrame, k: int, depth: int = DEP
     after each of its beginnings: no path among the first ``k`` begins with one that is not. A level therefore goes on from
     those of its paths alone that are among the first ``k`` so far, at most ``k`` a seed, and nothing weaker than the last
     of them is made. Seeds that nothing leads on from have no rows; parallel edges make paths of their own.
+
+    The edges are written once. A level reads them where they lie and moves those of its frontier's nodes alone. The order
+    is the same for every ``k``, so the first ones of a large ``k`` are those of a smaller one.
     """
     if min_strength < 0:
         raise ValueError("strengths are to be from 0 to 1")
-    links, hot = _adjacency(_strongest_links(usable(edges, min_strength, relation_types).select("src", "dst", "strength"), k, depth))
-    # What is larger, or no number, comes first of its source, so it is among these.
+    links = stored(usable(edges, min_strength, relation_types).select("src", "dst", "strength"), "graph-edges")
     if not links.filter((F.col("strength") > 1) | F.isnan("strength")).isEmpty():
+        dropped(links)
         raise ValueError("strengths are to be from 0 to 1")
     order = Window.partitionBy("seed").orderBy(F.desc("total_strength"), "depth", "path")
-    seeds = seeds.select(F.col("entity_id").cast("string").alias("seed")).filter("seed is not null").distinct()
+    seeds = stored(seeds.select(F.col("entity_id").cast("string").alias("seed")).filter("seed is not null").distinct(), "graph-seeds")
     best, frontier = None, seeds.select("seed", F.array("seed").alias("path"), F.col("seed").alias("src"), F.lit(1.0).alias("total_strength"), F.lit(0.0).alias("least"))
     for n in range(1, depth + 1):
-        step = _followed(links, hot, frontier).withColumn("total_strength", F.col("total_strength") * F.col("strength")).filter((F.col("total_strength") >= F.col("least")) & ~F.array_contains("path", F.col("dst")))
+        step = frontier.join(_ways_on(links, frontier, k, depth), "src").withColumn("total_strength", F.col("total_strength") * F.col("strength")).filter((F.col("total_strength") >= F.col("least")) & ~F.array_contains("path", F.col("dst")))
         step = step.select("seed", F.array_append("path", F.col("dst")).alias("path"), F.lit(n).alias("depth"), "total_strength")
         known = step if best is None else best.select(*step.columns).unionByName(step)
         ranked = stored(known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "graph-strongest")
@@ -172,7 +182,7 @@ def strongest_paths(edges: DataFrame, seeds: DataFrame, k: int, depth: int = DEP
         if n < depth and frontier.isEmpty():
             break
         frontier = frontier.join(last, "seed", "left").select("seed", "path", F.element_at("path", -1).alias("src"), "total_strength", F.coalesce("least", F.lit(0.0)).alias("least"))
-    dropped(links)
+    dropped(links, seeds)
     return best.select("seed", "rank", "path", "depth", "total_strength")
 
 

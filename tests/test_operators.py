@@ -134,6 +134,23 @@ def test_strongest_paths(spark, monkeypatch):
         graph.strongest_paths(edges.withColumn("strength", F.col("strength") * 3), seeds, 1)
 
 
+def test_strongest_paths_move_few_edges(spark, monkeypatch):
+    """Edges are read once, whatever the depth, and no edge is moved but those of the nodes that paths go on from."""
+    rows = [("n", "a", "n", f"b{i}", "causes", 0.9, "") for i in range(3)] + [("n", f"b{i}", "n", f"c{i}", "causes", 0.8, "") for i in range(3)] + [("n", f"x{i}", "n", f"y{i}", "causes", 0.7, "") for i in range(500)]
+    seeds, edges, read, moved = spark.createDataFrame([("a",)], "entity_id string"), spark.createDataFrame(rows, EDGES), [], []
+    usable, ways = graph.usable, graph._strongest_links
+    monkeypatch.setattr(graph, "usable", lambda *a: read.append(1) or usable(*a))
+    monkeypatch.setattr(graph, "_strongest_links", lambda links, *a: moved.append(links.count()) or ways(links, *a))
+    for broadcast in (1000, 0):
+        monkeypatch.setattr(graph, "BROADCAST_ROWS", broadcast)
+        got = graph.strongest_paths(edges, seeds, 10)
+        assert [len(r.path) for r in got.orderBy("rank").collect()] == [2, 2, 2, 3, 3, 3]
+    assert len(read) == 2 and moved == [3, 3, 0] * 2
+    read.clear()
+    catalogue.queries()["foresight_strongest"](spark, "/root/testdata/sf0.001")
+    assert len(read) == 1
+
+
 def test_edges_stay_in_their_buckets(spark, monkeypatch):
     """A level moves its frontier, not the edges; a source with very many edges has several buckets."""
     rows = [("n", f"a{i % 40}", "n", f"a{i * 7 % 41}", "causes", 0.5 + i % 3 / 10, "") for i in range(300)] + [("n", "a1", "n", f"b{i}", "causes", 0.9, "") for i in range(50)]
