@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from faultline.functions import scalars as S
 from faultline.operators.controls import EXPECTED, incident_history
+from faultline.sources.scratch import dealt, partitions_of
 
 RISK_LIMIT, READY_LIMIT = 1000, 10
 
@@ -95,16 +96,17 @@ def mapped_controls(risks: DataFrame, bridge: DataFrame, controls: DataFrame) ->
 
 def detail(risks: DataFrame, bridge: DataFrame, controls: DataFrame) -> DataFrame:
     """Each risk with its controls as an array, sorted by code. Risks are told apart by id, so equal codes keep their own."""
-    own = bridge.join(controls.select(F.col("id").alias("control_id"), "control_code", "name", "category", "type"), "control_id")
-    own = own.groupBy(F.col("risk_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("control_code", "name", "category", "type"))).alias("mapped_controls"))
-    return risks.join(own, "id", "left")
+    n = partitions_of(risks, bridge)
+    own = dealt(bridge, n, "control_id").join(controls.select(F.col("id").alias("control_id"), "control_code", "name", "category", "type"), "control_id")
+    own = dealt(own, n, "risk_id").groupBy(F.col("risk_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("control_code", "name", "category", "type"))).alias("mapped_controls"))
+    return dealt(risks, n, "id").join(own, "id", "left")
 
 
-def _section(rows: DataFrame, name: str) -> DataFrame:
+def _section(rows: DataFrame, name: str, partitions: int) -> DataFrame:
     """(id, ``name``): the rows of each risk_id as an array of structs, the highest score first, then by id."""
     rest = [c for c in rows.columns if c not in ("risk_id", "score", "id")]
     entries = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_by"), "id", "score", *rest)))
-    return rows.groupBy(F.col("risk_id").alias("id")).agg(F.transform(entries, lambda e: F.struct(e["id"].alias("id"), e["score"].alias("score"), *[e[c].alias(c) for c in rest])).alias(name))
+    return dealt(rows, partitions, "risk_id").groupBy(F.col("risk_id").alias("id")).agg(F.transform(entries, lambda e: F.struct(e["id"].alias("id"), e["score"].alias("score"), *[e[c].alias(c) for c in rest])).alias(name))
 
 
 def context(risks: DataFrame, bridge: DataFrame, controls: DataFrame, evidence: DataFrame, incidents: DataFrame | None = None, as_of: str | None = None, factors: DataFrame | None = None, **knowledge: DataFrame) -> DataFrame:
@@ -112,21 +114,24 @@ def context(risks: DataFrame, bridge: DataFrame, controls: DataFrame, evidence:
 
     ``factors`` (risk_id, description, source, points) is its score breakdown. ``knowledge`` has a table of each further
     section, as patterns, procedures or facts: (risk_id, id, score, ...), nested from the most relevant on. Sections are
-    joined by id, each gathered once; a risk without entries has an empty array.
+    joined by id, each gathered once; a risk without entries has an empty array. There are as many partitions as the
+    largest table needs, so what a task holds does not grow with the input.
     """
-    types = evidence.groupBy("risk_id", "control_id").agg(F.array_sort(F.collect_set("type")).alias("evidence_types"))
+    n = partitions_of(risks, bridge, evidence)
+    types = dealt(evidence.select("risk_id", "control_id", "type"), n, "risk_id", "control_id").groupBy("risk_id", "control_id").agg(F.array_sort(F.collect_set("type")).alias("evidence_types"))
+    # Evidence is joined first: the bridge comes by the same keys, so it stays where it is.
+    own = dealt(bridge, n, "risk_id", "control_id").join(types, ["risk_id", "control_id"], "left")
+    own = dealt(own, n, "control_id").join(dealt(controls.select(F.col("id").alias("control_id"), "control_code", "name", "type"), n, "control_id"), "control_id")
     own = (
-        bridge.join(controls.select(F.col("id").alias("control_id"), "control_code", "name", "type"), "control_id")
-        .join(types, ["risk_id", "control_id"], "left")
-        .groupBy("risk_id")
+        dealt(own, n, "risk_id").groupBy("risk_id")
         .agg(F.array_sort(F.collect_list(F.struct("control_code", "name", "type", F.coalesce("evidence_types", F.array().cast("array<string>")).alias("evidence_types"), F.array_except(F.array(*map(F.lit, EXPECTED)), F.coalesce("evidence_types", F.array().cast("array<string>"))).alias("evidence_gaps")))).alias("controls"))
     )
-    out = risks.join(own.withColumnRenamed("risk_id", "id"), "id", "left")
+    out = dealt(risks, n, "id").join(own.withColumnRenamed("risk_id", "id"), "id", "left")
     if factors is not None:
-        own = factors.groupBy(F.col("risk_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("source", "description", "points"))).alias("score_breakdown"))
+        own = dealt(factors, n, "risk_id").groupBy(F.col("risk_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("source", "description", "points"))).alias("score_breakdown"))
         out = out.join(own, "id", "left").withColumn("score_breakdown", F.coalesce("score_breakdown", F.array().cast(own.schema["score_breakdown"].dataType)))
     for name, rows in knowledge.items():
-        own = _section(rows, name)
+        own = _section(rows, name, n)
         out = out.join(own, "id", "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
     if incidents is not None:
         out = out.join(incident_history(incidents, as_of), "service_id", "left")

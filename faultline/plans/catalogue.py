@@ -22,7 +22,7 @@ from faultline.operators import risks as R
 from faultline.operators import vector_index as X
 from faultline.plans.relations import VIEWS, Relations, with_views
 from faultline.sources import sinks
-from faultline.sources.scratch import shared_folder
+from faultline.sources.scratch import dealt, partitions_of, shared_folder
 from faultline.streaming import incidents as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,7 +161,9 @@ def risk_context_controls(r):
   left join points on points.risk_id = r.id left join pats on pats.risk_id = r.id left join pros on pros.risk_id = r.id left join inc on inc.service_id = r.service_id""")
 def risk_context_sections(r):
     """The sections beside the controls: score breakdown, patterns, procedures, incidents of the service."""
-    lines = r.table("lineitem").select(F.col("l_orderkey").alias("risk_id"), "l_returnflag", "l_linestatus", F.col("l_partkey").alias("p_partkey")).join(r.table("part"), "p_partkey")
+    lines = r.table("lineitem").select(F.col("l_orderkey").alias("risk_id"), "l_returnflag", "l_linestatus", F.col("l_partkey").alias("p_partkey"))
+    n = partitions_of(lines)
+    lines = dealt(dealt(lines, n, "p_partkey").join(r.table("part"), "p_partkey"), n, "risk_id")
     factors = lines.groupBy("risk_id", F.col("l_returnflag").alias("source")).agg(F.count(F.lit(1)).alias("points")).withColumn("description", F.lit(""))
     kind = F.concat("l_returnflag", "l_linestatus", F.lit("-"), "p_type")
     patterns = lines.select("risk_id", kind.alias("id")).distinct().join(r.pattern.select("id", F.col("occurrence_count").alias("score")), "id")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.sources.documents import table
+from faultline.sources.scratch import dealt, partitions_of
 
 
 class Relations:
@@ -47,7 +48,8 @@ class Relations:
 
     @cached_property
     def risk_control(self) -> DataFrame:
-        return self.table("lineitem").select(F.col("l_orderkey").alias("risk_id"), F.col("l_partkey").alias("control_id")).distinct()
+        pairs = self.table("lineitem").select(F.col("l_orderkey").alias("risk_id"), F.col("l_partkey").alias("control_id"))
+        return dealt(pairs, partitions_of(pairs), "risk_id", "control_id").distinct()
 
     @cached_property
     def evidence(self) -> DataFrame:

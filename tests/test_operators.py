@@ -14,7 +14,7 @@ from faultline.operators import controls, discovery, editors, graph, hazard, ing
 from faultline.plans import catalogue
 from faultline.plans.relations import Relations
 from faultline.schemas import SCHEMAS, empty
-from faultline.sources import documents, sinks
+from faultline.sources import documents, scratch, sinks
 from faultline.streaming import incidents
 
 RISKS = "id long, risk_code string, title string, category string, score int, status string, linked_services array<string>"
@@ -495,6 +495,19 @@ def test_whole_tables(spark, sf):
     assert catalogue.queries()["risk_context_controls"](spark, sf).count() == mapped
 
 
+def test_context_has_partitions_by_its_input(spark, sf, monkeypatch):
+    """A larger table is dealt over more partitions in every exchange of the large tables, with the same rows."""
+    names = ("risk_context_controls", "risk_context_sections", "risk_detail")
+    plain = {name: sorted(map(repr, catalogue.queries()[name](spark, sf).collect())) for name in names}
+    size = scratch._bytes_read(spark.read.parquet(f"{sf}/lineitem.parquet"))
+    monkeypatch.setattr(scratch, "DEALT_BYTES", size // 9)
+    for name in names:
+        df = catalogue.queries()[name](spark, sf)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(risk_id" in plan and not [line for line in plan.splitlines() if "Exchange hashpartitioning(risk_id" in line and ", 9)" not in line]
+        assert sorted(map(repr, df.collect())) == plain[name]
+
+
 def test_parents_of_the_own_document(spark):
     rows = [(1, 1, 0, "a", "top", None), (2, 2, 0, "b", "top", None), (3, 2, 1, "c", "immediate", "a"), (4, 1, 1, "d", "immediate", "a")]
     df = spark.createDataFrame(rows, "scenario_id long, document_id int, pos int, title string, level string, parent_title string")
