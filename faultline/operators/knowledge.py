@@ -18,6 +18,10 @@ from faultline.operators.risks import filtered
 LIMIT, ENRICH_LIMIT = 20, 10
 #: Queries that are held against the vectors at once; more are taken in blocks.
 QUERY_BLOCK = 1000
+#: Scores that a task holds at once.
+BLOCK_SCORES = 1 << 18
+#: Rows that are put in order at once.
+CUT_ROWS = 1 << 16
 
 
 def facts(df: DataFrame, vertical=None, technology=None, status=None, limit: int | None = None) -> DataFrame:
@@ -89,29 +93,84 @@ def unit_rows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return matrix, ok
 
 
+class Best:
+    """The ``limit`` best rows of each query: by score, then id, then row. What cannot be among them is not kept."""
+
+    def __init__(self, queries: int, limit: int, least: np.ndarray | None = None):
+        self.limit, self.least = limit, np.full(queries, -np.inf) if least is None else least
+        self.parts: list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]] = []
+        self.n = self.kept = 0
+
+    def add(self, queries: np.ndarray, scores: np.ndarray, ids: pa.Array, rows: np.ndarray) -> None:
+        """``scores`` of some queries (their numbers) by row; the matrix is to be no larger than ``BLOCK_SCORES``, the rows in order of their ids."""
+        least = self.least[queries]
+        passed = scores >= least[:, None]
+        if np.count_nonzero(passed) > self.limit * len(queries) and len(rows) > self.limit:
+            least = np.maximum(least, -np.partition(-scores, self.limit - 1, axis=1)[:, self.limit - 1])
+            passed = scores >= least[:, None]
+        query, row = np.nonzero(passed)
+        found = scores[query, row]
+        # Of a query's rows with the least score, the first by id are enough.
+        equal = np.cumsum(found == least[query])
+        before = np.concatenate(([0], equal))[np.searchsorted(query, query)]
+        keep = (found > least[query]) | (equal - before <= self.limit)
+        if keep.any():
+            row = row[keep]
+            self.parts.append((queries[query[keep]].astype(np.int32), found[keep], ids.take(pa.array(row)), rows[row]))
+            self.n += len(row)
+            if self.n - self.kept > BLOCK_SCORES:
+                self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray] | None:
+        """query, score, id and row of the best so far; None if there are none."""
+        if len(self.parts) > 1 or self.n > self.kept:
+            query, score, row = (np.concatenate([part[i] for part in self.parts]) for i in (0, 1, 3))
+            ids = pa.concat_arrays([part[2] for part in self.parts])
+            self.parts = []
+            rank = pc.rank(ids, null_placement="at_start", tiebreaker="dense").to_numpy()
+            # A run of queries at a time, since sorting takes several times the memory of what is sorted.
+            by_query = np.argsort(query, kind="stable").astype(np.int32)
+            ends = np.searchsorted(query, np.arange(len(self.least)), "right", sorter=by_query)
+            kept, low = [], 0
+            while low < len(by_query):
+                q = np.searchsorted(ends, low + CUT_ROWS)
+                high = int(ends[q]) if q < len(ends) else len(by_query)
+                at = by_query[low:high]
+                at = at[np.lexsort((row[at], rank[at], -score[at], query[at]))]
+                place = np.arange(len(at)) - np.searchsorted(query[at], query[at])
+                last = at[place == self.limit - 1]
+                self.least[query[last]] = score[last]
+                kept.append(at[place < self.limit])
+                low = high
+            order = np.concatenate(kept)
+            self.parts = [(query[order], score[order], ids.take(pa.array(order)), row[order])]
+            self.n = self.kept = len(order)
+        return self.parts[0] if self.parts else None
+
+
+def slices(batch: pa.RecordBatch, queries: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of which ``queries`` queries have at most ``BLOCK_SCORES`` scores."""
+    n = max(1, BLOCK_SCORES // max(1, queries))
+    for low in range(0, batch.num_rows, n):
+        yield batch.slice(low, n)
+
+
 def _nearest(names: pa.Array, queries: np.ndarray, directed: np.ndarray, limit: int):
-    """The ``limit`` best (query_id, vec_id, score) of each query within a batch; scores are rounded to 12 places, so that equal vectors tie."""
+    """The ``limit`` best (query_id, vec_id, score) of each query within a task; scores are rounded to 12 places, so that equal vectors tie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, everyone = Best(len(queries), limit), np.arange(len(queries))
         for batch in batches:
-            matrix, ok = unit_rows(batch.column(1), queries.shape[1])
-            scores = np.round(queries @ matrix.T, 12)
-            scores[:, ~ok], scores[~directed] = -np.inf, -np.inf
-            n = min(limit, batch.num_rows)
-            if not n:
-                continue
-            # All that score as the n-th best or better: of equal ones the smallest id is to stay, which the rank decides.
-            least = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
-            ids = pc.sort_indices(batch.column(0)).to_numpy()
-            query, row = [], []
-            for q in range(len(names)):
-                better = np.flatnonzero(scores[q] > least[q])
-                equal = ids[scores[q][ids] == least[q]][: n - len(better)]
-                row += [*better, *equal]
-                query += [q] * n
-            query, row = np.array(query, np.int64), np.array(row, np.int64)
-            found = scores[query, row]
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), batch.column(0).take(pa.array(row)), pa.array(found, mask=~np.isfinite(found))], ["query_id", "vec_id", "score"])
+            for part in slices(batch, len(queries)) if len(queries) else ():
+                part = part.take(pc.sort_indices(part.column(0), null_placement="at_start"))
+                matrix, ok = unit_rows(part.column(1), queries.shape[1])
+                scores = np.round(queries @ matrix.T, 12)
+                scores[:, ~ok], scores[~directed] = -np.inf, -np.inf
+                best.add(everyone, scores, part.column(0), np.zeros(len(matrix), np.int64))
+        found = best.cut()
+        if found is not None:
+            query, score, ids, _ = found
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids, pa.array(score, mask=~np.isfinite(score))], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -120,8 +179,8 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT)
     """The ``limit`` nearest vectors of each query by cosine, ties by id: every query against all vectors.
 
     ``queries`` has query_id and query_vector. Blocks of about ``QUERY_BLOCK`` queries come to the driver and go to the
-    tasks as a matrix; a batch of vectors is brought to unit length once and multiplied with it, and no more than
-    ``limit`` rows of a query leave it before the shuffle by query. A vector without a direction (null, all 0, of
+    tasks as a matrix; vectors are brought to unit length once and multiplied with it, as many at once as make
+    ``BLOCK_SCORES`` scores, and no more than ``limit`` rows of a query leave a task before the shuffle by query. A vector without a direction (null, all 0, of
     another length) has a null score, as every vector has for such a query, and ranks last.
     """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultline.operators.knowledge import LIMIT, QUERY_BLOCK, semantic_search, unit_rows
+from faultline.operators.knowledge import LIMIT, Best, semantic_search, slices, unit_rows
 from faultline.sources.scratch import stored
 
 #: Rows that the model is fitted on, and cells that it has, at most; the root of the number of rows if that is less.
@@ -46,6 +46,8 @@ ROUNDS = 12
 TARGET, TRIED = 0.985, 512
 #: Rows that are ranked by their vectors, for each that is asked for.
 CANDIDATES = 25
+#: Queries that are looked for at once; a task holds a table of code words and the candidates of each.
+QUERY_BLOCK = 500
 #: What bounds of cosines may be off by, in floating point.
 SLACK = 1e-9
 
@@ -185,32 +187,9 @@ def build(vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE) ->
     return Index(rows, model, n, widest)
 
 
-class _Best:
-    """The ``limit`` best rows of each query: by score, then id."""
-
-    def __init__(self, queries: int, limit: int):
-        self.limit, self.found, self.n = limit, [[] for _ in range(queries)], [0] * queries
-
-    def add(self, query: int, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-        self.found[query].append((scores, ids, rows))
-        self.n[query] += len(scores)
-        if self.n[query] > 8 * self.limit + 1000:
-            self.cut(query)
-
-    def cut(self, query: int) -> tuple[np.ndarray, ...]:
-        scores, ids, rows = (np.concatenate(x) for x in zip(*self.found[query]))
-        keep = np.lexsort((ids, -scores))[: self.limit]
-        self.found[query], self.n[query] = [(scores[keep], ids[keep], rows[keep])], len(keep)
-        return self.found[query][0]
-
-    def batch(self) -> pa.RecordBatch:
-        query, columns = [], [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for q in range(len(self.found)):
-            if self.found[q]:
-                columns.append(self.cut(q))
-                query += [q] * len(columns[-1][0])
-        scores, ids, rows = (np.concatenate(x) for x in zip(*columns))
-        return pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(rows), pa.array(ids), pa.array(scores)], ["query", "row", "vec_id", "score"])
+def _batch(best: Best) -> pa.RecordBatch:
+    query, score, ids, row = best.cut() or (np.zeros(0, np.int32), np.zeros(0), pa.array([], pa.int64()), np.zeros(0, np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(row), ids, pa.array(score)], ["query", "row", "vec_id", "score"])
 
 
 FOUND = "query int, row long, vec_id long, score double"
@@ -228,21 +207,22 @@ def _by_codes(model: Model, queries: np.ndarray, looked_into: np.ndarray, limit:
     """The best rows by their codes, in a task; ``looked_into`` says which query (row) looks into which cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(len(queries), limit)
+        best = Best(len(queries), limit)
         # What a code word adds to a query's product: parts x queries x code words.
-        tables = np.einsum("jqd,jwd->jqw", _parts(queries, model.padded), model.books)
+        tables = _parts(queries, model.padded) @ model.books.transpose(0, 2, 1)
         direct = queries @ model.centroids.T
         for batch in batches:
-            row, cell, ids = (batch.column(i).to_numpy() for i in range(3))
-            codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(row), -1)
-            for c, rows in _by_cell(cell):
-                some = np.flatnonzero(looked_into[:, c])
-                scores = np.repeat(direct[some, c][:, None], len(rows), 1)
-                for j in range(len(tables)):
-                    scores += tables[j][some][:, codes[rows, j]]
-                for q, s in zip(some.tolist(), scores):
-                    best.add(q, s, ids[rows], row[rows])
-        yield best.batch()
+            for part in slices(batch, len(queries)):
+                part = part.take(pc.sort_indices(part.column(2)))
+                row, cell = (part.column(i).to_numpy() for i in range(2))
+                codes = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(len(row), -1)
+                for c, rows in _by_cell(cell):
+                    some = np.flatnonzero(looked_into[:, c])
+                    scores = np.repeat(direct[some, c][:, None], len(rows), 1)
+                    for j in range(len(tables)):
+                        scores += tables[j][np.ix_(some, codes[rows, j])]
+                    best.add(some, scores, part.column(2).take(pa.array(rows)), row[rows])
+        yield _batch(best)
 
     return run
 
@@ -263,21 +243,20 @@ def _by_bounds(model: Model, queries: np.ndarray, least: np.ndarray, looked_into
     """The best rows among those that the angles do not rule out for a query's least score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(len(queries), limit)
+        best = Best(len(queries), limit, least - SLACK)
         to_cell = np.arccos(np.clip(queries @ model.centroids.T, -1, 1))
         for batch in batches:
-            row, cell, ids, angle = (batch.column(i).to_numpy() for i in range(4))
-            matrix, _ = unit_rows(batch.column(4), model.size)
-            for c, rows in _by_cell(cell):
-                some = np.flatnonzero(looked_into[:, c])
-                near = np.cos(np.abs(to_cell[some, c][:, None] - angle[rows][None, :])) >= least[some][:, None] - SLACK
-                used = near.any(axis=0)
-                rows, near = rows[used], near[:, used]
-                scores = np.round(queries[some] @ matrix[rows].T, 12)
-                for q, s, ok in zip(some.tolist(), scores, near):
-                    if ok.any():
-                        best.add(q, s[ok], ids[rows[ok]], row[rows[ok]])
-        yield best.batch()
+            for part in slices(batch, len(queries)):
+                part = part.take(pc.sort_indices(part.column(2)))
+                row, cell, angle = (part.column(i).to_numpy() for i in (0, 1, 3))
+                matrix, _ = unit_rows(part.column(4), model.size)
+                for c, rows in _by_cell(cell):
+                    some = np.flatnonzero(looked_into[:, c])
+                    near = np.cos(np.abs(to_cell[some, c][:, None] - angle[rows][None, :])) >= least[some][:, None] - SLACK
+                    rows, some = rows[near.any(axis=0)], some[near.any(axis=1)]
+                    if len(rows):
+                        best.add(some, np.round(queries[some] @ matrix[rows].T, 12), part.column(2).take(pa.array(rows)), row[rows])
+        yield _batch(best)
 
     return run
 

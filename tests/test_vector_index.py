@@ -1,11 +1,17 @@
 """The vector index: against a comparison with every vector."""
 
+import tracemalloc
+import types
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.operators import knowledge as K
 from faultline.operators import vector_index as X
 from faultline.operators.knowledge import semantic_search
+from faultline.plans import catalogue
 
 
 def vectors(spark, rows):
@@ -75,3 +81,46 @@ def test_fewer_rows_than_asked_for_and_none(spark):
         assert X.search(index, asked(df)).count() == 0
         assert rows(X.search(index, asked(df), exact=True)) == rows(semantic_search(some, asked(df)))
     assert X.search(X.build(df), asked(df).limit(0), exact=True).count() == 0
+
+
+def test_a_task_holds_few_scores(spark, monkeypatch):
+    """Memory of a task's search does not grow with its batch of rows: small blocks of scores, whatever ties there are."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(400, 16)), 50, axis=0)
+    batch = pa.RecordBatch.from_arrays([pa.array(rng.permutation(len(x))), pa.array(list(x), pa.list_(pa.float64()))], ["vec_id", "embedding"])
+    queries, directed = K.unit_rows(batch.column(1).slice(0, 100), 16)
+    model = X.Model(queries[:4], rng.normal(size=(4, X.WORDS, X.WIDTH)), 4)
+    monkeypatch.setattr(X.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    indexed = pa.Table.from_batches(X._assigned(model)([batch]), schema=pa.schema([("row", pa.int64()), ("cell", pa.int32()), ("vec_id", pa.int64()), ("angle", pa.float64()), ("codes", pa.binary()), ("embedding", pa.list_(pa.float64()))]))
+    whole, every = indexed.combine_chunks().to_batches()[0], np.ones((100, 4), bool)
+    coded = whole.select(["row", "cell", "vec_id", "codes"])
+    exact = whole.select(["row", "cell", "vec_id", "angle", "embedding"])
+    searches = {
+        "vectors": (lambda: K._nearest(pa.array(range(100)), queries, directed, 20)([batch]), ["query_id", "vec_id"]),
+        "codes": (lambda: X._by_codes(model, queries, every, 20)([coded]), ["query", "vec_id"]),
+        "bounds": (lambda: X._by_bounds(model, queries, np.full(100, -1.0), every, 20)([exact]), ["query", "vec_id"]),
+    }
+    ids, scores = batch.column(0).to_numpy(), np.round(queries @ K.unit_rows(batch.column(1), 16)[0].T, 12)
+    wanted = sorted((q, int(i)) for q in range(100) for i in ids[np.lexsort((ids, -scores[q]))[:20]])
+    found = {}
+    for name, (search, columns) in searches.items():
+        found[name] = sorted(zip(*(pa.Table.from_batches(search()).column(c).to_pylist() for c in columns)))
+    assert found["vectors"] == found["bounds"] == wanted
+    monkeypatch.setattr(K, "BLOCK_SCORES", 1 << 14)
+    for name, (search, columns) in searches.items():
+        assert sorted(zip(*(pa.Table.from_batches(search()).column(c).to_pylist() for c in columns))) == found[name]
+        tracemalloc.start()
+        list(search())
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # A block of all rows' scores alone would be 16 MB.
+        assert most < 8_000_000, (name, most)
+
+
+def test_graph_searches_ask_for_one_vector(spark, sf, monkeypatch):
+    """Only the query that is used is held against the vectors."""
+    asked_for, search = [], K.semantic_search
+    monkeypatch.setattr(K, "semantic_search", lambda vectors, queries, *a: asked_for.append(queries.count()) or search(vectors, queries, *a))
+    for name in ("graph_search_merge", "graph_search_expanded"):
+        assert catalogue.queries()[name](spark, sf).count() > 0
+    assert asked_for == [1, 1]
