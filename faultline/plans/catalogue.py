@@ -339,8 +339,9 @@ def _asked(r):
     return v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-def _cosine(r):
-    return K.semantic_search(*_asked(r))
+def _cosine(r, which: str = "true"):
+    vectors, queries = _asked(r)
+    return K.semantic_search(vectors, queries.filter(which))
 
 
 @query("", _TOPK)
@@ -363,7 +364,7 @@ def search_index_recall(r):
   case when score is not null and graph_score is not null then '[SEM+GRAPH]' when score is not null then '[SEM]' else '[GRAPH]' end as badge from m""")
 def graph_search_merge(r):
     v = r.table("embeddings")
-    hits = _cosine(r).filter("query_id = 0").select(F.col("vec_id").alias("id"), "score")
+    hits = _cosine(r, "query_id = 0").select(F.col("vec_id").alias("id"), "score")
     label = v.filter("vec_id = 0").select("label")
     near = v.join(F.broadcast(label), "label", "left_semi").select(F.col("vec_id").alias("id"), F.lit(0.5).alias("graph_score"))
     return K.graph_search(hits, near).withColumn("score", F.round("score", 4))
@@ -387,7 +388,7 @@ def graph_search_expanded(r):
     node = lambda x: F.concat(F.lit("v"), x.cast("string"))
     links = F.array(F.struct(((k * 7 + 3) % n).alias("to"), ((k % 10) / F.lit(10.0)).alias("strength")), F.struct(((k * 5 + 1) % n).alias("to"), F.lit(0.8).alias("strength")))
     edges = v.select("vec_id", F.inline(links)).select(node(k).alias("source_id"), F.lit("vector").alias("source_type"), node(F.col("to")).alias("target_id"), F.lit("vector").alias("target_type"), F.lit("near").alias("relation_type"), "strength")
-    hits = _cosine(r).filter("query_id = 0").select(node(F.col("vec_id")).alias("id"), "score")
+    hits = _cosine(r, "query_id = 0").select(node(F.col("vec_id")).alias("id"), "score")
     return K.expanded_search(hits, edges, depth=2, types="near").withColumn("score", F.round("score", 4))
 
 
