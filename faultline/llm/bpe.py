@@ -73,7 +73,8 @@ class ByteBpe:
         n = self._size()
         return np.arange(n) * 4, np.full(n, 4), np.arange(n, dtype="<u4").tobytes()
 
-    def finish(self, ids: bytes, text: bytes) -> tuple[bytes, str]:
+    @staticmethod
+    def finish(ids: bytes, text: bytes) -> tuple[bytes, str]:
         return ids, text.decode("utf-8", "replace")
 
 

@@ -73,7 +73,8 @@ class SentencePieces:
         lengths = np.array([*map(len, digits)], np.int64)
         return np.cumsum(lengths) - lengths, lengths, b"".join(digits)
 
-    def finish(self, ids: bytes, text: bytes) -> tuple[bytes, str]:
+    @staticmethod
+    def finish(ids: bytes, text: bytes) -> tuple[bytes, str]:
         """Without the last comma, and without the marker that the library put first."""
         return ids[:-1], text[1:].decode("utf-8", "replace")
 

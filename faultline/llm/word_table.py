@@ -16,7 +16,7 @@ A tokenizer is a class, made from the path of its file, with
 * ``encode(words)``: a list of ids for each;
 * ``pieces()``: starts and lengths of the ids' pieces in one string of bytes;
 * ``digits()``: starts and lengths of what an id adds to the digest of ids, and the string of bytes that holds it;
-* ``finish(ids, text)``: what a document's digits and pieces, each joined, become.
+* ``finish(ids, text)``, a static method: what a document's digits and pieces, each joined, become.
 """
 
 from __future__ import annotations
@@ -34,10 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm._memory import released
+from faultline.llm._memory import release, released
 from faultline.llm._store import bounded_batches, stored
 
 BLOCK_CHARS = 4_000_000
+#: Words that go to the tokenizer at once.
+ENCODED_AT_ONCE = 1000
 #: Bytes of input for each partition of distinct words; a plan that says it has more than UNKNOWN_BYTES doesn't know.
 PARTITION_BYTES, UNKNOWN_BYTES = 128 << 20, 1 << 50
 #: Steps of a plan after which rows may be dealt otherwise when it is run again.
@@ -49,6 +51,16 @@ def _made(kind: type, path: str):
     return kind(path)
 
 
+@lru_cache(2)
+def _tables(kind: type, path: str):
+    """A tokenizer's digits and pieces, which are small, without the tokenizer."""
+    made = kind(path)
+    out = made.digits(), made.pieces()
+    del made
+    release()
+    return out
+
+
 def _forgetting(run):
     """``run`` for mapInArrow, after which the worker, which outlives its task, holds no tokenizer."""
 
@@ -150,8 +162,11 @@ def _encode(kind: type, path: str):
             for r in batch.to_pylist():
                 words = _cut(zstandard.decompress(r["body"]), unpack(r["lengths"]))
                 new = [w for w in words if w not in known]
-                for w, ids in zip(new, tokenizer.encode(new)):
-                    known[w] = np.array(ids, "<u4").tobytes()
+                # A few at a time, since what a library says of a word is much larger than its ids.
+                for i in range(0, len(new), ENCODED_AT_ONCE):
+                    few = new[i : i + ENCODED_AT_ONCE]
+                    for w, ids in zip(few, tokenizer.encode(few)):
+                        known[w] = np.array(ids, "<u4").tobytes()
                 ids = [known[w] for w in words]
                 rows.append((r["block"], r["check"], r["n_words"], pack(np.frombuffer(b"".join(ids), "<u4")), pack(np.array([*map(len, ids)]) // 4)))
             if rows:
@@ -185,8 +200,8 @@ def _assemble(kind: type, path: str, texts: bool):
         at, flat, lengths = np.concatenate(at), np.concatenate(flat), np.concatenate(lengths).astype(np.int64)
         order = np.argsort(at)
         flat, lengths = flat[ranges((np.cumsum(lengths) - lengths)[order], lengths[order])], lengths[order]
-        ends, tokenizer = np.cumsum(lengths), _made(kind, path)
-        digits, pieces = (_by_word(flat, ends, *t) for t in (tokenizer.digits(), tokenizer.pieces()))
+        ends = np.cumsum(lengths)
+        digits, pieces = (_by_word(flat, ends, *t) for t in _tables(kind, path))
         out = []
         for r in docs.to_pylist():
             n_words, body = unpack(r["n_words"]).astype(np.int64), unpack(r["body"])
@@ -194,7 +209,7 @@ def _assemble(kind: type, path: str, texts: bool):
             for doc_id, low, high in zip(r["doc_id"], (stops - n_words).tolist(), stops.tolist()):
                 w = body[low:high]
                 numbers = w.tolist()
-                ids, text = tokenizer.finish(b"".join(map(digits.__getitem__, numbers)), b"".join(map(pieces.__getitem__, numbers)))
+                ids, text = kind.finish(b"".join(map(digits.__getitem__, numbers)), b"".join(map(pieces.__getitem__, numbers)))
                 row = (doc_id, int(lengths[w].sum()), hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest())
                 out.append((*row, flat[ranges((ends - lengths)[w], lengths[w])].tolist(), text) if texts else row)
         kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())][: 6 if texts else 4]

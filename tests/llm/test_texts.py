@@ -1,17 +1,21 @@
 """Token counts, licences, personal data, BPE: against plain versions, and on edge cases."""
 
+import gc
 import hashlib
 import random
 import re
+import weakref
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from faultline.llm import licenses, pii, sentencepieces
-from faultline.llm.bpe import encode_decode
+from faultline.llm import word_table as W
+from faultline.llm.bpe import ByteBpe, encode_decode
 from faultline.llm.token_counts import _encoding, attribute, field_token_counts, line_token_counts
 
 VOCABULARY, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -363,3 +367,33 @@ def test_pii_digest(spark, docs, odd, nothing):
     assert pii.pii_digest(nothing).count() == 0
     df = spark.createDataFrame([(1, "é a@b.co, 1.2.3.4!")], "doc_id long, text string")
     assert pii.redacted(df).first().text == "é [email], [ip]!"
+
+
+def test_assembling_holds_no_tokenizer():
+    """Blocks are put together from small tables that are made once, and words reach the tokenizer a few at a time."""
+    made, sizes = [], []
+
+    class Counted(ByteBpe):
+        def __init__(self, path):
+            super().__init__(path)
+            made.append(weakref.ref(self))
+
+        def encode(self, words):
+            sizes.append(len(words))
+            return super().encode(words)
+
+    path = VOCABULARY
+    words = [f"w{i}".encode() for i in range(2500)]
+    requests = pa.RecordBatch.from_pylist([{"block": 0, "check": 1, "part": 0, "n_words": W.pack(np.arange(2500)), "body": W.zstandard.compress(b"".join(words)), "lengths": W.pack(np.array([*map(len, words)]))}])
+    encoded = pa.Table.from_batches(W._encode(Counted, path)(iter([requests])))
+    W._made.cache_clear()
+    assert sum(sizes) == 2500 and max(sizes) <= 1000
+    docs = pa.Table.from_pylist([{"block": 0, "check": 1, "doc_id": [7], "n_words": W.pack(np.array([2500])), "body": W.pack(np.arange(2500))}])
+    made.clear()
+    plain = ByteBpe(path)
+    ids = [i for w in words[:10] for i in plain.encode([w.decode()])[0]][:10]
+    for _ in range(2):
+        row = W._assemble(Counted, path, True)(docs, encoded).to_pylist()[0]
+        assert row["decoded"] == b"".join(words).decode() and row["ids"][:10] == ids
+    gc.collect()
+    assert len(made) == 1 and made[0]() is None
