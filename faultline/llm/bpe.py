@@ -16,6 +16,7 @@ Cases
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,13 +31,24 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACE
 _EXOTIC = re.compile("[^\x00-ɏ]")
 
 
+@lru_cache(2)
+def _library(path: str) -> Tokenizer:
+    """The library's tokenizer, made once a process.
+
+    The library keeps what it has encoded by tokenizer and thread, and a tokenizer that goes leaves that behind. So one
+    stays, and it encodes in the calling thread alone.
+    """
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 class ByteBpe:
     """The words, ids and pieces of a tokenizer file."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer = _library(path)
         self.find = re.compile(PATTERN).findall
         self.by_id = {i: a.content for i, a in self.tokenizer.get_added_tokens_decoder().items()}
         self.added = {*self.by_id.values()}
@@ -53,7 +65,8 @@ class ByteBpe:
         return [w for part in self.parts.split(text) if part for w in ([part] if part in self.added else self._plain(part))]
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        # One by one: a batch is dealt to a thread for each of the machine's cores.
+        return [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
 
     def _size(self) -> int:
         return max([*self.tokenizer.get_vocab(True).values()]) + 1

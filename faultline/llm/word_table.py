@@ -53,7 +53,7 @@ def _made(kind: type, path: str):
 
 @lru_cache(2)
 def _tables(kind: type, path: str):
-    """A tokenizer's digits and pieces, which are small, without the tokenizer."""
+    """A tokenizer's digits and pieces, which are small, without what else its class holds."""
     made = kind(path)
     out = made.digits(), made.pieces()
     del made
@@ -62,7 +62,7 @@ def _tables(kind: type, path: str):
 
 
 def _forgetting(run):
-    """``run`` for mapInArrow, after which the worker, which outlives its task, holds no tokenizer."""
+    """``run`` for mapInArrow, after which the worker, which outlives its task, holds no tokenizer but one that its class keeps for itself."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)

@@ -4,6 +4,8 @@ import gc
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import weakref
 
 import numpy as np
@@ -369,6 +371,24 @@ def test_pii_digest(spark, docs, odd, nothing):
     assert pii.redacted(df).first().text == "é [email], [ip]!"
 
 
+def test_bpe_worker_does_not_grow():
+    """Task after task, a worker's memory stays what it was after the first ones."""
+    run = f"""
+import re
+import numpy as np, pyarrow as pa
+from faultline.llm import word_table as W
+from faultline.llm.bpe import ByteBpe
+for task in range(12):
+    words = [f"{{i * 2654435761 % 2**32:x}}{{task}}".encode() for i in range(20000)]
+    row = {{"block": 0, "check": 1, "part": 0, "n_words": W.pack(np.arange(len(words))), "body": W.zstandard.compress(b"".join(words)), "lengths": W.pack(np.array([*map(len, words)]))}}
+    for _ in W._forgetting(W._encode(ByteBpe, {VOCABULARY!r}))(iter([pa.RecordBatch.from_pylist([row])])):
+        pass
+    print(sum(map(int, re.findall(r"\\nAnonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) // 1024)
+"""
+    mb = [*map(int, subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, check=True).stdout.split())]
+    assert len(mb) == 12 and mb[-1] - mb[2] < 20
+
+
 def test_assembling_holds_no_tokenizer():
     """Blocks are put together from small tables that are made once, and words reach the tokenizer a few at a time."""
     made, sizes = [], []
