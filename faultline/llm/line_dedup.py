@@ -41,7 +41,7 @@ from pyspark.sql.window import Window
 
 from faultline.llm._memory import released
 from faultline.llm._store import bounded_batches, by_position, dropped, stored
-from faultline.llm._text import BASE, BASE_INVERSE, SPACE_WORDS, Words, chunks, mix, power_table, utf8, words_of
+from faultline.llm._text import BASE, BASE_INVERSE, CACHED_BYTES, SPACE_WORDS, Words, chunks, mapped, mix, power_table, utf8, words_of
 from faultline.llm.near_dedup import near_duplicates
 
 DEPTH, SIMILAR_PERCENT = 4, 80
@@ -54,8 +54,6 @@ FAMILY_TABLES = 8
 FAMILY_ROUNDS = 1
 _U = np.uint64
 _VARIABLE = _U(0x5851F42D4C957F2D)
-_DIGIT = np.zeros(256, bool)
-_DIGIT[0x30:0x3A] = True
 _STOP = np.zeros(256, bool)
 _STOP[[*b".!?"]] = True
 
@@ -66,13 +64,14 @@ class Units:
 
     def __init__(self, w: Words):
         n, data = len(w.hash), w.data
-        digits, breaks = np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int64)
-        np.cumsum(_DIGIT[data], out=digits[1:])
-        np.cumsum(data == 10, out=breaks[1:])
-        self.tokens = np.where(digits[w.end] > digits[w.start], _VARIABLE, w.hash)
+        # The words that hold a digit, and those that a line break stands before.
+        self.tokens = w.hash.copy()
+        self.tokens[np.searchsorted(w.start, np.flatnonzero((data - np.uint8(0x30)) < 10), "right") - 1] = _VARIABLE
+        after_break = np.searchsorted(w.start, np.flatnonzero(data == 10))
         self.word_row = np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))
         new_line = np.ones(n, bool)
-        new_line[1:] = (self.word_row[1:] != self.word_row[:-1]) | (breaks[w.start[1:]] != breaks[w.start[:-1]])
+        new_line[1:] = self.word_row[1:] != self.word_row[:-1]
+        new_line[after_break[after_break < n]] = True
         new_sentence = new_line.copy()
         new_sentence[1:] |= _STOP[data[w.end[:-1] - 1]]
         self.total = np.zeros(n + 1, np.uint64)
@@ -105,7 +104,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The different units of each document, with a hash of the whole text."""
     for batch in batches:
         sources = batch.column(0).to_numpy(zero_copy_only=False)
-        for low, _, w in words_of(batch.column(1), SPACE_WORDS):
+        for low, _, w in words_of(batch.column(1), SPACE_WORDS, limit=CACHED_BYTES):
             u = Units(w)
             order = np.lexsort((u.hash, u.row))
             row, line = u.row[order], u.hash[order]
@@ -120,7 +119,7 @@ def _tokens_of(wanted: np.ndarray | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, w in words_of(batch.column(0), SPACE_WORDS):
+            for _, _, w in words_of(batch.column(0), SPACE_WORDS, limit=CACHED_BYTES):
                 u = Units(w)
                 at = np.arange(len(u.hash)) if wanted is None else np.flatnonzero(_in(wanted, u.hash))
                 at = at[np.unique(u.hash[at], return_index=True)[1]]
@@ -262,13 +261,19 @@ def _dropped(u: Units, n: int, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return line, sentence
 
 
+def _by_line(u: Units, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's first sentence and the number of its sentences that go."""
+    starts = np.searchsorted(u.sentences, u.lines)
+    return starts, np.add.reduceat(sentence[u.sentences].astype(np.int64), starts) if len(starts) else starts
+
+
 def _runs(column: pa.Array, sources: np.ndarray, gone_of) -> Iterator[tuple[int, int]]:
     """(hash, source) of each run of short sentences, with those on either side that go."""
-    for low, _, w in words_of(column, SPACE_WORDS):
+    for low, _, w in words_of(column, SPACE_WORDS, limit=CACHED_BYTES):
         u = Units(w)
         line, sentence = _dropped(u, len(w.hash), gone_of(low + u.row, u.hash))
-        starts = np.searchsorted(u.sentences, u.lines)
-        for i in np.flatnonzero(~line[u.lines]).tolist():
+        starts, go = _by_line(u, sentence)
+        for i in np.flatnonzero(~line[u.lines] & (go > 1)).tolist():
             a, b = int(starts[i]), int(starts[i + 1]) if i + 1 < len(starts) else len(u.sentences)
             firsts, ends = u.sentences[a:b], u.sentence_end[a:b]
             for x, y in _between(sentence[firsts], (ends - firsts) < SENTENCE_TOKENS) if b > a + 2 else ():
@@ -281,16 +286,20 @@ def _cuts(u: Units, w: Words, gone: np.ndarray, copied: np.ndarray, whole_run) -
     ``gone`` says which units do, ``copied`` which rows are not to lose all words, ``whole_run`` whether a run recurs, by row and hash.
     """
     dropped_line, dropped_sentence = _dropped(u, len(w.hash), gone)
+    starts, go = _by_line(u, dropped_sentence)
+    changed, bounds = dropped_line[u.lines] | (go > 0), np.searchsorted(u.lines, w.bounds).tolist()
     out: dict[int, tuple[list[tuple[int, int]], int]] = {}
     rows = np.unique(u.row[gone])
     for r in rows.tolist():
         begin, finish = int(w.offsets[r]), int(w.offsets[r + 1])
         raw = w.data[begin:finish]
         breaks = np.flatnonzero(raw == 10)
-        low, high = np.searchsorted(u.lines, [w.bounds[r], w.bounds[r + 1]])
-        cuts, count, left = [], 0, False
-        for i in range(int(low), int(high)):
-            a, b = int(u.lines[i]), int(u.line_end[i])
+        low, high = bounds[r], bounds[r + 1]
+        # Lines of which nothing goes are left as they are.
+        at = np.flatnonzero(changed[low:high]) + low
+        cuts, count, left = [], 0, len(at) < high - low
+        for i in at.tolist():
+            a = int(u.lines[i])
             start = int(w.start[a]) - begin
             k = int(np.searchsorted(breaks, start))
             line_start = int(breaks[k - 1]) + 1 if k else 0
@@ -299,20 +308,19 @@ def _cuts(u: Units, w: Words, gone: np.ndarray, copied: np.ndarray, whole_run) -
                 cuts.append((line_start, line_end + 1))
                 count += 1
                 continue
-            s_low, s_high = np.searchsorted(u.sentences, [a, b])
+            s_low, s_high = starts[i], starts[i + 1] if i + 1 < len(starts) else len(u.sentences)
             firsts, ends = u.sentences[s_low:s_high], u.sentence_end[s_low:s_high]
             go = dropped_sentence[firsts].copy()
             count += int(go.sum())
-            if go.any():
-                for x, y in _between(go, (ends - firsts) < SENTENCE_TOKENS):
-                    if whole_run(r, u.of(firsts[x : x + 1], ends[y : y + 1]).view(np.int64)[0]):
-                        go[x + 1 : y] = True
-                if go.all():
-                    cuts.append((line_start, line_end + 1))
-                    continue
-                for j in np.flatnonzero(go).tolist():
-                    last = int(w.start[firsts[j + 1]]) - begin if j + 1 < len(firsts) else line_end
-                    cuts.append((int(w.start[firsts[j]]) - begin, last))
+            for x, y in _between(go, (ends - firsts) < SENTENCE_TOKENS):
+                if whole_run(r, u.of(firsts[x : x + 1], ends[y : y + 1]).view(np.int64)[0]):
+                    go[x + 1 : y] = True
+            if go.all():
+                cuts.append((line_start, line_end + 1))
+                continue
+            for j in np.flatnonzero(go).tolist():
+                last = int(w.start[firsts[j + 1]]) - begin if j + 1 < len(firsts) else line_end
+                cuts.append((int(w.start[firsts[j]]) - begin, last))
             left = True
         if cuts and (left or not copied[r]):
             out[r] = (cuts, count)
@@ -325,7 +333,7 @@ def _lines_with_words(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         return np.zeros(len(offsets) - 1, np.int64)
     begins = np.union1d(np.flatnonzero(data == 10) + 1, offsets[:-1])
     begins = begins[begins < len(data)]
-    full = np.concatenate(([0], np.cumsum(np.logical_or.reduceat(SPACE_WORDS[data], begins))))
+    full = np.concatenate(([0], np.cumsum(np.logical_or.reduceat(mapped(data, SPACE_WORDS), begins))))
     at = np.searchsorted(begins, offsets)
     return full[at[1:]] - full[at[:-1]]
 
@@ -335,7 +343,7 @@ def _rewritten(column: pa.Array, look: np.ndarray, copied: np.ndarray, gone_of,
     texts, n_lines, n_dropped = [None] * len(column), _lines_with_words(*utf8(column)), np.zeros(len(column), np.int64)
     at = np.flatnonzero(look)
     offsets, data = utf8(column.take(pa.array(at)))
-    for low, high in chunks(offsets):
+    for low, high in chunks(offsets, CACHED_BYTES):
         w = Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], SPACE_WORDS, True)
         u = Units(w)
         for r, (cuts, count) in _cuts(u, w, gone_of(at[low + u.row], u.hash), copied[at[low:]], lambda r, h, low=low: whole_run(at[low + r], h)).items():

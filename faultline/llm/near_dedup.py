@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 
 from faultline.llm._memory import released
 from faultline.llm._store import bounded_batches, by_position, dropped, stored
-from faultline.llm._text import SPACE_WORDS, mix, words_of
+from faultline.llm._text import CACHED_BYTES, SPACE_WORDS, mix, words_of
 from faultline.llm.components import connected_components
 
 SHINGLE = 5
@@ -64,7 +64,7 @@ _SALT = _rng.integers(0, 1 << 63, 2 * TABLES, dtype=np.uint64)
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, sizes, sets one after another), each set sorted and distinct."""
-    for low, high, w in words_of(column, SPACE_WORDS):
+    for low, high, w in words_of(column, SPACE_WORDS, limit=CACHED_BYTES):
         grams = w.grams(SHINGLE)
         sets = []
         for a, b in zip(w.bounds[:-1], w.bounds[1:]):
@@ -108,8 +108,11 @@ def _features(tables: int):
                     s1[full] = np.add.reduceat(mix(values ^ np.uint64(0xA5)), at)
                     s2[full] = np.bitwise_xor.reduceat(mix(values + np.uint64(0x5A)), at)
                     least = np.empty((len(full), n_hashes), np.uint64)
+                    hashes = np.empty_like(values)
                     for k in range(n_hashes):
-                        least[:, k] = np.minimum.reduceat((values ^ _XOR[k]) * _MUL[k], at)
+                        np.bitwise_xor(values, _XOR[k], out=hashes)
+                        hashes *= _MUL[k]
+                        least[:, k] = np.minimum.reduceat(hashes, at)
                     least = mix(least)
                     sketch[full] = (least >> np.uint64(17)).astype(np.uint8)
                     joined = _SALT[None, : 2 * tables].repeat(len(full), 0)

@@ -2,12 +2,15 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from test_near_dedup import brute
 
 from faultline.llm import decontamination, line_dedup
+from faultline.llm._text import SPACE_WORDS, words_of
 from faultline.llm.decontamination import decontaminated, leaks, tiles
 from faultline.llm.line_dedup import lines_filtered
 
@@ -354,3 +357,17 @@ def test_leak_edges(spark, odd, nothing):
     assert decontaminated(odd, bench).columns == odd.columns and decontaminated(odd, bench.limit(0)).count() == odd.count()
     dotted = spark.createDataFrame([(1, "one", "x"), (2, "two", "y")], "doc_id long, text string, `a.b c` string")
     assert [tuple(r) for r in decontaminated(dotted, bench).collect()] == [(2, "two", "y")]
+
+
+def test_lines_that_stay_are_not_looked_at(monkeypatch):
+    """Lines of which fewer than two sentences go have no run between two of them, and are passed over."""
+    sentence = "{} one two three four five six seven eight."
+    texts = [sentence.format("alpha") + " Yes. " + sentence.format("beta"), *(f"{sentence.format(a)} No. {sentence.format(b)}" for a, b in zip("abcdefghij", "klmnopqrst"))]
+    column = pa.array(["\n".join(texts)])
+    (_, _, w), = words_of(pa.array([texts[0]]), SPACE_WORDS)
+    unit = line_dedup.Units(w)
+    wanted = np.sort(unit.hash[~unit.is_line])
+    seen, between = [], line_dedup._between
+    monkeypatch.setattr(line_dedup, "_between", lambda go, short: seen.append(len(go)) or between(go, short))
+    assert len([*line_dedup._runs(column, np.array([5]), lambda _, h: np.isin(h, wanted))]) == 1
+    assert seen == [3]
