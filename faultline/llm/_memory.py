@@ -26,3 +26,14 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
         release()
 
     return wrapped
+
+
+def by_batch(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with all that it makes of a batch in one batch, since each has costs of its own on its way to the JVM."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [*run(iter([batch]))]
+            yield from pa.Table.from_batches(made).combine_chunks().to_batches() if len(made) > 1 else made
+
+    return wrapped

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultline.llm._memory import released
+from faultline.llm._memory import by_batch, released
 from faultline.llm._store import bounded_batches, by_position, dropped, stored
 from faultline.llm._text import BASE, BASE_INVERSE, CACHED_BYTES, SPACE_WORDS, Words, chunks, mapped, mix, power_table, utf8, words_of
 from faultline.llm.near_dedup import near_duplicates
@@ -63,7 +63,7 @@ class Units:
     ``leaf``, ``is_line``. Order: lines, then sentences of lines of several."""
 
     def __init__(self, w: Words):
-        n, data = len(w.hash), w.data
+        n, data = len(w.hash), w.raw
         # The words that hold a digit, and those that a line break stands before.
         self.tokens = w.hash.copy()
         self.tokens[np.searchsorted(w.start, np.flatnonzero((data - np.uint8(0x30)) < 10), "right") - 1] = _VARIABLE
@@ -73,7 +73,7 @@ class Units:
         new_line[1:] = self.word_row[1:] != self.word_row[:-1]
         new_line[after_break[after_break < n]] = True
         new_sentence = new_line.copy()
-        new_sentence[1:] |= _STOP[data[w.end[:-1] - 1]]
+        new_sentence[1:] |= _STOP.take(data.take(w.end[:-1] - 1), mode="clip")
         self.total = np.zeros(n + 1, np.uint64)
         np.cumsum(self.tokens * power_table("power", BASE, n + 1)[:n], out=self.total[1:])
         self.inverse = power_table("inverse", BASE_INVERSE, n + 1)
@@ -92,12 +92,21 @@ class Units:
         self.is_line = np.arange(len(self.first)) < long.sum()
         self.leaf = self.of(self.first, np.minimum(self.first + DEPTH, self.last), self.last - self.first).view(np.int64)
 
+    def before_short(self) -> np.ndarray:
+        """Which units are sentences that short ones of the line follow, and then one that is not short."""
+        size = self.sentence_end - self.sentences
+        long = np.flatnonzero(size >= SENTENCE_TOKENS)
+        line = np.searchsorted(self.lines, self.sentences[long], "right")
+        mark = np.zeros(len(self.tokens) + 1, bool)
+        mark[self.sentences[long[:-1][(np.diff(long) > 1) & (line[1:] == line[:-1])]]] = True
+        return mark[self.first] & ~self.is_line
+
     def of(self, first: np.ndarray, last: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
         """Hash of words first .. last - 1 and their number (or another)."""
         return mix((self.total[last] - self.total[first]) * self.inverse[first] + (last - first if count is None else count).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
-UNITS = "line long, leaf long, n int, source long"
+UNITS = "line long, leaf long, n int, source long, before_short boolean"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,52 +120,62 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.ones(len(order), bool)
             keep[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
             at = order[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(u.hash[at]), pa.array(u.leaf[at]), pa.array((u.last - u.first)[at], pa.int32()), pa.array(sources[low + u.row[at]], pa.int64())], ["line", "leaf", "n", "source"])
+            before = np.logical_or.reduceat(u.before_short()[order], np.flatnonzero(keep)) if len(at) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(u.hash[at]), pa.array(u.leaf[at]), pa.array((u.last - u.first)[at], pa.int32()), pa.array(sources[low + u.row[at]], pa.int64()), pa.array(before)], ["line", "leaf", "n", "source", "before_short"])
 
 
-def _tokens_of(wanted: np.ndarray | None):
-    """(line, tokens as 32-bit hashes) of the different units of a batch, those in ``wanted`` (sorted) only if there is one."""
+def _pairs(row: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A hash of each row and line."""
+    return mix(mix(row.astype(np.uint64)) ^ line.view(np.uint64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, w in words_of(batch.column(0), SPACE_WORDS, limit=CACHED_BYTES):
-                u = Units(w)
-                at = np.arange(len(u.hash)) if wanted is None else np.flatnonzero(_in(wanted, u.hash))
-                at = at[np.unique(u.hash[at], return_index=True)[1]]
-                tokens = (u.tokens >> _U(32)).astype(np.int64)
-                lists = [tokens[a:b] for a, b in zip(u.first[at].tolist(), u.last[at].tolist())]
-                bounds = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(u.hash[at]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))], ["line", "tokens"])
 
-    return run
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line, tokens as 32-bit hashes) of the units of each text that are in its list of wanted ones."""
+    for batch in batches:
+        lists = batch.column(1)
+        wanted = np.sort(_pairs(np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy().astype(np.int64)))
+        for low, _, w in words_of(batch.column(0), SPACE_WORDS, limit=CACHED_BYTES):
+            u = Units(w)
+            at = np.flatnonzero(_in(wanted, _pairs(low + u.row, u.hash)))
+            at = at[np.unique(u.hash[at], return_index=True)[1]]
+            first, n = u.first[at], (u.last - u.first)[at]
+            bounds = np.concatenate(([0], np.cumsum(n)))
+            tokens = (u.tokens[np.repeat(first - bounds[:-1], n) + np.arange(bounds[-1])] >> _U(32)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(u.hash[at]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens))], ["line", "tokens"])
 
 
 def _in(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x if len(sorted_) else np.zeros(len(x), bool)
 
 
-def template_keys(leaf: int, tokens: np.ndarray, rare: np.ndarray) -> list[int]:
-    """Hashes of a unit's templates: that of its rare tokens, then those of one further variable place."""
-    n = len(tokens)
-    spare = (100 - SIMILAR_PERCENT) * n // 100 - int(rare.sum())
-    if spare < 0:
-        return []
-    power = power_table("power", BASE, n)[:n]
+def template_keys(leaf: np.ndarray, n: np.ndarray, tokens: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of units' templates, those of their rare tokens and those of one further variable place, and the unit of each.
+
+    ``tokens`` of all units follow one another, ``n`` of each; ``rare`` says which are.
+    """
+    if not len(n):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start, unit = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(tokens)) - start[unit]
+    spare = (100 - SIMILAR_PERCENT) * n // 100 - np.add.reduceat(rare.astype(np.int64), start)
+    power = power_table("power", BASE, int(n.max()))[place]
     fixed = mix(np.where(rare, _VARIABLE, tokens.astype(np.uint64))) * power
-    base = np.array([leaf], np.int64).view(np.uint64) + fixed.sum(dtype=np.uint64)
-    places = np.flatnonzero(~rare[DEPTH:]) + DEPTH if spare else np.zeros(0, np.int64)
-    return mix(np.concatenate((base, base - fixed[places] + mix(np.array([_VARIABLE])) * power[places]))).view(np.int64).tolist()
+    base = leaf.view(np.uint64) + np.add.reduceat(fixed, start)
+    alone, at = np.flatnonzero(spare >= 0), np.flatnonzero(~rare & (place >= DEPTH) & (spare > 0)[unit])
+    further = base[unit[at]] - fixed[at] + mix(np.array([_VARIABLE])) * power[at]
+    return mix(np.concatenate((base[alone], further))).view(np.int64), np.concatenate((alone, unit[at]))
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, line) of each unit's templates, from rows (line, leaf, tokens, rare)."""
+    """(key, line, n, docs) of each unit's templates, from rows (line, leaf, tokens, docs, places of common ones)."""
     for batch in batches:
-        keys, lines = [], []
-        for line, leaf, tokens, rare in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-            own = template_keys(leaf, tokens.values.to_numpy(), np.isin(np.arange(len(tokens)), rare.values.to_numpy() if rare.is_valid else []))
-            keys += own
-            lines += [line] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.int64())], ["key", "line"])
+        line, leaf = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+        n, n_common = (pc.fill_null(pc.list_value_length(batch.column(i)), 0).to_numpy().astype(np.int64) for i in (2, 4))
+        tokens, start = batch.column(2).flatten().to_numpy(), np.cumsum(n) - n
+        rare = np.arange(len(tokens)) - np.repeat(start, n) >= DEPTH
+        rare[np.repeat(start, n_common) + batch.column(4).flatten().to_numpy()] = False
+        keys, unit = template_keys(leaf, n, tokens, rare)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(line[unit]), pa.array(n[unit], pa.int32()), pa.array(batch.column(3).to_numpy()[unit])], ["key", "line", "n", "docs"])
 
 
 def _enough(docs: str):
@@ -176,7 +195,7 @@ def units_of(docs: DataFrame) -> DataFrame:
     """(line, leaf, n, source): the different units of each row's text, stored; equal texts have the same source."""
     bounded_batches(docs.sparkSession)
     text = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").select(_source().alias("source"), "text")
-    return stored(text.mapInArrow(released(_units), UNITS), "lines")
+    return stored(text.mapInArrow(released(by_batch(_units)), UNITS), "lines")
 
 
 class Candidates:
@@ -186,23 +205,20 @@ class Candidates:
     """
 
     def __init__(self, docs: DataFrame, seen: DataFrame, exact: bool = False):
-        several = [F.count(F.lit(1)).alias("rows"), F.min("source").alias("s0"), F.max("source").alias("s1")]
-        counted = stored(seen.groupBy("line", "leaf", "n").agg(*several), "lines-counted")
-        alone = counted.filter((F.col("s0") != F.col("s1")) & _enough("rows")).select("line", "leaf", "n")
-        # Leaves in which several units could make up a recurring template together.
-        by_leaf = counted.groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("lines"), F.sum("rows").alias("rows"), F.min("s0").alias("s0"), F.max("s1").alias("s1"))
-        leaves = stored(by_leaf.filter((F.col("lines") > 1) & (F.col("s0") != F.col("s1")) & _enough("rows")).select("leaf", "n"), "lines-leaves", small=True)
-        together = counted.join(_few(leaves, leaves.count()), ["leaf", "n"], "left_semi").select("line", "leaf", "n")
-        self.lines = stored(alone.unionByName(together).distinct(), "lines-candidates", small=True)
-        n_lines = self.lines.count()
-        carried = stored(seen.select("line", "source").join(_few(self.lines, n_lines), "line").select("line", "leaf", "n", "source").distinct(), "lines-carried")
-        dropped(counted, leaves)
+        # A unit might recur if its leaf has enough rows, in two texts or more: either it has them alone, or others of the leaf could make up a template with it.
+        by_leaf = seen.groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("rows"), F.min("source").alias("s0"), F.max("source").alias("s1"))
+        leaves = stored(by_leaf.filter((F.col("s0") != F.col("s1")) & _enough("rows")).select("leaf", "n"), "lines-leaves", small=True)
+        of = seen.join(_few(leaves, leaves.count()), ["leaf", "n"], "left_semi").groupBy("line", "leaf", "n", "source").agg(F.max("before_short").alias("before_short"))
+        #: (line, leaf, n, source, before_short): the texts of each unit that might recur.
+        self.texts_of = stored(of, "lines-carried")
+        dropped(leaves)
+        carried = self.texts_of
         self.sources = stored(carried.select("source").distinct(), "lines-sources", small=True)
         self.n_sources = self.sources.count()
         text = docs.select(F.col("text").cast("string").alias("text")).withColumn("source", _source()).join(_few(self.sources, self.n_sources), "source", "left_semi")
         # Read several times: where they are few it is a scan with a filter, else they are gathered once.
         self.text = text if self.n_sources <= BROADCAST_LINES else stored(text, "lines-texts")
-        near = near_duplicates(self.text.select(F.col("source").alias("doc_id"), "text"), **({} if exact else {"tables": FAMILY_TABLES, "star_rounds": FAMILY_ROUNDS}))
+        near = near_duplicates(self.text.select(F.col("source").alias("doc_id"), "text"), repeated_ids=False, **({} if exact else {"tables": FAMILY_TABLES, "star_rounds": FAMILY_ROUNDS}))
         found = stored(near.groupBy("doc_id").agg(F.min("component_id").alias("family"), F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "source"), "lines-families", small=True)
         large = stored(found.groupBy("family").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("family", F.lit(True).alias("copied")), "lines-copied", small=True)
         #: (source, family, copied): copied says whether more than one row is in the family.
@@ -211,10 +227,10 @@ class Candidates:
         #: (line, leaf, n, family, source), the families of each line, each once, with a text that has it.
         of = carried.join(_few(self.family.select("source", "family"), self.n_sources), "source").groupBy("line", "leaf", "n", "family").agg(F.min("source").alias("source"))
         self.carried = stored(of, "lines-families-of", small=True)
-        dropped(carried)
 
     def drop(self) -> None:
-        dropped(self.lines, self.sources, self.carried, *([self.text] if self.n_sources > BROADCAST_LINES else []))
+        """All but ``texts_of`` and ``family``."""
+        dropped(self.sources, self.carried, *([self.text] if self.n_sources > BROADCAST_LINES else []))
 
 
 def recurring_lines(candidates: Candidates) -> DataFrame:
@@ -229,21 +245,23 @@ def recurring_lines(candidates: Candidates) -> DataFrame:
         "lines-few", small=True)
     units = stored(few.groupBy("line", "leaf", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("source").alias("source")), "lines-units", small=True)
     n_units = units.count()
-    wanted = np.sort(units.select("line").toArrow().column("line").to_numpy().astype(np.int64)) if n_units <= BROADCAST_LINES else None
-    # One text of each unit is read for its tokens.
-    text = candidates.text.join(_few(units.select("source").distinct(), n_units), "source", "left_semi").select("text")
-    tokens = text.mapInArrow(released(_tokens_of(wanted)), "line long, tokens array<long>").dropDuplicates(["line"])
+    # One text of each unit is read for its tokens; copies of that text give them again.
+    wanted = units.groupBy("source").agg(F.collect_list("line").alias("wanted"))
+    text = candidates.text.join(_few(wanted, n_units), "source").select("text", "wanted")
+    tokens = text.mapInArrow(released(by_batch(_tokens)), "line long, tokens array<long>").dropDuplicates(["line"])
     tokens = stored(units.drop("source").join(tokens, "line"), "lines-tokens")
     places = tokens.select("line", "leaf", "n", "docs", F.posexplode("tokens").alias("place", "token")).filter(F.col("place") >= DEPTH)
-    rare = stored(places.groupBy("leaf", "n", "place", "token").agg(F.sum("docs").alias("docs")).filter(~_enough("docs")).select("leaf", "n", "place", "token"), "lines-rare", small=True)
-    masks = places.join(rare, ["leaf", "n", "place", "token"]).groupBy("line").agg(F.collect_list("place").alias("rare"))
-    keys = tokens.select("line", "leaf", "tokens").join(masks, "line", "left").mapInArrow(released(_keyed), "key long, line long")
+    # Tokens that enough documents have at their place are far fewer than the rare ones.
+    common = stored(places.groupBy("leaf", "n", "place", "token").agg(F.sum("docs").alias("docs")).filter(_enough("docs")).select("leaf", "n", "place", "token"), "lines-common", small=True)
+    masks = places.join(_few(common, common.count()), ["leaf", "n", "place", "token"], "left_semi").groupBy("line").agg(F.collect_list("place").alias("common"))
+    keys = tokens.select("line", "leaf", "tokens", "docs").join(masks, "line", "left").mapInArrow(released(_keyed), "key long, line long, n int, docs long")
     keys = stored(keys, "lines-keys")
-    shared = keys.groupBy("key").agg(F.min("line").alias("l0"), F.max("line").alias("l1")).filter("l0 <> l1").select("key")
-    members = stored(keys.join(shared, "key", "left_semi"), "lines-members", small=True)
+    # Several units, which have families enough between them should no two share one.
+    shared = keys.groupBy("key").agg(F.min("line").alias("l0"), F.max("line").alias("l1"), F.max("n").alias("n"), F.sum("docs").alias("docs")).filter((F.col("l0") != F.col("l1")) & _enough("docs")).select("key")
+    members = stored(keys.select("key", "line").join(shared, "key", "left_semi"), "lines-members", small=True)
     often = members.join(few.select("line", "n", "family"), "line").select("key", "n", "family").distinct().groupBy("key", "n").agg(F.count(F.lit(1)).alias("docs")).filter(_enough("docs")).select("key")
     out = stored(alone.union(members.join(often, "key", "left_semi").select("line")).distinct(), "lines-recurring", small=True)
-    dropped(wide, few, units, tokens, rare, keys, members)
+    dropped(wide, few, units, tokens, common, keys, members)
     return out
 
 
@@ -289,22 +307,19 @@ def _cuts(u: Units, w: Words, gone: np.ndarray, copied: np.ndarray, whole_run) -
     starts, go = _by_line(u, dropped_sentence)
     changed, bounds = dropped_line[u.lines] | (go > 0), np.searchsorted(u.lines, w.bounds).tolist()
     out: dict[int, tuple[list[tuple[int, int]], int]] = {}
-    rows = np.unique(u.row[gone])
-    for r in rows.tolist():
-        begin, finish = int(w.offsets[r]), int(w.offsets[r + 1])
-        raw = w.data[begin:finish]
-        breaks = np.flatnonzero(raw == 10)
-        low, high = bounds[r], bounds[r + 1]
-        # Lines of which nothing goes are left as they are.
-        at = np.flatnonzero(changed[low:high]) + low
-        cuts, count, left = [], 0, len(at) < high - low
-        for i in at.tolist():
-            a = int(u.lines[i])
-            start = int(w.start[a]) - begin
-            k = int(np.searchsorted(breaks, start))
-            line_start = int(breaks[k - 1]) + 1 if k else 0
-            line_end = int(breaks[k]) if k < len(breaks) else finish - begin
-            if dropped_line[a]:
+    # Lines of which nothing goes are left as they are; of the others, the bytes from the one break to the other.
+    at = np.flatnonzero(changed)
+    row, word = u.word_row[u.lines[at]], w.start[u.lines[at]]
+    breaks = np.concatenate(([-1], np.flatnonzero(w.raw == 10), [len(w.raw)]))
+    k = np.searchsorted(breaks, word)
+    begins, ends_at = np.maximum(breaks[k - 1] + 1, w.offsets[row]) - w.offsets[row], np.minimum(breaks[k], w.offsets[row + 1]) - w.offsets[row]
+    places = list(zip(at.tolist(), begins.tolist(), ends_at.tolist(), dropped_line[u.lines[at]].tolist()))
+    first_of = np.searchsorted(row, np.arange(len(w.bounds))).tolist()
+    for r in np.unique(row).tolist():
+        begin, low, high = int(w.offsets[r]), first_of[r], first_of[r + 1]
+        cuts, count, left = [], 0, high - low < bounds[r + 1] - bounds[r]
+        for i, line_start, line_end, whole in places[low:high]:
+            if whole:
                 cuts.append((line_start, line_end + 1))
                 count += 1
                 continue
@@ -361,19 +376,23 @@ def _rewritten(column: pa.Array, look: np.ndarray, copied: np.ndarray, gone_of,
     return texts, n_lines, n_dropped
 
 
-def without_recurring(docs: DataFrame, lines: DataFrame, seen: DataFrame, family: DataFrame) -> DataFrame:
-    """``docs`` (columns named by position, text the last) with ``lines`` (hashes of units) gone from text, and n_lines and n_dropped as last columns."""
+def without_recurring(docs: DataFrame, lines: DataFrame, texts_of: DataFrame, family: DataFrame) -> DataFrame:
+    """``docs`` (columns named by position, text the last) with ``lines`` (hashes of units) gone from text, and n_lines and n_dropped as last columns.
+
+    ``texts_of`` has (line, source, before_short) of these units at least.
+    """
     columns = docs.columns
     *others, text = columns
     docs = docs.withColumn(text, F.col(text).cast("string"))
     schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
     n_lines = lines.count()
-    touched = stored(seen.select("line", "source").join(_few(lines, n_lines), "line").distinct(), "lines-touched", small=True)
+    touched = texts_of.select("line", "source", "before_short").join(_few(lines, n_lines), "line")
     few = n_lines <= BROADCAST_LINES
     # Only texts with a unit that goes are looked at; whether they have a copy is known of each of them. Hashes that are
     # too many to send are joined to the texts that have them.
     drop = F.collect_list("line") if not few else F.lit(None).cast("array<long>")
-    hit = stored(touched.groupBy("source").agg(drop.alias("drop")).join(family.select("source", "copied"), "source"), "lines-hit", small=True)
+    hit = stored(touched.groupBy("source").agg(drop.alias("drop"), F.max("before_short").alias("before_short")).join(family.select("source", "copied"), "source"), "lines-hit", small=True)
+    dropped(texts_of)
     n_hit = hit.count()
     table = np.sort(lines.toArrow().column("line").to_numpy().astype(np.int64)) if few else None
 
@@ -389,7 +408,9 @@ def without_recurring(docs: DataFrame, lines: DataFrame, seen: DataFrame, family
             found = {*_runs(batch.column(0), batch.column(1).to_numpy(), among(batch.column(2), table))}
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["run", "source"])
 
-    texts = docs.select(F.col(text).alias("text"), _source(text).alias("source")).join(_few(hit, n_hit) if few else hit.hint("merge"), "source").select("text", "source", "drop")
+    # A run begins with a sentence that goes and that short ones follow, so texts that have none have no run.
+    around = hit.filter("before_short").select("source", "drop")
+    texts = docs.select(F.col(text).alias("text"), _source(text).alias("source")).join(_few(around, n_hit) if few else around.hint("merge"), "source").select("text", "source", "drop")
     runs = stored(texts.mapInArrow(released(runs_of), "run long, source long").distinct(), "lines-runs", small=True)
     often = runs.join(_few(family.select("source", "family"), n_hit), "source").groupBy("run").agg(F.count_distinct("family").alias("docs")).filter(F.col("docs") >= MIN_DOCS).select("run")
     often = stored(often, "lines-often", small=True)
@@ -407,7 +428,7 @@ def without_recurring(docs: DataFrame, lines: DataFrame, seen: DataFrame, family
             gone_of, in_runs = among(drops, table), among(runs, run_table)
             changes = _rewritten(old, hits.is_valid().to_numpy(zero_copy_only=False), copied.fill_null(False).to_numpy(zero_copy_only=False), gone_of, lambda r, h: in_runs(np.array([r]), np.array([h]))[0])
             changed = pa.array([t is not None for t in changes[0]], pa.bool_())
-            new = pc.if_else(changed, pa.array([None if t is None else t.decode("utf-8") for t in changes[0]], pa.string()), old)
+            new = pc.if_else(changed, pa.array(changes[0], pa.binary()).cast(pa.string()), old)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], new, pa.array(changes[1]), pa.array(changes[2])], [*others, text, "n_lines", "n_dropped"])
 
     keyed = docs.join(_few(hit, n_hit) if few and few_runs else hit.hint("merge"), _source(text) == F.col("source"), "left")
@@ -420,9 +441,10 @@ def _deduplicated(docs: DataFrame, exact_families: bool = False) -> tuple[DataFr
     text = name["text"]
     seen = units_of(docs)
     candidates = Candidates(docs, seen, exact_families)
+    dropped(seen)
     lines = recurring_lines(candidates)
     candidates.drop()
-    return without_recurring(rows.select(*[c for c in rows.columns if c != text], text), lines, seen, candidates.family), name
+    return without_recurring(rows.select(*[c for c in rows.columns if c != text], text), lines, candidates.texts_of, candidates.family), name
 
 
 def line_dedup(docs: DataFrame, exact_families: bool = False) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultline.llm._memory import released
+from faultline.llm._memory import by_batch, released
 from faultline.llm._store import bounded_batches, by_position, dropped, stored
 from faultline.llm._text import CACHED_BYTES, SPACE_WORDS, mix, words_of
 from faultline.llm.components import connected_components
@@ -88,12 +88,13 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-FEATURES = "doc_id long, n_shingles long, s1 long, s2 long, tuples array<long>, sketch binary"
+FEATURES = "doc_id long, n_shingles long, s1 long, s2 long, tuples array<long>, sketch array<long>"
 
 
 def _features(tables: int):
-    """Sums of each set, its 2 * ``tables`` tuples, and a byte of each minhash."""
+    """Sums of each set, its 2 * ``tables`` tuples, and a byte of each minhash, eight to a number."""
     n_hashes = 2 * tables * WIDTH
+    n_words = -(-n_hashes // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +103,7 @@ def _features(tables: int):
                 n = high - low
                 full = np.flatnonzero(sizes)
                 s1, s2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                tuples, sketch = np.zeros((n, 2 * tables), np.uint64), np.zeros((n, n_hashes), np.uint8)
+                tuples, sketch = np.zeros((n, 2 * tables), np.uint64), np.zeros((n, 8 * n_words), np.uint8)
                 if len(full):
                     at = np.cumsum(sizes[full]) - sizes[full]
                     s1[full] = np.add.reduceat(mix(values ^ np.uint64(0xA5)), at)
@@ -114,14 +115,14 @@ def _features(tables: int):
                         hashes *= _MUL[k]
                         least[:, k] = np.minimum.reduceat(hashes, at)
                     least = mix(least)
-                    sketch[full] = (least >> np.uint64(17)).astype(np.uint8)
+                    sketch[full, :n_hashes] = (least >> np.uint64(17)).astype(np.uint8)
                     joined = _SALT[None, : 2 * tables].repeat(len(full), 0)
                     for j in range(WIDTH):
                         joined = mix(joined * np.uint64(0x9E3779B97F4A7C15) + least[:, j::WIDTH])
                     tuples[full] = joined
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * 2 * tables, 2 * tables, dtype=np.int32)), _signed(tuples.ravel()))
+                lists, bytes_ = (pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * k, k, dtype=np.int32)), _signed(x.ravel())) for k, x in ((2 * tables, tuples), (n_words, sketch.view(np.uint64))))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(low, n), pa.array(sizes, pa.int64()), _signed(s1), _signed(s2), lists, pa.array([r.tobytes() for r in sketch], pa.binary())],
+                    [ids.slice(low, n), pa.array(sizes, pa.int64()), _signed(s1), _signed(s2), lists, bytes_],
                     ["doc_id", "n_shingles", "s1", "s2", "tuples", "sketch"],
                 )
 
@@ -174,9 +175,15 @@ def _confirm(percent: int):
     return run
 
 
-def _agreeing(x: str, y: str):
-    """Places in which two sketches agree."""
-    return F.expr(f"aggregate(sequence(1, length({x})), 0, (n, i) -> n + if(substr({x}, i, 1) = substr({y}, i, 1), 1, 0))")
+def _agreeing(x: str, y: str, n: int):
+    """Places in which two sketches of ``n`` bytes agree: all but the bytes that differ in any bit."""
+    differ = F.lit(0)
+    for i in range(-(-n // 8)):
+        bits = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        for shift, kept in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift)).bitwiseAND(F.lit(kept))
+        differ = differ + F.bit_count(bits)
+    return F.lit(n) - differ
 
 
 def _selected(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -271,36 +278,39 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFr
     return large.join(small, ["token", "band"]).filter(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), [crossed]
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, tables: int = TABLES, star_rounds: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, tables: int = TABLES, star_rounds: int | None = None, repeated_ids: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (doc_id = component_id), one row a row of ``docs``.
 
     The result reads the stored tables in its ``reads``. ``tables`` (at most TABLES) is the number of tuples of either collection. With ``star_rounds``, so many rounds of
     stars across components take the place of the exact join: components are then those of the links that stars find.
+    Without ``repeated_ids`` rows that share a doc_id must have the same text; nothing is then looked for that links them.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    feats = stored(docs.mapInArrow(released(_features(tables)), FEATURES), "near-features")
+    feats = stored(docs.mapInArrow(released(by_batch(_features(tables))), FEATURES), "near-features")
     nodes = feats.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(nodes.groupBy("s1", "s2", "n_shingles").agg(F.min_by(F.struct("doc_id", "tuples", "sketch"), "doc_id").alias("r")).select("s1", "s2", "n_shingles", F.col("r.doc_id").alias("id"), "r.tuples", "r.sketch"), "near-classes")
     keys = _surviving_keys(classes, tables)
 
     sketches = classes.select("id", "sketch")
-    least = least_agreeing(2 * tables * WIDTH, percent)
+    n_hashes = 2 * tables * WIDTH
+    least = least_agreeing(n_hashes, percent)
 
     def plausible(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-        return pairs.withColumn("agree", _agreeing("x", "y")).filter(F.col("agree") >= least).select("a", "b", "agree")
+        return pairs.withColumn("agree", _agreeing("x", "y", n_hashes)).filter(F.col("agree") >= least).select("a", "b", "agree")
 
     # Rows that share a doc_id are one node: such an id links the classes it is in.
-    repeated = stored(feats.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "near-repeated", small=True)
-    some_repeated = not repeated.isEmpty()
+    if repeated_ids:
+        repeated = stored(feats.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "near-repeated", small=True)
+    some_repeated = repeated_ids and not repeated.isEmpty()
 
     # Stars: each class with the smallest member of each of its keys; the best candidate is confirmed first.
     first = stored(keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "a"), "near-first", small=True)
     stars = keys.join(first, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
     stars = plausible(stars).groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
     keyed = stored(keys.select(F.col("id").alias("doc_id")).distinct(), "near-keyed", small=True)
-    sets = stored(_selected(docs, keyed).mapInArrow(released(_sets), "doc_id long, shingles binary"), "near-sets")
+    sets = stored(_selected(docs, keyed).mapInArrow(released(by_batch(_sets)), "doc_id long, shingles binary"), "near-sets")
     links = _confirmed(sets, stars, percent, "near-links")
     ids, both = keyed.select(F.col("doc_id").alias("id")), links
     if some_repeated:
@@ -338,7 +348,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tables: int = TABLE
         top = stored(out.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("top")), "near-tops", small=True)
         out = out.join(top, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("top", "component_id").alias("component_id"))
     out = out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    out.reads = [feats, labels, repeated, *([top] if some_repeated else [])]
+    out.reads = [feats, labels, *([repeated] if repeated_ids else []), *([top] if some_repeated else [])]
     return out
 
 

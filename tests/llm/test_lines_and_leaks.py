@@ -371,3 +371,31 @@ def test_lines_that_stay_are_not_looked_at(monkeypatch):
     monkeypatch.setattr(line_dedup, "_between", lambda go, short: seen.append(len(go)) or between(go, short))
     assert len([*line_dedup._runs(column, np.array([5]), lambda _, h: np.isin(h, wanted))]) == 1
     assert seen == [3]
+
+
+def test_template_keys_of_many_units():
+    """Units looked at together have the templates that each has alone; a unit with too many rare tokens has none."""
+    rng = np.random.default_rng(5)
+    n = np.array([3, 10, 25, 10, 4])
+    leaf, tokens, rare = rng.integers(0, 1 << 62, len(n)), rng.integers(0, 1 << 32, n.sum()), np.zeros(n.sum(), bool)
+    ends = np.cumsum(n)
+    rare[[ends[0] + 5, *range(ends[1] + 4, ends[1] + 10), ends[2] + 4, ends[2] + 9]] = True
+    keys, unit = line_dedup.template_keys(leaf, n, tokens, rare)
+    alone = [line_dedup.template_keys(leaf[i : i + 1], n[i : i + 1], tokens[e - n[i] : e], rare[e - n[i] : e])[0].tolist() for i, e in enumerate(ends)]
+    assert [sorted(keys[unit == i].tolist()) for i in range(len(n))] == [sorted(x) for x in alone]
+    # Of 3 tokens none may vary; 10 may have two variable places, of which one is rare; 25 five, but six are rare.
+    assert [len(x) for x in alone] == [1, 1 + 5, 0, 1, 1]
+
+
+def test_units_of_a_batch_come_at_once():
+    """However many chunks a batch of texts is split in, and with the sentences that a run may begin with marked."""
+    sentence = "{} one two three four five six seven eight."
+    run = " ".join((sentence.format("alpha"), "Yes.", sentence.format("beta"), sentence.format("gamma") + "\n" + "No. " + sentence.format("delta")))
+    texts = [run, *(sentence.format(i) * 2000 for i in range(5))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["source", "text"])
+    made = [*line_dedup.by_batch(line_dedup._units)(iter([batch]))]
+    assert len(made) == 1 and len([*line_dedup._units(iter([batch]))]) > 1
+    (_, _, w), = words_of(pa.array([run]), SPACE_WORDS)
+    u = line_dedup.Units(w)
+    marked = {h for h, s, m in zip(*(made[0].column(c).to_pylist() for c in ("line", "source", "before_short"))) if s == 0 and m}
+    assert marked == {int(u.hash[(u.first == 0) & ~u.is_line][0])}
